@@ -9,24 +9,54 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    from .embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_sharding(spark, sf_dir):
     from .shard import shard_by_bytes
 
     return shard_by_bytes(_read(spark, sf_dir, "documents"), 8)
 
 
+def op3_sentencepiece(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .spm import encode_and_sample
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_and_sample(docs).select("doc_id", F.col("_n_pieces").alias("n_pieces"), F.col("_pieces_crc32").alias("pieces_crc32"), F.col("_round_trip").alias("round_trip"), F.col("_samples").alias("samples"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     from .quality import classify_quality
 
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("_key")
 
 
+def op7_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .substring import remove_repeats
+
+    cut = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return cut.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
 def op8_license_scan(spark, sf_dir):
     from .licences import scan_licences
 
     return scan_licences(_read(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -36,7 +66,7 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op5_quality_classifier, op8_license_scan, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_sentencepiece, op5_quality_classifier, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_source_mixing)}
 
 
 def _sharding_sql(shards: int = 8) -> str:
@@ -102,4 +132,46 @@ SELECT doc_id, source, rate, copies, i::INT AS copy, ('0x' || substr(md5(concat(
 FROM d, unnest(range(1, copies + 1)) u(i)"""
 
 
-ORACLES = {"op2_sharding": _sharding_sql, "op8_license_scan": _licences_sql, "op10_source_mixing": _mixing_sql}
+def _vectors_sql() -> str:
+    return """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)"""
+
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _substring_sql() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM d WHERE len(ws) >= 13),
+h AS (SELECT doc_id, s, array_to_string(ws[s:s + 12], ' ') AS win FROM w),
+f AS (SELECT win, min(doc_id) AS m FROM h GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM h JOIN f USING (win) WHERE doc_id > m),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _minhash_sql() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(low)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h FROM
+      (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
+
+
+ORACLES = {"op1_embedding_near_dedup": _vectors_sql, "op7_substring_dedup": _substring_sql, "op9_minhash_near_dedup": _minhash_sql, "op2_sharding": _sharding_sql, "op8_license_scan": _licences_sql, "op10_source_mixing": _mixing_sql}
