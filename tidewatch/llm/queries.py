@@ -30,6 +30,12 @@ def op3_sentencepiece(spark, sf_dir):
     return encode_and_sample(docs).select("doc_id", F.col("_n_pieces").alias("n_pieces"), F.col("_pieces_crc32").alias("pieces_crc32"), F.col("_round_trip").alias("round_trip"), F.col("_samples").alias("samples"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    from .lm import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     from .quality import classify_quality
 
@@ -66,7 +72,7 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_sentencepiece, op5_quality_classifier, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_sentencepiece, op4_lm_scoring, op5_quality_classifier, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_source_mixing)}
 
 
 def _sharding_sql(shards: int = 8) -> str:
