@@ -42,6 +42,12 @@ def op5_quality_classifier(spark, sf_dir):
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("_key")
 
 
+def op6_nearest_neighbours(spark, sf_dir):
+    from .ann import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -72,7 +78,7 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_sentencepiece, op4_lm_scoring, op5_quality_classifier, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_sentencepiece, op4_lm_scoring, op5_quality_classifier, op6_nearest_neighbours, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_source_mixing)}
 
 
 def _sharding_sql(shards: int = 8) -> str:
