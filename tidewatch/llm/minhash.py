@@ -6,6 +6,10 @@ distance is the number of symbols in which they differ, about 64 * (1 - Jaccard)
 by pigeonhole all pairs within distance 31 share a chunk with at most one error, and are found by
 the four keys of each chunk that leave one symbol out. At Jaccard 0.75, a distance over 31 has
 probability 1.4e-5.
+
+Before texts are compared, a pair must also pass two cheaper tests: 64 further symbols of 8 bits,
+with which the distance may be 54 of 128 at most (at Jaccard 0.75, missed with probability 6e-6),
+and the sizes of the sets, which cannot differ by more than the wanted share (no misses).
 """
 
 from __future__ import annotations
@@ -18,13 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, durable, lower_words, mix64, ngram_hashes, partitions, row_key
-from .components import connected_components
+from .components import connected_components, local_roots
 
 SYMBOLS, CHUNK = 64, 4
 MOST_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
-#: Buckets up to this many rows are joined with themselves; larger ones are compared in tiles.
-SMALL, TILE = 12, 1024
-_MULTIPLIERS = (np.random.default_rng(90125).integers(1, 1 << 62, SYMBOLS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Buckets up to this many rows are compared in the sorted partition; larger ones in tiles.
+SMALL, TILE = 48, 1024
+#: Rounds in which bucket mates in different components meet a centre, before all of those pairs do.
+STAR_ROUNDS = 1
+#: Further symbols, and the most distance over all of them.
+MORE, MOST_ALL = 64, 54
+#: Bytes of a signature: symbols of 16 and of 8 bits, the size of the set.
+WIDTH = 2 * SYMBOLS + MORE + 4
+_MULTIPLIERS = (np.random.default_rng(90125).integers(1, 1 << 62, SYMBOLS + MORE, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
@@ -35,12 +45,36 @@ def shingle_set(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
     return np.unique(ngram_hashes(hashes.of(ws), min(k, len(ws))))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """64 symbols of 16 bits: the low bits of each hash function's minimum."""
-    low = np.full(SYMBOLS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for s in range(0, len(shingles), 2048):
-        np.minimum(low, (_MULTIPLIERS[:, None] * shingles[None, s : s + 2048]).min(axis=1), out=low)
-    return (mix64(low) & np.uint64(0xFFFF)).astype(np.uint16)
+def signature(shingles: np.ndarray) -> bytes:
+    """The low bits of each hash function's minimum, and the size of the set."""
+    low = np.full(SYMBOLS + MORE, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for s in range(0, len(shingles), 1024):
+        np.minimum(low, (_MULTIPLIERS[:, None] * shingles[None, s : s + 1024]).min(axis=1), out=low)
+    low = mix64(low)
+    return (low[:SYMBOLS] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + (low[SYMBOLS:] & np.uint64(0xFF)).astype(np.uint8).tobytes() + np.uint32(min(len(shingles), 0xFFFFFFFF)).tobytes()
+
+
+class Signatures:
+    """Many signatures as arrays."""
+
+    def __init__(self, blobs=None):
+        if blobs is None:
+            return
+        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, WIDTH)
+        self.main = np.ascontiguousarray(raw[:, : 2 * SYMBOLS]).view(np.uint16)
+        self.more = raw[:, 2 * SYMBOLS : 2 * SYMBOLS + MORE]
+        self.size = np.ascontiguousarray(raw[:, 2 * SYMBOLS + MORE :]).view(np.uint32)[:, 0].astype(np.int64)
+
+    def __getitem__(self, i) -> Signatures:
+        out = Signatures()
+        out.main, out.more, out.size = self.main[i], self.more[i], self.size[i]
+        return out
+
+    def near(self, other: Signatures, percent: int) -> np.ndarray:
+        """Row by row: within the signature distances, and of sizes that a link allows."""
+        apart = (self.main != other.main).sum(axis=1)
+        every = apart + (self.more != other.more).sum(axis=1)
+        return (apart <= MOST_DISTANCE) & (every <= MOST_ALL) & (100 * np.minimum(self.size, other.size) >= percent * np.maximum(self.size, other.size))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -55,7 +89,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 s = shingle_set(text, hashes, k)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
+                sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "key", "n", "digest", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
@@ -72,7 +106,7 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
             m = batch.num_rows
             if not m:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(m, SYMBOLS // CHUNK, CHUNK).astype(np.uint64)
+            sig = Signatures(batch.column(2).to_pylist()).main.reshape(m, SYMBOLS // CHUNK, CHUNK).astype(np.uint64)
             out = np.empty((m, SYMBOLS // CHUNK, CHUNK), np.uint64)
             chunk = np.arange(SYMBOLS // CHUNK, dtype=np.uint64)
             for gone in range(CHUNK):
@@ -89,20 +123,16 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "label", "sig").mapInArrow(keys, "id long, label long, buckets array<long>").select(F.explode("buckets").alias("bucket"), "id", "label")
 
 
-@F.pandas_udf("int")
-def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """In how many symbols two signatures differ."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), SYMBOLS) for s in (a, b))
-    return pd.Series((x != y).sum(axis=1).astype(np.int32))
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose signatures allow a link."""
 
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(Signatures(a).near(Signatures(b), percent) if len(a) else [], dtype=bool)
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those within the signature distance."""
     x = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     y = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(x, "a").join(y, "b").where(distance("sa", "sb") <= MOST_DISTANCE).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(near("sa", "sb")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -136,42 +166,129 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
     return p.mapInArrow(verify, "a long, b long")
 
 
-def _crossing(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket whose rows have different labels. Small buckets meet themselves; in
-    larger ones tiles meet, and only pairs within the signature distance come out (needs ``sig``)."""
+def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the pairs of positions (i, j) connect: at most one for each id."""
+    par = np.arange(len(ids))
+    local_roots(par, i, j)
+    low = par != np.arange(len(ids))
+    return ids[low], ids[par[low]]
+
+
+def _crossing(keys: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all pairs of one bucket with different labels whose signatures allow
+    a link: a forest for each task, not the pairs, whose number can be a crowd's square.
+
+    ``keys`` is (bucket, id, label, sig). Rows of small buckets are compared with those that follow
+    them in the sorted partition; larger buckets are cut into tiles, and tiles meet.
+    """
     keys = durable(keys, "mixed")
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("size"))
-    small = keys.join(sizes.where(F.col("size") <= SMALL), "bucket").select("bucket", "id", "label")
-    other = small.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-    few = small.join(other, "bucket").where((F.col("label") != F.col("lb")) & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b")
-    large = keys.join(sizes.where(F.col("size") > SMALL).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")), "bucket")
-    own = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    dealt = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "t").alias("s"), F.greatest("own", "t").alias("t"), "own", "id", "label", "sig")
+    small = keys.join(sizes.where(F.col("size") <= SMALL), "bucket").select("bucket", "id", "label", "sig")
+    n = partitions(keys.sparkSession)
+
+    def scan(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            bucket = rest.column(0).to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            yield from meet_rows(rest.slice(0, cut))
+            rest = rest.slice(cut)
+        if rest is not None:
+            yield from meet_rows(rest)
+
+    def meet_rows(table):
+        m = table.num_rows
+        if m < 2:
+            return
+        bucket, ids, label = (table.column(x).to_numpy() for x in range(3))
+        sig = Signatures(table.column(3).to_pylist())
+        found = []
+        for step in range(1, min(SMALL, m)):
+            same = bucket[:-step] == bucket[step:]
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (label[:-step] != label[step:]))
+            for s in range(0, len(i), 32768):
+                x = i[s : s + 32768]
+                x = x[sig[x].near(sig[x + step], percent)]
+                found.append((x, x + step))
+        if found:
+            i, j = map(np.concatenate, zip(*found, strict=True))
+            one, number = np.unique(ids, return_inverse=True)
+            a, b = _forest(one, number[i], number[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    few = small.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, "a long, b long")
+    large = keys.join(sizes.where(F.col("size") > SMALL), "bucket")
+    dealt = _tiles(large, "bucket", TILE, ["id", "label", "sig"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.own == pdf.s.iloc[0]], pdf[pdf.own == pdf.t.iloc[0]]
-        x, y = (np.frombuffer(b"".join(p.sig), np.uint16).reshape(len(p), SYMBOLS) for p in (left, right))
-        out = []
-        for i in range(len(x)):
-            near = ((x[i] != y).sum(axis=1) <= MOST_DISTANCE) & (right.label.to_numpy() != left.label.iat[i])
-            if near.any():
-                j = right.id.to_numpy()[near]
-                out.append(pd.DataFrame({"a": np.minimum(j, left.id.iat[i]), "b": np.maximum(j, left.id.iat[i])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        ids, i, j = _near_rows(pdf, percent)
+        a, b = _forest(ids, i, j)
+        return pd.DataFrame({"a": a, "b": b})
 
     many = dealt.groupBy("bucket", "s", "t").applyInPandas(meet, "a long, b long")
     return few.union(many).distinct()
 
 
+def _tiles(rows: DataFrame, group: str, tile: int, columns: list[str]) -> DataFrame:
+    """Rows of each group dealt to pairs (s, t) of its tiles: two tiles at most meet in a task."""
+    own = rows.withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select(group, F.least("own", "t").alias("s"), F.greatest("own", "t").alias("t"), "own", *columns)
+
+
+def _near_rows(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a task, and the positions (i, j) of rows with different labels in its two tiles (or
+    in its one) whose signatures allow a link."""
+    s, t = int(pdf.s.iloc[0]), int(pdf.t.iloc[0])
+    ids, labels, own = pdf.id.to_numpy(), pdf.label.to_numpy(), pdf.own.to_numpy()
+    sig = Signatures(pdf.sig)
+    right = np.flatnonzero(own == t)
+    found = [(np.empty(0, np.int64),) * 2]
+    for i in np.flatnonzero(own == s):
+        j = right[(labels[right] != labels[i]) & ((right > i) if s == t else True)]
+        j = j[sig[[i]].near(sig[j], percent)] if len(j) else j
+        found.append((np.full(len(j), i), j))
+    i, j = map(np.concatenate, zip(*found, strict=True))
+    return ids, i, j
+
+
+def _linked_blocks(edges: DataFrame, labelled: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) that connect all linked pairs with different labels among rows which ``edges``
+    connect. Such rows form blocks; a text goes to its block once (to each pair of its tiles, if the
+    block is large), and full sets are compared there."""
+    blocks = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("block"))
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
+    rows = blocks.join(labelled, "id").join(reps.select("id", "key"), "id").join(texts, ["id", "key"]).join(sizes, "block")
+    dealt = _tiles(rows, "block", TILE // 2, ["id", "label", "sig", "text"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["id", "label"])
+        ids, i, j = _near_rows(pdf, percent)
+        hashes, text = WordHashes(), pdf.text.to_numpy()
+        sets = {x: shingle_set(text[x], hashes, k) for x in np.union1d(i, j)}
+        links = np.zeros(len(i), bool)
+        for at, (x, y) in enumerate(zip(i, j, strict=True)):
+            u, v = sets[x], sets[y]
+            both = np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u)
+            links[at] = 100 * both >= percent * (len(u) + len(v) - both)
+        a, b = _forest(ids, i[links], j[links])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy("block", "s", "t").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for each row; links are pairs with 100 * |both| >=
     percent * |either| on the full shingle sets.
 
     Rows with equal sets are one class and compared once, through the row with the least id. First
-    every member of a bucket meets the bucket's least member; confirmed links give components. What
-    is left are bucket mates in different components: all of those pairs are then compared too, so
-    that no link between components is lost, while a crowd of near copies, by then one component,
+    every member of a bucket meets the bucket's least member, then those in other components than a
+    hashed centre meet it; confirmed links give components. What is left are bucket mates in
+    different components: all of those pairs are compared in the end, so that no link between components is lost, while a crowd of near copies, by then one component,
     costs no pairs within itself.
 
     Null, empty and wordless texts have no shingles and no links; a row without id has a null
@@ -187,17 +304,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     keys = chunk_keys(reps.withColumn("label", F.col("id"))).select("bucket", "id").repartition(n, "bucket")
     least = keys.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select("bucket", "b")
     stars = keys.join(least, "bucket").where("id > b").select(F.col("id").alias("a"), "b").distinct()
-    stars = durable(_near(stars, reps), "candidates")
+    stars = durable(_near(stars, reps, percent), "candidates")
     links = durable(_verified(stars, reps, texts, percent, k).distinct(), "links")
-    label = connected_components(links).select("node", F.col("component").alias("label"))
-    labelled = durable(reps.select("id", "sig").distinct().join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("label"), "sig"), "labelled")
-    keys = chunk_keys(labelled).repartition(n, "bucket")
-    mixed = keys.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-    crossing = _crossing(keys.join(mixed, "bucket").join(labelled.select("id", "sig"), "id"))
-    crossing = crossing.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    crossing = durable(_near(crossing, labelled), "candidates")
-    more = _verified(crossing, reps, texts, percent, k)
-    component = connected_components(links.unionByName(more))
+    for turn in range(STAR_ROUNDS + 1):
+        label = connected_components(links).select("node", F.col("component").alias("label"))
+        labelled = durable(reps.select("id", "sig").distinct().join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("label"), "sig"), "labelled")
+        keys = chunk_keys(labelled).repartition(n, "bucket")
+        ends = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "label")).alias("c")]
+        mixed = keys.groupBy("bucket").agg(*ends).where("l0 < l1").select("bucket", F.col("c.id").alias("b"), F.col("c.label").alias("lb"))
+        if turn < STAR_ROUNDS:  # another centre for what the least member left apart
+            pairs = keys.join(mixed, "bucket").where("label <> lb").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
+            fresh = durable(_near(pairs.distinct().join(stars, ["a", "b"], "left_anti"), labelled, percent), "candidates")
+            links = links.unionByName(durable(_verified(fresh, reps, texts, percent, k).distinct(), "links"))
+        else:
+            edges = _crossing(keys.join(mixed.select("bucket"), "bucket").join(labelled.select("id", "sig"), "id").select("bucket", "id", "label", "sig"), percent)
+            links = links.unionByName(durable(_linked_blocks(edges, labelled, reps, texts, percent, k).distinct(), "links"))
+    component = connected_components(links)
     classes = reps.join(component, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     rows = signed.select("id", "n", "digest").join(classes, "digest", "left")
     found = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
