@@ -1,4 +1,392 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""The registered queries of the library's own operators and their SQL.
+
+Each query builds on the test tables through ``domain``; each SQL text says the same for DuckDB.
+Floating-point results are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.exprs import ordinal_date, rounded
+from ..operators import aberration, alarms, cooccurrence, counting, evaluation, hierarchy, nowcast, spatial, treescan, windows
+from ..operators import disproportionality as disp
+from ..operators import text as txt
+from ..session import table
+from . import domain as d
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df, *cols, places: int = 6):
+    return df.withColumns({c: rounded(F.col(c), places) for c in cols})
+
+
+def _r(x: str, name: str, places: int = 6) -> str:
+    return f"round({x}, {places}) + 0.0 AS {name}"
+
+
+B, BS = d.base_sql(), d.base_sql(False)
+# trailing windows of every as-of quarter, by range join
+W = """
+aso AS (SELECT q AS as_of, (SELECT count(*) FROM den x WHERE x.q BETWEEN den.q - 11 AND den.q) AS k,
+        (SELECT sum(n_total) FROM den x WHERE x.q BETWEEN den.q - 3 AND den.q)::BIGINT AS total_recent,
+        (SELECT sum(n_total) FROM den x WHERE x.q BETWEEN den.q - 11 AND den.q - 4)::BIGINT AS total_base FROM den),
+win AS (SELECT entity, as_of, any_value(total_recent) AS total_recent, any_value(total_base) AS total_base,
+        coalesce(sum(n) FILTER (cnt.q > as_of - 4), 0)::BIGINT AS n_recent, coalesce(sum(n) FILTER (cnt.q <= as_of - 4), 0)::BIGINT AS n_baseline
+        FROM cnt JOIN aso ON cnt.q BETWEEN as_of - 11 AND as_of WHERE k = 12 GROUP BY 1, 2),
+gate AS (SELECT *, CASE WHEN total_base <> 0 THEN n_baseline * total_recent / total_base::DOUBLE END AS expected, n_baseline * 0.5 AS expected_own FROM win),
+rat AS (SELECT *, n_recent / nullif(expected, 0) AS ratio, n_recent / nullif(expected_own, 0) AS ratio_own FROM gate WHERE n_recent > 0)"""
+EARS = """
+ears AS (SELECT *, (share - mean) / greatest(sd, sqrt(greatest(mean_n, 0.25)) / mean_total) AS ears_z FROM (
+  SELECT entity, as_of, sum(n) FILTER (dn.q > as_of - 4)::BIGINT AS n_recent, sum(n) FILTER (dn.q <= as_of - 4)::BIGINT AS n_baseline,
+    sum(n) FILTER (dn.q > as_of - 4) / (sum(n_total) FILTER (dn.q > as_of - 4))::DOUBLE AS share,
+    avg(n / n_total::DOUBLE) FILTER (dn.q <= as_of - 4) AS mean, stddev_samp(n / n_total::DOUBLE) FILTER (dn.q <= as_of - 4) AS sd,
+    avg(n) FILTER (dn.q <= as_of - 4) AS mean_n, avg(n_total) FILTER (dn.q <= as_of - 4) AS mean_total
+  FROM dn JOIN aso ON dn.q BETWEEN as_of - 11 AND as_of WHERE k = 12 GROUP BY 1, 2) WHERE n_recent > 0)"""
+HOT = """
+hot AS (SELECT *, as_of - row_number() OVER (PARTITION BY entity ORDER BY as_of) AS island FROM rat WHERE ratio > 1.5),
+epi AS (SELECT entity, island, min(as_of) AS first_q, max(as_of) AS last_q, count(*)::BIGINT AS quarters, max(ratio) AS peak FROM hot GROUP BY 1, 2)"""
+
+
+def _ratio(s, sf):
+    return disp.ratio_sweep(d.counts(s, sf), d.denom(s, sf))
+
+
+def _ears(s, sf):
+    return aberration.ears_sweep(d.counts(s, sf), d.denom(s, sf))
+
+
+# --- counting ---------------------------------------------------------------------------------------
+@query(f"WITH {B} SELECT entity, quarter, q, n FROM cnt")
+def quarterly_counts(s, sf):
+    return d.counts(s, sf)
+
+
+@query(f"WITH {B} SELECT quarter, q, n_total FROM den")
+def denominators(s, sf):
+    return d.denom(s, sf)
+
+
+@query(f"WITH {B} SELECT entity, q, n, n_total FROM dn")
+def dense_calendar(s, sf):
+    return windows.dense(d.counts(s, sf), d.denom(s, sf)).select("entity", "q", "n", "n_total")
+
+
+@query(f"WITH {B} SELECT entity, q, n, {_r('n / n_total::DOUBLE', 'share')}, sum(n) OVER (PARTITION BY entity ORDER BY q)::BIGINT AS running FROM dn")
+def quarterly_series(s, sf):
+    return r6(alarms.quarterly_series(d.counts(s, sf), d.denom(s, sf)), "share")
+
+
+@query(f"WITH {B}, {W} SELECT entity, as_of, n_recent, n_baseline, total_recent, total_base FROM win")
+def trailing_windows(s, sf):
+    return windows.trailing_windows(d.counts(s, sf), d.denom(s, sf)).select("entity", "as_of", "n_recent", "n_baseline", "total_recent", "total_base")
+
+
+@query(f"WITH {B} SELECT entity, {', '.join(f'coalesce(sum(n) FILTER (year(quarter) = {y}), 0)::BIGINT AS y{y}' for y in range(1996, 2001))} FROM cnt GROUP BY entity")
+def emergence_table(s, sf):
+    c = d.counts(s, sf).withColumn("year", F.concat(F.lit("y"), F.year("quarter")))
+    return c.groupBy("entity").pivot("year", [f"y{y}" for y in range(1996, 2001)]).sum("n").fillna(0)
+
+
+ORD = f"""
+o1 AS (SELECT o_orderkey AS case_id, any_value({d._ordinal('o_orderdate')}) AS q, p_brand AS entity, min((l_linenumber, l_partkey, l_suppkey)) AS ln_at
+       FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey, p_brand),
+o2 AS (SELECT case_id, q, entity, row_number() OVER (PARTITION BY case_id ORDER BY ln_at, entity) - 1 AS pos, count(*) OVER (PARTITION BY case_id) AS size FROM o1),
+lead1 AS (SELECT entity, min(q) AS first_lead_q FROM o2 WHERE pos = 0 GROUP BY entity),
+cred AS (SELECT case_id, q, o2.entity, CASE WHEN size = 1 THEN 2 WHEN size >= 3 AND pos = size - 1 AND NOT coalesce(first_lead_q <= q, false) THEN 0 ELSE 1 END::INT AS credit
+         FROM o2 LEFT JOIN lead1 USING (entity))"""
+
+
+@query(f"WITH {ORD} SELECT case_id, q, entity, credit FROM cred")
+def position_credits(s, sf):
+    o = d.ordered(s, sf)
+    return counting.position_credit(o, counting.first_leads(o))
+
+
+@query(f"WITH {ORD} SELECT {_r('avg(credit * credit) / avg(credit)', 'phi')} FROM cred")
+def credit_dispersion(s, sf):
+    o = d.ordered(s, sf)
+    return counting.position_credit(o, counting.first_leads(o)).agg(rounded(counting.credit_dispersion(None)).alias("phi"))
+
+
+@query(f"WITH {ORD} SELECT entity, count(*)::BIGINT AS n, {_r('greatest(1.0, 1 / greatest(avg(credit), 0.05))', 'phi_s')} FROM cred GROUP BY entity HAVING count(*) >= 10")
+def role_dispersion(s, sf):
+    return r6(counting.role_dispersion(counting.position_credit(d.ordered(s, sf), counting.first_leads(d.ordered(s, sf)))), "phi_s")
+
+
+@query(f"""WITH {B}, {ORD}, a AS (SELECT den.q AS as_of, o2.entity, CASE WHEN size = 1 THEN 2 WHEN size >= 3 AND pos = size - 1 AND NOT coalesce(first_lead_q <= den.q, false) THEN 0 ELSE 1 END AS c
+ FROM den JOIN o2 ON o2.q <= den.q JOIN (SELECT q FROM den) v ON v.q = o2.q LEFT JOIN lead1 ON lead1.entity = o2.entity),
+p AS (SELECT as_of, sum(c * c) / sum(c)::DOUBLE AS phi FROM a GROUP BY as_of)
+SELECT entity, as_of, sum(c)::BIGINT AS credit, {_r('any_value(phi)', 'phi')} FROM a JOIN p USING (as_of) GROUP BY entity, as_of""")
+def weighted_sweep(s, sf):
+    return r6(counting.weighted_sweep(d.ordered(s, sf), d.denom(s, sf)), "phi").where("credit > 0 OR credit = 0")
+
+
+# --- disproportionality -------------------------------------------------------------------------------
+RANK = "entity, as_of, n_recent, n_baseline, " + ", ".join(_r(c, c) for c in ("expected", "expected_own", "ratio", "ratio_own"))
+
+
+@query(f"WITH {B}, {W}, l AS (SELECT max(as_of) AS a FROM rat) SELECT {RANK}, row_number() OVER (ORDER BY round(ratio, 6) DESC NULLS LAST, entity)::INT AS rank FROM rat, l WHERE as_of = a")
+def rank_ratio(s, sf):
+    sweep = _ratio(s, sf)
+    last = sweep.agg(F.max("as_of").alias("_a"))
+    rows = sweep.join(F.broadcast(last), F.col("as_of") == F.col("_a")).drop("_a")  # one row
+    rows = r6(rows, "expected", "expected_own", "ratio", "ratio_own").select("entity", "as_of", "n_recent", "n_baseline", "expected", "expected_own", "ratio", "ratio_own")
+    return disp.ranked(rows, "ratio")
+
+
+@query(f"WITH {B}, {W} SELECT {RANK} FROM rat")
+def ratio_sweep(s, sf):
+    return r6(_ratio(s, sf), "expected", "expected_own", "ratio", "ratio_own").select("entity", "as_of", "n_recent", "n_baseline", "expected", "expected_own", "ratio", "ratio_own")
+
+
+@query(f"""WITH {B}, {W}, x AS (SELECT *, 2.0 + n_recent AS a FROM rat)
+SELECT entity, as_of, {_r("exp(ln(a+8) - 1/(2*(a+8)) - 1/(12*pow(a+8,2)) + 1/(120*pow(a+8,4)) - 1/(252*pow(a+8,6)) - (1/a+1/(a+1)+1/(a+2)+1/(a+3)+1/(a+4)+1/(a+5)+1/(a+6)+1/(a+7)) - ln(4.0 + expected))", "ebgm")} FROM x""")
+def fixed_prior_ebgm(s, sf):
+    return r6(disp.fixed_prior_scores(_ratio(s, sf), 2.0, 4.0).select("entity", "as_of", "ebgm"), "ebgm")
+
+
+@query()
+def eb_sweep(s, sf):
+    """Shrinkage scores with a prior fitted at each as-of quarter, on name-type-size entities."""
+    e = "concat_ws('/', p_name, p_type, cast(p_size as string))"
+    c, n = d.counts(s, sf, False, e), d.denom(s, sf)
+    scores = disp.eb_scores(disp.ratio_sweep(c, n))
+    cols = ["ebgm", "eb05", "eb95", "eb05_own", "alpha", "beta"]
+    return r6(scores.select("entity", "as_of", "n_recent", *cols, "converged", "credible_rise"), *cols, places=4)
+
+
+@query()
+def eb_rank_with_veto(s, sf):
+    """The latest quarter's shrinkage ranking, with the scan's veto."""
+    c, n = d.counts(s, sf), d.denom(s, sf)
+    scores = disp.eb_scores(disp.ratio_sweep(c, n))
+    cells = treescan.scan_cells(c, n, _nodes(s, sf))
+    last = int(n.agg(F.max("q")).first()[0])
+    best = treescan.best_windows(cells).where((F.col("as_of") == last) & (F.col("level") == "substance"))
+    ri = treescan.with_p_values(best, treescan.null_maxima(c, n, _nodes(s, sf), last, replicates=199), 199).select(F.col("node").alias("entity"), "as_of", "recurrence_interval")
+    out = disp.veto(scores.where(F.col("as_of") == last), ri)
+    return disp.ranked(r6(out.select("entity", "as_of", "n_recent", "ratio", "eb05", "eb05_own", "ri", "credible_rise", "vetoed"), "ratio", "eb05", "eb05_own", "ri", places=4), "eb05")
+
+
+# --- aberration -------------------------------------------------------------------------------------
+@query(f"WITH {B}, {W}, {EARS} SELECT entity, as_of, n_recent, n_baseline, {_r('ears_z', 'ears_z')} FROM ears")
+def ears_sweep(s, sf):
+    return r6(_ears(s, sf), "ears_z")
+
+
+NEWTON = """
+pts AS (SELECT entity, as_of, (q - avg(q) OVER w) / stddev_pop(q) OVER w AS t, stddev_pop(q) OVER w AS sd, n::DOUBLE AS y, {o}::DOUBLE AS o FROM dn JOIN aso ON dn.q BETWEEN as_of - 11 AND as_of WHERE k = 12 WINDOW w AS (PARTITION BY entity, as_of)),
+arr AS (SELECT entity, as_of, any_value(sd) AS sd, list(t ORDER BY t) AS ts, list(y ORDER BY t) AS ys, list(o ORDER BY t) AS os, sum(y) AS sy, sum(o) AS so FROM pts GROUP BY 1, 2 HAVING sum(y) > 0),
+it(entity, as_of, i, a, b) AS (
+  SELECT entity, as_of, 0, ln(sy / so), 0.0::DOUBLE FROM arr
+  UNION ALL
+  SELECT entity, as_of, i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT it.entity, it.as_of, i, a, b,
+      list_sum(list_transform(range(1, 13), lambda j: ys[j] - os[j] * exp(a + b * ts[j]))) AS g0,
+      list_sum(list_transform(range(1, 13), lambda j: (ys[j] - os[j] * exp(a + b * ts[j])) * ts[j])) AS g1,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]))) + 1e-9 AS h00,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j])) AS h01,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j] * ts[j])) + 1e-9 AS h11
+    FROM it JOIN arr USING (entity, as_of) WHERE i < 25)),
+fit AS (SELECT entity, as_of, b / sd AS slope, b / (sqrt(h00 / (h00 * h11 - h01 * h01)) * sqrt(greatest(pear / 10, 1.0))) AS z FROM (
+    SELECT it.entity, it.as_of, b, sd,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]))) + 1e-9 AS h00,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j])) AS h01,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j] * ts[j])) + 1e-9 AS h11,
+      list_sum(list_transform(range(1, 13), lambda j: pow(ys[j] - os[j] * exp(a + b * ts[j]), 2) / greatest(os[j] * exp(a + b * ts[j]), 1e-12))) AS pear
+    FROM it JOIN arr USING (entity, as_of) WHERE i = 25))"""
+
+
+@query(f"WITH RECURSIVE {B}, {W}, {NEWTON.format(o='n_total')} SELECT entity, as_of, n_recent, n_baseline, {_r('slope', 'slope', 4)}, {_r('z', 'z', 4)} FROM fit JOIN win USING (entity, as_of) WHERE n_recent > 0")
+def trend_sweep_share(s, sf):
+    return r6(aberration.trend_sweep(d.counts(s, sf), d.denom(s, sf)).select("entity", "as_of", "n_recent", "n_baseline", "slope", "z"), "slope", "z", places=4)
+
+
+@query(f"WITH RECURSIVE {B}, {W}, {NEWTON.format(o='1')} SELECT entity, as_of, {_r('slope', 'own_slope', 4)}, {_r('z', 'own_z', 4)} FROM fit JOIN win USING (entity, as_of) WHERE n_recent > 0")
+def trend_sweep_own(s, sf):
+    return r6(aberration.trend_sweep(d.counts(s, sf), d.denom(s, sf)).select("entity", "as_of", "own_slope", "own_z"), "own_slope", "own_z", places=4)
+
+
+@query(f"""WITH {B}, {W}, {HOT}, f AS (SELECT entity, as_of, row_number() OVER (PARTITION BY entity, island ORDER BY as_of) >= 3 AS c FROM hot)
+SELECT rat.entity, rat.as_of, coalesce(c, false) AS confirmed FROM rat LEFT JOIN f USING (entity, as_of)""")
+def confirmed_flags(s, sf):
+    return aberration.confirmed_flags(_ratio(s, sf), "ratio", 1.5).select("entity", "as_of", "confirmed")
+
+
+@query(f"""WITH {B}, {W}, {HOT}, f AS (SELECT entity, as_of, first_value(n_baseline) OVER (PARTITION BY entity, island ORDER BY as_of) / 8.0 < 2 AS c FROM hot)
+SELECT rat.entity, rat.as_of, coalesce(c, false) AS emergent FROM rat LEFT JOIN f USING (entity, as_of)""")
+def emergent_flags(s, sf):
+    return aberration.emergent_flags(_ratio(s, sf), "ratio", 1.5).select("entity", "as_of", "emergent")
+
+
+@query(f"""WITH {B}, {W}, {EARS}, x AS (SELECT max(as_of) AS a FROM aso WHERE k = 12)
+SELECT coalesce(r.entity, e.entity) AS entity, {_r('ratio', 'ratio')}, {_r('ears_z', 'ears_z')}, coalesce(ratio > 1.5, false) OR coalesce(ears_z > 3, false) AS alarm
+FROM (SELECT * FROM rat, x WHERE as_of = a) r FULL JOIN (SELECT * FROM ears, x WHERE as_of = a) e ON r.entity = e.entity""")
+def aberration_rank(s, sf):
+    last = F.broadcast(windows.as_of_quarters(d.denom(s, sf)).agg(F.max("as_of").alias("_a")))  # one row
+    a = _ratio(s, sf).join(last, F.col("as_of") == F.col("_a")).select("entity", "ratio")
+    b = _ears(s, sf).join(last, F.col("as_of") == F.col("_a")).select("entity", "ears_z")
+    out = a.join(b, "entity", "full")
+    alarm = F.coalesce(F.col("ratio") > 1.5, F.lit(False)) | F.coalesce(F.col("ears_z") > 3, F.lit(False))
+    return r6(out.withColumn("alarm", alarm), "ratio", "ears_z")
+
+
+@query()
+def dispersion_verdicts(s, sf):
+    out = aberration.dispersion_verdict(d.counts(s, sf), d.denom(s, sf))
+    return r6(out, "d_flat", "d_trend", "absorbed", "root_d", places=4)
+
+
+# --- alarms -----------------------------------------------------------------------------------------
+@query(f"WITH {B}, {W}, {HOT} SELECT entity, first_q, last_q, quarters, {_r('peak', 'peak')} FROM epi")
+def episodes(s, sf):
+    return r6(alarms.episodes(_ratio(s, sf), "ratio", 1.5), "peak")
+
+
+@query(f"""WITH {B}, {W}, {HOT}, e AS (SELECT entity, min(first_q) AS first_breach, max(last_q) AS last_breach, sum(quarters)::BIGINT AS n_quarters, count(*)::BIGINT AS n_episodes, max(quarters) AS longest, max(first_q) AS latest_onset FROM epi GROUP BY entity),
+p AS (SELECT entity, max(ratio) AS peak, min(as_of) FILTER (ratio = mx) AS peak_q FROM (SELECT *, max(ratio) OVER (PARTITION BY entity) AS mx FROM rat) GROUP BY entity),
+f AS (SELECT entity, min(q) AS fs FROM cnt GROUP BY entity)
+SELECT e.entity, first_breach, last_breach, CASE WHEN fs > (SELECT min(q) FROM cnt) THEN first_breach - fs END AS lag_q, n_quarters, n_episodes, longest, {_r('p.peak', 'peak')}, peak_q,
+ last_breach = (SELECT max(as_of) FROM rat) AS still_open, latest_onset, {_r('rat.n_baseline / 8.0', 'onset_baseline')}, rat.n_baseline / 8.0 < 2 AS emergent
+FROM e JOIN p USING (entity) JOIN f USING (entity) LEFT JOIN rat ON rat.entity = e.entity AND rat.as_of = latest_onset""")
+def alarm_history(s, sf):
+    return r6(alarms.alarm_history(_ratio(s, sf), d.counts(s, sf), "ratio", 1.5), "peak", "onset_baseline")
+
+
+WATCH = [("first", "^Brand#1$"), ("twenties", "^Brand#2[0-9]$"), ("planted", "^Brand#(7|12|21)$"), ("absent", "^Brand#99$")]
+
+
+@query(f"""WITH {B}, {W}, w(label, pattern) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in WATCH)}),
+e AS (SELECT entity, sum(n) AS n, min(q) AS f, max(q) AS l FROM cnt GROUP BY entity), s AS (SELECT entity, max(ratio) AS best FROM rat GROUP BY entity)
+SELECT label, count(e.entity)::BIGINT AS members, coalesce(sum(n), 0)::BIGINT AS total, min(f) AS first_q, max(l) AS last_q, {_r('max(best)', 'best')}, coalesce(max(best) > 1.5, false) AS has_fired
+FROM w LEFT JOIN (e LEFT JOIN s USING (entity)) ON regexp_matches(e.entity, pattern) GROUP BY label""")
+def watch_list(s, sf):
+    names = s.createDataFrame(WATCH, "label string, pattern string")
+    return r6(alarms.watch_list(names, d.counts(s, sf), _ratio(s, sf), "ratio", 1.5), "best")
+
+
+@query(f"""WITH {B}, {W}, {HOT}, c AS (SELECT q, sum(n) AS mentions, count(*) AS entities FROM cnt GROUP BY q), o AS (SELECT first_q AS q, count(*) AS onsets FROM epi GROUP BY 1)
+SELECT den.q, n_total, {_r('100.0 * (n_total - lag(n_total, 4) OVER (ORDER BY den.q)) / lag(n_total, 4) OVER (ORDER BY den.q)', 'yoy_pct')}, {_r('coalesce(mentions, 0) / n_total::DOUBLE', 'per_case')}, coalesce(entities, 0)::BIGINT AS entities, coalesce(onsets, 0)::BIGINT AS onsets, coalesce(onsets, 0) >= 3 AS clustered
+FROM den LEFT JOIN c USING (q) LEFT JOIN o USING (q)""")
+def regime(s, sf):
+    return r6(alarms.regime(d.mentions(s, sf), d.counts(s, sf), d.denom(s, sf), _ratio(s, sf), "ratio", 1.5), "yoy_pct", "per_case")
+
+
+# --- hierarchy and scan -----------------------------------------------------------------------------
+FAMILIES = [("teens", "^Brand#1[0-9]$"), ("twenties", "^Brand#2[0-9]$"), ("sevens", "7$")]
+SUPER = [("STANDARD", "Plain"), ("SMALL", "Plain"), ("PROMO", "Offer"), ("ECONOMY", "Offer")]
+
+
+def _nodes(s, sf):
+    cats = hierarchy.modal_category(d.raw_mentions(s, sf, False).select("entity", "category"))
+    return hierarchy.build_nodes(cats, s.createDataFrame(FAMILIES, "family string, pattern string"), s.createDataFrame(SUPER, "category string, superclass string"))
+
+
+_vals = lambda rows: ", ".join(str(r) for r in rows)
+NODES = f"""
+mc AS (SELECT entity, category FROM (SELECT p_brand AS entity, p_type AS category, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r
+       FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) WHERE r = 1),
+n0 AS (SELECT 'All' AS node, 'root' AS level, entity AS leaf FROM mc UNION
+       SELECT coalesce(s, 'Other'), 'superclass', entity FROM mc LEFT JOIN (VALUES {_vals(SUPER)}) v(c, s) ON c = category UNION
+       SELECT category, 'category', entity FROM mc UNION
+       SELECT f, 'family', entity FROM mc JOIN (VALUES {_vals(FAMILIES)}) v(f, p) ON regexp_matches(entity, p) UNION
+       SELECT entity, 'substance', entity FROM mc),
+n1 AS (SELECT node, level, list(leaf ORDER BY leaf) AS leaves FROM n0 GROUP BY 1, 2),
+nodes AS (SELECT node, level, unnest(leaves) AS leaf FROM (SELECT *, row_number() OVER (PARTITION BY leaves ORDER BY list_position(['substance','family','category','superclass','root'], level), node) AS r FROM n1) WHERE r = 1)"""
+CELLS = """
+ncnt AS (SELECT node, level, q, sum(n)::BIGINT AS n FROM cnt JOIN nodes ON leaf = entity GROUP BY 1, 2, 3),
+cell0 AS (SELECT node, level, as_of, w.w AS window_q, sum(n)::BIGINT AS n_study, coalesce(sum(n) FILTER (ncnt.q > as_of - w.w), 0)::BIGINT AS observed
+          FROM ncnt JOIN aso ON ncnt.q BETWEEN as_of - 11 AND as_of CROSS JOIN (SELECT unnest([1,2,3,4,5,6]) AS w) w WHERE k = 12 GROUP BY 1, 2, 3, 4),
+cell1 AS (SELECT c.*, n_study * ((SELECT sum(n_total) FROM den WHERE q BETWEEN as_of - window_q + 1 AND as_of) / (SELECT sum(n_total) FROM den WHERE q BETWEEN as_of - 11 AND as_of)::DOUBLE) AS expected FROM cell0 c),
+cells AS (SELECT *, CASE WHEN observed > expected AND expected > 1e-9 THEN observed * ln(observed / expected) + CASE WHEN n_study > observed THEN (n_study - observed) * ln((n_study - observed) / (n_study - expected)) ELSE 0 END ELSE 0 END AS llr FROM cell1),
+best AS (SELECT * FROM (SELECT node, level, as_of, window_q, n_study, observed, expected, CASE WHEN observed < 3 THEN 0 ELSE llr END AS llr,
+         row_number() OVER (PARTITION BY node, level, as_of ORDER BY round(CASE WHEN observed < 3 THEN 0 ELSE llr END, 9) DESC, window_q) AS r FROM cells) WHERE r = 1)"""
+
+
+@query(f"WITH {NODES} SELECT entity, category FROM mc")
+def modal_categories(s, sf):
+    return hierarchy.modal_category(d.raw_mentions(s, sf, False).select("entity", "category"))
+
+
+@query(f"WITH {NODES} SELECT node, level, leaf FROM nodes")
+def hierarchy_nodes(s, sf):
+    return _nodes(s, sf)
+
+
+@query(f"WITH {NODES} SELECT node, leaf FROM nodes")
+def hierarchy_closure(s, sf):
+    """Leaves reached over the exported edges, which must be the nodes' own."""
+    n = _nodes(s, sf).persist()
+    return hierarchy.closure(hierarchy.edges(n), n.where("level = 'substance'").select("leaf"))
+
+
+@query(f"WITH {B}, {W}, {NODES}, {CELLS} SELECT node, level, as_of, window_q, n_study, observed, {_r('expected', 'expected')}, {_r('llr', 'llr')} FROM cells")
+def scan_cells(s, sf):
+    return r6(treescan.scan_cells(d.counts(s, sf), d.denom(s, sf), _nodes(s, sf)), "expected", "llr").select("node", "level", "as_of", "window_q", "n_study", "observed", "expected", "llr")
+
+
+@query(f"WITH {B}, {W}, {NODES}, {CELLS} SELECT node, level, as_of, CASE WHEN llr > 0 THEN window_q END::INT AS window_q, {_r('llr', 'llr')}, {_r('CASE WHEN llr > 0 THEN observed / expected END', 'obs_exp')} FROM best")
+def scan_best(s, sf):
+    return r6(treescan.best_windows(treescan.scan_cells(d.counts(s, sf), d.denom(s, sf), _nodes(s, sf))), "llr", "obs_exp").select("node", "level", "as_of", "window_q", "llr", "obs_exp")
+
+
+@query(f"""WITH {B}, {W}, {NODES}, {CELLS}, sz AS (SELECT node, count(*) AS k FROM nodes GROUP BY node),
+x AS (SELECT b.node, b.as_of, l.node AS entity, b.llr AS score, k, CASE WHEN b.observed > b.expected THEN (l.observed - l.expected) / (b.observed - b.expected) END AS share
+      FROM best b JOIN nodes m ON m.node = b.node JOIN cells l ON l.level = 'substance' AND l.node = m.leaf AND l.as_of = b.as_of AND l.window_q = b.window_q JOIN sz ON sz.node = b.node WHERE b.llr > 0 AND l.observed > 0),
+y AS (SELECT *, row_number() OVER (PARTITION BY entity, as_of ORDER BY score DESC, k, node) AS r FROM x WHERE share >= 0.15)
+SELECT entity, as_of, {_r('score', 'score')}, node, {_r('share', 'excess_share')} FROM y WHERE r = 1""")
+def branch_sweep(s, sf):
+    nodes = _nodes(s, sf)
+    cells = treescan.scan_cells(d.counts(s, sf), d.denom(s, sf), nodes)
+    return r6(treescan.branch_sweep(treescan.best_windows(cells), cells, nodes), "score", "excess_share")
+
+
+@query()
+def scan_p_values(s, sf):
+    """The latest scan with Monte Carlo p-values and recurrence intervals (999 replicates)."""
+    c, n, nodes = d.counts(s, sf), d.denom(s, sf), _nodes(s, sf)
+    last = int(n.agg(F.max("q")).first()[0])
+    best = treescan.best_windows(treescan.scan_cells(c, n, nodes)).where(F.col("as_of") == last)
+    return r6(treescan.with_p_values(best, treescan.null_maxima(c, n, nodes, last, replicates=999), 999), "expected", "llr", "obs_exp", "p_value", "recurrence_interval")
+
+
+# --- co-occurrence ----------------------------------------------------------------------------------
+@query(f"WITH {BS} SELECT a.entity, b.entity AS partner, count(*)::BIGINT AS n_both FROM m a JOIN m b USING (case_id) WHERE a.entity <> b.entity GROUP BY 1, 2")
+def pair_counts(s, sf):
+    return cooccurrence.pair_counts(d.mentions(s, sf, False))
+
+
+@query(f"""WITH {BS}, {ORD}, k AS (SELECT case_id, count(*) AS k, max((entity = 'Brand#7')::INT) AS mk FROM m GROUP BY 1),
+b AS (SELECT entity, count(*)::BIGINT AS n, 100.0 * avg((k = 1)::INT) AS alone_pct, 100.0 * avg(mk) AS with_marker_pct FROM m JOIN k USING (case_id) GROUP BY 1),
+p AS (SELECT entity, 100.0 * avg((pos = 0)::INT) AS lead_pct, 100.0 * avg((pos = size - 1)::INT) AS last_pct, avg(pos / (size - 1)::DOUBLE) AS mean_rank, count(*)::BIGINT AS n_ranked FROM o2 WHERE size >= 2 GROUP BY 1)
+SELECT entity, n, {_r('alone_pct', 'alone_pct')}, {_r('with_marker_pct', 'with_marker_pct')}, {_r('lead_pct', 'lead_pct')}, {_r('last_pct', 'last_pct')}, {_r('mean_rank', 'mean_rank')}, n_ranked,
+CASE WHEN lead_pct >= 40 THEN 'principal driver' WHEN alone_pct >= 15 THEN 'independent' WHEN alone_pct < 5 AND mean_rank >= 0.6 AND with_marker_pct >= 70 THEN 'adulterant/marker' WHEN alone_pct < 5 AND mean_rank >= 0.6 THEN 'secondary/incidental' ELSE 'co-intoxicant' END AS verdict
+FROM b LEFT JOIN p USING (entity) WHERE n >= 4""")
+def cooccurrence_profile(s, sf):
+    out = cooccurrence.profile(d.mentions(s, sf, False), d.ordered(s, sf), "Brand#7").drop("partners")
+    return r6(out, "alone_pct", "with_marker_pct", "lead_pct", "last_pct", "mean_rank")
+
+
+DYADS = [("seven", "^Brand#7$", "twelve", "^Brand#12$"), ("teens", "^Brand#1[0-9]$", "twenties", "^Brand#2[0-9]$"), ("one", "^Brand#1$", "none", "^Brand#99$")]
+
+
+@query(f"""WITH {BS}, c(label_a, pa, label_b, pb) AS (VALUES {_vals(DYADS)}), t AS (SELECT count(DISTINCT case_id) AS cases FROM m),
+x AS (SELECT label_a, label_b, case_id, max(regexp_matches(entity, pa)::INT) AS a, max(regexp_matches(entity, pb)::INT) AS b FROM m, c WHERE regexp_matches(entity, pa) OR regexp_matches(entity, pb) GROUP BY 1, 2, 3),
+g AS (SELECT label_a, label_b, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(a * b)::BIGINT AS n_both, any_value(cases) AS cases FROM x, t GROUP BY 1, 2)
+SELECT label_a, label_b, n_a, n_b, n_both, {_r('n_a * n_b / cases::DOUBLE', 'expected')}, {_r('n_both / nullif(n_a * n_b / cases::DOUBLE, 0)', 'lift')}, {_r('100.0 * n_both / nullif(n_a, 0)', 'pct_of_a')}, {_r('100.0 * n_both / nullif(n_b, 0)', 'pct_of_b')} FROM g""")
+def dyads(s, sf):
+    c = s.createDataFrame(DYADS, "label_a string, pattern_a string, label_b string, pattern_b string")
+    return r6(cooccurrence.dyads(d.mentions(s, sf, False), c), "expected", "lift", "pct_of_a", "pct_of_b")
