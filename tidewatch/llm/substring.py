@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,12 +43,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
+def repeated_windows(docs: DataFrame, dealt: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(id, wins): for each id, the hashes of its windows that also start in a row with a smaller id.
 
-    ``docs`` has id and text, dealt by id.
+    ``dealt`` is ``docs`` dealt by id. It is left-joined without filters, so that Spark moves the
+    texts once, for this join and for the caller's.
     """
     n = partitions(docs.sparkSession)
+    at = dealt.columns.index(text_col)
+    key = dealt.columns.index("_sd_key")
 
     def seeds(batches):
         hashes = WordHashes()
@@ -56,25 +59,31 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
             found = [np.unique(window_anchors(hashes.of(words(t)), window)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["id", "h"])
 
-    plain = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     anchors = plain.mapInArrow(seeds, "id long, h array<long>").select("id", F.explode("h").alias("h")).repartition(n, "h")
-    shared = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    seeded = durable(anchors.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs")), "anchors")
+    # a window over the hash needs one exchange and one sort; its groups spill, and give rows, not lists
+    same = Window.partitionBy("h")
+    shared = anchors.withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same)}).where("lo < hi")
+    seeded = durable(shared.groupBy("id").agg(F.collect_set("h").alias("_sd_hs")).withColumnRenamed("id", "_sd_i"), "anchors")
 
     def extend(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = []
-            for t, hs in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            found, ids = [], []
+            for i, t, hs in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+                if not hs.is_valid or not t:
+                    continue
                 h = hashes.of(words(t))
                 hot = np.isin(window_anchors(h, window), hs.values.to_numpy().view(np.uint64))
-                found.append(np.unique(ngram_hashes(h, window)[hot]) if hot.any() else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["id", "w"])
+                if hot.any():
+                    ids.append(i)
+                    found.append(np.unique(ngram_hashes(h, window)[hot]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(found)], names=["id", "w"])
 
-    near = plain.repartition(n, "id").join(seeded.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i")).select("id", "text", "hs")
+    near = dealt.join(seeded, F.col("_sd_key") == F.col("_sd_i"), "left").select(*dealt.columns, "_sd_hs")
     wins = near.mapInArrow(extend, "id long, w array<long>").select("id", F.explode("w").alias("w")).repartition(n, "w")
-    first = wins.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "lo")
-    return wins.join(first, "w").where("id > lo").groupBy("id").agg(F.collect_set("w").alias("wins"))
+    first = F.min("id").over(Window.partitionBy("w"))
+    return wins.withColumn("lo", first).where("id > lo").groupBy("id").agg(F.collect_set("w").alias("wins"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -87,13 +96,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     each other; repeats within one document stay; an empty table gives no rows.
     """
     n = partitions(docs.sparkSession)
-    # the fingerprints go by id to the texts: both plans below read one exchange of the texts by id
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wins = repeated_windows(plain, window).select(F.col("id").alias("_sd_id"), F.col("wins").alias("_sd_wins"))
-    rows = docs.withColumn("_sd_key", F.col(id_col).cast("long"))
-    if docs.columns == [id_col, text_col]:
-        rows = plain.repartition(n, "id").select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.col("id").alias("_sd_key"))
-    joined = rows.join(wins, F.col("_sd_key") == F.col("_sd_id"), "left").select(*docs.columns, "_sd_wins")
+    dealt = docs.withColumn("_sd_key", F.col(id_col).cast("long")).repartition(n, "_sd_key")
+    wins = repeated_windows(docs, dealt, id_col, text_col, window).select(F.col("id").alias("_sd_id"), F.col("wins").alias("_sd_wins"))
+    joined = dealt.join(wins, F.col("_sd_key") == F.col("_sd_id"), "left").select(*docs.columns, "_sd_key", "_sd_wins")
     extra = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_sha256", T.StringType())]
     extra += [T.StructField("_kept_text", T.StringType())] * keep_text
     at = docs.columns.index(text_col)
@@ -121,8 +126,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 digest.append(hashlib.sha256(joined_words).hexdigest())
                 if keep_text:
                     kept_text.append(joined_words.decode("utf-8", "surrogatepass") if removed else t)
-            arrays = [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+            arrays = [*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
             arrays += [pa.array(kept_text, pa.string())] * keep_text
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *[f.name for f in extra]])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-2], *[f.name for f in extra]])
 
     return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *extra]))
