@@ -59,7 +59,7 @@ def edges(nodes: DataFrame) -> DataFrame:
     return x.join(between.distinct(), ["child", "parent"], "left_anti")
 
 
-def closure(edges_: DataFrame, leaves: DataFrame, most: int = 12) -> DataFrame:
+def closure(edges_: DataFrame, leaves: DataFrame, most: int = 5) -> DataFrame:
     """(node, leaf) reachable over (child, parent) edges: must equal the nodes' own leaves."""
     reach = leaves.select(F.col("leaf").alias("node"), "leaf")
     for _ in range(most):  # levels of the hierarchy, not its size

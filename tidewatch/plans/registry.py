@@ -326,11 +326,15 @@ def hierarchy_nodes(s, sf):
     return _nodes(s, sf)
 
 
-@query(f"WITH {NODES} SELECT node, leaf FROM nodes")
-def hierarchy_closure(s, sf):
-    """Leaves reached over the exported edges, which must be the nodes' own."""
-    n = _nodes(s, sf).persist()
-    return hierarchy.closure(hierarchy.edges(n), n.where("level = 'substance'").select("leaf"))
+EDGES = """
+sz AS (SELECT node, count(*) AS k FROM nodes GROUP BY node),
+ov AS (SELECT a.node AS child, b.node AS parent FROM nodes a JOIN nodes b USING (leaf) JOIN sz x ON x.node = a.node JOIN sz y ON y.node = b.node WHERE y.k > x.k GROUP BY a.node, b.node, x.k HAVING count(*) = x.k),
+ed AS (SELECT child, parent FROM ov ANTI JOIN (SELECT x.child, y.parent FROM ov x JOIN ov y ON x.parent = y.child) USING (child, parent))"""
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT child, parent FROM ed")
+def hierarchy_edges(s, sf):
+    return hierarchy.edges(_nodes(s, sf))
 
 
 @query(f"WITH {B}, {W}, {NODES}, {CELLS} SELECT node, level, as_of, window_q, n_study, observed, {_r('expected', 'expected')}, {_r('llr', 'llr')} FROM cells")
@@ -390,3 +394,314 @@ SELECT label_a, label_b, n_a, n_b, n_both, {_r('n_a * n_b / cases::DOUBLE', 'exp
 def dyads(s, sf):
     c = s.createDataFrame(DYADS, "label_a string, pattern_a string, label_b string, pattern_b string")
     return r6(cooccurrence.dyads(d.mentions(s, sf, False), c), "expected", "lift", "pct_of_a", "pct_of_b")
+
+
+# --- evaluation -------------------------------------------------------------------------------------
+#: The planted risers' true intervals, and brands that are labelled not to rise.
+TRUTH = [("Brand#7", "1999Q1", "1999Q4", False), ("Brand#12", "2000Q1", None, True), ("Brand#21", "1998Q2", "1999Q1", False)]
+CALM = [("Brand#1",), ("Brand#2",), ("Brand#3",)]
+_q = lambda x: "NULL" if x is None else f"'{x}'"
+TRUTHS = f"""
+gt(entity, a, b, ongoing) AS (VALUES {", ".join(f"('{e}', '{a}', {_q(b)}, {str(o).lower()})" for e, a, b, o in TRUTH)}),
+iv AS (SELECT entity, (a[1:4]::INT * 4 + a[6:6]::INT - 1)::INT AS start_q, CASE WHEN ongoing THEN (SELECT max(q) FROM den) ELSE b[1:4]::INT * 4 + b[6:6]::INT - 1 END::INT AS end_q FROM gt),
+lab AS (SELECT entity FROM gt UNION SELECT unnest(['Brand#1', 'Brand#2', 'Brand#3'])),
+tq AS (SELECT DISTINCT entity, unnest(range(start_q, end_q + 1)) AS q FROM iv),
+dq AS (SELECT entity, as_of AS q FROM rat WHERE ratio > 1.5),
+ovl AS (SELECT coalesce(tq.entity, dq.entity) AS entity, count(tq.q)::BIGINT AS gt, count(dq.q)::BIGINT AS det, count(*) FILTER (tq.q IS NOT NULL AND dq.q IS NOT NULL)::BIGINT AS overlap
+        FROM tq FULL JOIN (SELECT * FROM dq WHERE entity IN (FROM lab)) dq ON tq.entity = dq.entity AND tq.q = dq.q GROUP BY 1)"""
+
+
+def _intervals(s, sf):
+    t = s.createDataFrame(TRUTH, "entity string, interval_start string, interval_end string, ongoing boolean")
+    return evaluation.resolve_intervals(t, int(d.denom(s, sf).agg(F.max("q")).first()[0]))
+
+
+@query(f"""WITH {B}, {W}, {TRUTHS}, lg AS (SELECT entity, min(q - start_q)::INT AS lag_q FROM dq JOIN iv USING (entity) WHERE q BETWEEN start_q AND end_q GROUP BY 1)
+SELECT lab.entity, coalesce(gt, 0)::BIGINT AS gt, coalesce(det, 0)::BIGINT AS det, coalesce(overlap, 0)::BIGINT AS overlap, {_r('overlap / nullif(gt + det - overlap, 0)', 'iou')}, {_r('overlap / nullif(gt, 0)', 'recall')}, {_r('overlap / nullif(det, 0)', 'precision')}, lag_q, (coalesce(overlap, 0) > 0)::INT AS detected
+FROM lab LEFT JOIN ovl USING (entity) LEFT JOIN lg USING (entity)""")
+def score_model(s, sf):
+    calm = s.createDataFrame(CALM, "entity string")
+    return r6(evaluation.score_model(_ratio(s, sf), "ratio", 1.5, _intervals(s, sf), calm), "iou", "recall", "precision")
+
+
+@query(f"""WITH {B}, {W}, {TRUTHS}, x AS (SELECT count(*)::BIGINT AS n, coalesce(sum((overlap > 0)::INT), 0)::BIGINT AS k FROM ovl WHERE det > 0)
+SELECT n, k, {_r('k / nullif(n, 0)', 'rate')}, {_r('CASE WHEN n > 0 THEN greatest(0.0, (k/n + 3.8416/(2*n)) / (1 + 3.8416/n) - 1.96 * sqrt(k/n * (1 - k/n) / n + 3.8416/(4*n*n)) / (1 + 3.8416/n)) ELSE 0.0 END', 'low')}, {_r('CASE WHEN n > 0 THEN least(1.0, (k/n + 3.8416/(2*n)) / (1 + 3.8416/n) + 1.96 * sqrt(k/n * (1 - k/n) / n + 3.8416/(4*n*n)) / (1 + 3.8416/n)) ELSE 1.0 END', 'high')} FROM x""")
+def precision_rate(s, sf):
+    over = evaluation.score_model(_ratio(s, sf), "ratio", 1.5, _intervals(s, sf), s.createDataFrame(CALM, "entity string"))
+    return r6(evaluation.precision_rate(over), "rate", "low", "high")
+
+
+@query(f"WITH {B}, {W}, {TRUTHS} SELECT entity, count(*)::BIGINT AS quarters FROM dq WHERE entity NOT IN (FROM gt SELECT entity) GROUP BY entity")
+def off_target(s, sf):
+    return evaluation.off_target(_ratio(s, sf), "ratio", 1.5, _intervals(s, sf))
+
+
+@query(f"WITH {B}, {W}, t AS (SELECT min(ratio) AS line FROM (SELECT ratio FROM rat WHERE ratio IS NOT NULL ORDER BY ratio DESC, entity, as_of LIMIT 20)) SELECT entity, as_of, {_r('ratio', 'score')}, {_r('line', 'line')} FROM rat, t WHERE ratio >= line")
+def matched_alarms(s, sf):
+    return r6(evaluation.matched_alarms(_ratio(s, sf), "ratio", 20), "score", "line")
+
+
+def _pair(s, sf):
+    a = _ratio(s, sf).select("entity", "as_of", F.round("ratio", 9).alias("score"))
+    b = _ears(s, sf).select("entity", "as_of", F.round("ears_z", 9).alias("score"))
+    return a, b
+
+
+ENS = """
+ens AS (SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.as_of, b.as_of) AS as_of, coalesce(round(ratio, 9), 0) AS a, coalesce(round(ears_z, 9), 0) AS b FROM rat a FULL JOIN ears b ON a.entity = b.entity AND a.as_of = b.as_of),
+rk AS (SELECT *, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0) / count(*) OVER () AS ra, (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS rb FROM ens)"""
+
+
+@query(f"WITH {B}, {W}, {EARS}, {ENS} SELECT entity, as_of, {_r('(ra + rb) / 2', 'score')} FROM rk")
+def ensemble_mean(s, sf):
+    return r6(evaluation.ensemble(*_pair(s, sf), "mean"), "score")
+
+
+@query(f"WITH {B}, {W}, {EARS}, {ENS} SELECT entity, as_of, {_r('greatest(ra, rb)', 'score')} FROM rk")
+def ensemble_max(s, sf):
+    return r6(evaluation.ensemble(*_pair(s, sf), "max"), "score")
+
+
+@query(f"WITH {B}, {W}, {EARS}, {ENS} SELECT entity, as_of, {_r('greatest(a / 1.5, b / 3.0)', 'score')} FROM ens")
+def ensemble_threshold(s, sf):
+    return r6(evaluation.ensemble(*_pair(s, sf), "threshold", line_a=1.5, line_b=3.0), "score")
+
+
+@query(f"WITH {B}, {W}, {EARS}, {ENS} SELECT entity, as_of, {_r('CASE WHEN b >= 3.0 THEN a ELSE 0 END', 'score')} FROM ens")
+def ensemble_veto(s, sf):
+    return r6(evaluation.ensemble(*_pair(s, sf), "veto", line_b=3.0), "score")
+
+
+CURVE = """
+es AS (SELECT e.entity, (t.entity IS NOT NULL)::INT AS label, CASE WHEN t.entity IS NOT NULL THEN i.s ELSE x.s END AS score FROM (SELECT DISTINCT entity FROM cnt) e
+  LEFT JOIN (SELECT DISTINCT entity FROM iv) t USING (entity) LEFT JOIN (SELECT entity, max(round(ratio, 9)) AS s FROM rat GROUP BY 1) x USING (entity)
+  LEFT JOIN (SELECT entity, max(round(ratio, 9)) AS s FROM rat JOIN iv USING (entity) WHERE as_of BETWEEN start_q AND end_q GROUP BY 1) i USING (entity)),
+cv AS (SELECT score, sum(sum(label)) OVER w::BIGINT AS tp, sum(sum(1 - label)) OVER w::BIGINT AS fp FROM es WHERE score IS NOT NULL GROUP BY score WINDOW w AS (ORDER BY score DESC)),
+rt AS (SELECT score, tp, fp, tp / (SELECT sum(label) FROM es)::DOUBLE AS tpr, fp / (SELECT sum(1 - label) FROM es)::DOUBLE AS fpr, tp / (tp + fp)::DOUBLE AS precision FROM cv)"""
+
+
+def _rates(s, sf):
+    sweep = _ratio(s, sf).withColumn("ratio", F.round("ratio", 9))
+    return evaluation.rates_at_thresholds(evaluation.entity_scores(sweep, "ratio", _intervals(s, sf), d.counts(s, sf).select("entity").distinct()))
+
+
+@query(f"WITH {B}, {W}, {TRUTHS}, {CURVE} SELECT {_r('score', 'score')}, tp, fp, {_r('tpr', 'tpr')}, {_r('fpr', 'fpr')}, {_r('precision', 'precision')} FROM rt")
+def curve_rates(s, sf):
+    return r6(_rates(s, sf), "score", "tpr", "fpr", "precision")
+
+
+@query(f"""WITH {B}, {W}, {TRUTHS}, {CURVE}, z AS (SELECT *, coalesce(lag(tpr) OVER (ORDER BY score DESC), 0) AS t0, coalesce(lag(fpr) OVER (ORDER BY score DESC), 0) AS f0 FROM rt)
+SELECT {_r('sum((fpr - f0) * (tpr + t0) / 2) + (1 - max(fpr)) * (1 + max(tpr)) / 2', 'roc_auc')}, {_r('sum((tpr - t0) * precision)', 'average_precision')} FROM z""")
+def curve_areas(s, sf):
+    return r6(evaluation.curve_areas(_rates(s, sf)), "roc_auc", "average_precision")
+
+
+@query("""WITH c AS (SELECT p_brand AS entity, (year(l_shipdate) * 2 + (month(l_shipdate) > 6)::INT)::INT AS h, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48 GROUP BY 1, 2),
+g AS (SELECT entity, h FROM (SELECT DISTINCT entity FROM c) CROSS JOIN (SELECT unnest(range((SELECT min(h) FROM c), (SELECT max(h) FROM c) + 1))::INT AS h)),
+r AS (SELECT g.entity, g.h, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.entity = g.entity AND c.h = g.h),
+x AS (SELECT *, n >= 4 AND lag(n, 1) OVER w < 4 AND lag(n, 2) OVER w < 4 AS hit FROM r WINDOW w AS (PARTITION BY entity ORDER BY h))
+SELECT entity, min(h) AS onset FROM x WHERE hit GROUP BY entity""")
+def external_onset(s, sf):
+    li, p = table(s, sf, "lineitem"), table(s, sf, "part")
+    rows = li.where("l_quantity > 48").join(p, li["l_partkey"] == p["p_partkey"])
+    h = (F.year("l_shipdate") * 2 + (F.month("l_shipdate") > 6).cast("int")).cast("int")
+    return evaluation.external_onset(rows.groupBy(F.col("p_brand").alias("entity"), h.alias("h")).agg(F.count("*").alias("n")), 4)
+
+
+# --- nowcast: an order's lines are reported when they are shipped -------------------------------------
+AS_OF = 2000 * 12 + 11  # December 2000
+
+
+def _vintage(s, sf, until: str | None):
+    li, o = table(s, sf, "lineitem"), table(s, sf, "orders")
+    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    rows = rows.where(F.col("l_shipdate") <= F.lit(until).cast("timestamp_ntz")) if until else rows
+    return nowcast.monthly(rows.select(F.col("o_orderdate").alias("event_date")).where("o_orderdate < timestamp_ntz '2001-01-01'"))
+
+
+VINT = """
+ml AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INT AS m, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate < '2001-01-01'),
+ea AS (SELECT m, count(*) AS n FROM ml WHERE l_shipdate <= '2000-12-31' GROUP BY m), la AS (SELECT m, count(*) AS n FROM ml GROUP BY m),
+dl AS (SELECT 24011 - m AS delay, ea.n AS n_early, la.n AS n_late, ea.n / la.n::DOUBLE AS raw, la.n::DOUBLE AS w FROM ea JOIN la USING (m) WHERE 24011 - m BETWEEN 0 AND 15),
+av AS (SELECT j.delay AS j, k.delay AS k, (SELECT sum(raw * w) / sum(w) FROM dl WHERE delay BETWEEN j.delay AND k.delay) AS v FROM dl j JOIN dl k ON j.delay <= k.delay),
+ft AS (SELECT delay, least(1.0, greatest(1e-6, max(v))) AS completeness FROM (SELECT d.delay, j, min(v) AS v FROM dl d JOIN av ON j <= d.delay AND k >= d.delay GROUP BY 1, 2) GROUP BY 1),
+ok AS (SELECT count(*)::BIGINT AS settled_months, abs(sum(ea.n) / sum(la.n)::DOUBLE - 1) <= 0.01 AS ok FROM ea JOIN la USING (m) WHERE m <= 23975),
+cu AS (SELECT delay, n_early, n_late, raw, completeness, sqrt(completeness * (1 - completeness) / greatest(n_late, 1)) AS se FROM dl JOIN ft USING (delay)),
+ap AS (SELECT m, 24011 - m AS delay, n, coalesce(completeness, (SELECT max_by(completeness, delay) FROM cu)) AS pi, coalesce(se, (SELECT max_by(se, delay) FROM cu)) AS ps FROM ea LEFT JOIN cu ON cu.delay = 24011 - m),
+es AS (SELECT *, n / pi AS estimate, n / pi * sqrt((1 - pi) / greatest(n, 1) + pow(ps / pi, 2)) AS se FROM ap)"""
+
+
+def _curve(s, sf):
+    return nowcast.delay_curve(_vintage(s, sf, "2000-12-31"), _vintage(s, sf, None), AS_OF, 1997 * 12 + 11)
+
+
+@query(f"WITH {VINT} SELECT delay, n_early, n_late, {_r('raw', 'raw')}, {_r('completeness', 'completeness')}, {_r('se', 'se')}, ok, settled_months FROM cu, ok")
+def delay_curve(s, sf):
+    return r6(_curve(s, sf), "raw", "completeness", "se")
+
+
+@query(f"WITH {VINT} SELECT m, delay, n, {_r('pi', 'completeness')}, {_r('estimate', 'estimate', 4)}, {_r('se', 'se', 4)} FROM es")
+def nowcast_months(s, sf):
+    out = nowcast.apply_curve(_vintage(s, sf, "2000-12-31"), _curve(s, sf), AS_OF)
+    return r6(r6(out, "completeness"), "estimate", "se", places=4)
+
+
+@query(f"WITH {VINT} SELECT (m // 3)::INT AS q, sum(n)::BIGINT AS n, {_r('sum(estimate)', 'estimate', 4)}, {_r('sqrt(sum(se * se))', 'se', 4)}, {_r('sum(estimate) - 1.96 * sqrt(sum(se * se))', 'low', 4)}, {_r('sum(estimate) + 1.96 * sqrt(sum(se * se))', 'high', 4)} FROM es GROUP BY m // 3 HAVING count(*) = 3")
+def nowcast_quarters(s, sf):
+    return r6(nowcast.quarterly_estimates(nowcast.apply_curve(_vintage(s, sf, "2000-12-31"), _curve(s, sf), AS_OF)), "estimate", "se", "low", "high", places=4)
+
+
+@query(f"""WITH {VINT}, bs AS (SELECT median(n) AS b FROM ea WHERE 24011 - m BETWEEN 12 AND 30)
+SELECT delay, {_r('n / b', 'implied')}, {_r('completeness', 'curve')}, {_r('n / b / completeness', 'quotient')}, delay <= 4 AND (n / b / completeness > 1.35 OR n / b / completeness < 0.65) AS bad FROM ea JOIN cu ON cu.delay = 24011 - m, bs WHERE delay BETWEEN 0 AND 8""")
+def transfer_check(s, sf):
+    return r6(nowcast.transfer_check(_vintage(s, sf, "2000-12-31"), _curve(s, sf), AS_OF), "implied", "curve", "quotient")
+
+
+# --- spatial: embeddings as points, their labels as entities -----------------------------------------
+PT = "pt AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, label FROM embeddings)"
+GRAPH = f"""{PT}, nk AS (SELECT least(greatest(1, ceil(0.05 * count(*))), greatest(1, count(*) - 1)) AS k, count(*)::DOUBLE AS n FROM pt),
+nn AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS r FROM pt a JOIN pt b ON a.id <> b.id), nk WHERE r <= k),
+gr AS (SELECT a, b FROM nn UNION SELECT b, a FROM nn)"""
+
+
+@query(f"WITH {GRAPH} SELECT a, b FROM gr")
+def knn_graph(s, sf):
+    return spatial.knn_graph(d.points(s, sf))
+
+
+@query(f"""WITH {GRAPH}, dg AS (SELECT a, count(*) AS k FROM gr GROUP BY a), ap AS (SELECT sum(k)::DOUBLE AS a2, sum(k * (k - 1))::DOUBLE AS p2 FROM dg),
+st AS (SELECT x.label, count(*) AS s FROM gr JOIN pt x ON x.id = a JOIN pt y ON y.id = b WHERE x.label = y.label GROUP BY 1),
+cs AS (SELECT label, count(*)::DOUBLE AS c FROM pt GROUP BY 1),
+f AS (SELECT label, c, coalesce(s, 0)::DOUBLE AS s, a2, p2, n, c*(c-1)/(n*(n-1)) AS f2, c*(c-1)*(c-2)/(n*(n-1)*(n-2)) AS f3, c*(c-1)*(c-2)*(c-3)/(n*(n-1)*(n-2)*(n-3)) AS f4 FROM cs LEFT JOIN st USING (label), ap, nk),
+g AS (SELECT *, a2 * f2 AS mean, 2*a2*f2 + 4*p2*f3 + (a2*a2 - 2*a2 - 4*p2)*f4 - pow(a2*f2, 2) AS var FROM f)
+SELECT label::VARCHAR AS entity, c::BIGINT AS n_cases, s AS statistic, {_r('mean', 'mean', 4)}, {_r('var', 'variance', 3)}, {_r('(s - mean) / sqrt(var)', 'z', 5)} FROM g""")
+def concentration(s, sf):
+    p = d.points(s, sf)
+    out = spatial.concentration_scores(spatial.knn_graph(p), p, p.select("id", F.col("label").cast("string").alias("entity")))
+    return r6(r6(r6(out.select("entity", "n_cases", "statistic", "mean", "variance", "z"), "mean", places=4), "variance", places=3), "z", places=5)
+
+
+@query(f"WITH {PT}, d AS (SELECT a.label, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS m FROM pt a JOIN pt b ON a.label = b.label AND a.id <> b.id GROUP BY 1, 2) SELECT label::VARCHAR AS entity, count(*)::BIGINT AS n, {_r('avg(m)', 'mean_d')} FROM d GROUP BY 1")
+def nearest_case_distance(s, sf):
+    p = d.points(s, sf)
+    return r6(spatial.mean_nearest_distance(p, p.select("id", F.col("label").cast("string").alias("entity"))), "mean_d")
+
+
+@query()
+def cluster_test(s, sf):
+    """Nearest-case distances against 99 random labellings, for all labels."""
+    p = d.points(s, sf)
+    return r6(spatial.cluster_test(p, p.select("id", F.col("label").cast("string").alias("entity")), 99), "mean_d", "null_mean", "null_sd", "z", "p_value")
+
+
+@query(f"WITH {PT} SELECT floor(x / 50)::INT AS ix, floor(y / 50)::INT AS iy, count(*)::BIGINT AS n, sum((label = 0)::INT)::BIGINT AS cases FROM pt GROUP BY 1, 2")
+def risk_grid(s, sf):
+    return spatial.grid_counts(d.points(s, sf).withColumn("is_case", F.col("label") == 0), 50.0)
+
+
+@query(f"""WITH {PT}, g AS (SELECT floor(x / 50)::INT AS ix, floor(y / 50)::INT AS iy, count(*) AS n, sum((label = 0)::INT) AS c FROM pt GROUP BY 1, 2), sh AS (SELECT sum(c) / sum(n)::DOUBLE AS s FROM g),
+k AS (SELECT a.ix, a.iy, sum(exp(-(pow(a.ix - b.ix, 2) + pow(a.iy - b.iy, 2)) / 4.5) * b.n) AS kn, sum(exp(-(pow(a.ix - b.ix, 2) + pow(a.iy - b.iy, 2)) / 4.5) * b.c) AS kc, sum(b.n)::BIGINT AS local_n FROM g a JOIN g b ON abs(a.ix - b.ix) <= 5 AND abs(a.iy - b.iy) <= 5 GROUP BY 1, 2)
+SELECT ix, iy, local_n, {_r('CASE WHEN local_n >= 5 THEN ln((kc + s) / (kn + 1) / s) END', 'log_rr')} FROM k, sh""")
+def relative_risk(s, sf):
+    g = spatial.grid_counts(d.points(s, sf).withColumn("is_case", F.col("label") == 0), 50.0)
+    return r6(spatial.log_relative_risk(g, 1.5), "log_rr")
+
+
+@query(f"WITH {PT} SELECT {_r('sqrt((var_samp(x) + var_samp(y)) / 2) * pow(count(*), -1.0 / 6)', 'bandwidth')}, count(*)::BIGINT AS n FROM pt")
+def normal_reference(s, sf):
+    return r6(spatial.normal_reference(d.points(s, sf)), "bandwidth")
+
+
+@query(f"""WITH {PT}, w AS (SELECT h, a.id, any_value(a.label = 0) AS is_case, sum(exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / (2 * h * h))) AS w, sum(exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / (2 * h * h)) * (b.label = 0)::INT) AS c
+ FROM pt a JOIN pt b ON a.id <> b.id CROSS JOIN (SELECT unnest([50.0, 100.0, 200.0])::DOUBLE AS h) GROUP BY 1, 2), sh AS (SELECT avg((label = 0)::INT) AS s FROM pt),
+p AS (SELECT h, is_case, least(1 - 1e-9, greatest(1e-9, (c + s * 1e-12) / (w + 1e-12))) AS p FROM w, sh)
+SELECT h AS bandwidth, {_r('sum(CASE WHEN is_case THEN ln(p) ELSE ln(1 - p) END)', 'log_likelihood', 4)} FROM p GROUP BY h""")
+def bandwidth_scores(s, sf):
+    return r6(spatial.bandwidth_scores(d.points(s, sf).withColumn("is_case", F.col("label") == 0), [50.0, 100.0, 200.0]), "log_likelihood", places=4)
+
+
+def _zones(s, sf):
+    """Nations as zones on a square map by key, weighted by customers; an order's nation is its zone."""
+    c = table(s, sf, "customer")
+    z = c.groupBy(F.col("c_nationkey").alias("zone")).agg(F.count("*").alias("weight"))
+    zones = z.select("zone", (F.col("zone") % 5).cast("double").alias("x"), F.floor(F.col("zone") / 5).cast("double").alias("y"), "weight")
+    o = table(s, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    day = F.to_date("o_orderdate")
+    e = o.select(F.col("c_nationkey").alias("zone"), (F.year(day) * 4 + F.quarter(day) - 1).cast("int").alias("q"), (F.col("o_orderpriority") == "1-URGENT").alias("is_case"))
+    return zones, e
+
+
+ZONE = """
+zn AS (SELECT c_nationkey AS zone, (c_nationkey % 5)::DOUBLE AS x, (c_nationkey // 5)::DOUBLE AS y, count(*) AS weight FROM customer GROUP BY 1),
+ci AS (SELECT centre, rank, zone FROM (SELECT a.zone AS centre, b.zone, row_number() OVER w AS rank, sum(b.weight) OVER w AS run, sum(b.weight) OVER (PARTITION BY a.zone) AS al FROM zn a CROSS JOIN zn b WINDOW w AS (PARTITION BY a.zone ORDER BY sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), b.zone ROWS UNBOUNDED PRECEDING)) WHERE rank = 1 OR run <= 0.25 * al),
+ev AS (SELECT c_nationkey AS zone, (year(o_orderdate) * 4 + quarter(o_orderdate) - 1)::INT AS q, o_orderpriority = '1-URGENT' AS is_case FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+@query(f"WITH {ZONE} SELECT centre, rank::INT AS rank, zone FROM ci")
+def scan_circles(s, sf):
+    return spatial.circles(_zones(s, sf)[0])
+
+
+@query(f"""WITH {ZONE}, fr AS (SELECT * FROM ev WHERE q BETWEEN 7991 AND 8002), wi AS (SELECT unnest([1,2,3,4,5,6]) AS w)
+SELECT a.centre, a.rank::INT AS radius, w AS window_q, count(fr.zone)::BIGINT AS n, coalesce(sum(is_case::INT), 0)::BIGINT AS cases FROM ci a CROSS JOIN wi JOIN ci b ON b.centre = a.centre AND b.rank <= a.rank LEFT JOIN fr ON fr.zone = b.zone AND fr.q > 8002 - w GROUP BY 1, 2, 3""")
+def scan_cylinders(s, sf):
+    z, e = _zones(s, sf)
+    return spatial.cylinders(e, z, 8002)
+
+
+@query()
+def best_cylinders(s, sf):
+    """The most likely cluster under both models."""
+    z, e = _zones(s, sf)
+    rows = [spatial.best_cylinder(e, z, 8002, m).withColumn("model", F.lit(m)) for m in ("bernoulli", "poisson")]
+    return r6(rows[0].unionByName(rows[1]), "expected", "llr")
+
+
+@query()
+def trend_variation(s, sf):
+    """Circles in which urgent orders rise more steeply than all orders do, against outside."""
+    z, e = _zones(s, sf)
+    per = e.withColumn("t", F.floor(F.col("q") / 4).cast("int") - 1998)
+    pop = per.groupBy("zone", "t").agg(F.count("*").alias("n"))
+    return r6(spatial.trend_variation(per.where("is_case").groupBy("zone", "t").agg(F.count("*").alias("n")), pop, z), "beta_in", "beta_out", "llr", places=4)
+
+
+# --- text: part names as catalogue, an order's part names as its narrative ----------------------------
+def _lexicon(s, sf):
+    names = table(s, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("position"))
+    return txt.build_lexicon(names.select(F.upper("p_name").alias("canonical"), F.col("p_name").alias("alias"), "position"))
+
+
+def _narratives(s, sf):
+    r = d.raw_mentions(s, sf, False)
+    g = r.groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))), lambda x: x["p_name"]), " and ").alias("narrative"))
+    return g
+
+
+def _lexicon_map(s, sf):
+    return {r.alias: r.canonical for r in _lexicon(s, sf).collect()}  # a catalogue of names
+
+
+@query("SELECT DISTINCT upper(p_name) AS alias, upper(p_name) AS canonical FROM part")
+def lexicon(s, sf):
+    return _lexicon(s, sf)
+
+
+@query("SELECT DISTINCT l_orderkey AS case_id, upper(p_name) AS entity, 'narrative' AS fields FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey")
+def extract_mentions(s, sf):
+    return txt.extract(_narratives(s, sf), ["narrative"], _lexicon_map(s, sf), fuzzy=False)
+
+
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(translate(upper(text), '‐‑‒–—―−', '-------'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), ',', ' '), '[^A-Z0-9' || chr(1) || '\\-'']+', ' ', 'g'), chr(1), ',', 'g')), ' '), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: w <> '' AND w NOT IN ('AND','WITH','OF','THE','PLUS','OR')), ' ')) AS tokens_md5 FROM documents WHERE lang = 'en'")
+def tokenized_documents(s, sf):
+    docs = table(s, sf, "documents").where("lang = 'en'")
+    return docs.select("doc_id", F.md5(F.array_join(txt.tokens(F.col("text")), " ")).alias("tokens_md5"))
+
+
+@query()
+def daily_ears(s, sf):
+    """Moving-baseline z of each event type's daily share: four recent days against eight before."""
+    e = table(s, sf, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    c = e.groupBy(F.col("event_type").alias("entity"), day.alias("q")).agg(F.count("*").alias("n"))
+    return r6(aberration.ears_sweep(c, e.groupBy(day.alias("q")).agg(F.count("*").alias("n_total"))), "ears_z")
