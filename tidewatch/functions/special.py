@@ -7,11 +7,9 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
 def lgamma(x) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)) if np.size(x) else np.zeros(np.shape(x))
+    x = np.asarray(x, float)
+    return np.fromiter(map(math.lgamma, x.ravel()), float, x.size).reshape(x.shape)
 
 
 def digamma(x) -> np.ndarray:
@@ -71,15 +69,16 @@ def gamma_ppf(p: float, a) -> np.ndarray:
     lo, hi = np.zeros_like(a), np.maximum(10.0, a * 4 + 40)
     z = math.sqrt(2) * _erfinv(2 * p - 1)
     x = np.clip(a * np.maximum(1 - 1 / (9 * a) + z / (3 * np.sqrt(a)), 1e-3) ** 3, 1e-12, hi / 2)
-    for _ in range(80):
+    x = np.where(a < 1, np.clip(np.exp((math.log(p) + lgamma(a + 1)) / a), 1e-290, hi / 2), x)  # P(a, x) ~ x^a / Gamma(a + 1)
+    for _ in range(300):
         f = gammainc(a, x) - p
         lo, hi = np.where(f < 0, x, lo), np.where(f < 0, hi, x)
         density = np.exp((a - 1) * np.log(np.maximum(x, 1e-300)) - x - lgamma(a))
         with np.errstate(divide="ignore", invalid="ignore"):
             new = x - f / density
         bad = ~np.isfinite(new) | (new <= lo) | (new >= hi)
-        new = np.where(bad, (lo + hi) / 2, new)
-        if (np.abs(new - x) <= 1e-13 * np.maximum(new, 1e-12)).all():
+        new = np.where(bad, np.where(lo > 0, np.sqrt(np.maximum(lo, 1e-300) * hi), hi * 1e-3), new)
+        if (np.abs(new - x) <= 1e-13 * new).all():
             x = new
             break
         x = new
