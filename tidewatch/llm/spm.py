@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64
+from .common import mix64, release_memory
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -31,7 +31,7 @@ _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 #: Documents are searched together up to this many chunks (a longer document goes alone).
-BATCH_CHUNKS = 250_000
+BATCH_CHUNKS = 200_000
 
 
 def load(model: bytes) -> sentencepiece.SentencePieceProcessor:
@@ -45,6 +45,14 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+class Numbers(dict):
+    """Numbers things in the order in which they come."""
+
+    def __missing__(self, x):
+        n = self[x] = len(self)
+        return n
+
+
 class Lattices:
     """The piece lattices of many chunks: for each place, its edges with conditional probabilities."""
 
@@ -65,7 +73,9 @@ class Lattices:
         for length, (hashes, ids) in by_length.items():
             h, ids = np.array(hashes, np.uint64), np.array(ids, np.int64)
             o = np.argsort(h)
-            self.tables[length] = h[o], ids[o]
+            maybe = np.zeros(1 << 16, bool)  # most lookups end here
+            maybe[(h >> np.uint64(20)) & np.uint64(0xFFFF)] = True
+            self.tables[length] = h[o], ids[o], maybe
         self.byte_weight = -alpha * np.log(sp.GetPieceSize() + 2.0)
 
     @staticmethod
@@ -95,21 +105,23 @@ class Lattices:
             h = h[ok] * _BASE + codes[at + length - 1] + np.uint64(1)
             if length not in self.tables:
                 continue
-            table, ids = self.tables[length]
-            k = np.searchsorted(table, h)
+            table, ids, maybe = self.tables[length]
+            some = np.flatnonzero(maybe[(h >> np.uint64(20)) & np.uint64(0xFFFF)])
+            k = np.searchsorted(table, h[some])
             k[k == len(table)] = 0
-            hit = table[k] == h
-            places.append(at[hit])
-            steps.append(np.full(int(hit.sum()), length, np.int64))
+            hit = table[k] == h[some]
+            found = at[some[hit]]
+            places.append(found)
+            steps.append(np.full(len(found), length, np.int64))
             pieces.append(ids[k[hit]])
             if length == 1:
-                lone[at[hit]] = False
+                lone[found] = False
         bare = np.flatnonzero(lone)  # characters that the model spells in bytes
         places.append(bare)
         steps.append(np.ones(len(bare), np.int64))
         pieces.append(np.full(len(bare), -1, np.int64))
         place, step, piece = map(np.concatenate, (places, steps, pieces))
-        o = np.lexsort((place, rest[place]))  # from the chunks' ends backward
+        o = np.argsort(rest[place] * n + place, kind="stable")  # from the chunks' ends backward
         place, step, piece = place[o], step[o], piece[o]
         code = codes[place]
         size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
@@ -131,6 +143,11 @@ class Lattices:
         self.cum = run - before
         self.cum[self.ptr[1:] - 1] = 2.0  # the last edge takes the rest
 
+    def clear(self) -> None:
+        """Lets the arrays of the last chunks go."""
+        for name in ("start", "codes", "rest", "step", "piece", "logp", "ptr", "cum"):
+            self.__dict__.pop(name, None)
+
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by probability."""
         e = self.ptr[place]
@@ -239,11 +256,14 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
         np.add.at(total, owner, run)
         history.append({"p": p, "e": e, "d": d, "at": flat[at], "prefix": prefix})
         nxt = []
-        for a, s, t in zip(active, lo, hi, strict=True):
+        pieces = lat.piece[e]
+        bare = np.flatnonzero(pieces < 0)
+        spelled = np.searchsorted(bare, hi) > np.searchsorted(bare, lo)
+        for a, s, t, bytes_ in zip(active, lo, hi, spelled, strict=True):
             v = value[s:t]
             best = np.argpartition(-v, min(k, len(v) - 1))[: k + 1] if len(v) > k + 1 else np.arange(len(v))
             pool[a] += [(v[x], turn, s + x, None) for x in best if v[x] > -np.inf]
-            own = lat.ids(e[s:t], p[s:t])
+            own = lat.ids(e[s:t], p[s:t]) if bytes_ else pieces[s:t]
             if parents[a] is not None:
                 t0, r0 = parents[a]
                 own = np.concatenate([_prefix_ids(lat, history, t0, r0, a, out), own])
@@ -319,8 +339,8 @@ def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_pat
     arrow = pa.list_(pa.struct([("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("crc32", pa.int64())]))
 
     def part(sp, lat, texts, keys):
-        number: dict[str, int] = {}
-        lists = [np.fromiter((number.setdefault(c, len(number)) for c in chunks_of(t or "")), np.int64) for t in texts]
+        number = Numbers()
+        lists = [np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in (chunks_of(t or "") for t in texts)]
         names = list(number)
         coded = sp.encode([c[1:].replace(SPACE, " ") for c in names], num_threads=1) if names else []
         if names:
@@ -354,6 +374,9 @@ def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_pat
                     arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *[f.name for f in extra]])
                 s = e
+                del arrays, n, crc, same, samples, ids
+                lat.clear()
+                release_memory()
 
     return keyed.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
