@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, lower_words, mix64, ngram_hashes, partitions, row_key
+from .common import WordHashes, durable, lower_words, mix64, ngram_hashes, partitions, release_memory, row_key
 from .components import connected_components, local_roots
 
 SYMBOLS, CHUNK = 64, 4
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "key", "n", "digest", "sig"])
+            release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
 
@@ -162,6 +163,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             keep = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], names=["a", "b"])
+            release_memory()
 
     return p.mapInArrow(verify, "a long, b long")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, durable, ngram_hashes, partitions, words
+from .common import WordHashes, durable, ngram_hashes, partitions, release_memory, words
 
 SEED = 6
 #: Anchors keep 40 bits: enough to leave few chance meetings, which the windows' 64 bits then settle.
@@ -58,6 +58,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, id_col: str, text_col: s
         for batch in batches:
             found = [np.unique(window_anchors(hashes.of(words(t)), window)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["id", "h"])
+            release_memory()
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     anchors = plain.mapInArrow(seeds, "id long, h array<long>").select("id", F.explode("h").alias("h")).repartition(n, "h")
@@ -79,6 +80,7 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, id_col: str, text_col: s
                     ids.append(i)
                     found.append(np.unique(ngram_hashes(h, window)[hot]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(found)], names=["id", "w"])
+            release_memory()
 
     near = dealt.join(seeded, F.col("_sd_key") == F.col("_sd_i"), "left").select(*dealt.columns, "_sd_hs")
     wins = near.mapInArrow(extend, "id long, w array<long>").select("id", F.explode("w").alias("w")).repartition(n, "w")
