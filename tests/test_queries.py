@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -16,7 +17,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    if isinstance(v, float):
+    if isinstance(v, (float, Decimal)):
+        v = float(v)
         return round(v, 4) + 0.0
     return str(v)[:10] if hasattr(v, "year") else v
 

@@ -34,7 +34,7 @@ def r6(df, *cols, places: int = 6):
 
 
 def _r(x: str, name: str, places: int = 6) -> str:
-    return f"round({x}, {places}) + 0.0 AS {name}"
+    return f"round(({x})::DOUBLE, {places}) + 0.0::DOUBLE AS {name}"
 
 
 B, BS = d.base_sql(), d.base_sql(False)
@@ -46,7 +46,7 @@ aso AS (SELECT q AS as_of, (SELECT count(*) FROM den x WHERE x.q BETWEEN den.q -
 win AS (SELECT entity, as_of, any_value(total_recent) AS total_recent, any_value(total_base) AS total_base,
         coalesce(sum(n) FILTER (cnt.q > as_of - 4), 0)::BIGINT AS n_recent, coalesce(sum(n) FILTER (cnt.q <= as_of - 4), 0)::BIGINT AS n_baseline
         FROM cnt JOIN aso ON cnt.q BETWEEN as_of - 11 AND as_of WHERE k = 12 GROUP BY 1, 2),
-gate AS (SELECT *, CASE WHEN total_base <> 0 THEN n_baseline * total_recent / total_base::DOUBLE END AS expected, n_baseline * 0.5 AS expected_own FROM win),
+gate AS (SELECT *, CASE WHEN total_base <> 0 THEN n_baseline * total_recent / total_base::DOUBLE END AS expected, n_baseline * 0.5::DOUBLE AS expected_own FROM win),
 rat AS (SELECT *, n_recent / nullif(expected, 0) AS ratio, n_recent / nullif(expected_own, 0) AS ratio_own FROM gate WHERE n_recent > 0)"""
 EARS = """
 ears AS (SELECT *, (share - mean) / greatest(sd, sqrt(greatest(mean_n, 0.25)) / mean_total) AS ears_z FROM (
@@ -195,18 +195,18 @@ it(entity, as_of, i, a, b) AS (
   UNION ALL
   SELECT entity, as_of, i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
     SELECT it.entity, it.as_of, i, a, b,
-      list_sum(list_transform(range(1, 13), lambda j: ys[j] - os[j] * exp(a + b * ts[j]))) AS g0,
-      list_sum(list_transform(range(1, 13), lambda j: (ys[j] - os[j] * exp(a + b * ts[j])) * ts[j])) AS g1,
-      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]))) + 1e-9 AS h00,
-      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j])) AS h01,
-      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j] * ts[j])) + 1e-9 AS h11
+      list_sum(list_transform(range(1, 13), lambda j: ys[j] - os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))))) AS g0,
+      list_sum(list_transform(range(1, 13), lambda j: (ys[j] - os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j])))) * ts[j])) AS g1,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))))) + 1e-9 AS h00,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))) * ts[j])) AS h01,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))) * ts[j] * ts[j])) + 1e-9 AS h11
     FROM it JOIN arr USING (entity, as_of) WHERE i < 25)),
 fit AS (SELECT entity, as_of, b / sd AS slope, b / (sqrt(h00 / (h00 * h11 - h01 * h01)) * sqrt(greatest(pear / 10, 1.0))) AS z FROM (
     SELECT it.entity, it.as_of, b, sd,
-      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]))) + 1e-9 AS h00,
-      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j])) AS h01,
-      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(a + b * ts[j]) * ts[j] * ts[j])) + 1e-9 AS h11,
-      list_sum(list_transform(range(1, 13), lambda j: pow(ys[j] - os[j] * exp(a + b * ts[j]), 2) / greatest(os[j] * exp(a + b * ts[j]), 1e-12))) AS pear
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))))) + 1e-9 AS h00,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))) * ts[j])) AS h01,
+      list_sum(list_transform(range(1, 13), lambda j: os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))) * ts[j] * ts[j])) + 1e-9 AS h11,
+      list_sum(list_transform(range(1, 13), lambda j: pow(ys[j] - os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))), 2) / greatest(os[j] * exp(least(30.0, greatest(-30.0, a + b * ts[j]))), 1e-12))) AS pear
     FROM it JOIN arr USING (entity, as_of) WHERE i = 25))"""
 
 
