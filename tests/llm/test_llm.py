@@ -227,6 +227,22 @@ def test_vectors(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_islands(spark):
+    """Tight clusters of more near copies than a list holds, most without a pivot, and a cell too full."""
+    rng = np.random.default_rng(8)
+    hubs = rng.normal(size=(30, 16))
+    x = np.vstack([np.repeat(hubs, 30, 0) + 1e-3 * rng.normal(size=(900, 16)), hubs[:1] + 1e-2 * rng.normal(size=(300, 16))])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, every=10, k=10, pivots=8, degree=8, leaf=32, block=512).collect()
+    hit = 0
+    for q in range(0, 1200, 10):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:10].tolist()))
+    assert len(got) == 1200 and hit >= 0.97 * 1200
+
+
 def test_pieces(spark, docs, none):
     sp = spm.load(open(spm.MODEL, "rb").read())
     out = spm.encode_and_sample(docs, with_ids=True).collect()

@@ -1,20 +1,23 @@
 """Approximate nearest neighbours: NN-descent builds the graph, greedy search answers queries.
 
-The graph starts from leaves of a few random hyperplane codes and is improved by joins of
-neighbours of neighbours. The largest inner product becomes a nearest-neighbour problem by one more
-coordinate, sqrt(M^2 - |x|^2), which gives all rows one norm and leaves a query's products as they
-are. A query walks the graph from the best of a bounded set of pivots: each round joins its best
-unexpanded candidates with their neighbours.
+The graph starts from the cells of a few random partitions and is improved by joins of neighbours of
+neighbours until few lists change; a few random mates of each cell are its long links. The largest
+inner product becomes a nearest-neighbour problem by one more coordinate, sqrt(M^2 - |x|^2), which
+gives all rows one norm and leaves a query's products as they are. A query walks the graph from its
+own node, the best rows of its own cells (these grow in number with the table) and the best of a
+bounded set of pivots: each round joins its best unexpanded candidates with their neighbours.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import MASK, durable
 from .embed_dedup import usable
 
 STATE = "blk int, id long, vec binary, ids array<long>, scores array<float>, done array<boolean>"
@@ -71,46 +74,98 @@ def _improve(state: DataFrame, asked: DataFrame, vectors: DataFrame, keep: int)
     return table.groupBy("blk").applyInPandas(work, STATE)
 
 
-def build_graph(vectors: DataFrame, count: int, degree: int = 24, trees: int = 4, rounds: int = 3, leaf: int = 512, block: int = 4096, seed: int = 11) -> DataFrame:
-    """(id, near): each row's ``degree`` best others, from (id, vec) with equal norms."""
-    blocks = max(1, -(-count // block))
+def cells(vectors: DataFrame, count: int, leaf: int = 512, trees: int = 4, seed: int = 11) -> DataFrame:
+    """(tree, code, part, id, vec): the rows in the cells of ``trees`` partitions by random hyperplanes.
+
+    A cell of over 2 * leaf rows is cut by three further planes through its own mean, again and again;
+    only rows that no plane tells apart are parted by a hash.
+    """
     bits = max(0, int(np.log2(max(1, count / leaf))))
     width = len(vectors.select("vec").first().vec) // 4
     planes = np.random.default_rng(seed).standard_normal((trees, max(1, bits), width)).astype(np.float32)
+    sums = vectors.mapInPandas(lambda batches: (pd.DataFrame({"j": np.arange(width), "s": _matrix(p.vec).astype(float).sum(0)}) for p in batches if len(p)), "j int, s double").groupBy("j").agg(F.sum("s").alias("s")).orderBy("j").toPandas()
+    center = (sums.s.to_numpy() / count).astype(np.float32)
 
     def codes(batches):
         for pdf in batches:
             if len(pdf):
-                m = _matrix(pdf.vec)
-                m = m - center
+                m = _matrix(pdf.vec) - center
                 for t in range(trees):
                     code = ((m @ planes[t].T > 0) @ (1 << np.arange(planes.shape[1]))) if bits else np.zeros(len(m), np.int64)
                     yield pd.DataFrame({"tree": t, "code": code.astype(np.int64), "id": pdf.id, "vec": pdf.vec})
 
-    sums = vectors.mapInPandas(lambda batches: (pd.DataFrame({"j": np.arange(width), "s": _matrix(p.vec).astype(float).sum(0)}) for p in batches if len(p)), "j int, s double").groupBy("j").agg(F.sum("s").alias("s")).orderBy("j").toPandas()
-    center = (sums.s.to_numpy() / count).astype(np.float32)
-    coded = durable(vectors.select("id", "vec").mapInPandas(codes, "tree int, code long, id long, vec binary"), "codes")
-    sizes = coded.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("parts"))
-    leaves = coded.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
+    done, coded, before = None, durable(vectors.select("id", "vec").mapInPandas(codes, "tree int, code long, id long, vec binary"), "codes"), None
+    for depth in itertools.count():
+        sizes = durable(coded.groupBy("tree", "code").agg(F.count("*").alias("size")), "sizes")
+        hot = sizes.where(F.col("size") > 2 * leaf)
+        now = hot.agg(F.count("*").alias("n"), F.max("size").alias("most"), F.sum("size").alias("all")).first()
+        cool = coded.join(sizes.where(F.col("size") <= 2 * leaf).drop("size"), ["tree", "code"]).withColumn("part", F.lit(0))
+        done = cool if done is None else done.unionByName(cool)
+        if not now.n or now == before:
+            break
+        before = now
+        more = np.random.default_rng([seed, depth]).standard_normal((trees, 3, width))
+
+        def project(batches, more=more):
+            for pdf in batches:
+                if len(pdf):
+                    p = np.einsum("ij,ikj->ik", _matrix(pdf.vec).astype(float), more[pdf.tree.to_numpy()])
+                    yield pdf[["tree", "code", "id", "vec"]].assign(p0=p[:, 0], p1=p[:, 1], p2=p[:, 2])
+
+        cut = durable(coded.join(hot, ["tree", "code"]).select("tree", "code", "id", "vec").mapInPandas(project, "tree int, code long, id long, vec binary, p0 double, p1 double, p2 double"), "cut")
+        means = cut.groupBy("tree", "code").agg(*[F.avg(f"p{i}").alias(f"m{i}") for i in range(3)])
+        side = F.xxhash64("code", *[F.col(f"p{i}") > F.col(f"m{i}") for i in range(3)])
+        coded = durable(cut.join(means, ["tree", "code"]).select("tree", side.alias("code"), "id", "vec"), "codes")
+    if now.n:
+        parts = hot.select("tree", "code", F.ceil(F.col("size") / (2 * leaf)).cast("int").alias("parts"))
+        rest = coded.join(parts, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int")).drop("parts")
+        done = done.unionByName(rest)
+    return done
+
+
+def build_graph(vectors: DataFrame, count: int, degree: int = 24, trees: int = 4, leaf: int = 512, block: int = 4096, still: float = 0.002, far: int = 2, seeds: int = 32, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """(id, near): each row's ``degree`` best others, as many rows that have it among theirs, and ``far``
+    random mates of each of its cells, from (id, vec) with equal norms. Lists are improved until a round
+    changes at most the share ``still`` of their entries.
+
+    The second table, (id, ids), holds for rows with ``asks`` the best ``seeds`` rows of each of their
+    cells by the product without the last coordinate.
+    """
+    blocks = max(1, -(-count // block))
+    leaves = cells(vectors, count, leaf, trees, seed).join(vectors.where("asks").select("id", F.lit(True).alias("asks")), "id", "left")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, ids = _matrix(pdf.vec), pdf.id.to_numpy()
+        m, ids, tree = _matrix(pdf.vec), pdf.id.to_numpy(), int(pdf.tree.iloc[0])
         k = min(degree, len(ids) - 1)
         if k < 1:
-            return pd.DataFrame({"id": ids[:0], "near": pd.Series([], dtype=object), "s": pd.Series([], dtype=object)})
+            return pd.DataFrame({"id": ids[:0], "near": pd.Series([], dtype=object), "s": pd.Series([], dtype=object), "far": pd.Series([], dtype=object), "seeds": pd.Series([], dtype=object)})
         s = m @ m.T
         np.fill_diagonal(s, -np.inf)
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"id": ids, "near": list(ids[best]), "s": list(np.take_along_axis(s, best, 1))})
-
-    found = leaves.groupBy("tree", "code", "part").applyInPandas(meet, "id long, near array<long>, s array<float>")
+        # mates by a random rotation of the cell's order, which never gives a row itself
+        order = np.argsort(ids)
+        turn = np.random.default_rng([seed, tree, int(ids[order[0]]) & MASK]).integers(1, len(ids), (len(ids), far))
+        mates = np.empty((len(ids), far), np.int64)
+        mates[order] = ids[order[(np.arange(len(ids))[:, None] + turn) % len(ids)]]
+        first: list = [None] * len(ids)
+        asks = np.flatnonzero(pdf.asks.notna())
+        if len(asks):
+            q = m[asks, :-1] @ m[:, :-1].T
+            n = min(seeds, len(ids))
+            for i, top in zip(asks, np.argpartition(-q, n - 1, axis=1)[:, :n], strict=True):
+                first[i] = ids[top]
+        return pd.DataFrame({"id": ids, "near": list(ids[best]), "s": list(np.take_along_axis(s, best, 1)), "far": list(mates), "seeds": pd.Series(first, dtype=object)})
+
+    found = durable(leaves.groupBy("tree", "code", "part").applyInPandas(meet, "id long, near array<long>, s array<float>, far array<long>, seeds array<long>"), "found")
+    starts = found.where("seeds is not null").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("ids"))  # ``seeds`` a tree
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("s"), F.col("near")))))
     top = F.slice(F.sort_array(pairs, asc=False), 1, degree)
     start = found.groupBy("id").agg(top.alias("top"))
     state = vectors.select("id", "vec").join(start, "id", "left")
     state = state.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), "id", "vec", F.coalesce(F.col("top.near"), F.array().cast("array<long>")).alias("ids"), F.coalesce(F.col("top.s"), F.array().cast("array<float>")).alias("scores"), F.transform(F.coalesce(F.col("top.near"), F.array().cast("array<long>")), lambda x: F.lit(False)).alias("done"))
     state = durable(state, "graph")
-    for _ in range(rounds):
+    while True:
+        state = state.withColumn("done", F.transform("ids", lambda x: F.lit(True)))
         lists = state.select("id", "ids")
         ahead = state.select("blk", "id", F.explode("ids").alias("m"))
         # a node asks its own neighbours, and a bounded number of nodes that have it as a neighbour
@@ -119,9 +174,13 @@ def build_graph(vectors: DataFrame, count: int, degree: int = 24, trees: int = 4
         asked = ahead.unionByName(back).join(lists.select(F.col("id").alias("m"), F.col("ids").alias("near")), "m")
         asked = asked.select("blk", "id", F.filter(F.array_append("near", F.col("m")), lambda x: x != F.col("id")).alias("near"))
         state = durable(_improve(state, asked, vectors, degree), "graph")
+        new = state.agg(F.sum(F.size(F.filter("done", lambda d: ~d))).alias("new"), F.sum(F.size("ids")).alias("all")).first()
+        if new.new <= still * new.all:
+            break
     ahead = state.select("id", F.explode("ids").alias("m"))
     back = _at_most(ahead.select(F.col("m").alias("id"), F.col("id").alias("m")).withColumn("r", F.xxhash64("id", "m")), degree)
-    return durable(ahead.unionByName(back.select("id", "m")).groupBy("id").agg(F.collect_set("m").alias("near")), "graph")
+    mates = found.select("id", F.explode("far").alias("m"))
+    return durable(ahead.unionByName(back.select("id", "m")).unionByName(mates).groupBy("id").agg(F.collect_set("m").alias("near")), "graph"), starts
 
 
 def _at_most(edges: DataFrame, n: int) -> DataFrame:
@@ -131,13 +190,14 @@ def _at_most(edges: DataFrame, n: int) -> DataFrame:
     return some.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("e"))), 1, n).alias("e")).select("id", F.explode("e.m").alias("m"))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 320, width: int = 48, rounds: int = 8, pivots: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", **graph) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 320, width: int = 48, left: float = 0.001, pivots: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", **graph) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its ``k`` others
     with the largest inner product in double precision, ties to the smaller id.
 
     Equal vectors are one node of the graph with its k + 1 least ids, which is all that a result can
     hold. Rows that are null, zero or hold null or non-finite components, rows without id and rows of
     another length than most take no part. Fewer than k others give fewer rows; an empty table none.
+    The search ends when at most the share ``left`` of the queries has one of its ``beam`` candidates to expand.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -165,10 +225,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 320, w
                 yield pd.DataFrame({"id": pdf.id, "vec": _blob(np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x**2).sum(1)))[:, None]]))})
 
     lifted = durable(nodes.select("id", "v").mapInPandas(lift, "id long, vec binary"), "lifted")
-    near = build_graph(lifted, count, **graph)
+    query_nodes = durable(named.where(F.col("id") % every == 0).select(F.col("node").alias("id")).distinct(), "asks")
+    asking = lifted.join(query_nodes.withColumn("asks", F.lit(True)), "id", "left").select("id", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
+    near, starts = build_graph(asking, count, **graph)
     sample = lifted.orderBy(F.xxhash64("id", F.lit(3))).limit(pivots).toPandas()  # bounded
     pivot_ids, pivot_m = sample.id.to_numpy(), _matrix(sample.vec)
-    query_nodes = named.where(F.col("id") % every == 0).select(F.col("node").alias("id")).distinct()
     blocks = max(1, -(-count // every // 512))
 
     def begin(batches):
@@ -182,14 +243,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 320, w
 
     state = lifted.join(query_nodes, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     state = durable(state.mapInPandas(begin, STATE), "search")
-    for _ in range(rounds):
+    # a query's own node and the best rows of its own cells are candidates before the first walk
+    own = state.select("blk", "id").join(starts, "id", "left").select("blk", "id", F.array_union(F.coalesce("ids", F.array().cast("array<long>")), F.array("id")).alias("near"))
+    state = durable(_improve(state, own, lifted, beam), "search")
+    asking = query_nodes.count()
+    while True:
         # the best candidates not yet expanded are marked, and their neighbours asked for
         fresh = F.expr(f"slice(filter(sequence(0, size(ids) - 1), i -> not done[i]), 1, {width})")
         state = state.withColumn("_go", F.when(F.size("ids") > 0, fresh).otherwise(F.array().cast("array<int>")))
         asked = state.select("blk", "id", F.explode(F.expr("transform(_go, i -> ids[i])")).alias("m")).join(near.select(F.col("id").alias("m"), "near"), "m").select("blk", "id", "near")
         state = state.withColumn("done", F.expr("transform(done, (d, i) -> d or array_contains(_go, i))")).drop("_go")
         state = durable(_improve(state, asked, lifted, beam), "search")
-        if not state.where(F.exists("done", lambda d: ~d)).limit(1).count():
+        if state.where(F.exists("done", lambda d: ~d)).count() <= left * asking:
             break
     # the query's own node is a candidate through its copies
     hits = state.select(F.col("id").alias("node"), F.explode(F.array_union(F.slice("ids", 1, 2 * k + 8), F.array("id"))).alias("hit"))
