@@ -4,14 +4,16 @@ import functools
 import hashlib
 import itertools
 import math
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import spm
+from tidewatch.llm import licences, spm
 from tidewatch.llm.ann import nearest
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.embed_dedup import near_duplicate_vectors
@@ -112,6 +114,22 @@ def test_licences(spark, docs, none):
     assert out[1].whole_licence == "MIT" and out[2].whole_licence is None and out[3].whole_licence == "MIT"
 
 
+def test_published_licence_files(spark):
+    """Files as published: titles, wrapped lines, copyright lines of all orders, and the long texts."""
+    folder = Path(licences.__file__).parent / "licence_texts"
+    wrap = lambda t: textwrap.fill(t, 76)
+    mit, isc = LICENCES["MIT"][-1], LICENCES["ISC"][-1]
+    bsd = "\n\n".join([wrap(licences._BSD[0]), *(wrap(f"* {x}") for x in licences._BSD[1:4]), wrap(licences._BSD[4])])
+    heads = ["Copyright (c) 2020 Jane Doe", "Copyright (c) Jane Doe 2020", "Copyright [yyyy] [name of copyright owner]", "© Jane Doe, 2020", "Copyright Jane Doe and others, 2019-2021. All rights reserved."]
+    files = [("MIT", f"MIT License\n\n{h}\n\n{wrap(mit)}") for h in heads]
+    files += [("ISC", f"ISC License\n\n{heads[1]}\n\n{wrap(isc)}"), ("BSD-3-Clause", f"BSD 3-Clause License\n\n{heads[0]}\nAll rights reserved.\n\n{bsd}")]
+    files += [(f.stem, f.read_text("utf-8")) for f in sorted(folder.glob("*.txt"))]
+    files.append(("Apache-2.0", (folder / "Apache-2.0.txt").read_text("utf-8").replace("[yyyy] [name of copyright owner]", "2021 Jane Doe")))
+    files.append((None, wrap(mit)[:-40]))
+    rows = scan_licences(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.whole_licence for r in rows} == {i: k for i, (k, _) in enumerate(files)}
+
+
 def test_quality(spark, docs, none):
     good = [(i, sentence(int(RNG.integers(5, 80))).capitalize() + ".") for i in range(300)]
     bad = [(1000 + i, " ".join(w + "!!" for w in sentence(int(RNG.integers(5, 80))).upper().split())) for i in range(300)]

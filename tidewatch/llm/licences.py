@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,41 @@ LICENCES = {
         'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
     ],
 }
+# The BSD licences' parts, as published.
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+]
+# Titles that published files put before a text.
+_TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'],
+}
+
+
+def _complete(known: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The catalogue with the BSD licences (numbered or not), the texts of ``licence_texts``, each also
+    without what follows its terms, and the short texts under their titles."""
+    out = {k: list(v) for k, v in known.items()}
+    for name, conditions in (("BSD-2-Clause", _BSD[1:3]), ("BSD-3-Clause", _BSD[1:4])):
+        numbered = [f"{i}. {x}" for i, x in enumerate(conditions, 1)]
+        out[name] = ["\n".join([_BSD[0], *c, _BSD[4]]) for c in (conditions, numbered)]
+    for name, titles in _TITLES.items():
+        bodies = [t for t in out[name] if len(t) > 200]
+        out[name] = [f"{title}\n{t}" for title in titles for t in bodies] + out[name]
+    for file in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = file.read_text("utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out[file.stem] = out.get(file.stem, []) + list(dict.fromkeys([text, terms + end, terms]))
+    return out
+
+
+LICENCES = _complete(LICENCES)
 # Spellings that licence matching treats as one; whole texts are rewritten alike on
 # both sides, so the rewriting needs no word boundaries.
 SPELLINGS = [
@@ -41,12 +78,13 @@ SPELLINGS = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r©“”‘’–—…", "abcdefghijklmnopqrstuvwxyz\nc       "
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-COPYRIGHT = "^(copyright( c)?|c) [0-9]"
+# A line that states a copyright, with its year or the place for it before or after the name, or rights reserved.
+COPYRIGHT = "^((copyright( c)?|c) [0-9]|copyright c |(c )?copyright .{0,100}(19|20)[0-9][0-9]( |$)|c .{0,100} (19|20)[0-9][0-9]( all rights reserved)?$|copyright (yyyy|year)( |$)|all rights reserved$)"
 
 
 def normal_lines(text: Column) -> Column:
     """The text's lines, lowered (A-Z), each run of ASCII marks a space, spellings made equal,
-    without empty lines and lines that state a copyright with its year."""
+    without empty lines and lines that state a copyright or reserved rights."""
     t = F.regexp_replace(F.translate(text, UPPER, LOWER), MARKS, " ")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
