@@ -11,6 +11,7 @@ from tidewatch.functions.exprs import bernoulli_llr, normal_cdf, poisson_llr, wi
 from tidewatch.operators import aberration, counting, evaluation, nowcast, spatial, synthetic, treescan, windows
 from tidewatch.operators import disproportionality as disp
 from tidewatch.operators import text as txt
+from tidewatch.plans import registry
 
 
 def value(spark, col):
@@ -153,6 +154,16 @@ def test_null_is_the_same_for_any_partitioning(spark):
     assert run(1) == run(5)
 
 
+@pytest.mark.parametrize("name", ["eb_rank_with_veto", "scan_p_values"])
+def test_queries_run_all_replicates(spark, monkeypatch, name):
+    drawn, divided = [], []
+    null, p_values = treescan.null_maxima, treescan.with_p_values
+    monkeypatch.setattr(treescan, "null_maxima", lambda *a, **k: drawn.append(null(*a, **k)) or drawn[-1])
+    monkeypatch.setattr(treescan, "with_p_values", lambda b, n, r: divided.append(r) or p_values(b, n, r))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert drawn[0].select("replicate").distinct().count() == 9999 and divided == [9999]
+
+
 def test_normalize_and_match(spark):
     df = spark.createDataFrame([("Alpha–beta, 1,4-gamma AND (delta)",)], "t string")
     r = df.select(txt.normalize(F.col("t")).alias("n"), txt.tokens(F.col("t")).alias("w")).first()

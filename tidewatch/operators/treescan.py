@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ratio, window_llr
 from .hierarchy import node_counts
 
+#: Replicates of the Monte Carlo null, as in the reference.
+REPLICATES = 9999
+
 
 def scan_cells(counts: DataFrame, reference: DataFrame, nodes: DataFrame, study: int = 12, longest: int = 6) -> DataFrame:
     """(node, level, as_of, window_q, observed, n_study, expected, llr) for all nodes, as-of quarters
@@ -36,7 +39,7 @@ def best_windows(cells: DataFrame, least: int = 3) -> DataFrame:
     return top.withColumns({"window_q": F.when(~none, F.col("window_q")), "obs_exp": F.when(~none, ratio(F.col("observed").cast("double"), F.col("expected")))})
 
 
-def null_maxima(counts: DataFrame, reference: DataFrame, nodes: DataFrame, as_of: int, study: int = 12, longest: int = 6, least: int = 3, replicates: int = 9999, seed: int = 20260810, parts: int | None = None) -> DataFrame:
+def null_maxima(counts: DataFrame, reference: DataFrame, nodes: DataFrame, as_of: int, study: int = 12, longest: int = 6, least: int = 3, replicates: int = REPLICATES, seed: int = 20260810, parts: int | None = None) -> DataFrame:
     """(replicate, max_llr): each replicate deals every leaf's total over the frame's quarters by their
     shares, sums nodes, and takes the largest llr. The floor holds for it as for the data.
 

@@ -176,7 +176,7 @@ def eb_rank_with_veto(s, sf):
     cells = treescan.scan_cells(c, n, _nodes(s, sf))
     last = int(n.agg(F.max("q")).first()[0])
     best = treescan.best_windows(cells).where((F.col("as_of") == last) & (F.col("level") == "substance"))
-    ri = treescan.with_p_values(best, treescan.null_maxima(c, n, _nodes(s, sf), last, replicates=199), 199).select(F.col("node").alias("entity"), "as_of", "recurrence_interval")
+    ri = treescan.with_p_values(best, treescan.null_maxima(c, n, _nodes(s, sf), last), treescan.REPLICATES).select(F.col("node").alias("entity"), "as_of", "recurrence_interval")
     out = disp.veto(scores.where(F.col("as_of") == last), ri)
     return disp.ranked(r6(out.select("entity", "as_of", "n_recent", "ratio", "eb05", "eb05_own", "ri", "credible_rise", "vetoed"), "ratio", "eb05", "eb05_own", "ri", places=4), "eb05")
 
@@ -360,11 +360,11 @@ def branch_sweep(s, sf):
 
 @query()
 def scan_p_values(s, sf):
-    """The latest scan with Monte Carlo p-values and recurrence intervals (999 replicates)."""
+    """The latest scan with Monte Carlo p-values and recurrence intervals."""
     c, n, nodes = d.counts(s, sf), d.denom(s, sf), _nodes(s, sf)
     last = int(n.agg(F.max("q")).first()[0])
     best = treescan.best_windows(treescan.scan_cells(c, n, nodes)).where(F.col("as_of") == last)
-    return r6(treescan.with_p_values(best, treescan.null_maxima(c, n, nodes, last, replicates=999), 999), "expected", "llr", "obs_exp", "p_value", "recurrence_interval")
+    return r6(treescan.with_p_values(best, treescan.null_maxima(c, n, nodes, last), treescan.REPLICATES), "expected", "llr", "obs_exp", "p_value", "recurrence_interval")
 
 
 # --- co-occurrence ----------------------------------------------------------------------------------
