@@ -1,8 +1,10 @@
 """Registered queries against their SQL in DuckDB on the smallest tables."""
 
 import glob
+import hashlib
 import math
 import os
+import re
 from decimal import Decimal
 
 import duckdb
@@ -44,6 +46,23 @@ def test_equals_sql(spark, con, name):
     assert sorted(map(repr, rows)) == sorted(map(repr, theirs))
 
 
+def words_of(text):
+    """Brute force of the normalised words, by regular expressions alone."""
+    t = re.sub("[‐‑‒–—―−]", "-", text.upper())
+    t = re.sub("(?<=[0-9]),(?=[0-9])", "\x01", t)
+    t = re.sub("[^A-Z0-9\x01\\-']+", " ", t).strip().replace("\x01", ",")
+    return [w for x in t.split(" ") if (w := re.sub("^-+|-+$", "", x)) and w not in ("AND", "WITH", "OF", "THE", "PLUS", "OR")]
+
+
+def test_documents_of_all_languages_are_tokenized(spark, tmp_path):
+    texts = [("en", "Salt, of 1,400 kg"), ("de", "Straße – Maß und Größe"), ("fr", "l'été œuvre ‒fin‒"), ("es", "¿Año 2,5 niño?"), (None, "ſee ŉ and x"), ("en", ""), ("de", None)]
+    spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.tokens_md5 for r in registry.QUERIES["tokenized_documents_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else hashlib.md5(" ".join(words_of(t)).encode()).hexdigest() for i, (_, t) in enumerate(texts)}
+    n = registry.QUERIES["tokenized_documents_all"](spark, SF).count()
+    assert n == spark.read.parquet(f"{SF}/documents.parquet").count() > registry.QUERIES["tokenized_documents"](spark, SF).count()
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 

@@ -694,7 +694,16 @@ def extract_mentions(s, sf):
 
 @query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(translate(upper(replace(text, 'ß', 'ss')), '‐‑‒–—―−', '-------'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), ',', ' '), '[^A-Z0-9' || chr(1) || '\\-'']+', ' ', 'g'), chr(1), ',', 'g')), ' '), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: w <> '' AND w NOT IN ('AND','WITH','OF','THE','PLUS','OR')), ' ')) AS tokens_md5 FROM documents WHERE lang = 'en'")
 def tokenized_documents(s, sf):
-    docs = table(s, sf, "documents").where("lang = 'en'")
+    return _tokens_md5(table(s, sf, "documents").where("lang = 'en'"))
+
+
+@query()
+def tokenized_documents_all(s, sf):
+    """The same for the documents of all languages and of none."""
+    return _tokens_md5(table(s, sf, "documents"))
+
+
+def _tokens_md5(docs):
     return docs.select("doc_id", F.md5(F.array_join(txt.tokens(F.col("text")), " ")).alias("tokens_md5"))
 
 
