@@ -242,6 +242,7 @@ def test_vectors(spark):
         order = sorted((i for i in range(91) if i != q), key=lambda i: (-round(float(p[q] @ p[i]), 9), i))[:5]
         rows = sorted((r for r in near if r.query_id == q), key=lambda r: r.rank)
         assert [r.vec_id for r in rows] == order and rows[0].score == pytest.approx(float(p[q] @ p[order[0]]))
+    assert {(r.query_id, r.vec_id) for r in nearest(df.where("vec_id in (94, 0, 10)").withColumn("id", F.lit(1)), every=10).collect()} == {(0, 10), (10, 0)}
     assert nearest(df.limit(0)).count() == 0
 
 
@@ -252,7 +253,7 @@ def test_neighbours_in_islands(spark):
     x = np.vstack([np.repeat(hubs, 30, 0) + 1e-3 * rng.normal(size=(900, 16)), hubs[:1] + 1e-2 * rng.normal(size=(300, 16))])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = nearest(df, every=10, k=10, pivots=8, degree=8, leaf=32, block=512).collect()
+    got = nearest(df, every=10, k=10, degree=8, leaf=32).collect()
     hit = 0
     for q in range(0, 1200, 10):
         s = x @ x[q]
