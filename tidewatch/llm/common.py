@@ -34,6 +34,20 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores added as make it unlike all of ``columns`` (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without columns of these names (case aside): an operator's own columns take their place."""
+    gone = {n.lower() for n in names}
+    return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in gone])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

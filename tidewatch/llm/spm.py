@@ -4,14 +4,16 @@ Sampling is a perturbed A* search over the lattice of pieces. A segmentation's l
 the sum of its pieces' weights, normalised; a backward pass over each chunk (text between spaces)
 gives every edge its conditional probability. The best perturbed value of a subtree is a Gumbel
 variable at the subtree's log-mass, and its best leaf is reached by drawing edges by probability.
-So the search pops the largest bound, runs down to its leaf, and on the way leaves one bound for
-all edges not taken at each place, truncated at the bound it came from. The first k leaves are a
-Gumbel top-k sample without replacement; the next bound is the threshold for inclusion scores.
+So the search pops the largest bound, runs down to its leaf, and leaves one bound for all edges
+beside its path together, truncated at the bound it came from; when that is popped in turn, one of
+them is drawn by its mass. The first k leaves are a Gumbel top-k sample without replacement; the
+next bound is the threshold for inclusion scores.
 All documents of a batch run through each descent together.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, release_memory
+from .common import MASK, free_name, mix64, release_memory, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -54,7 +56,11 @@ class Numbers(dict):
 
 
 class Lattices:
-    """The piece lattices of many chunks: for each place, its edges with conditional probabilities."""
+    """The piece lattices of chunks, kept while they are few: for each place, its edges with conditional
+    probabilities."""
+
+    #: Arrays over chunks, places and edges.
+    PARTS = ("start", "codes", "rest", "ptr", "step", "piece", "logp", "other", "cum")
 
     def __init__(self, sp: sentencepiece.SentencePieceProcessor, alpha: float):
         self.alpha = alpha
@@ -70,6 +76,12 @@ class Lattices:
             hashes.append(self._hash(np.array([*map(ord, piece)], np.uint64)))
             ids.append(i)
         self.weights, self.tables = weights, {}
+        self.longer = np.zeros((max(by_length) + 1, 1 << 16), bool)  # may be the start of a longer piece
+        for i in np.flatnonzero(np.isfinite(weights)):
+            h = np.zeros(1, np.uint64)
+            for length, c in enumerate(sp.IdToPiece(int(i))[:-1], 1):
+                h = h * _BASE + np.uint64(ord(c) + 1)
+                self.longer[length, (h >> np.uint64(20)) & np.uint64(0xFFFF)] = True
         for length, (hashes, ids) in by_length.items():
             h, ids = np.array(hashes, np.uint64), np.array(ids, np.int64)
             o = np.argsort(h)
@@ -77,6 +89,7 @@ class Lattices:
             maybe[(h >> np.uint64(20)) & np.uint64(0xFFFF)] = True
             self.tables[length] = h[o], ids[o], maybe
         self.byte_weight = -alpha * np.log(sp.GetPieceSize() + 2.0)
+        self.clear()
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.uint64:
@@ -85,15 +98,25 @@ class Lattices:
             h = h * _BASE + c + np.uint64(1)
         return h[0]
 
+    def clear(self) -> None:
+        """Forgets all chunks."""
+        kinds = dict(start=np.int64, codes=np.uint32, rest=np.int32, ptr=np.int64, step=np.int32, piece=np.int32)
+        for name in self.PARTS:
+            setattr(self, name, np.zeros(int(name == "ptr"), kinds.get(name, np.float64)))
+
     def build(self, chunks: list[str]) -> None:
-        """Sets start (place of each chunk), codes, and the edges of all places in order."""
+        """The lattices of these chunks alone."""
+        self.clear()
+        self.add(chunks)
+
+    def add(self, chunks: list[str]) -> None:
+        """Appends start (place of each chunk), codes, and the edges of all places in order."""
+        if not chunks:
+            return
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(codes)
-        ends = np.repeat(np.cumsum(lengths), lengths)  # for each place
-        rest = ends - np.arange(n)
-        self.start = np.cumsum(lengths) - lengths
-        self.codes, self.rest = codes, rest
+        rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
         places, steps, pieces = [], [], []
         at, h = np.arange(n), np.zeros(n, np.uint64)
         lone = np.ones(n, bool)
@@ -103,50 +126,57 @@ class Lattices:
             if not len(at):
                 break
             h = h[ok] * _BASE + codes[at + length - 1] + np.uint64(1)
-            if length not in self.tables:
-                continue
-            table, ids, maybe = self.tables[length]
-            some = np.flatnonzero(maybe[(h >> np.uint64(20)) & np.uint64(0xFFFF)])
-            k = np.searchsorted(table, h[some])
-            k[k == len(table)] = 0
-            hit = table[k] == h[some]
-            found = at[some[hit]]
-            places.append(found)
-            steps.append(np.full(len(found), length, np.int64))
-            pieces.append(ids[k[hit]])
-            if length == 1:
-                lone[found] = False
+            bits = (h >> np.uint64(20)) & np.uint64(0xFFFF)
+            if length in self.tables:
+                table, ids, maybe = self.tables[length]
+                some = np.flatnonzero(maybe[bits])
+                k = np.searchsorted(table, h[some])
+                k[k == len(table)] = 0
+                hit = table[k] == h[some]
+                found = at[some[hit]]
+                places.append(found)
+                steps.append(np.full(len(found), length, np.int64))
+                pieces.append(ids[k[hit]])
+                if length == 1:
+                    lone[found] = False
+            on = self.longer[length][bits]
+            at, h = at[on], h[on]
         bare = np.flatnonzero(lone)  # characters that the model spells in bytes
         places.append(bare)
         steps.append(np.ones(len(bare), np.int64))
         pieces.append(np.full(len(bare), -1, np.int64))
         place, step, piece = map(np.concatenate, (places, steps, pieces))
-        o = np.argsort(rest[place] * n + place, kind="stable")  # from the chunks' ends backward
+        o = np.argsort(place, kind="stable")
         place, step, piece = place[o], step[o], piece[o]
+        ptr = np.searchsorted(place, np.arange(n + 1))
+        level = rest[place].astype(np.uint16 if rest.max() < 1 << 16 else np.int64)
+        back = np.argsort(level, kind="stable")  # from the chunks' ends backward
         code = codes[place]
         size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
         w = np.where(piece >= 0, self.weights[np.maximum(piece, 0)], self.byte_weight * size)
         mass = np.zeros(n + 1)
-        level = rest[place]
+        level, at, to, v = level[back], place[back], place[back] + step[back], w[back]
+        to[step[back] == level] = n  # the chunk's end, whose mass is 0
         cut = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
         for s, e in zip(cut[:-1], cut[1:], strict=True):
-            p, q = place[s:e], place[s:e] + step[s:e]
-            w[s:e] += np.where(step[s:e] == level[s], 0.0, mass[np.minimum(q, n)])
-            head = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
-            mass[p[head]] = np.logaddexp.reduceat(w[s:e], head)
-        o = np.argsort(place, kind="stable")
-        self.step, self.piece, place = step[o], piece[o], place[o]
-        self.logp = np.minimum(w[o] - mass[place], 0.0)
-        self.ptr = np.searchsorted(place, np.arange(n + 1))
-        run = np.cumsum(np.exp(self.logp))
-        before = np.concatenate([[0.0], run])[self.ptr[place]]
-        self.cum = run - before
-        self.cum[self.ptr[1:] - 1] = 2.0  # the last edge takes the rest
-
-    def clear(self) -> None:
-        """Lets the arrays of the last chunks go."""
-        for name in ("start", "codes", "rest", "step", "piece", "logp", "ptr", "cum"):
-            self.__dict__.pop(name, None)
+            v[s:e] += mass[to[s:e]]
+            head = np.flatnonzero(np.concatenate([[True], at[s + 1 : e] != at[s : e - 1]]))
+            top = np.maximum.reduceat(v[s:e], head)
+            mass[at[s:e][head]] = top + np.log(np.add.reduceat(np.exp(v[s:e] - np.repeat(top, np.diff(np.append(head, e - s)))), head))
+        logp = np.empty(len(place))
+        logp[back] = np.minimum(v - mass[at], 0.0)
+        prob = np.exp(logp)
+        run = np.cumsum(prob)
+        cum = run - np.concatenate([[0.0], run])[ptr[place]]
+        cum[ptr[1:] - 1] = 2.0  # the last edge takes the rest
+        with np.errstate(divide="ignore"):
+            other = np.log(np.maximum(-np.expm1(logp), 0.0))  # of the edges not taken
+        other[np.diff(ptr)[place] == 1] = -np.inf
+        before = len(self.codes), len(self.step)
+        fresh = dict(start=np.cumsum(lengths) - lengths + before[0], codes=codes, rest=rest, ptr=ptr[1:] + before[1], step=step, piece=piece, logp=logp, other=other, cum=cum)
+        for name in self.PARTS:
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, fresh[name].astype(old.dtype)]))
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by probability."""
@@ -160,29 +190,105 @@ class Lattices:
     def ids(self, edges: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The piece ids along edges; characters without a piece as their bytes."""
         ids = self.piece[edges]
-        bare = np.flatnonzero(ids < 0)
-        if not len(bare):
+        bare = ids < 0
+        if not bare.any():
             return ids
-        out, last = [], 0
-        for b in bare:
-            spelled = chr(int(self.codes[places[b]])).encode("utf-8", "surrogatepass")
-            out += [ids[last:b], self.byte[list(spelled)]]
-            last = b + 1
-        return np.concatenate([*out, ids[last:]])
+        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in self.codes[places[bare]].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[bare] = [*map(len, spelled)]
+        out = np.repeat(ids, size)
+        out[out < 0] = self.byte[np.frombuffer(b"".join(spelled), np.uint8)]
+        return out
 
 
-def _uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
-    """In (0, 1), from the document's seed and a counter: no state, so that a rerun repeats it."""
-    bits = mix64(seed + (counter.astype(np.uint64) + np.uint64(1)) * _GOLD)
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """In (0, 1), from 64 bits."""
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _uniform(seed: np.ndarray, counter: int) -> np.ndarray:
+    """From the document's seed and a counter: no state, so that a rerun repeats it."""
+    with np.errstate(over="ignore"):
+        return _unit(mix64(seed + np.uint64((counter + 1) * int(_GOLD) & MASK)))
+
+
 def _below(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """A Gumbel variable at log-mass ``mass``, truncated at ``bound``."""
     g = mass - np.log(-np.log(u))
     return bound - np.logaddexp(0.0, bound - g)
 
 
+class Descent:
+    """One run of some documents down to leaves: the edges taken, and what was left beside them."""
+
+    def __init__(self, lat: Lattices, chunks: np.ndarray, count: np.ndarray, keys: np.ndarray, phi: np.ndarray, place: np.ndarray, edge: np.ndarray):
+        """chunks: of all documents, from the one where each begins; count: chunks of each; keys: a seed
+        for each chunk; phi, place, edge: log-mass, place and first edge (or -1) to begin with."""
+        head = np.cumsum(count) - count
+        at, left = lat.start[chunks], lat.rest[lat.start[chunks]].astype(np.int64)
+        end = at + left
+        at[head] = place
+        run, steps = np.zeros(len(chunks)), np.zeros(len(chunks), np.int64)
+        keep, alive, step = [], np.arange(len(chunks)), 0
+        while len(alive):
+            p = at[alive]
+            bits = keys[alive] if step == 0 else mix64(keys[alive] + np.uint64(step * int(_GOLD) & MASK))
+            e = lat.draw(p, _unit(bits))
+            inside = run[alive]
+            if step == 0 and (edge >= 0).any():
+                must = edge >= 0
+                e[head[must]] = edge[must]
+            gain = lat.logp[e]
+            if step == 0:
+                gain[head[edge >= 0]] = 0.0  # part of phi already
+            keep.append((alive, p, e, inside))
+            run[alive] = inside + gain
+            steps[alive] += 1
+            p = p + lat.step[e]
+            at[alive] = p
+            alive = alive[p < end[alive]]
+            step += 1
+        first = np.cumsum(steps) - steps
+        n = int(steps.sum())
+        self.p, self.e, self.prefix = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n)
+        for step, (alive, p, e, inside) in enumerate(keep):
+            x = first[alive] + step
+            self.p[x], self.e[x], self.prefix[x] = p, e, inside
+        before = np.cumsum(run) - run
+        before += np.repeat(phi - before[head], count)
+        self.prefix += np.repeat(before, steps)
+        self.total = before[head + count - 1] + run[head + count - 1]
+        self.first, self.lo = first, first[head]
+        self.hi = np.append(self.lo[1:], n)
+        mass = self.prefix + lat.other[self.e]
+        mass[self.lo[edge >= 0]] = -np.inf  # what is left there stays with the descent it came from
+        top = np.maximum.reduceat(mass, self.lo)
+        self.top = np.where(np.isfinite(top), top, 0.0)
+        self.weight = np.exp(mass - np.repeat(self.top, self.hi - self.lo))
+        with np.errstate(divide="ignore"):
+            self.mass = self.top + np.log(np.add.reduceat(self.weight, self.lo))
+
+    def pick(self, lat: Lattices, i: int, taken: list, u: float, v: float) -> tuple[int, int, float, float]:
+        """Of document i's edges beside its path, without those ``taken``, one by probability: (record,
+        edge, its log-mass, the log-mass of the rest)."""
+        lo, hi = int(self.lo[i]), int(self.hi[i])
+        w = self.weight[lo:hi].copy()
+        for r in {r for r, _ in taken}:
+            edges = self._beside(lat, r, taken)
+            w[r - lo] = np.exp(self.prefix[r] - self.top[i]) * np.exp(lat.logp[edges]).sum()
+        cum = np.cumsum(w)
+        r = lo + int(min(np.searchsorted(cum, u * cum[-1], side="right"), np.flatnonzero(w)[-1]))
+        edges = self._beside(lat, r, taken)
+        q = np.exp(lat.logp[edges])
+        k = int(min(np.searchsorted(np.cumsum(q), v * q.sum(), side="right"), len(q) - 1))
+        rest = w.sum() - w[r - lo] + np.exp(self.prefix[r] - self.top[i]) * np.delete(q, k).sum()
+        return r, int(edges[k]), float(self.prefix[r] + lat.logp[edges[k]]), float(self.top[i] + np.log(rest)) if rest > 0 else -np.inf
+
+    def _beside(self, lat: Lattices, r: int, taken: list) -> np.ndarray:
+        edges = np.arange(lat.ptr[self.p[r]], lat.ptr[self.p[r] + 1])
+        return edges[(edges != self.e[r]) & ~np.isin(edges, [e for x, e in taken if x == r])]
+
+
 def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarray, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
     """For each document (an array of chunk numbers), up to k distinct segmentations as (log-
     probability, log of the inclusion score, piece ids), the largest perturbed value first."""
@@ -190,117 +296,49 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
     sizes = np.array([len(d) for d in docs], np.int64)
     first = np.cumsum(sizes) - sizes
     chunk = np.concatenate(docs) if m else np.empty(0, np.int64)
-    doc_of = np.repeat(np.arange(m), sizes)
-    live = sizes > 0
-    with np.errstate(divide="ignore"):
-        bound = -np.log(-np.log(_uniform(seeds, np.zeros(m, np.uint64))))
-    phi0 = np.zeros(m)  # log-mass where the descent begins
-    from_chunk = np.zeros(m, np.int64)  # number of the chunk in its document
-    from_place = np.where(live, lat.start[chunk[np.minimum(first, max(0, len(chunk) - 1))]], 0) if len(chunk) else np.zeros(m, np.int64)
-    history: list[dict] = []
-    pool = [[] for _ in range(m)]  # (bound, pass, record) ; record -1: edges left at a place already branched
+    active = np.flatnonzero(sizes > 0)
+    bound = -np.log(-np.log(_uniform(seeds, 0)))
+    phi, skip, place = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)  # where a descent begins
+    place[active] = lat.start[chunk[first[active]]]
+    edge = np.full(m, -1, np.int64)  # the edge that a branch begins with
+    head: list[np.ndarray] = [np.empty(0, np.int64)] * m  # the ids before it
+    history: list[tuple[Descent, np.ndarray, list]] = []
+    pool: list[list] = [[] for _ in range(m)]  # (bound, turn, number in it, edges taken): what is left beside a path
     out: list[list] = [[] for _ in range(m)]
-    active = np.flatnonzero(live)
-    edge0 = np.full(m, -1, np.int64)  # the edge that a branch begins with
-    parents = [None] * m
     for turn in range(k):
         if not len(active):
             break
-        # the chunks from the branch on, in document order
-        count = sizes[active] - from_chunk[active]
-        flat = np.repeat(first[active] + from_chunk[active] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        owner = doc_of[flat]
-        head = np.cumsum(count) - count
-        place = lat.start[chunk[flat]].copy()
-        end = place + lat.rest[place]
-        run = np.zeros(len(flat))
-        place[head] = from_place[active]
-        forced = np.full(len(flat), -1, np.int64)
-        forced[head] = edge0[active]
-        keep = []
-        alive = np.arange(len(flat))
-        step = 0
-        while len(alive):
-            p = place[alive]
-            salt = (np.uint64(turn + 1) << np.uint64(52)) + (flat[alive] - first[owner[alive]]).astype(np.uint64) * np.uint64(4099) + np.uint64(step) * np.uint64(1 << 34)
-            e = lat.draw(p, _uniform(seeds[owner[alive]], salt))
-            must = forced[alive]
-            e = np.where(must >= 0, must, e)
-            forced[alive] = -1
-            lp = lat.logp[e]
-            keep.append((alive, p, e, run[alive].copy(), must >= 0))
-            run[alive] += np.where(must >= 0, 0.0, lp)
-            place[alive] = p + lat.step[e]
-            alive = alive[place[alive] < end[alive]]
-            step += 1
-        at, p, e, inside, given = map(np.concatenate, zip(*keep, strict=True))
-        o = np.argsort(at, kind="stable")
-        at, p, e, inside, given = at[o], p[o], e[o], inside[o], given[o]
-        before = np.cumsum(run) - run
-        before -= np.repeat(before[head], count)
-        d = owner[at]
-        prefix = phi0[d] + before[at] + inside
-        with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(-np.expm1(lat.logp[e]), 0.0))
-        rest[lat.ptr[p + 1] - lat.ptr[p] == 1] = -np.inf
-        rest[given] = -np.inf  # what is left there stays in the pool of the pass it came from
-        mass = prefix + rest
-        number = np.arange(len(at)) - np.searchsorted(at, at)
-        salt = (np.uint64(turn + 1 + 512) << np.uint64(52)) + (flat[at] - first[d]).astype(np.uint64) * np.uint64(4099) + number.astype(np.uint64) * np.uint64(1 << 34)
-        value = np.full(len(at), -np.inf)
-        some = np.isfinite(mass)
-        value[some] = _below(mass[some], bound[d[some]], _uniform(seeds[d[some]], salt[some]))
-        lo = np.searchsorted(d, active)
-        hi = np.searchsorted(d, active, side="right")
-        total = phi0.copy()
-        np.add.at(total, owner, run)
-        history.append({"p": p, "e": e, "d": d, "at": flat[at], "prefix": prefix})
-        nxt = []
-        pieces = lat.piece[e]
-        bare = np.flatnonzero(pieces < 0)
-        spelled = np.searchsorted(bare, hi) > np.searchsorted(bare, lo)
-        for a, s, t, bytes_ in zip(active, lo, hi, spelled, strict=True):
-            v = value[s:t]
-            best = np.argpartition(-v, min(k, len(v) - 1))[: k + 1] if len(v) > k + 1 else np.arange(len(v))
-            pool[a] += [(v[x], turn, s + x, None) for x in best if v[x] > -np.inf]
-            own = lat.ids(e[s:t], p[s:t]) if bytes_ else pieces[s:t]
-            if parents[a] is not None:
-                t0, r0 = parents[a]
-                own = np.concatenate([_prefix_ids(lat, history, t0, r0, a, out), own])
-            out[a].append([total[a], bound[a], own, (turn, s)])
-            if not pool[a]:
-                continue
+        count = sizes[active] - skip[active]
+        number = np.arange(int(count.sum())) + np.repeat(skip[active] - (np.cumsum(count) - count), count)
+        keys = mix64(np.repeat(seeds[active] + np.uint64((turn + 1) * int(_BASE)), count) + (number.astype(np.uint64) + np.uint64(2)) * _GOLD)
+        run = Descent(lat, chunk[np.repeat(first[active], count) + number], count, keys, phi[active], place[active], edge[active])
+        history.append((run, number, [head[a] for a in active]))
+        best = _below(run.mass, bound[active], _uniform(seeds[active], 1000 * turn + 17))
+        spelled = np.add.reduceat(lat.piece[run.e] < 0, run.lo) > 0
+        for i, a in enumerate(active):
+            lo, hi = run.lo[i], run.hi[i]
+            own = lat.ids(run.e[lo:hi], run.p[lo:hi]) if spelled[i] else lat.piece[run.e[lo:hi]]
+            out[a].append((run.total[i], np.concatenate([head[a], own]) if len(head[a]) else own))
+            if best[i] > -np.inf:
+                pool[a].append((best[i], turn, i, []))
             pool[a].sort(key=lambda x: x[0])
-            nxt.append(a)
         if turn + 1 == k:
             break
-        go = []
-        for a in nxt:
-            v, t0, r, taken = pool[a].pop()
-            hist = history[t0]
-            place0, chosen = hist["p"][r], hist["e"][r]
-            taken = (taken or ()) + (() if taken else (chosen,))
-            edges = np.arange(lat.ptr[place0], lat.ptr[place0 + 1])
-            edges = edges[~np.isin(edges, taken)]
-            q = np.exp(lat.logp[edges])
-            u = _uniform(seeds[a : a + 1], np.array([(turn + 2) * 7919 + 3], np.uint64))[0]
-            pick = int(min(np.searchsorted(np.cumsum(q), u * q.sum(), side="right"), len(edges) - 1))
-            left = np.delete(q, pick).sum()
-            phi0[a] = hist["prefix"][r] + lat.logp[edges[pick]]
-            bound[a] = v
-            edge0[a], from_place[a] = edges[pick], place0
-            from_chunk[a] = hist["at"][r] - first[a]
-            if left > 0:
-                u = _uniform(seeds[a : a + 1], np.array([(turn + 2) * 7919 + 5], np.uint64))
-                w = _below(np.array([hist["prefix"][r] + np.log(left)]), np.array([v]), u)[0]
-                pool[a].append((w, t0, r, (*taken, edges[pick])))
-            parents[a] = (t0, r)
-            go.append(a)
-        active = np.array(go, np.int64)
+        active = np.array([a for a in active if pool[a]], np.int64)
+        for a in active:
+            v, t, i, taken = pool[a].pop()
+            run, number, heads = history[t]
+            u = [_uniform(seeds[a : a + 1], 1000 * turn + x) for x in (101, 102, 103)]
+            r, edge[a], phi[a], rest = run.pick(lat, i, taken, float(u[0][0]), float(u[1][0]))
+            bound[a], place[a] = v, run.p[r]
+            skip[a] = number[np.searchsorted(run.first, r, side="right") - 1]
+            head[a] = np.concatenate([heads[i], lat.ids(run.e[run.lo[i] : r], run.p[run.lo[i] : r])])
+            if rest > -np.inf:
+                pool[a].append((float(_below(np.array([rest]), np.array([v]), u[2])[0]), t, i, [*taken, (r, edge[a])]))
     done = []
     for a in range(m):
         kappa = max((x[0] for x in pool[a]), default=-np.inf)
-        done.append([(lp, _log_inclusion(lp - kappa) if kappa > -np.inf else 0.0, ids) for lp, _, ids, _ in out[a]])
+        done.append([(lp, _log_inclusion(lp - kappa) if kappa > -np.inf else 0.0, ids) for lp, ids in out[a]])
     return done
 
 
@@ -310,64 +348,74 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 50.0)))))
 
 
-def _prefix_ids(lat: Lattices, history: list[dict], turn: int, record: int, doc: int, out: list) -> np.ndarray:
-    """The piece ids before a record: those of its own pass, after those that pass began with."""
-    hist = history[turn]
-    begin = next(s for _, _, _, (t, s) in out[doc] if t == turn)
-    own = lat.ids(hist["e"][begin:record], hist["p"][begin:record])
-    whole = next(ids for _, _, ids, (t, _) in out[doc] if t == turn)
-    n_pass = len(lat.ids(hist["e"][begin : np.searchsorted(hist["d"], doc, side="right")], hist["p"][begin : np.searchsorted(hist["d"], doc, side="right")]))
-    return np.concatenate([whole[: len(whole) - n_pass], own])
+#: Chunks kept between batches; the frequent ones are soon seen again.
+MOST_CHUNKS = 250_000
+
+
+class Coder:
+    """Encodes and samples batches of texts; remembers chunks, up to a bound, with their pieces and lattices."""
+
+    def __init__(self, model: bytes, alpha: float, k: int):
+        self.sp, self.k = load(model), k
+        self.lat = Lattices(self.sp, alpha)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.pieces, self.begin = Numbers(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.lat.clear()
+
+    def run(self, texts: list, keys: np.ndarray):
+        """For each text: number of pieces, their crc32, whether they decode to it, the samples, the pieces."""
+        if len(self.number) > MOST_CHUNKS:
+            self.forget()
+        known = len(self.number)
+        lists = [np.fromiter(map(self.number.__getitem__, c), np.int64, len(c)) for c in (chunks_of(t or "") for t in texts)]
+        fresh = list(itertools.islice(self.number, known, None))
+        coded = self.sp.encode([c[1:].replace(SPACE, " ") for c in fresh], num_threads=1) if fresh else []
+        self.pieces = np.concatenate([self.pieces, np.fromiter(itertools.chain.from_iterable(coded), np.int32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
+        self.lat.add(fresh)
+        with np.errstate(over="ignore"):
+            seeds = mix64(keys.view(np.uint64) ^ np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64))
+            sampled = sample_segmentations(self.lat, lists, seeds, self.k)
+        for t, c, s in zip(texts, lists, sampled, strict=True):
+            size = self.begin[c + 1] - self.begin[c]
+            ids = self.pieces[np.repeat(self.begin[c] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if len(c) else np.empty(0, np.int32)
+            same = self.sp.decode(ids.tolist()) == (t or "")
+            yield len(ids), zlib.crc32(ids.tobytes()), same, [{"n_pieces": len(x), "log_prob": lp, "inclusion": np.exp(inc), "log_inclusion": inc, "crc32": zlib.crc32(x.astype(np.int32).tobytes())} for lp, inc, x in s], ids
 
 
 def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_path: str = MODEL, key_cols: tuple = ("doc_id",), text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The columns of ``docs`` with _n_pieces, _pieces_crc32 (of the ids as 32-bit little-endian
     numbers), _round_trip (the ids decode to the text), _samples (array of n_pieces, log_prob,
-    inclusion, crc32), and, if asked for, _ids.
+    inclusion, log_inclusion, crc32), and, if asked for, _ids. An input column of such a name gives way.
 
     The model's file is read by the driver and its bytes (under 1 MB) go with the code. Null and
     empty texts have no pieces and no samples; a text with fewer segmentations than k has all of
-    them, with inclusion 1; rows with equal keys and texts sample alike. U+2581 in a text decodes
-    to a space, so that such a text has no round trip. An empty table gives no rows.
+    them, with inclusion 1; rows with equal keys and texts sample alike, and a null key is a key of
+    its own. U+2581 in a text decodes to a space, so that such a text has no round trip. An empty
+    table gives no rows.
     """
     model = open(model_path, "rb").read()
     sample = T.StructType([T.StructField("n_pieces", T.IntegerType()), T.StructField("log_prob", T.DoubleType()), T.StructField("inclusion", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType()), T.StructField("crc32", T.LongType())])
     extra = [T.StructField("_n_pieces", T.LongType()), T.StructField("_pieces_crc32", T.LongType()), T.StructField("_round_trip", T.BooleanType()), T.StructField("_samples", T.ArrayType(sample))]
     extra += [T.StructField("_ids", T.ArrayType(T.IntegerType()))] * with_ids
+    docs = without(docs, [f.name for f in extra])
     at = docs.columns.index(text_col)
-    keyed = docs.withColumn("_sp_key", F.xxhash64(*key_cols))
+    keyed = docs.withColumn(free_name(docs.columns, "_key"), F.xxhash64(*key_cols))
     arrow = pa.list_(pa.struct([("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("crc32", pa.int64())]))
 
-    def part(sp, lat, texts, keys):
-        number = Numbers()
-        lists = [np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in (chunks_of(t or "") for t in texts)]
-        names = list(number)
-        coded = sp.encode([c[1:].replace(SPACE, " ") for c in names], num_threads=1) if names else []
-        if names:
-            lat.build(names)
-        flat = np.array([x for c in coded for x in c], np.int32)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        begin = np.cumsum(sizes) - sizes
-        seeds = mix64(np.array(keys, np.int64).view(np.uint64) ^ np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64))
-        sampled = sample_segmentations(lat, lists, seeds, k) if names else [[] for _ in texts]
-        for t, c, s in zip(texts, lists, sampled, strict=True):
-            size = sizes[c]
-            ids = flat[np.repeat(begin[c] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if len(c) else np.empty(0, np.int32)
-            same = sp.decode(ids.tolist()) == (t or "")
-            yield len(ids), zlib.crc32(ids.tobytes()), same, [{"n_pieces": len(x), "log_prob": lp, "inclusion": np.exp(inc), "log_inclusion": inc, "crc32": zlib.crc32(x.astype(np.int32).tobytes())} for lp, inc, x in s], ids
-
     def run(batches):
-        sp = load(model)
-        lat = Lattices(sp, alpha)
+        coder = Coder(model, alpha, k)
         for batch in batches:
-            texts, keys = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            texts, keys = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_numpy()
             s = 0
             while s < len(texts):
                 e, size = s, 0
                 while e < len(texts) and (e == s or size + (texts[e] or "").count(" ") < BATCH_CHUNKS):
                     size += (texts[e] or "").count(" ") + 1
                     e += 1
-                n, crc, same, samples, ids = zip(*part(sp, lat, texts[s:e], keys[s:e]), strict=True)
+                n, crc, same, samples, ids = zip(*coder.run(texts[s:e], keys[s:e]), strict=True)
                 arrays = [c.slice(s, e - s) for c in batch.columns[:-1]]
                 arrays += [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(samples, arrow)]
                 if with_ids:
@@ -375,15 +423,16 @@ def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_pat
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *[f.name for f in extra]])
                 s = e
                 del arrays, n, crc, same, samples, ids
-                lat.clear()
                 release_memory()
 
     return keyed.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
 def decode_pieces(coded: DataFrame, ids_col: str = "_ids", model_path: str = MODEL) -> DataFrame:
-    """Adds _text, decoded from an array of piece ids; null ids stay null."""
+    """Adds _text (an input column of that name gives way), decoded from an array of piece ids; null
+    ids stay null; an empty table gives no rows."""
     model = open(model_path, "rb").read()
+    coded = without(coded, ["_text"])
     at = coded.columns.index(ids_col)
 
     def run(batches):
