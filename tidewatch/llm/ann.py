@@ -340,7 +340,7 @@ def _search(state: DataFrame, links: DataFrame, vectors: DataFrame, count: int,
             floor = F.when(F.size("scores") >= beam, F.element_at("scores", -1)).otherwise(float("-inf"))
             asks = state.select("blk", "id", F.col("vec").alias("q"), floor.alias("floor"), F.explode(F.expr("transform(_go, i -> ids[i])")).alias("node"))
             found = asks.join(spark.table(name), "node").select("blk", "id", "node", "q", "floor", "vec", "near", "codes").mapInArrow(_expand, "blk int, id long, node long, ids array<long>, scores array<double>")
-            state = state.withColumn("open", F.expr("transform(open, (o, i) -> o and not array_contains(_go, i))")).drop("_go")
+            state = state.withColumn("open", F.expr("transform(open, (o, i) -> o and i > coalesce(array_max(_go), -1))")).drop("_go")
             state = durable(_merge(state, found, beam), "search")
             if state.where(F.exists("open", lambda x: x)).count() <= left * asking:
                 return state
