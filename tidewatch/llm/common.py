@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,13 @@ MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Only in local mode, where there
+    is one machine, a temporary one stands in; elsewhere a session without such a folder is refused."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -69,6 +74,34 @@ def release_memory() -> None:
         trim(0)
 
 
+def summed_matrix(rows: DataFrame, make: Callable[[pd.DataFrame], np.ndarray], width: int, meet: int = 8) -> np.ndarray:
+    """The sum of ``make(batch)``, a width x width matrix, over all batches of all partitions. Each task
+    sums its own, ``meet`` tasks add these up, and the driver adds what is left: meet * width squared numbers."""
+
+    def out(total):
+        return pd.DataFrame({"i": np.arange(width), "v": list(total)})
+
+    def own(batches):
+        total = np.zeros((width, width))
+        for pdf in batches:
+            if len(pdf):
+                total += make(pdf)
+        yield out(total)
+
+    def add(batches):
+        total = np.zeros((width, width))
+        for pdf in batches:
+            if len(pdf):
+                np.add.at(total, pdf.i.to_numpy(), np.stack(pdf.v.to_numpy()))
+        yield out(total)
+
+    schema = "i int, v array<double>"
+    total = np.zeros((width, width))
+    for r in rows.mapInPandas(own, schema).repartition(meet).mapInPandas(add, schema).collect():
+        total[r.i] += r.v
+    return total
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when it has grown past ``bound`` words."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -13,25 +13,34 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def _low_bit(c: str) -> Column:
+    """A second join key that follows from the first. With it, Spark deals a grouped minimum and the rows
+    that it is joined with anew, and so can split the rows of a hot node among tasks."""
+    return F.col(c).bitwiseAND(F.lit(1))
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of an edge: component is the smallest node reachable.
 
     Each round hangs every node's larger neighbours on its smallest neighbour (large star), then its
     smaller ones (small star); a forest of stars is left after about log(n) rounds. Every step is a
     grouped minimum and a join; rounds are cut by tables in the shared folder. Nulls and self-loops
-    are dropped; no edges give no rows.
+    are dropped; no edges give no rows. It raises if ``most_rounds`` are not enough, rather than give
+    unfinished components.
     """
     e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = durable(e, "edges")
     state = _state(e)
-    for _ in range(most_rounds):
+    for turn in range(most_rounds + 1):
         if not state[0]:
             break
+        if turn == most_rounds:
+            raise RuntimeError(f"components are not finished after {most_rounds} rounds")
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), _low_bit("u").alias("bit"))
+        large = both.where("v > u").withColumn("bit", _low_bit("u")).join(least, ["u", "bit"]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("bit", _low_bit("hi"))
+        small = large.withColumn("bit", _low_bit("hi")).join(least, ["hi", "bit"])
         hung = small.select(F.col("m").alias("lo"), "hi").union(small.where("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
         e = durable(hung.distinct(), "stars")
         now = _state(e)

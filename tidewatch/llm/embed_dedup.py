@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, summed_matrix
 from .components import connected_components, local_roots
 
-#: Cells along the first principal components; their boxes are what is broadcast, at any input size.
+#: Cells along the first principal component; their boxes are what is sent to tasks, at any input size.
 MOST_CELLS = 1024
+#: A tile has so many numbers at most; a table that fits in fewer is still cut into LEAST_TILES.
+TILE_NUMBERS, LEAST_TILES = 1 << 22, 8
 #: Principal components whose ranges a cell's box records.
 BOX = 4
 BLOCK = 512
@@ -30,21 +32,13 @@ def unit_rows(v) -> np.ndarray:
 
 
 def second_moment(rows: DataFrame, d: int) -> np.ndarray:
-    """The d x d sum of outer products of the unit vectors: each task sums its rows, Spark adds."""
+    """The d x d sum of outer products of the unit vectors."""
 
-    def partial(batches):
-        total = np.zeros((d, d))
-        for pdf in batches:
-            if len(pdf):
-                u = unit_rows(pdf.v)
-                total += u.T @ u
-        yield pd.DataFrame({"i": np.arange(d), "v": list(total)})
+    def square(pdf: pd.DataFrame) -> np.ndarray:
+        u = unit_rows(pdf.v)
+        return u.T @ u
 
-    cells = rows.select("v").mapInPandas(partial, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    out = np.zeros((d, d))
-    for r in cells.collect():  # d squared
-        out[r.i, r.j] = r.v
-    return out
+    return summed_matrix(rows.select("v"), square, d)
 
 
 def links_between(a: np.ndarray, b: np.ndarray, threshold: float, basis: np.ndarray, same: bool):
@@ -52,61 +46,90 @@ def links_between(a: np.ndarray, b: np.ndarray, threshold: float, basis: np.ndar
 
     In principal coordinates, the leading half of the dimensions is multiplied first; with the
     product of the suffix norms it bounds the cosine (Cauchy-Schwarz). Pairs still open get a
-    further quarter, then the rest; what passes is confirmed on the unit vectors in double.
+    further quarter, then the rest: pair by pair if they are few, else (a crowd of near copies) as
+    further slices of the matrix product. What comes within rounding of the threshold is decided on
+    the unit vectors in double.
     """
     d = a.shape[1]
-    cuts = sorted({max(1, d // 2), max(1, 3 * d // 4)})
+    cuts = sorted({max(1, d // 2), max(1, 3 * d // 4), d})
     pa, pb = a @ basis, b @ basis
     tail = lambda p, k: np.sqrt(np.maximum((p[:, k:] ** 2).sum(1), 0.0))
     ta, tb = [tail(pa, k) for k in cuts], [tail(pb, k) for k in cuts]
     fa, fb = pa[:, : cuts[0]].astype(np.float32), pb[:, : cuts[0]].astype(np.float32)
+
+    def exact(i, j):
+        return np.concatenate([np.einsum("ij,ij->i", a[i[x : x + 65536]], b[j[x : x + 65536]]) for x in range(0, len(i), 65536)]) if len(i) else np.empty(0)
+
     for s in range(0, len(a), BLOCK):
         e = min(s + BLOCK, len(a))
         lead = fa[s:e] @ fb.T
-        lead += np.outer(ta[0][s:e], tb[0]).astype(np.float32)
-        i, j = np.nonzero(lead >= threshold - 1e-4)
-        if len(i) > 0.2 * lead.size:  # a crowd of near copies: one plain product is cheaper
-            i, j = np.nonzero(a[s:e] @ b.T >= threshold)
+        i, j = np.nonzero(lead + np.outer(ta[0][s:e], tb[0]).astype(np.float32) >= threshold - 1e-4)
+        if len(i) > 0.2 * lead.size:
+            done = pa[s:e, : cuts[0]] @ pb[:, : cuts[0]].T
+            for n, k in enumerate(cuts[1:], 1):
+                done += pa[s:e, cuts[n - 1] : k] @ pb[:, cuts[n - 1] : k].T
+                if not (done + np.outer(ta[n][s:e], tb[n]) >= threshold - 1e-9).any():
+                    break
+            i, j = np.nonzero(done >= threshold - 1e-9)
+            close = np.flatnonzero(done[i, j] < threshold + 1e-9)
             i = i + s
+            link = np.ones(len(i), bool)
+            link[close] = exact(i[close], j[close]) >= threshold
+            i, j = i[link], j[link]
         else:
             i = i + s
-            if len(cuts) > 1 and len(i):
-                k = cuts[1]
-                open_ = np.concatenate([np.einsum("ij,ij->i", pa[i[x : x + 65536], :k], pb[j[x : x + 65536], :k]) + ta[1][i[x : x + 65536]] * tb[1][j[x : x + 65536]] for x in range(0, len(i), 65536)]) >= threshold - 1e-9
+            for n, k in enumerate(cuts[1:-1], 1):
+                open_ = np.zeros(len(i), bool)
+                for x in range(0, len(i), 65536):
+                    u, v = i[x : x + 65536], j[x : x + 65536]
+                    open_[x : x + 65536] = np.einsum("ij,ij->i", pa[u, :k], pb[v, :k]) + ta[n][u] * tb[n][v] >= threshold - 1e-9
                 i, j = i[open_], j[open_]
-            if len(i):
-                full = np.concatenate([np.einsum("ij,ij->i", a[i[x : x + 65536]], b[j[x : x + 65536]]) for x in range(0, len(i), 65536)]) >= threshold
-                i, j = i[full], j[full]
+            link = exact(i, j) >= threshold
+            i, j = i[link], j[link]
         if same:
             i, j = i[i < j], j[i < j]
         if len(i):
             yield i, j
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = 4096) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tile: int | None = None) -> DataFrame:
     """id, n_links, component_id, kept for each row.
 
     Equal vectors are grouped first and compared once. The distinct ones are cut into cells along the
     first principal component, each cell into tiles of about ``tile`` rows by a hash of the id, so
-    that no task holds more than two tiles however crowded a cell is. A row goes to those pairs of
+    that no task holds more than two tiles however crowded a cell is. Without ``tile``, a tile has as
+    many rows as TILE_NUMBERS allow, but an eighth of the table at most: a row is then sent to eight
+    tiles at most, until the table has more than eight full ones. A row goes to those pairs of
     tiles only whose box in the leading components it can reach: unit vectors with cosine c are
     sqrt(2 - 2c) apart. A task returns sums of links and, for each row, its root in the task's own
     forest: never pairs.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
-    do those of another length than most; a row without id has no links and a null component. Rows
-    that share an id are one node. An empty table gives no rows; other columns are ignored.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; a cosine
+    is defined between vectors of one length only, so that each length is compared by itself. A row
+    without id has no links and a null component. Ids are meant to be unique: rows that share one are
+    each judged by their own vector. An empty table gives no rows; other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("v"))
     good = rows.where(usable(F.col("v")) & F.col("_id").isNotNull())
-    lengths = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
-        return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
-    d = lengths[0].d
-    good = good.where(F.size("v") == d)
+    lengths = [r.d for r in good.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # as many as there are widths of vectors
+    classes = edges = None
+    for d in lengths:
+        found, links = _linked(good.where(F.size("v") == d), d, threshold, tile)
+        classes = found if classes is None else classes.unionByName(found)
+        edges = links if edges is None else edges.unionByName(links)
+    ok = usable(F.col("v")) & F.col("_id").isNotNull()
+    out = rows.where(~ok).select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_component"))
+    if lengths:
+        classes = classes.join(connected_components(edges), F.col("_class") == F.col("node"), "left").select("_v", "_links", F.coalesce("component", "_class").alias("_component"))
+        out = good.join(classes, F.col("v") == F.col("_v")).select("_id", "_links", "_component").unionByName(out)
+    return out.select(F.col("_id").alias(id_col), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), F.coalesce(F.col("_id") == F.col("_component"), F.lit(False)).alias("kept"))
+
+
+def _linked(good: DataFrame, d: int, threshold: float, tile: int | None) -> tuple[DataFrame, DataFrame]:
+    """Of vectors of one length, the distinct ones (_v, _class, _links), and links (a, b) that connect what is linked."""
     distinct = durable(good.groupBy("v").agg(F.min("_id").alias("id"), F.count("*").alias("n")), "vectors")
     count = distinct.count()
+    tile = tile or max(1, min(TILE_NUMBERS // d, -(-count // LEAST_TILES)))
     _, basis = np.linalg.eigh(second_moment(distinct, d))
     basis = np.ascontiguousarray(basis[:, ::-1])
     box = min(BOX, d)
@@ -171,9 +194,5 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     dealt = placed.select("id", "n", "v", "p", "cell").mapInPandas(deal, "pair long, left boolean, id long, n long, v binary")
     found = durable(dealt.groupBy("pair").applyInPandas(compare, "id long, links long, root long"), "links")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
-    component = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = distinct.join(sums, "id", "left").join(component, F.col("id") == F.col("node"), "left").select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "id").alias("_component"))
-    ok = usable(F.col("v")) & F.col("_id").isNotNull()
-    alone = rows.where(~ok | (F.size("v") != d)).select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_component"))
-    linked = good.join(classes, F.col("v") == F.col("_v")).select("_id", "_links", "_component")
-    return linked.unionByName(alone).select(F.col("_id").alias(id_col), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), F.coalesce(F.col("_id") == F.col("_component"), F.lit(False)).alias("kept"))
+    classes = distinct.join(sums, "id", "left").select(F.col("v").alias("_v"), F.col("id").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"))
+    return classes, found.select(F.col("id").alias("a"), F.col("root").alias("b"))

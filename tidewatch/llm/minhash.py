@@ -7,9 +7,8 @@ by pigeonhole all pairs within distance 31 share a chunk with at most one error,
 the four keys of each chunk that leave one symbol out. At Jaccard 0.75, a distance over 31 has
 probability 1.4e-5.
 
-Before texts are compared, a pair must also pass two cheaper tests: 64 further symbols of 8 bits,
-with which the distance may be 54 of 128 at most (at Jaccard 0.75, missed with probability 6e-6),
-and the sizes of the sets, which cannot differ by more than the wanted share (no misses).
+Before texts are compared, a pair must also have sets of sizes that a link allows: they cannot differ
+by more than the wanted share, so that this test loses nothing.
 """
 
 from __future__ import annotations
@@ -30,11 +29,9 @@ MOST_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
 SMALL, TILE = 48, 1024
 #: Rounds in which bucket mates in different components meet a centre, before all of those pairs do.
 STAR_ROUNDS = 1
-#: Further symbols, and the most distance over all of them.
-MORE, MOST_ALL = 64, 54
-#: Bytes of a signature: symbols of 16 and of 8 bits, the size of the set.
-WIDTH = 2 * SYMBOLS + MORE + 4
-_MULTIPLIERS = (np.random.default_rng(90125).integers(1, 1 << 62, SYMBOLS + MORE, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Bytes of a signature: symbols of 16 bits, the size of the set.
+WIDTH = 2 * SYMBOLS + 4
+_MULTIPLIERS = (np.random.default_rng(90125).integers(1, 1 << 62, SYMBOLS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
@@ -47,11 +44,10 @@ def shingle_set(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> bytes:
     """The low bits of each hash function's minimum, and the size of the set."""
-    low = np.full(SYMBOLS + MORE, np.uint64(0xFFFFFFFFFFFFFFFF))
+    low = np.full(SYMBOLS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for s in range(0, len(shingles), 1024):
         np.minimum(low, (_MULTIPLIERS[:, None] * shingles[None, s : s + 1024]).min(axis=1), out=low)
-    low = mix64(low)
-    return (low[:SYMBOLS] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + (low[SYMBOLS:] & np.uint64(0xFF)).astype(np.uint8).tobytes() + np.uint32(min(len(shingles), 0xFFFFFFFF)).tobytes()
+    return (mix64(low) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() + np.uint32(min(len(shingles), 0xFFFFFFFF)).tobytes()
 
 
 class Signatures:
@@ -62,19 +58,16 @@ class Signatures:
             return
         raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, WIDTH)
         self.main = np.ascontiguousarray(raw[:, : 2 * SYMBOLS]).view(np.uint16)
-        self.more = raw[:, 2 * SYMBOLS : 2 * SYMBOLS + MORE]
-        self.size = np.ascontiguousarray(raw[:, 2 * SYMBOLS + MORE :]).view(np.uint32)[:, 0].astype(np.int64)
+        self.size = np.ascontiguousarray(raw[:, 2 * SYMBOLS :]).view(np.uint32)[:, 0].astype(np.int64)
 
     def __getitem__(self, i) -> Signatures:
         out = Signatures()
-        out.main, out.more, out.size = self.main[i], self.more[i], self.size[i]
+        out.main, out.size = self.main[i], self.size[i]
         return out
 
     def near(self, other: Signatures, percent: int) -> np.ndarray:
-        """Row by row: within the signature distances, and of sizes that a link allows."""
-        apart = (self.main != other.main).sum(axis=1)
-        every = apart + (self.more != other.more).sum(axis=1)
-        return (apart <= MOST_DISTANCE) & (every <= MOST_ALL) & (100 * np.minimum(self.size, other.size) >= percent * np.maximum(self.size, other.size))
+        """Row by row: within the signature distance, and of sizes that a link allows."""
+        return ((self.main != other.main).sum(axis=1) <= MOST_DISTANCE) & (100 * np.minimum(self.size, other.size) >= percent * np.maximum(self.size, other.size))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -142,23 +135,23 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
     x = texts.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta"))
     y = texts.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb"))
     p = pairs.join(keyed.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keyed.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
-    p = p.join(x, ["a", "ka"]).join(y, ["b", "kb"]).select("a", "b", "ta", "tb")
+    p = p.join(x, ["a", "ka"]).join(y, ["b", "kb"]).select("a", "b", "ka", "kb", "ta", "tb")
 
     def verify(batches):
         hashes, sets = WordHashes(), {}
 
-        def of(i, text):
-            if (i, len(text)) not in sets:
+        def of(i, key, text):
+            if (i, key) not in sets:
                 if len(sets) > 64:
                     sets.clear()
-                sets[i, len(text)] = shingle_set(text, hashes, k)
-            return sets[i, len(text)]
+                sets[i, key] = shingle_set(text, hashes, k)
+            return sets[i, key]
 
         for batch in batches:
-            a, b, ta, tb = (batch.column(x).to_pylist() for x in range(4))
+            a, b, ka, kb, ta, tb = (batch.column(x).to_pylist() for x in range(6))
             keep = []
-            for i, j, s, t in zip(a, b, ta, tb, strict=True):
-                u, v = of(i, s), of(j, t)
+            for i, j, x, y, s, t in zip(a, b, ka, kb, ta, tb, strict=True):
+                u, v = of(i, x, s), of(j, y, t)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             keep = np.array(keep, bool)
@@ -303,6 +296,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     reps = durable(reps, "classes")
     n = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    repeated = durable(signed.where("id is not null").groupBy("id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select("id", "key"), "repeated")
+    if not repeated.isEmpty():  # a row stands once for its repeats, so that m of them do not make m times m pairs
+        texts = texts.join(repeated, ["id", "key"], "left_anti").unionByName(texts.join(repeated, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first("text").alias("text")))
     keys = chunk_keys(reps.withColumn("label", F.col("id"))).select("bucket", "id").repartition(n, "bucket")
     least = keys.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select("bucket", "b")
     stars = keys.join(least, "bucket").where("id > b").select(F.col("id").alias("a"), "b").distinct()

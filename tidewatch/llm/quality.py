@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_key
+from .common import durable, row_key, summed_matrix
 
 STATISTICS = (
     "log_bytes log_words mean_word sd_word upper digits marks pipes space high repeated_word repeated_line log_line marked_words loud_words lone_marks common short_line max_line double_mark"
@@ -115,23 +115,13 @@ def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, make, width: int) -> np.ndarray:
-    """The sum over all rows of ``make(x, y)``'s outer products: each task sums its own rows, the
-    rows of the small square are then added up by Spark, and a width x width square remains."""
+    """The sum over all rows of ``make(x, y)``'s outer products."""
 
-    def partial(batches):
-        total = np.zeros((width, width))
-        for pdf in batches:
-            if len(pdf):
-                f = make(np.stack(pdf.x.to_numpy()).astype(float), pdf.y.to_numpy(float))
-                total += f.T @ f
-        yield pd.DataFrame({"i": np.arange(width), "v": list(total)})
-
-    sums = rows.select("x", "y").mapInPandas(partial, "i int, v array<double>")
-    cells = sums.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    out = np.zeros((width, width))
-    for r in cells.collect():  # width squared, fixed
-        out[r.i, r.j] = r.v
-    return out
+    def square(pdf: pd.DataFrame) -> np.ndarray:
+        f = make(np.stack(pdf.x.to_numpy()).astype(float), pdf.y.to_numpy(float))
+        return f.T @ f
+
+    return summed_matrix(rows.select("x", "y"), square, width)
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", waves: int = 160, ridge: float = 1e-3, most_labelled: int = 1_000_000, seed: int = 5) -> QualityModel:
