@@ -300,6 +300,23 @@ def test_neighbours_in_islands(spark):
     assert len(got) == 1200 and hit >= 0.97 * 1200
 
 
+def test_clashing_names(spark):
+    """Columns that are called like an operator's own, or like its working ones."""
+    names = "_rate _copies _copy _ORDER _mix _salt _u _source _draws _cdf _n_words _n_removed _kept_sha256 _kept_text _key _of _wins _i _hs _n_pieces _samples _ids _text h lo w x id key chunk blob bucket label".split()
+    text = sentence(40)
+    rows = [(i, text if i < 3 else sentence(30), "s", *[7] * len(names)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    assert {r.doc_id: r._n_removed for r in remove_repeats(df).collect()} == {0: 0, 1: 40, 2: 40, 3: 0, 4: 0, 5: 0}
+    coded = spm.decode_pieces(spm.encode_and_sample(df, with_ids=True))
+    assert all(r._text == r.text and r._round_trip and r._mix == 7 for r in coded.collect())
+    mixed = mix_sources(df).collect()
+    assert all(abs(r._rate - 1) < 1e-3 and r._copies >= r._copy >= 1 and r._mix == 7 for r in mixed)
+    assert sum(r.kept for r in near_duplicates(df).collect()) == 4
+    assert shard_by_bytes(df).count() == len(score_documents(df).collect()) == scan_licences(df).count() == 6
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    assert classify_quality(df, labels).count() == 6
+
+
 def test_pieces(spark, docs, none):
     sp = spm.load(open(spm.MODEL, "rb").read())
     out = spm.encode_and_sample(docs, with_ids=True).collect()
@@ -308,6 +325,9 @@ def test_pieces(spark, docs, none):
         assert list(r._ids) == sp.encode(r.text or "") and r._round_trip
         assert len({s.crc32 for s in r._samples}) == len(r._samples)
     assert [len(r._samples) for r in out if not r.text] == [0, 0]
+    odd = [" ", "  a", "a  b ", "trail ", " lead", "▁x", "a▁b", "a\n\n b", "\u200b x", "日本 語", "e\u0301 o\x00"]
+    for r in spm.encode_and_sample(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), with_ids=True).collect():
+        assert list(r._ids) == sp.encode(r.text) and r._round_trip == (sp.decode(list(r._ids)) == r.text)
 
 
 def test_samples_follow_the_distribution():

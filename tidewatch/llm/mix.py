@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, without
+
 #: A draw's mean is at most this; a larger rate is a sum of independent draws.
 MOST_MEAN = 16.0
 #: Beyond this many sources, the rates are joined by salted shuffle, not by broadcast.
@@ -65,25 +67,32 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature:
 
     The draw inverts the Poisson distribution at a uniform number hashed from (seed, id), so that a
     rerun or a lost task repeats it. Result: the columns of ``docs`` with _rate, _copies, _copy (from
-    1) and _order, range-partitioned and sorted by _order. Null sources form a source of their own; a
-    null id draws as one id "null"; rows that share an id draw alike; an empty table gives no rows.
+    1) and _order, range-partitioned and sorted by _order; an input column of such a name gives way.
+    Null sources form a source of their own; a null id draws as one id "null"; rows that share an id
+    draw alike; an empty table gives no rows.
     """
-    rates = poisson_table(source_rates(docs, weights, temperature, budget, source_col, text_col)).select("_source", "_rate", "_draws", "_cdf")
-    rates = rates.withColumn("_cdf", F.filter("_cdf", lambda c: c < 1.0 - 2.0**-53))
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
-    if len(rates.select("_source").limit(MOST_BROADCAST + 1).collect()) <= MOST_BROADCAST:
+    docs = without(docs, ["_rate", "_copies", "_copy", "_order"])
+    mix = free_name(docs.columns, "_mix")  # what a row's source draws by
+    rates = poisson_table(source_rates(docs, weights, temperature, budget, source_col, text_col))
+    rates = rates.select(F.struct("_source", "_rate", "_draws", F.filter("_cdf", lambda c: c < 1.0 - 2.0**-53).alias("_cdf")).alias(mix))
+    same = F.col(source_col).eqNullSafe(F.col(f"{mix}._source"))
+    if len(rates.limit(MOST_BROADCAST + 1).select(F.lit(1)).collect()) <= MOST_BROADCAST:
         joined = docs.join(F.broadcast(rates), same)
     else:  # a source may hold a third of all rows
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_own", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, same & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
+        salt = free_name([*docs.columns, mix], "_salt")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.join(salted, same & (F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int") == F.col(salt))).drop(salt)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draw = lambda acc, j: acc + F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(str(seed)), ident, j.cast("string"))))
-    one = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    counted = joined.withColumn("_u", uniform(F.lit(str(seed)), ident, F.lit("1"))).withColumn(
-        "_copies", F.when(F.col("_draws") == 1, one).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("_draws"))), one, draw))
-    )
+    cdf, draws = F.col(f"{mix}._cdf"), F.col(f"{mix}._draws")
+    count = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(str(seed)), ident, j.cast("string"))))
+    several = F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda acc, j: acc + count(j))
+    counted = joined.withColumns({"_rate": F.col(f"{mix}._rate"), "_copies": F.when(draws == 1, _drawn(cdf, seed, ident)).otherwise(several)}).drop(mix)
     copies = counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     copies = copies.withColumn("_order", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}o"), ident, F.col("_copy").cast("string"))), 1, 15), 16, 10).cast("long"))
-    copies = copies.drop("_source", "_draws", "_cdf", "_u")
     return copies.repartitionByRange("_order").sortWithinPartitions("_order")
+
+
+def _drawn(cdf: Column, seed: int, ident: Column) -> Column:
+    """The first draw: the number is hashed once, then met with the probabilities."""
+    one = F.transform(F.array(uniform(F.lit(str(seed)), ident, F.lit("1"))), lambda u: F.size(F.filter(cdf, lambda c: c <= u)))
+    return F.element_at(one, 1)

@@ -43,8 +43,11 @@ def load(model: bytes) -> sentencepiece.SentencePieceProcessor:
 
 
 def chunks_of(text: str) -> list[str]:
-    """The text as the model sees it, cut before each run of spaces. No piece goes across such a cut."""
-    return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """The text as the model sees it, cut before each run of spaces; each chunk without its first space.
+    No piece goes across such a cut."""
+    if "  " not in text and SPACE not in text and not text.startswith(" ") and not text.endswith(" "):
+        return text.split(" ") if text else []
+    return [c[1:] for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
 
 
 class Numbers(dict):
@@ -349,7 +352,7 @@ def _log_inclusion(x: float) -> float:
 
 
 #: Chunks kept between batches; the frequent ones are soon seen again.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 400_000
 
 
 class Coder:
@@ -358,30 +361,38 @@ class Coder:
     def __init__(self, model: bytes, alpha: float, k: int):
         self.sp, self.k = load(model), k
         self.lat = Lattices(self.sp, alpha)
+        self.lone = [self.sp.PieceToId(SPACE)]  # a space at a text's end
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.pieces, self.begin = Numbers(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.number, self.pieces, self.begin, self.same = Numbers(), np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool)
         self.lat.clear()
 
     def run(self, texts: list, keys: np.ndarray):
-        """For each text: number of pieces, their crc32, whether they decode to it, the samples, the pieces."""
+        """For each text: number of pieces, their crc32, whether they decode to it (as each chunk's do: no piece
+        and no spelled character goes across a cut), the samples, the pieces."""
         if len(self.number) > MOST_CHUNKS:
             self.forget()
         known = len(self.number)
         lists = [np.fromiter(map(self.number.__getitem__, c), np.int64, len(c)) for c in (chunks_of(t or "") for t in texts)]
         fresh = list(itertools.islice(self.number, known, None))
-        coded = self.sp.encode([c[1:].replace(SPACE, " ") for c in fresh], num_threads=1) if fresh else []
+        plain = [c.replace(SPACE, " ") for c in fresh]
+        coded = [x if c else self.lone for x, c in zip(self.sp.encode(plain, num_threads=1), plain, strict=True)] if fresh else []
+        same = [a == b for a, b in zip(self.sp.decode(coded, num_threads=1), plain, strict=True)] if fresh else []
+        self.same = np.concatenate([self.same, np.array(same, bool)])
         self.pieces = np.concatenate([self.pieces, np.fromiter(itertools.chain.from_iterable(coded), np.int32)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
-        self.lat.add(fresh)
+        self.lat.add([SPACE + c for c in fresh])
         with np.errstate(over="ignore"):
             seeds = mix64(keys.view(np.uint64) ^ np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64))
             sampled = sample_segmentations(self.lat, lists, seeds, self.k)
         for t, c, s in zip(texts, lists, sampled, strict=True):
             size = self.begin[c + 1] - self.begin[c]
             ids = self.pieces[np.repeat(self.begin[c] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if len(c) else np.empty(0, np.int32)
-            same = self.sp.decode(ids.tolist()) == (t or "")
+            same = bool(self.same[c].all())
+            if t and SPACE in t:  # the model tells the character from a space, the chunks do not
+                ids = np.array(self.sp.encode(t), np.int32)
+                same = self.sp.decode(ids.tolist()) == t
             yield len(ids), zlib.crc32(ids.tobytes()), same, [{"n_pieces": len(x), "log_prob": lp, "inclusion": np.exp(inc), "log_inclusion": inc, "crc32": zlib.crc32(x.astype(np.int32).tobytes())} for lp, inc, x in s], ids
 
 

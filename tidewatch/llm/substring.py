@@ -4,7 +4,8 @@ With windows of 13 words, each holds exactly eight 6-word grams; the least hash
 anchor, so that equal windows have equal anchors wherever they stand. A window can only repeat if
 its anchor does. Anchors are joined first (about one for every four words); only windows around
 anchors that several documents share are then extended to all 13 words and joined in turn.
-Overlapping windows that repeat merge into maximal repeats of 13 words or more.
+Overlapping windows that repeat merge into maximal repeats of 13 words or more. Windows are told
+apart by 128 bits: among 10^13 of them, two unlike ones are taken for one with probability 10^-13.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, durable, ngram_hashes, partitions, release_memory, words
+from .common import WordHashes, durable, free_name, ngram_hashes, partitions, release_memory, without, words
 
 SEED = 6
-#: Anchors keep 40 bits: enough to leave few chance meetings, which the windows' 64 bits then settle.
+#: Anchors keep 40 bits: enough to leave few chance meetings, which the windows' 128 bits then settle.
 ANCHOR_BITS = 40
 
 
@@ -43,15 +45,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def repeated_windows(docs: DataFrame, dealt: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def _second(ws: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
+    """Another 64 bits for the windows at ``starts``, from other hashes of the words under them."""
+    under = np.zeros(len(ws) + 1, np.int64)
+    np.add.at(under, starts, 1)
+    np.add.at(under, starts + window, -1)
+    need = np.flatnonzero(np.cumsum(under[:-1]) > 0)
+    h = np.zeros(len(ws), np.uint64)
+    h[need] = np.fromiter((xxhash.xxh64_intdigest(ws[i], 77) for i in need.tolist()), np.uint64, len(need))
+    return ngram_hashes(h, window)[starts]
+
+
+def repeated_windows(docs: DataFrame, dealt: DataFrame, key_col: str, id_col: str, text_col: str, window: int) -> DataFrame:
     """(id, wins): for each id, the hashes of its windows that also start in a row with a smaller id.
 
-    ``dealt`` is ``docs`` dealt by id. It is left-joined without filters, so that Spark moves the
-    texts once, for this join and for the caller's.
+    ``dealt`` is ``docs`` dealt by ``key_col``, the id. It is left-joined without filters, so that Spark
+    moves the texts once, for this join and for the caller's.
     """
     n = partitions(docs.sparkSession)
     at = dealt.columns.index(text_col)
-    key = dealt.columns.index("_sd_key")
+    key = dealt.columns.index(key_col)
+    own_id, own_hs = free_name(dealt.columns, "_i"), free_name(dealt.columns, "_hs")
 
     def seeds(batches):
         hashes = WordHashes()
@@ -65,26 +79,30 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, id_col: str, text_col: s
     # a window over the hash needs one exchange and one sort; its groups spill, and give rows, not lists
     same = Window.partitionBy("h")
     shared = anchors.withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same)}).where("lo < hi")
-    seeded = durable(shared.groupBy("id").agg(F.collect_set("h").alias("_sd_hs")).withColumnRenamed("id", "_sd_i"), "anchors")
+    seeded = durable(shared.groupBy("id").agg(F.collect_set("h").alias(own_hs)).withColumnRenamed("id", own_id), "anchors")
 
     def extend(batches):
         hashes = WordHashes()
         for batch in batches:
-            found, ids = [], []
+            found, more, ids = [], [], []
             for i, t, hs in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 if not hs.is_valid or not t:
                     continue
-                h = hashes.of(words(t))
+                ws = words(t)
+                h = hashes.of(ws)
                 hot = np.isin(window_anchors(h, window), hs.values.to_numpy().view(np.uint64))
                 if hot.any():
                     ids.append(i)
-                    found.append(np.unique(ngram_hashes(h, window)[hot]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(found)], names=["id", "w"])
+                    w, first = np.unique(ngram_hashes(h, window)[hot], return_index=True)
+                    found.append(w)
+                    # only the words under those windows are hashed anew
+                    more.append(_second(ws, np.flatnonzero(hot)[first], window))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(found), _lists(more)], names=["id", "w", "x"])
             release_memory()
 
-    near = dealt.join(seeded, F.col("_sd_key") == F.col("_sd_i"), "left").select(*dealt.columns, "_sd_hs")
-    wins = near.mapInArrow(extend, "id long, w array<long>").select("id", F.explode("w").alias("w")).repartition(n, "w")
-    first = F.min("id").over(Window.partitionBy("w"))
+    near = dealt.join(seeded, F.col(key_col) == F.col(own_id), "left").select(*dealt.columns, own_hs)
+    wins = near.mapInArrow(extend, "id long, w array<long>, x array<long>").select("id", F.explode(F.arrays_zip("w", "x")).alias("y")).select("id", "y.w", "y.x").repartition(n, "w")
+    first = F.min("id").over(Window.partitionBy("w", "x"))
     return wins.withColumn("lo", first).where("id > lo").groupBy("id").agg(F.collect_set("w").alias("wins"))
 
 
@@ -93,16 +111,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     _kept_text: the words not covered by a repeated window, joined by one space.
 
     A window repeats if its word sequence also starts in a document with a smaller id; windows are
-    judged on the input. Null and empty texts have no words; fewer than ``window`` words lose none;
+    judged on the input; an input column of such a name gives way. Null and empty texts have no words; fewer than ``window`` words lose none;
     rows without id lose nothing and take nothing from others; rows that share an id don't repeat
     each other; repeats within one document stay; an empty table gives no rows.
     """
     n = partitions(docs.sparkSession)
-    dealt = docs.withColumn("_sd_key", F.col(id_col).cast("long")).repartition(n, "_sd_key")
-    wins = repeated_windows(docs, dealt, id_col, text_col, window).select(F.col("id").alias("_sd_id"), F.col("wins").alias("_sd_wins"))
-    joined = dealt.join(wins, F.col("_sd_key") == F.col("_sd_id"), "left").select(*docs.columns, "_sd_key", "_sd_wins")
     extra = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_sha256", T.StringType())]
     extra += [T.StructField("_kept_text", T.StringType())] * keep_text
+    docs = without(docs, [f.name for f in extra])
+    key, wins_id, wins_col = (free_name(docs.columns, c) for c in ("_key", "_of", "_wins"))
+    dealt = docs.withColumn(key, F.col(id_col).cast("long")).repartition(n, key)
+    wins = repeated_windows(docs, dealt, key, id_col, text_col, window).select(F.col("id").alias(wins_id), F.col("wins").alias(wins_col))
+    joined = dealt.join(wins, F.col(key) == F.col(wins_id), "left").select(*docs.columns, key, wins_col)
     at = docs.columns.index(text_col)
 
     def cut(batches):
