@@ -42,3 +42,34 @@ def test_stream_equals_batch(spark, tmp_path):
     kept = closed.select("day").distinct()
     assert sorted(map(tuple, closed.select("day", "event_type", "n").collect())) == sorted(map(tuple, whole.join(kept, "day", "left_semi").select("day", "event_type", "n").collect()))
     assert kept.count() >= 13 and daily.daily_scores(whole).count() > 0
+
+
+def test_dates_views_cache_and_arrays(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("id,when\n1,2020-03-04\n2,3/4/2020\n3,Mar 2020\n4,nothing\n")
+    got = {r.id: str(r.when) for r in io.read_dated_csv(spark, str(tmp_path / "d.csv"), "id int, when string", ["when"]).collect()}
+    assert got == {1: "2020-03-04", 2: "2020-03-04", 3: "2020-03-01", 4: "None"}
+    spark.range(5).write.parquet(str(tmp_path / "orders.parquet"))
+    io.register_views(spark, str(tmp_path), ["orders"])
+    assert spark.sql("SELECT count(*) AS n FROM orders").first().n == 5
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for key in ("a", "a", "b", "a"):
+        assert io.cached(spark, str(tmp_path / "cache"), key, build).count() == 3
+    assert len(built) == 2
+    io.write_npz(spark.range(4), str(tmp_path / "x.npz"))
+    import numpy as np
+
+    assert sorted(np.load(tmp_path / "x.npz")["id"].tolist()) == [0, 1, 2, 3]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewatch.__main__ import main
+
+    main(["list"])
+    assert "ratio_sweep" in capsys.readouterr().out
+    main(["run", "quarterly_counts", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "o")])
+    assert spark.read.parquet(str(tmp_path / "o")).count() > 0

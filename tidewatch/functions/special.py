@@ -123,6 +123,28 @@ def fit_gamma_prior(n, e, most: float = 12.0) -> tuple[float, float, bool]:
     return float(a), float(b), ok and inside
 
 
+def fit_gamma_prior_by(n, e, z, most: float = 12.0, most_gamma: float = 3.0) -> tuple[float, float, float, tuple[float, float], bool]:
+    """(alpha, beta, gamma, (mean, sd) of z, converged): the same with rate beta * exp(-gamma * (z - mean) / sd)."""
+    n, e, z = (np.asarray(x, float) for x in (n, e, z))
+    if len(n) < 10:
+        return 0.5, 0.5, 0.0, (0.0, 1.0), False
+    middle, spread = float(z.mean()), float(z.std())
+    spread = spread if spread > 1e-9 else 1.0
+    u = (z - middle) / spread
+    e = np.maximum(e, 1e-9)
+    fixed = lgamma(n + 1)
+
+    def cost(p):
+        a, b = math.exp(min(max(p[0], -most), most)), math.exp(min(max(p[1], -most), most))
+        rate = b * np.exp(-min(max(p[2], -most_gamma), most_gamma) * u)
+        return -float(np.sum(lgamma(a + n) - lgamma(a) - fixed + a * np.log(rate / (rate + e)) + n * np.log(e / (rate + e))))
+
+    best, ok = simplex(cost, np.zeros(3))
+    inside = bool(np.all(np.abs(best[:2]) < most - 0.1) and abs(best[2]) < most_gamma - 1e-3)
+    a, b = np.exp(np.clip(best[:2], -most, most))
+    return float(a), float(b), float(np.clip(best[2], -most_gamma, most_gamma)), (middle, spread), ok and inside
+
+
 def simplex(f, start, step: float = 0.5, tol: float = 1e-8, most: int = 2000):
     """Nelder and Mead's downhill simplex."""
     d = len(start)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.special import chi2_sf
 from .windows import dense, islands
 
 
@@ -106,16 +107,22 @@ def emergent_flags(sweep: DataFrame, score: str, threshold: float, baseline: int
 
 
 def dispersion_verdict(counts: DataFrame, denom: DataFrame, least_total: int = 40) -> DataFrame:
-    """(entity, total, d_flat, d_trend, absorbed, verdict): Pearson's D/df of the share series around a
-    flat and a log-linear rate. Fewer than ``least_total`` events: too_few. D over the 5 % point of its
-    chi-square (Wilson and Hilferty's form): clustered; under 0.6: smooth; else ok."""
+    """(entity, total, d_flat, d_trend, absorbed, root_d, p_trend, verdict): Pearson's D/df of the share
+    series around a flat and a log-linear rate, and the chi-square tail of the latter. Fewer than
+    ``least_total`` events: too_few. A tail under 5 %: clustered; D under 0.6: smooth; else ok."""
     rows = dense(counts, denom)
     point = F.struct(F.col("q").cast("double").alias("t"), F.col("n").cast("double").alias("y"), F.col("n_total").cast("double").alias("o"))
     g = rows.groupBy("entity").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum("n_total").alias("cases"), F.sort_array(F.collect_list(point)).alias("pts"))  # one struct a quarter
     rate = F.col("total") / F.col("cases")
     flat = F.aggregate("pts", F.lit(0.0), lambda a, p: a + (p["y"] - p["o"] * rate) * (p["y"] - p["o"] * rate) / (p["o"] * rate)) / (F.col("k") - 1)
     g = g.withColumns({"d_flat": F.when(F.col("total") > 0, flat), "d_trend": poisson_slope("pts.t", "pts.y", "pts.o")["pearson"] / (F.col("k") - 2)})
-    df = (F.col("k") - 2).cast("double")
-    high = F.pow(1 - 2 / (9 * df) + F.lit(1.6448536269514722) * F.sqrt(2 / (9 * df)), 3)
-    verdict = F.when((F.col("total") < least_total) | F.col("d_trend").isNull(), "too_few").when(F.col("d_trend") > high, "clustered").when(F.col("d_trend") < 0.6, "smooth").otherwise("ok")
-    return g.select("entity", "total", "d_flat", "d_trend", (1 - F.col("d_trend") / F.col("d_flat")).alias("absorbed"), F.sqrt("d_trend").alias("root_d"), verdict.alias("verdict"))
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(chi2_sf(x.to_numpy(float), df.to_numpy(float)) if len(x) else [], dtype=float)
+
+    df = F.col("k") - 2
+    p = F.when(F.col("d_trend").isNotNull() & (df > 0), tail(F.coalesce("d_trend", F.lit(0.0)) * df, df.cast("double")))
+    g = g.withColumn("p_trend", p)
+    verdict = F.when((F.col("total") < least_total) | F.col("d_trend").isNull(), "too_few").when(F.col("p_trend") < 0.05, "clustered").when(F.col("d_trend") < 0.6, "smooth").otherwise("ok")
+    return g.select("entity", "total", "d_flat", "d_trend", (1 - F.col("d_trend") / F.col("d_flat")).alias("absorbed"), F.sqrt("d_trend").alias("root_d"), "p_trend", verdict.alias("verdict"))

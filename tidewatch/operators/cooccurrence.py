@@ -38,10 +38,14 @@ def profile(mentions: DataFrame, ordered: DataFrame, marker: str, least_cases: i
     return out.withColumn("verdict", role_verdict())
 
 
+# The lines between the roles, in percent and in mean place.
+LEAD, ALONE, SELDOM_ALONE, LATE, MARKED = 40, 15, 5, 0.6, 70
+
+
 def role_verdict():
     alone, lead, rank, marked = (F.col(c) for c in ("alone_pct", "lead_pct", "mean_rank", "with_marker_pct"))
-    last = (alone < 5) & (rank >= 0.6)
-    return F.when(lead >= 40, "principal driver").when(alone >= 15, "independent").when(last & (marked >= 70), "adulterant/marker").when(last, "secondary/incidental").otherwise("co-intoxicant")
+    last = (alone < SELDOM_ALONE) & (rank >= LATE)
+    return F.when(lead >= LEAD, "principal driver").when(alone >= ALONE, "independent").when(last & (marked >= MARKED), "adulterant/marker").when(last, "secondary/incidental").otherwise("co-intoxicant")
 
 
 def dyads(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -54,3 +58,16 @@ def dyads(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     g = per.groupBy("label_a", "label_b").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("b")).alias("n_both")).crossJoin(F.broadcast(total))  # one row
     expected = F.col("n_a") * F.col("n_b") / F.col("cases").cast("double")
     return g.select("label_a", "label_b", "n_a", "n_b", "n_both", expected.alias("expected"), F.when(expected > 0, F.col("n_both") / expected).alias("lift"), F.when(F.col("n_a") > 0, 100.0 * F.col("n_both") / F.col("n_a")).alias("pct_of_a"), F.when(F.col("n_b") > 0, 100.0 * F.col("n_both") / F.col("n_b")).alias("pct_of_b"))
+
+
+def recent_mentions(mentions: DataFrame, quarters: int = 4) -> DataFrame:
+    """The mentions of the last ``quarters`` quarters that have any."""
+    last = mentions.select("quarter").distinct().orderBy(F.desc("quarter")).limit(quarters)
+    return mentions.join(F.broadcast(last), "quarter", "left_semi")  # a row a quarter
+
+
+def dyads_recent(mentions: DataFrame, candidates: DataFrame, quarters: int = 4) -> DataFrame:
+    """The dyads over all history, with both and lift over the last quarters beside them, so that what is
+    enriched only then or only now is not averaged away."""
+    now = dyads(recent_mentions(mentions, quarters), candidates).select("label_a", "label_b", F.col("n_both").alias("recent_n_both"), F.col("lift").alias("recent_lift"))
+    return dyads(mentions, candidates).join(now, ["label_a", "label_b"], "left").withColumn("recent_n_both", F.coalesce("recent_n_both", F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import quarter_end, quarter_ordinal, quarter_start
+from .windows import as_of_quarters
 
 
 def distinct_mentions(mentions: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
@@ -85,3 +86,27 @@ def weighted_sweep(ordered: DataFrame, denom: DataFrame) -> DataFrame:
     first = led.select("entity", F.col("q").alias("as_of"), (2 * F.col("solo") + F.col("named") + F.col("live") * F.col("trailing")).alias("credit"), (4 * F.col("solo") + F.col("named") + F.col("live") * F.col("trailing")).alias("square"))
     total = first.groupBy("as_of").agg((F.sum("square") / F.sum("credit")).alias("phi"))
     return first.join(F.broadcast(total), "as_of").select("entity", "as_of", "credit", "phi")  # one row a quarter
+
+
+def weighted_windows(ordered: DataFrame, denom: DataFrame, recent: int = 4, baseline: int = 8) -> DataFrame:
+    """(entity, as_of, n_recent, n_baseline, total_recent, total_base, phi): trailing windows of credits
+    with as-of independence and the as-of dispersion. As in ``weighted_sweep``, the numbers of solo, named
+    and trailing mentions are summed, and a trailing one counts if its entity has led a line by then."""
+    rows = ordered.select("q", F.size("seq").alias("size"), F.posexplode("seq").alias("pos", "entity"))
+    trailing = (F.col("size") >= 3) & (F.col("pos") == F.col("size") - 1)
+    per = rows.groupBy("entity", "q").agg(F.sum(F.when(F.col("size") == 1, 2).when(trailing, 0).otherwise(1)).alias("sure"), F.sum(trailing.cast("int")).alias("late"))
+    per = per.join(F.broadcast(denom.select("q")), "q")  # one row a quarter
+    dealt = per.select("entity", "sure", "late", "q", F.explode(F.sequence(F.lit(0), F.lit(recent + baseline - 1))).alias("ago")).withColumn("as_of", F.col("q") + F.col("ago"))
+    new = F.col("ago") < recent
+    sums = dealt.groupBy("entity", "as_of").agg(*[F.sum(F.when(w, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for c in ("sure", "late") for k, w in (("r", new), ("b", ~new))])
+    live = F.coalesce(F.col("first_lead_q") <= F.col("as_of"), F.lit(False)).cast("int")
+    out = sums.join(first_leads(ordered), "entity", "left").select("entity", "as_of", (F.col("sure_r") + live * F.col("late_r")).alias("n_recent"), (F.col("sure_b") + live * F.col("late_b")).alias("n_baseline"))
+    phi = weighted_sweep(ordered, denom).select("as_of", "phi").distinct()  # a row a quarter
+    return out.join(F.broadcast(as_of_quarters(denom, recent, baseline)), "as_of").join(F.broadcast(phi), "as_of")
+
+
+def one_hot(cases: DataFrame, mentions: DataFrame, entities: list[str]) -> DataFrame:
+    """The rows of ``cases`` (case_id, ...) with a 0/1 column for each entity of the list, in its order:
+    those known to be rising first, if the caller puts them so."""
+    flags = mentions.where(F.col("entity").isin(entities)).groupBy("case_id").agg(*[F.max((F.col("entity") == e).cast("int")).alias(e) for e in entities])
+    return cases.join(flags, "case_id", "left").fillna(0, entities)

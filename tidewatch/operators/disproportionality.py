@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import ratio
+from .counting import role_dispersion
 from .windows import trailing_windows
 
 
@@ -45,13 +46,17 @@ def ranked(scores: DataFrame, by: str, group: str | None = "as_of") -> DataFrame
 def eb_scores(windows: DataFrame, phi: float = 1.0, recent: int = 4, baseline: int = 8) -> DataFrame:
     """Adds ebgm, eb05, eb95, eb05_own, alpha, beta, converged and credible_rise.
 
-    ``windows`` is the result of ``gate_columns``, with an optional column phi_s (the entity's own
-    dispersion). For each as-of quarter and gate a gamma prior is fitted to the marginal negative
+    ``windows`` is the result of ``gate_columns``, with optional columns phi (the quarter's dispersion,
+    as of then), phi_s (the entity's own) and z_spatial. Counts and expectations are divided by the
+    dispersions. With z_spatial, the prior's rate is beta * exp(-gamma * z), z standardised among the
+    fitted cells and gamma fitted too: 0 where space tells nothing. For each as-of quarter and gate a gamma prior is fitted to the marginal negative
     binomial likelihood of all cells with E > 0 (0.5, 0.5 for fewer than ten). The quarters' cells
     are one group each, which is a bounded number of entities, not of events.
     """
     own = F.coalesce(F.col("phi_s"), F.lit(1.0)) if "phi_s" in windows.columns else F.lit(1.0)
-    rows = windows.withColumn("_d", F.lit(float(phi)) * own)
+    of_quarter = F.coalesce(F.col("phi"), F.lit(1.0)) if "phi" in windows.columns else F.lit(1.0)
+    z = F.coalesce(F.col("z_spatial"), F.lit(0.0)) if "z_spatial" in windows.columns else F.lit(None).cast("double")
+    rows = windows.withColumn("_d", F.lit(float(phi)) * of_quarter * own).withColumn("_z", z)
     rows = rows.withColumns({"_n": F.col("n_recent") / F.col("_d"), "_e": F.col("expected") / F.col("_d"), "_o": F.col("expected_own") / F.col("_d")})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,13 +64,18 @@ def eb_scores(windows: DataFrame, phi: float = 1.0, recent: int = 4, baseline: i
         out = {"entity": pdf.entity, "as_of": pdf.as_of}
         for e, names in ((pdf._e, ("ebgm", "eb05", "eb95", "alpha", "beta", "converged")), (pdf._o, ("ebgm_own", "eb05_own", "eb95_own", "alpha_own", "beta_own", "converged_own"))):
             e = np.nan_to_num(e.to_numpy(float))
-            a, b, ok = special.fit_gamma_prior(n[e > 0], e[e > 0])
-            mean, low, high = special.gamma_posterior(n, e, a, b)
+            if pdf._z.isna().all():
+                a, b, ok = special.fit_gamma_prior(n[e > 0], e[e > 0])
+                rate = b
+            else:
+                a, b, gamma, (middle, spread), ok = special.fit_gamma_prior_by(n[e > 0], e[e > 0], pdf._z.to_numpy(float)[e > 0])
+                rate = b * np.exp(-gamma * (pdf._z.to_numpy(float) - middle) / spread)
+            mean, low, high = special.gamma_posterior(n, e, a, rate)
             out |= dict(zip(names, (mean, low, high, a, b, ok), strict=True))
         return pd.DataFrame(out)
 
     fields = "entity string, as_of int, ebgm double, eb05 double, eb95 double, alpha double, beta double, converged boolean, ebgm_own double, eb05_own double, eb95_own double, alpha_own double, beta_own double, converged_own boolean"
-    scores = rows.select("entity", "as_of", "_n", "_e", "_o").groupBy("as_of").applyInPandas(fit, fields)
+    scores = rows.select("entity", "as_of", "_n", "_e", "_o", "_z").groupBy("as_of").applyInPandas(fit, fields)
     out = windows.join(scores, ["entity", "as_of"])
     return out.withColumn("credible_rise", (F.col("eb05") > 1.5) & (F.col("eb05_own") > 1.5))
 
@@ -88,3 +98,27 @@ def veto(scores: DataFrame, scan: DataFrame, line: float = 10.0) -> DataFrame:
     ri = scan.select("entity", "as_of", F.col("recurrence_interval").alias("ri"))
     out = scores.join(ri, ["entity", "as_of"], "left").withColumn("ri", F.coalesce("ri", F.lit(1.0)))
     return out.withColumns({"vetoed": F.col("credible_rise") & (F.col("ri") < line), "credible_rise": F.col("credible_rise") & (F.col("ri") >= line)})
+
+
+def rank_entities(windows: DataFrame, counts: DataFrame, as_of: int, credits: DataFrame | None = None, concentration: DataFrame | None = None, spatial_weight: float = 0.25, recent: int = 4, baseline: int = 8) -> DataFrame:
+    """The ranking's table at one as-of quarter, before scores: windows, both expectations, shares, ratios,
+    n_total, first and last quarter seen, novel (first seen in the recent window), phi_s, z_spatial and
+    concentration.
+
+    ``windows`` is the result of ``trailing_windows``; ``credits`` (entity, q, credit) gives the roles'
+    dispersion of what was seen by then; ``concentration`` (entity, as_of, z, weight) the spatial
+    discount. Entities without either have phi_s 1, z_spatial 0. Nothing after ``as_of`` is read.
+    """
+    rows = windows.where(F.col("as_of") == as_of)
+    weight = None
+    if concentration is not None:
+        con = concentration.where(F.col("as_of") == as_of).select("entity", F.coalesce("z", F.lit(0.0)).alias("z_spatial"), F.coalesce("weight", F.lit(0.0)).alias("concentration"))
+        rows = rows.join(con, "entity", "left").fillna(0.0, ["z_spatial", "concentration"])
+        weight = F.col("concentration")
+    rows = gate_columns(rows, recent, baseline, weight, spatial_weight)
+    seen = counts.where((F.col("n") > 0) & (F.col("q") <= as_of)).groupBy("entity").agg(F.sum("n").alias("n_total"), F.min("q").alias("first_seen"), F.max("q").alias("last_seen"))
+    rows = rows.join(seen, "entity", "left").withColumn("novel", F.coalesce(F.col("first_seen") > as_of - recent, F.lit(False)))
+    if credits is None:
+        return rows.withColumn("phi_s", F.lit(1.0))
+    phi = role_dispersion(credits.where(F.col("q") <= as_of)).select("entity", "phi_s")
+    return rows.join(phi, "entity", "left").fillna(1.0, ["phi_s"])

@@ -154,6 +154,96 @@ class Model:
         return self.sweep, self.weighted, self.params
 
 
+#: What a component's score is where its sweep has no row: no evidence, not a missing value.
+FLOORS = {"scan": 1.0, "branch": 1.0}
+
+
+def model_score(sweep: DataFrame, model: Model) -> DataFrame:
+    """(entity, as_of, score): the one number that a model's alarm is read off.
+
+    A ratio without expectation is infinite, as every appearance from nothing is. A dual gate takes the
+    smaller of both scores; a flag gate gives rows without the flag no chance (minus infinity).
+    """
+    score = F.col(model.score).cast("double")
+    if model.score == "ratio":
+        score = F.when(F.col("expected") > 0, F.col("n_recent") / F.col("expected")).otherwise(F.lit(float("inf")))
+    if model.gate in ("dual", "both"):
+        other = {"eb05": "eb05_own", "z": "own_z", "ratio": "ratio_own"}[model.score]
+        score = F.when(score.isNotNull() & F.col(other).isNotNull(), F.least(score, F.col(other).cast("double")))
+    elif model.gate:
+        score = F.when(F.col(model.gate), score).otherwise(F.lit(float("-inf")))
+    return sweep.select("entity", "as_of", score.alias("score"))
+
+
+def build_scores(models: list[Model], sweeps: dict[tuple, DataFrame], every: dict[str, Model] | None = None) -> dict[str, DataFrame]:
+    """(entity, as_of, score) of each model by name. ``sweeps`` holds one sweep for each distinct
+    ``Model.sweep_key``, which several models may share; ensembles are made of their parts' scores, chosen
+    or not. A part without its sweep raises."""
+    every = every or registry()
+    out: dict[str, DataFrame] = {}
+
+    def of(model: Model) -> DataFrame:
+        if model.name in out:
+            return out[model.name]
+        if model.kind == "single":
+            if model.sweep_key not in sweeps:
+                raise KeyError(f"{model.name} needs the sweep {model.sweep_key}")
+            out[model.name] = model_score(sweeps[model.sweep_key], model)
+        else:
+            a, b = (every[p] for p in model.parts)
+            line = dict(model.params).get("line", b.threshold)
+            out[model.name] = ensemble(of(a), of(b), model.kind, FLOORS.get(a.sweep, 0.0), FLOORS.get(b.sweep, 0.0), a.threshold, line)
+        return out[model.name]
+
+    return {m.name: of(m) for m in models}
+
+
+def run_benchmark(models: list[Model], scores: dict[str, DataFrame], intervals: DataFrame, negatives: DataFrame) -> DataFrame:
+    """One row for each model at its own line: labelled entities detected, mean recall, precision and
+    overlap over them (no quarters below: 0), mean lag of those detected, alarm-quarters on labelled and
+    on other entities, other entities that alarmed, and the rate of alarming entities with any overlap.
+
+    All models' alarms are one table, so that the comparison is a few grouped sums, not one job a model.
+    """
+    rows = None
+    for m in models:
+        hot = scores[m.name].where(F.col("score") > m.threshold).select(F.lit(m.name).alias("model"), "entity", F.col("as_of").alias("q"))
+        rows = hot if rows is None else rows.unionByName(hot)
+    spark = intervals.sparkSession
+    names = spark.createDataFrame([(m.name,) for m in models], "model string")
+    labelled = intervals.select("entity").unionByName(negatives.select("entity")).distinct()
+    grid = labelled.crossJoin(F.broadcast(names))  # the models
+    truth = interval_quarters(intervals).crossJoin(F.broadcast(names)).select("model", "entity", "q", F.lit(1).alias("t"))  # the models
+    on = rows.join(labelled, "entity", "left_semi").select("model", "entity", "q", F.lit(1).alias("d"))
+    sums = truth.join(on, ["model", "entity", "q"], "full").groupBy("model", "entity").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("gt"), F.coalesce(F.sum("d"), F.lit(0)).alias("det"), F.coalesce(F.sum(F.col("t") * F.col("d")), F.lit(0)).alias("overlap"))
+    lag = rows.join(intervals, "entity").where("q between start_q and end_q").groupBy("model", "entity").agg(F.min(F.col("q") - F.col("start_q")).alias("lag"))
+    per = grid.join(sums, ["model", "entity"], "left").join(lag, ["model", "entity"], "left").fillna(0, ["gt", "det", "overlap"])
+    part = lambda a, b: F.avg(F.coalesce(ratio(a.cast("double"), b), F.lit(0.0)))
+    gt, det, both = F.col("gt"), F.col("det"), F.col("overlap")
+    alarmed, right = F.sum((det > 0).cast("int")), F.sum(((det > 0) & (both > 0)).cast("int"))
+    out = per.groupBy("model").agg(
+        F.count("*").alias("labelled"),
+        F.sum((both > 0).cast("int")).alias("detected"),
+        part(both, gt).alias("recall"),
+        part(both, det).alias("precision"),
+        part(both, gt + det - both).alias("iou"),
+        F.avg("lag").alias("lag_q"),
+        F.sum("det").alias("alarm_quarters"),
+        ratio(right.cast("double"), alarmed).alias("alarm_precision"),
+    )
+    off = rows.join(labelled, "entity", "left_anti").groupBy("model").agg(F.count("*").alias("off_quarters"), F.count_distinct("entity").alias("off_entities"))
+    return out.join(off, "model", "left").fillna(0, ["off_quarters", "off_entities"])
+
+
+def onset_lags(rows: DataFrame, intervals: DataFrame, external: DataFrame) -> DataFrame:
+    """(model, entity, start_q, first_alarm, external_q, ahead): each model's first alarm inside an
+    interval, beside an external onset (entity, onset in half-years); ahead is how many quarters the alarm
+    came before it. ``rows`` is (model, entity, q) of alarms."""
+    first = rows.join(intervals, "entity").where("q between start_q and end_q").groupBy("model", "entity", "start_q").agg(F.min("q").alias("first_alarm"))
+    ext = external.select("entity", (F.col("onset") * 2).alias("external_q"))
+    return first.join(ext, "entity", "left").withColumn("ahead", F.col("external_q") - F.col("first_alarm"))
+
+
 def registry() -> dict[str, Model]:
     """The detector variants, by rule from the four families."""
     models = [Model("ratio", "ratio", "ratio", 1.5)]

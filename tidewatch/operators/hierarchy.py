@@ -59,10 +59,29 @@ def edges(nodes: DataFrame) -> DataFrame:
     return x.join(between.distinct(), ["child", "parent"], "left_anti")
 
 
-def closure(edges_: DataFrame, leaves: DataFrame, most: int = 5) -> DataFrame:
-    """(node, leaf) reachable over (child, parent) edges: must equal the nodes' own leaves."""
-    reach = leaves.select(F.col("leaf").alias("node"), "leaf")
-    for _ in range(most):  # levels of the hierarchy, not its size
+def closure(edges_: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(node, leaf) reachable over (child, parent) edges, however deep: must equal the nodes' own leaves."""
+    reach = leaves.select(F.col("leaf").alias("node"), "leaf").distinct()
+    seen = 0
+    while (n := reach.count()) > seen:  # once a level
+        seen = n
         up = reach.join(edges_, reach["node"] == edges_["child"]).select(F.col("parent").alias("node"), "leaf")
         reach = reach.unionByName(up).distinct()
     return reach
+
+
+def member_checks(categories: DataFrame, members: DataFrame, superclasses: DataFrame) -> DataFrame:
+    """(kind, owner, name): listed family members (family, member) that no entity is ("missing"), and
+    categories without a superclass ("unmapped"): absence, not error."""
+    missing = members.join(categories.select(F.col("entity").alias("member")), "member", "left_anti").select(F.lit("missing").alias("kind"), F.col("family").alias("owner"), F.col("member").alias("name"))
+    unmapped = categories.select("category").distinct().join(superclasses.select("category"), "category", "left_anti").select(F.lit("unmapped").alias("kind"), F.lit(None).cast("string").alias("owner"), F.col("category").alias("name"))
+    return missing.unionByName(unmapped).distinct()
+
+
+def select_nodes(nodes: DataFrame, levels: list[str] | None = None, least_leaves: int = 0, strict: bool = False) -> DataFrame:
+    """The nodes of some levels with enough leaves. ``strict`` keeps a tree: of nodes that overlap without
+    one holding the other, families go (all other levels nest by construction)."""
+    out = nodes.where(F.col("level") != "family") if strict else nodes
+    out = out.where(F.col("level").isin(levels)) if levels else out
+    size = out.groupBy("node", "level").agg(F.count("*").alias("_k")).where(F.col("_k") >= least_leaves).select("node", "level")
+    return out.join(size, ["node", "level"], "left_semi")

@@ -40,36 +40,74 @@ def nearest(points: DataFrame, k: int, of: DataFrame | None = None) -> DataFrame
     """(id, other, r, d): the k nearest others of each point (of each of ``of``, if given), by distance,
     then id. Points are (id, x, y). Tiles of points meet in tasks, each task keeps its k best a point,
     and a ranking merges them."""
+    near = nearest_within(points, F.lit(k), [], of)
+    return near.select("id", "other", "r", "d")
+
+
+def nearest_within(points: DataFrame, k: Column, by: list[str], of: DataFrame | None = None) -> DataFrame:
+    """(by, id, other, r, d): the same among the points of one group each; ``k`` may differ by group."""
     of = points if of is None else of
-    tiles = max(1, -(-points.count() // TILE))
-    side = lambda df, left: df.select("id", "x", "y", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("own"), F.lit(left).alias("asks"))
+    most = points.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    tiles = max(1, -(-most // TILE))
+    side = lambda df, left: df.select(*by, "id", "x", "y", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("own"), F.lit(left).alias("asks"), k.cast("int").alias("k"))
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    a = side(of, True).withColumn("t", every).select(F.col("own").alias("s"), "t", "asks", "id", "x", "y")
-    b = side(points, False).withColumn("s", every).select("s", F.col("own").alias("t"), "asks", "id", "x", "y")
+    cols = [*by, "s", "t", "asks", "id", "x", "y", "k"]
+    a = side(of, True).withColumn("t", every).withColumn("s", F.col("own")).select(cols)
+    b = side(points, False).withColumn("s", every).withColumn("t", F.col("own")).select(cols)
+    kinds = [f.simpleString().split(":", 1)[1] for f in points.select(*by).schema.fields] if by else []
+    schema = ", ".join([f"{c} {t}" for c, t in zip(by, kinds, strict=True)] + ["id long", "other long", "d double", "k int"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
         if not len(p) or not len(q):
-            return pd.DataFrame({"id": [], "other": [], "d": []}).astype({"id": "int64", "other": "int64", "d": "float64"})
+            return pd.DataFrame({c: [] for c in [*by, "id", "other", "d", "k"]}).astype({"id": "int64", "other": "int64", "d": "float64", "k": "int32"})
         d = np.sqrt((p.x.to_numpy()[:, None] - q.x.to_numpy()[None]) ** 2 + (p.y.to_numpy()[:, None] - q.y.to_numpy()[None]) ** 2)
         d[p.id.to_numpy()[:, None] == q.id.to_numpy()[None]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(p.id.to_numpy(), best.shape[1]), "other": q.id.to_numpy()[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
+        best = np.argsort(d, axis=1, kind="stable")[:, : int(p.k.max())]
+        rows = np.repeat(np.arange(len(p)), best.shape[1])
+        out = {c: p[c].to_numpy()[rows] for c in by} | {"id": p.id.to_numpy()[rows], "other": q.id.to_numpy()[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel(), "k": p.k.to_numpy()[rows]}
+        out = pd.DataFrame(out)
         return out[np.isfinite(out.d)]
 
-    met = a.unionByName(b).groupBy("s", "t").applyInPandas(meet, "id long, other long, d double")
-    r = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
-    return met.withColumn("r", r).where(F.col("r") <= k)
+    met = a.unionByName(b).groupBy(*by, "s", "t").applyInPandas(meet, schema)
+    r = F.row_number().over(Window.partitionBy(*by, "id").orderBy("d", "other"))
+    return met.withColumn("r", r).where(F.col("r") <= F.col("k")).drop("k")
 
 
-def knn_graph(points: DataFrame, fraction: float = 0.05) -> DataFrame:
-    """(a, b), both directions: each point and its ceil(fraction * N) nearest others."""
+def knn_graph(points: DataFrame, fraction: float = 0.05, most: int | None = None) -> DataFrame:
+    """(a, b), both directions: each point and its ceil(fraction * N) nearest others; ``most`` bounds
+    their number, without which the graph grows with the square of the points."""
     n = points.count()
-    k = min(max(1, math.ceil(fraction * n)), max(1, n - 1))
+    k = min(max(1, math.ceil(fraction * n)), max(1, n - 1), most or n)
     e = nearest(points, k).select(F.col("id").alias("a"), F.col("other").alias("b"))
     return e.union(e.select("b", "a")).distinct()
 
 
+def window_graphs(points: DataFrame, fraction: float = 0.05, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph (as_of, a, b) and number of points (as_of, n) of every window of ``points`` (as_of, id, x, y)."""
+    sizes = points.groupBy("as_of").agg(F.count("*").alias("n"))
+    k = F.greatest(F.lit(1), F.least(F.ceil(F.lit(fraction) * F.col("n")), F.col("n") - 1, F.lit(most or 1 << 30)))
+    near = nearest_within(points.join(F.broadcast(sizes), "as_of"), k, ["as_of"])  # a row an as-of quarter
+    e = near.select("as_of", F.col("id").alias("a"), F.col("other").alias("b"))
+    return e.union(e.select("as_of", "b", "a")).distinct(), sizes
+
+
+def sweep_concentration(points: DataFrame, labels: DataFrame, recent: int = 4, fraction: float = 0.05, least: int = 10, most_fraction: float = 0.25, most: int | None = None) -> DataFrame:
+    """Concentration scores of every entity at every as-of quarter, over the trailing ``recent`` quarters.
+
+    ``points`` is (id, x, y, q), ``labels`` (id, entity). A point goes to the as-of quarters whose window
+    holds it, from the first with a whole window; all windows are one job, and none sees a later quarter.
+    """
+    ends = points.agg(F.min("q").alias("lo"), F.max("q").alias("hi")).first()
+    if ends.lo is None:
+        ends = points.sparkSession.createDataFrame([(0, -1)], "lo int, hi int").first()
+    dealt = points.select("id", "x", "y", F.explode(F.sequence(F.col("q"), F.col("q") + recent - 1)).alias("as_of"))
+    dealt = dealt.where((F.col("as_of") >= ends.lo + recent - 1) & (F.col("as_of") <= ends.hi))
+    graph, sizes = window_graphs(dealt, fraction, most)
+    cases = dealt.select("as_of", "id").join(labels.select("id", "entity").distinct(), "id")
+    return _concentration(graph, sizes, cases, ["as_of"], least, most_fraction)
+
+
 def concentration_scores(graph: DataFrame, points: DataFrame, labels: DataFrame, least: int = 10, most_fraction: float = 0.25) -> DataFrame:
     """(entity, n_cases, statistic, mean, variance, z, weight, withheld): ordered pairs of neighbours
     that are both cases, against its exact moments when cases are dealt at random.
@@ -78,12 +116,20 @@ def concentration_scores(graph: DataFrame, points: DataFrame, labels: DataFrame,
     C(C-1).. / N(N-1)..: mean = a2 f2; second moment = 2 a2 f2 + 4 p2 f3 + (a2^2 - 2 a2 - 4 p2) f4.
     ``labels`` is (id, entity). Scores are NULL where withheld: n < least, or too large a share.
     """
-    deg = graph.groupBy("a").agg(F.count("*").alias("deg"))
-    g = deg.agg(F.sum("deg").cast("double").alias("a2"), F.sum(F.col("deg") * (F.col("deg") - 1)).cast("double").alias("p2")).crossJoin(F.broadcast(points.agg(F.count("*").cast("double").alias("n"))))  # one row
-    cases = labels.join(points.select("id"), "id", "left_semi").distinct()
-    ends = graph.join(cases.select(F.col("id").alias("a"), "entity"), "a").join(cases.select(F.col("id").alias("b"), F.col("entity").alias("e2")), "b").where("entity = e2")
-    s = ends.groupBy("entity").agg(F.count("*").alias("s"))
-    c = cases.groupBy("entity").agg(F.count("*").alias("n_cases")).join(s, "entity", "left").withColumn("s", F.coalesce("s", F.lit(0)).cast("double")).crossJoin(F.broadcast(g))  # one row
+    n = points.agg(F.count("*").alias("n"))
+    cases = labels.join(points.select("id"), "id", "left_semi").select("id", "entity").distinct()
+    return _concentration(graph, n, cases, [], least, most_fraction)
+
+
+def _concentration(graph: DataFrame, sizes: DataFrame, cases: DataFrame, by: list[str], least: int, most_fraction: float) -> DataFrame:
+    deg = graph.groupBy(*by, "a").agg(F.count("*").alias("deg"))
+    g = deg.groupBy(*by).agg(F.sum("deg").cast("double").alias("a2"), F.sum(F.col("deg") * (F.col("deg") - 1)).cast("double").alias("p2"))
+    sizes = sizes.withColumn("n", F.col("n").cast("double"))
+    g = g.join(sizes, by) if by else g.crossJoin(F.broadcast(sizes))  # one row, or one a window
+    ends = graph.join(cases.select(*by, F.col("id").alias("a"), "entity"), [*by, "a"]).join(cases.select(*by, F.col("id").alias("b"), F.col("entity").alias("e2")), [*by, "b"]).where("entity = e2")
+    s = ends.groupBy(*by, "entity").agg(F.count("*").alias("s"))
+    c = cases.groupBy(*by, "entity").agg(F.count("*").alias("n_cases")).join(s, [*by, "entity"], "left").withColumn("s", F.coalesce("s", F.lit(0)).cast("double"))
+    c = c.join(F.broadcast(g), by) if by else c.crossJoin(F.broadcast(g))  # one row a window
 
     def f(m: int) -> Column:
         top, bottom = F.lit(1.0), F.lit(1.0)
@@ -97,8 +143,9 @@ def concentration_scores(graph: DataFrame, points: DataFrame, labels: DataFrame,
     out = c.withColumns({"mean": mean, "variance": F.greatest(F.lit(0.0), second - mean * mean), "withheld": why})
     z = F.when(F.col("withheld").isNull() & (F.col("variance") > 0), (F.col("s") - F.col("mean")) / F.sqrt("variance"))
     out = out.withColumn("z", z)
-    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * normal_cdf(F.col("z")) - 1))
-    return out.select("entity", "n_cases", F.col("s").alias("statistic"), "mean", "variance", "z", weight.alias("weight"), "withheld")
+    # no score is no evidence: greatest and least would pass a NULL over
+    weight = F.when(F.col("z").isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * normal_cdf(F.col("z")) - 1)))
+    return out.select(*by, "entity", "n_cases", F.col("s").alias("statistic"), "mean", "variance", "z", weight.alias("weight"), "withheld")
 
 
 def mean_nearest_distance(points: DataFrame, labels: DataFrame) -> DataFrame:

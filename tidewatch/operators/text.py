@@ -122,6 +122,15 @@ def flag_validation(cases: DataFrame, mentions: DataFrame, flags: dict[str, str]
     return g.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def others_content(cases: DataFrame, mentions: DataFrame, flag: str, coded: list[str], most: int = 25) -> DataFrame:
+    """(entity, n): what a catch-all flag held, the commonest first: entities of its cases that no coded
+    flag names."""
+    on = cases.where(F.coalesce(F.col(flag).try_cast("double"), F.lit(0.0)) > 0).select("case_id")
+    rows = mentions.select("case_id", "entity").distinct().join(on, "case_id", "left_semi")
+    rows = rows.where(~F.col("entity").isin(coded)) if coded else rows
+    return rows.groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(most)
+
+
 def coverage(cases: DataFrame, mentions: DataFrame) -> DataFrame:
     """One row: mentions, distinct entities, percent of cases with one, mean and most a case."""
     per = cases.select("case_id").join(mentions.groupBy("case_id").agg(F.count("*").alias("k")), "case_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))

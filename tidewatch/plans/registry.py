@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ordinal_date, rounded
-from ..operators import aberration, alarms, cooccurrence, counting, evaluation, hierarchy, nowcast, spatial, treescan, windows
+from ..operators import aberration, alarms, cooccurrence, counting, evaluation, hierarchy, nowcast, significance, spatial, treescan, windows
 from ..operators import disproportionality as disp
 from ..operators import text as txt
 from ..session import table
@@ -131,7 +131,28 @@ def role_dispersion(s, sf):
 p AS (SELECT as_of, sum(c * c) / sum(c)::DOUBLE AS phi FROM a GROUP BY as_of)
 SELECT entity, as_of, sum(c)::BIGINT AS credit, {_r('any_value(phi)', 'phi')} FROM a JOIN p USING (as_of) GROUP BY entity, as_of""")
 def weighted_sweep(s, sf):
-    return r6(counting.weighted_sweep(d.ordered(s, sf), d.denom(s, sf)), "phi").where("credit > 0 OR credit = 0")
+    return r6(counting.weighted_sweep(d.ordered(s, sf), d.denom(s, sf)), "phi")
+
+
+WW = """
+wa AS (SELECT as_of, any_value(total_recent) AS total_recent, any_value(total_base) AS total_base FROM aso WHERE k = 12 GROUP BY 1),
+wc AS (SELECT wa.as_of, o2.entity, o2.q, CASE WHEN size = 1 THEN 2 WHEN size >= 3 AND pos = size - 1 AND NOT coalesce(first_lead_q <= wa.as_of, false) THEN 0 ELSE 1 END AS c
+       FROM wa JOIN o2 ON o2.q <= wa.as_of JOIN (SELECT q FROM den) v ON v.q = o2.q LEFT JOIN lead1 ON lead1.entity = o2.entity),
+wp AS (SELECT as_of, sum(c * c) / sum(c)::DOUBLE AS phi FROM wc GROUP BY 1),
+ww AS (SELECT entity, as_of, coalesce(sum(c) FILTER (q > as_of - 4), 0)::BIGINT AS n_recent, coalesce(sum(c) FILTER (q <= as_of - 4), 0)::BIGINT AS n_baseline FROM wc WHERE q > as_of - 12 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {B}, {W}, {ORD}, {WW} SELECT entity, as_of, n_recent, n_baseline, total_recent, total_base, {_r('phi', 'phi')} FROM ww JOIN wa USING (as_of) JOIN wp USING (as_of)")
+def weighted_windows(s, sf):
+    return r6(counting.weighted_windows(d.ordered(s, sf), d.denom(s, sf)), "phi")
+
+
+ONE_HOT = ["Brand#7", "Brand#12", "Brand#21", "Brand#1", "Brand#2", "Brand#3"]
+
+
+@query(f"""WITH {BS} SELECT o_orderkey AS case_id, {", ".join(f"""coalesce(max((entity = '{e}')::INT), 0)::INT AS "{e}" """ for e in ONE_HOT)} FROM orders LEFT JOIN m ON case_id = o_orderkey GROUP BY 1""")
+def one_hot(s, sf):
+    return counting.one_hot(d.cases(s, sf).select("case_id"), d.mentions(s, sf, False), ONE_HOT)
 
 
 # --- disproportionality -------------------------------------------------------------------------------
@@ -181,6 +202,81 @@ def eb_rank_with_veto(s, sf):
     return disp.ranked(r6(out.select("entity", "as_of", "n_recent", "ratio", "eb05", "eb05_own", "ri", "credible_rise", "vetoed"), "ratio", "eb05", "eb05_own", "ri", places=4), "eb05")
 
 
+LOC = """
+lp AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, 'Brand#' || label AS entity, (7994 + vec_id % 12)::INT AS q FROM embeddings),
+lw AS (SELECT id, x, y, entity, q + ago AS as_of FROM lp, (SELECT unnest(range(0, 4))::INT AS ago) WHERE q + ago BETWEEN (SELECT min(q) + 3 FROM lp) AND (SELECT max(q) FROM lp)),
+ln AS (SELECT as_of, count(*)::DOUBLE AS n, greatest(1, least(ceil(0.05 * count(*)), count(*) - 1)) AS k FROM lw GROUP BY 1),
+lk AS (SELECT * FROM (SELECT a.as_of, a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.as_of, a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS r FROM lw a JOIN lw b ON a.as_of = b.as_of AND a.id <> b.id) JOIN ln USING (as_of) WHERE r <= k),
+lg AS (SELECT as_of, a, b FROM lk UNION SELECT as_of, b, a FROM lk),
+ld AS (SELECT as_of, sum(k)::DOUBLE AS a2, sum(k * (k - 1))::DOUBLE AS p2 FROM (SELECT as_of, a, count(*) AS k FROM lg GROUP BY 1, 2) GROUP BY 1),
+ls AS (SELECT lg.as_of, u.entity, count(*) AS s FROM lg JOIN lw u ON u.id = a AND u.as_of = lg.as_of JOIN lw v ON v.id = b AND v.as_of = lg.as_of WHERE u.entity = v.entity GROUP BY 1, 2),
+lc AS (SELECT as_of, entity, count(*)::DOUBLE AS c FROM lw GROUP BY 1, 2),
+lf AS (SELECT as_of, entity, c, n, coalesce(s, 0)::DOUBLE AS s, a2, p2, c*(c-1)/(n*(n-1)) AS f2, c*(c-1)*(c-2)/(n*(n-1)*(n-2)) AS f3, c*(c-1)*(c-2)*(c-3)/(n*(n-1)*(n-2)*(n-3)) AS f4 FROM lc LEFT JOIN ls USING (as_of, entity) JOIN ld USING (as_of) JOIN ln USING (as_of)),
+lm AS (SELECT *, a2 * f2 AS mean, greatest(0, 2*a2*f2 + 4*p2*f3 + (a2*a2 - 2*a2 - 4*p2)*f4 - pow(a2*f2, 2)) AS var, CASE WHEN c < 10 THEN 'n<10' WHEN c / n > 0.25 THEN 'case_fraction>0.25' END AS withheld FROM lf),
+lz AS (SELECT *, CASE WHEN withheld IS NULL AND var > 0 THEN (s - mean) / sqrt(var) END AS z FROM lm),
+lt AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM lz),
+lu AS (SELECT *, exp(-z * z / 2) * 0.3989422804014327 * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS up FROM lt),
+lx AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE greatest(0, least(1, 2 * (CASE WHEN z >= 0 THEN 1 - up ELSE up END) - 1)) END AS weight FROM lu)"""
+
+
+@query(f"WITH {LOC} SELECT entity, as_of, c::BIGINT AS n_cases, s AS statistic, {_r('mean', 'mean', 4)}, {_r('var', 'variance', 3)}, {_r('z', 'z', 4)}, {_r('weight', 'weight', 4)}, withheld FROM lx")
+def concentration_sweep(s, sf):
+    return r6(r6(r6(_located(s, sf), "mean", places=4), "variance", places=3), "z", "weight", places=4)
+
+
+def _located(s, sf):
+    p = d.points(s, sf)
+    p = p.select("id", "x", "y", F.concat(F.lit("Brand#"), "label").alias("entity"), (F.lit(7994) + F.col("id") % 12).cast("int").alias("q"))
+    return spatial.sweep_concentration(p, p.select("id", "entity"))
+
+
+@query(f"""WITH {B}, {W}, {LOC}, j AS (SELECT gate.*, 1 - 0.25 * coalesce(weight, 0) AS less FROM gate LEFT JOIN lx USING (entity, as_of) WHERE n_recent > 0)
+SELECT entity, as_of, n_recent, n_baseline, {_r('expected * less', 'expected', 4)}, {_r('expected_own * less', 'expected_own', 4)}, {_r('n_recent / nullif(expected * less, 0)', 'ratio', 4)}, {_r('n_recent / nullif(expected_own * less, 0)', 'ratio_own', 4)} FROM j""")
+def discounted_sweep(s, sf):
+    """The ratio sweep whose expectations are lowered where an entity's recent cases lie close together."""
+    con = _located(s, sf).select("entity", "as_of", "weight")
+    w = windows.trailing_windows(d.counts(s, sf), d.denom(s, sf)).where("n_recent > 0").join(con, ["entity", "as_of"], "left")
+    out = disp.gate_columns(w, concentration=F.col("weight"))
+    return r6(out.select("entity", "as_of", "n_recent", "n_baseline", "expected", "expected_own", "ratio", "ratio_own"), "expected", "expected_own", "ratio", "ratio_own", places=4)
+
+
+@query(f"""WITH {B}, {W}, {ORD}, {LOC}, x AS (SELECT max(as_of) AS a FROM aso WHERE k = 12),
+sn AS (SELECT entity, sum(n)::BIGINT AS n_total, min(q) AS first_seen, max(q) AS last_seen FROM cnt, x WHERE q <= a GROUP BY 1),
+ps AS (SELECT entity, greatest(1.0, 1 / greatest(avg(credit), 0.05)) AS phi_s FROM cred, x WHERE q <= a GROUP BY entity HAVING count(*) >= 10),
+j AS (SELECT gate.*, coalesce(z, 0) AS z_spatial, coalesce(weight, 0) AS concentration, 1 - 0.25 * coalesce(weight, 0) AS less FROM gate JOIN x ON as_of = a LEFT JOIN lx USING (entity, as_of))
+SELECT entity, as_of, n_recent, n_baseline, {_r('z_spatial', 'z_spatial', 4)}, {_r('concentration', 'concentration', 4)}, {_r('expected * less', 'expected', 4)}, {_r('expected_own * less', 'expected_own', 4)},
+ {_r('n_recent / nullif(expected * less, 0)', 'ratio', 4)}, {_r('n_recent / nullif(expected_own * less, 0)', 'ratio_own', 4)}, {_r('n_recent / nullif(expected_own, 0)', 'count_ratio', 4)},
+ {_r('100.0 * n_recent / total_recent', 'share_recent_pct', 4)}, {_r('100.0 * n_baseline / total_base', 'share_base_pct', 4)}, n_total, first_seen, last_seen, coalesce(first_seen > as_of - 4, false) AS novel, {_r('coalesce(phi_s, 1.0)', 'phi_s', 4)}
+FROM j LEFT JOIN sn USING (entity) LEFT JOIN ps USING (entity)""")
+def ranking_table(s, sf):
+    """The latest ranking's table: windows, shares, novelty, dispersion and concentration of each entity."""
+    out = _ranking(s, sf)
+    real = ["z_spatial", "concentration", "expected", "expected_own", "ratio", "ratio_own", "count_ratio", "share_recent_pct", "share_base_pct", "phi_s"]
+    return r6(out.select("entity", "as_of", "n_recent", "n_baseline", *real, "n_total", "first_seen", "last_seen", "novel"), *real, places=4)
+
+
+def _ranking(s, sf):
+    o = d.ordered(s, sf)
+    w = windows.trailing_windows(d.counts(s, sf), d.denom(s, sf))
+    last = int(windows.as_of_quarters(d.denom(s, sf)).agg(F.max("as_of")).first()[0])
+    return disp.rank_entities(w, d.counts(s, sf), last, counting.position_credit(o, counting.first_leads(o)), _located(s, sf))
+
+
+@query()
+def ranking_scores(s, sf):
+    """The same ranking with shrinkage scores: counts divided by the roles' dispersion, the prior's rate
+    following the spatial score."""
+    out = disp.eb_scores(_ranking(s, sf))
+    return disp.ranked(r6(out.select("entity", "as_of", "n_recent", "phi_s", "z_spatial", "ebgm", "eb05", "eb95", "eb05_own", "credible_rise"), "phi_s", "z_spatial", "ebgm", "eb05", "eb95", "eb05_own", places=4), "eb05")
+
+
+@query()
+def weighted_eb_sweep(s, sf):
+    """Shrinkage scores of the weighted sweep, with the dispersion as of each quarter."""
+    w = disp.gate_columns(counting.weighted_windows(d.ordered(s, sf), d.denom(s, sf))).where("n_recent > 0")
+    return r6(disp.eb_scores(w).select("entity", "as_of", "n_recent", "n_baseline", "phi", "ebgm", "eb05", "eb95", "eb05_own", "credible_rise"), "phi", "ebgm", "eb05", "eb95", "eb05_own", places=4)
+
+
 # --- aberration -------------------------------------------------------------------------------------
 @query(f"WITH {B}, {W}, {EARS} SELECT entity, as_of, n_recent, n_baseline, {_r('ears_z', 'ears_z')} FROM ears")
 def ears_sweep(s, sf):
@@ -247,7 +343,7 @@ def aberration_rank(s, sf):
 @query()
 def dispersion_verdicts(s, sf):
     out = aberration.dispersion_verdict(d.counts(s, sf), d.denom(s, sf))
-    return r6(out, "d_flat", "d_trend", "absorbed", "root_d", places=4)
+    return r6(out, "d_flat", "d_trend", "absorbed", "root_d", "p_trend", places=4)
 
 
 # --- alarms -----------------------------------------------------------------------------------------
@@ -396,6 +492,17 @@ def dyads(s, sf):
     return r6(cooccurrence.dyads(d.mentions(s, sf, False), c), "expected", "lift", "pct_of_a", "pct_of_b")
 
 
+@query(f"""WITH {BS}, c(label_a, pa, label_b, pb) AS (VALUES {_vals(DYADS)}), lq AS (SELECT DISTINCT quarter FROM m ORDER BY quarter DESC LIMIT 4),
+mm AS (SELECT m.*, 'all' AS era FROM m UNION ALL SELECT m.*, 'now' FROM m WHERE quarter IN (FROM lq)), t AS (SELECT era, count(DISTINCT case_id) AS cases FROM mm GROUP BY 1),
+x AS (SELECT era, label_a, label_b, case_id, max(regexp_matches(entity, pa)::INT) AS a, max(regexp_matches(entity, pb)::INT) AS b FROM mm, c WHERE regexp_matches(entity, pa) OR regexp_matches(entity, pb) GROUP BY 1, 2, 3, 4),
+g AS (SELECT era, label_a, label_b, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(a * b)::BIGINT AS n_both, any_value(cases) AS cases FROM x JOIN t USING (era) GROUP BY 1, 2, 3)
+SELECT f.label_a, f.label_b, f.n_a, f.n_b, f.n_both, {_r('f.n_both / nullif(f.n_a * f.n_b / f.cases::DOUBLE, 0)', 'lift')}, coalesce(r.n_both, 0)::BIGINT AS recent_n_both, {_r('r.n_both / nullif(r.n_a * r.n_b / r.cases::DOUBLE, 0)', 'recent_lift')}
+FROM g f LEFT JOIN g r ON r.era = 'now' AND r.label_a = f.label_a AND r.label_b = f.label_b WHERE f.era = 'all'""")
+def dyads_recent(s, sf):
+    c = s.createDataFrame(DYADS, "label_a string, pattern_a string, label_b string, pattern_b string")
+    return r6(cooccurrence.dyads_recent(d.mentions(s, sf, False), c).select("label_a", "label_b", "n_a", "n_b", "n_both", "lift", "recent_n_both", "recent_lift"), "lift", "recent_lift")
+
+
 # --- evaluation -------------------------------------------------------------------------------------
 #: The planted risers' true intervals, and brands that are labelled not to rise.
 TRUTH = [("Brand#7", "1999Q1", "1999Q4", False), ("Brand#12", "2000Q1", None, True), ("Brand#21", "1998Q2", "1999Q1", False)]
@@ -431,9 +538,72 @@ def precision_rate(s, sf):
     return r6(evaluation.precision_rate(over), "rate", "low", "high")
 
 
-@query(f"WITH {B}, {W}, {TRUTHS} SELECT entity, count(*)::BIGINT AS quarters FROM dq WHERE entity NOT IN (FROM gt SELECT entity) GROUP BY entity")
+@query(f"WITH {B}, {W}, {TRUTHS} SELECT entity, count(*)::BIGINT AS quarters FROM rat WHERE ratio > 1.05 AND entity NOT IN (FROM gt SELECT entity) GROUP BY entity")
 def off_target(s, sf):
-    return evaluation.off_target(_ratio(s, sf), "ratio", 1.5, _intervals(s, sf))
+    return evaluation.off_target(_ratio(s, sf), "ratio", 1.05, _intervals(s, sf))
+
+
+#: The detectors that are compared, at lines that the planted brands cross.
+MODELS = [
+    evaluation.Model("ratio", "ratio", "ratio", 1.5),
+    evaluation.Model("ratio-dual", "ratio", "ratio", 1.2, gate="dual"),
+    evaluation.Model("ratio-confirmed", "ratio", "ratio", 1.5, gate="confirmed"),
+    evaluation.Model("ratio-emergent", "ratio", "ratio", 1.5, gate="emergent"),
+    evaluation.Model("ears", "ears", "ears_z", 3.0),
+    evaluation.Model("mean(ratio,ears)", "ensemble", "score", 0.95, "mean", ("ratio", "ears")),
+    evaluation.Model("threshold(ratio,ears)", "ensemble", "score", 1.0, "threshold", ("ratio", "ears")),
+    evaluation.Model("veto(ratio,ears)", "ensemble", "score", 1.5, "veto", ("ratio", "ears")),
+]
+
+
+def _benchmark(s, sf):
+    sweep = _ratio(s, sf).withColumn("_r", F.coalesce("ratio", F.lit(float("inf"))))
+    sweep = aberration.emergent_flags(aberration.confirmed_flags(sweep, "_r", 1.5), "_r", 1.5)
+    sweeps = {("ratio", False, ()): sweep, ("ears", False, ()): _ears(s, sf)}
+    return evaluation.build_scores(MODELS, sweeps, {m.name: m for m in MODELS})
+
+
+BENCH = """
+br AS (SELECT *, CASE WHEN expected > 0 THEN n_recent / expected ELSE 'inf'::DOUBLE END AS rr FROM rat),
+bh AS (SELECT *, as_of - row_number() OVER (PARTITION BY entity ORDER BY as_of) AS island FROM br WHERE rr > 1.5),
+bf AS (SELECT entity, as_of, row_number() OVER (PARTITION BY entity, island ORDER BY as_of) >= 3 AS confirmed, first_value(n_baseline) OVER (PARTITION BY entity, island ORDER BY as_of) / 8.0 < 2 AS emergent FROM bh),
+be AS (SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.as_of, b.as_of) AS as_of, coalesce(rr, 0) AS a, coalesce(ears_z, 0) AS b FROM br a FULL JOIN ears b ON a.entity = b.entity AND a.as_of = b.as_of),
+bk AS (SELECT *, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0) / count(*) OVER () AS ra, (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS rb FROM be),
+al AS (SELECT 'ratio' AS model, entity, as_of AS q FROM br WHERE rr > 1.5 UNION ALL
+       SELECT 'ratio-dual', entity, as_of FROM br WHERE ratio_own IS NOT NULL AND least(rr, ratio_own) > 1.2 UNION ALL
+       SELECT 'ratio-confirmed', entity, as_of FROM bf WHERE confirmed UNION ALL
+       SELECT 'ratio-emergent', entity, as_of FROM bf WHERE emergent UNION ALL
+       SELECT 'ears', entity, as_of FROM ears WHERE ears_z > 3 UNION ALL
+       SELECT 'mean(ratio,ears)', entity, as_of FROM bk WHERE (ra + rb) / 2 > 0.95 UNION ALL
+       SELECT 'threshold(ratio,ears)', entity, as_of FROM be WHERE greatest(a / 1.5, b / 3.0) > 1 UNION ALL
+       SELECT 'veto(ratio,ears)', entity, as_of FROM be WHERE CASE WHEN b >= 3 THEN a ELSE 0 END > 1.5),
+mo AS (SELECT unnest(['ratio', 'ratio-dual', 'ratio-confirmed', 'ratio-emergent', 'ears', 'mean(ratio,ears)', 'threshold(ratio,ears)', 'veto(ratio,ears)']) AS model),
+bo AS (SELECT coalesce(t.model, x.model) AS model, coalesce(t.entity, x.entity) AS entity, count(t.q) AS gt, count(x.q) AS det, count(*) FILTER (t.q IS NOT NULL AND x.q IS NOT NULL) AS overlap
+       FROM (SELECT model, entity, q FROM tq, mo) t FULL JOIN (SELECT * FROM al WHERE entity IN (FROM lab)) x ON t.model = x.model AND t.entity = x.entity AND t.q = x.q GROUP BY 1, 2),
+bl AS (SELECT model, entity, min(q - start_q) AS lag FROM al JOIN iv USING (entity) WHERE q BETWEEN start_q AND end_q GROUP BY 1, 2),
+bp AS (SELECT mo.model, lab.entity, coalesce(gt, 0) AS gt, coalesce(det, 0) AS det, coalesce(overlap, 0) AS overlap, lag FROM mo CROSS JOIN lab LEFT JOIN bo ON bo.model = mo.model AND bo.entity = lab.entity LEFT JOIN bl ON bl.model = mo.model AND bl.entity = lab.entity),
+bx AS (SELECT model, count(*) AS off_quarters, count(DISTINCT entity) AS off_entities FROM al WHERE entity NOT IN (FROM lab) GROUP BY 1)"""
+
+
+@query(f"""WITH {B}, {W}, {EARS}, {TRUTHS}, {BENCH}
+SELECT model, count(*)::BIGINT AS labelled, sum((overlap > 0)::INT)::BIGINT AS detected, {_r('avg(coalesce(overlap / nullif(gt, 0), 0))', 'recall')}, {_r('avg(coalesce(overlap / nullif(det, 0), 0))', 'precision')}, {_r('avg(coalesce(overlap / nullif(gt + det - overlap, 0), 0))', 'iou')},
+ {_r('avg(lag)', 'lag_q')}, sum(det)::BIGINT AS alarm_quarters, {_r('sum((det > 0 AND overlap > 0)::INT) / nullif(sum((det > 0)::INT), 0)', 'alarm_precision')}, coalesce(any_value(off_quarters), 0)::BIGINT AS off_quarters, coalesce(any_value(off_entities), 0)::BIGINT AS off_entities
+FROM bp LEFT JOIN bx USING (model) GROUP BY model""")
+def benchmark(s, sf):
+    """All detectors against the labelled intervals, a row each."""
+    out = evaluation.run_benchmark(MODELS, _benchmark(s, sf), _intervals(s, sf), s.createDataFrame(CALM, "entity string"))
+    return r6(out, "recall", "precision", "iou", "lag_q", "alarm_precision")
+
+
+@query(f"""WITH {B}, {W}, {EARS}, {TRUTHS}, {BENCH} SELECT model, entity, start_q, min(q)::INT AS first_alarm FROM al JOIN iv USING (entity) WHERE q BETWEEN start_q AND end_q GROUP BY 1, 2, 3""")
+def method_timeline(s, sf):
+    """When each detector first alarms inside an interval."""
+    rows = None
+    for m in MODELS:
+        hot = _benchmark(s, sf)[m.name].where(F.col("score") > m.threshold).select(F.lit(m.name).alias("model"), "entity", F.col("as_of").alias("q"))
+        rows = hot if rows is None else rows.unionByName(hot)
+    none = s.createDataFrame([], "entity string, onset int")
+    return evaluation.onset_lags(rows, _intervals(s, sf), none).select("model", "entity", "start_q", "first_alarm")
 
 
 @query(f"WITH {B}, {W}, t AS (SELECT min(ratio) AS line FROM (SELECT ratio FROM rat WHERE ratio IS NOT NULL ORDER BY ratio DESC, entity, as_of LIMIT 20)) SELECT entity, as_of, {_r('ratio', 'score')}, {_r('line', 'line')} FROM rat, t WHERE ratio >= line")
@@ -496,16 +666,15 @@ def curve_areas(s, sf):
     return r6(evaluation.curve_areas(_rates(s, sf)), "roc_auc", "average_precision")
 
 
-@query("""WITH c AS (SELECT p_brand AS entity, (year(l_shipdate) * 2 + (month(l_shipdate) > 6)::INT)::INT AS h, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48 GROUP BY 1, 2),
+@query(f"""WITH {B}, c AS (SELECT entity, (q // 2)::INT AS h, sum(n)::BIGINT AS n FROM cnt GROUP BY 1, 2), fl AS (SELECT sum(n) / 1000 AS f FROM c),
 g AS (SELECT entity, h FROM (SELECT DISTINCT entity FROM c) CROSS JOIN (SELECT unnest(range((SELECT min(h) FROM c), (SELECT max(h) FROM c) + 1))::INT AS h)),
 r AS (SELECT g.entity, g.h, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.entity = g.entity AND c.h = g.h),
-x AS (SELECT *, n >= 4 AND lag(n, 1) OVER w < 4 AND lag(n, 2) OVER w < 4 AS hit FROM r WINDOW w AS (PARTITION BY entity ORDER BY h))
-SELECT entity, min(h) AS onset FROM x WHERE hit GROUP BY entity""")
+x AS (SELECT *, n >= floor(f) AND lag(n, 1) OVER w < floor(f) AND lag(n, 2) OVER w < floor(f) AS hit FROM r, fl WINDOW w AS (PARTITION BY entity ORDER BY h))
+SELECT entity, min(h)::INT AS onset FROM x WHERE hit GROUP BY entity""")
 def external_onset(s, sf):
-    li, p = table(s, sf, "lineitem"), table(s, sf, "part")
-    rows = li.where("l_quantity > 48").join(p, li["l_partkey"] == p["p_partkey"])
-    h = (F.year("l_shipdate") * 2 + (F.month("l_shipdate") > 6).cast("int")).cast("int")
-    return evaluation.external_onset(rows.groupBy(F.col("p_brand").alias("entity"), h.alias("h")).agg(F.count("*").alias("n")), 4)
+    c = d.counts(s, sf).groupBy("entity", F.floor(F.col("q") / 2).cast("int").alias("h")).agg(F.sum("n").alias("n"))
+    floor = int((c.agg(F.sum("n")).first()[0] or 0) // 1000)
+    return evaluation.external_onset(c, floor)
 
 
 # --- nowcast: an order's lines are reported when they are shipped -------------------------------------
@@ -574,11 +743,11 @@ st AS (SELECT x.label, count(*) AS s FROM gr JOIN pt x ON x.id = a JOIN pt y ON
 cs AS (SELECT label, count(*)::DOUBLE AS c FROM pt GROUP BY 1),
 f AS (SELECT label, c, coalesce(s, 0)::DOUBLE AS s, a2, p2, n, c*(c-1)/(n*(n-1)) AS f2, c*(c-1)*(c-2)/(n*(n-1)*(n-2)) AS f3, c*(c-1)*(c-2)*(c-3)/(n*(n-1)*(n-2)*(n-3)) AS f4 FROM cs LEFT JOIN st USING (label), ap, nk),
 g AS (SELECT *, a2 * f2 AS mean, 2*a2*f2 + 4*p2*f3 + (a2*a2 - 2*a2 - 4*p2)*f4 - pow(a2*f2, 2) AS var FROM f)
-SELECT label::VARCHAR AS entity, c::BIGINT AS n_cases, s AS statistic, {_r('mean', 'mean', 4)}, {_r('var', 'variance', 3)}, {_r('(s - mean) / sqrt(var)', 'z', 5)} FROM g""")
+SELECT label::VARCHAR AS entity, c::BIGINT AS n_cases, s AS statistic, {_r('mean', 'mean', 4)}, {_r('var', 'variance', 3)}, {_r("CASE WHEN c >= 10 AND c / n <= 0.25 AND var > 0 THEN (s - mean) / sqrt(var) END", 'z', 5)}, CASE WHEN c < 10 THEN 'n<10' WHEN c / n > 0.25 THEN 'case_fraction>0.25' END AS withheld FROM g""")
 def concentration(s, sf):
     p = d.points(s, sf)
     out = spatial.concentration_scores(spatial.knn_graph(p), p, p.select("id", F.col("label").cast("string").alias("entity")))
-    return r6(r6(r6(out.select("entity", "n_cases", "statistic", "mean", "variance", "z"), "mean", places=4), "variance", places=3), "z", places=5)
+    return r6(r6(r6(out.select("entity", "n_cases", "statistic", "mean", "variance", "z", "withheld"), "mean", places=4), "variance", places=3), "z", places=5)
 
 
 @query(f"WITH {PT}, d AS (SELECT a.label, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS m FROM pt a JOIN pt b ON a.label = b.label AND a.id <> b.id GROUP BY 1, 2) SELECT label::VARCHAR AS entity, count(*)::BIGINT AS n, {_r('avg(m)', 'mean_d')} FROM d GROUP BY 1")
@@ -649,7 +818,20 @@ def scan_cylinders(s, sf):
     return spatial.cylinders(e, z, 8002)
 
 
-@query()
+CYL = """
+fr AS (SELECT * FROM ev WHERE q BETWEEN 7991 AND 8002), wi AS (SELECT unnest([1,2,3,4,5,6]) AS w),
+cy AS (SELECT a.centre, a.rank AS radius, w, count(fr.zone)::DOUBLE AS n, coalesce(sum(is_case::INT), 0)::DOUBLE AS c FROM ci a CROSS JOIN wi JOIN ci b ON b.centre = a.centre AND b.rank <= a.rank LEFT JOIN fr ON fr.zone = b.zone AND fr.q > 8002 - w GROUP BY 1, 2, 3),
+tt AS (SELECT count(*)::DOUBLE AS tn, sum(is_case::INT)::DOUBLE AS tc FROM fr),
+sp AS (SELECT a.centre, a.rank AS radius, coalesce(sum(is_case::INT), 0)::DOUBLE AS sc FROM ci a JOIN ci b ON b.centre = a.centre AND b.rank <= a.rank LEFT JOIN fr ON fr.zone = b.zone GROUP BY 1, 2),
+tm AS (SELECT w, coalesce(sum(is_case::INT), 0)::DOUBLE AS wc FROM wi LEFT JOIN fr ON fr.q > 8002 - w GROUP BY 1),
+xl AS (SELECT 'bernoulli' AS model, centre, radius, w, n, c, n * tc / tn AS e, CASE WHEN n > 0 AND tn > n AND c * (tn - n) > (tc - c) * n THEN
+  CASE WHEN c > 0 THEN c * ln(c / n) ELSE 0 END + CASE WHEN n > c THEN (n - c) * ln((n - c) / n) ELSE 0 END + CASE WHEN tc > c THEN (tc - c) * ln((tc - c) / (tn - n)) ELSE 0 END
+  + CASE WHEN tn - n > tc - c THEN (tn - n - tc + c) * ln((tn - n - tc + c) / (tn - n)) ELSE 0 END - tc * ln(tc / tn) - (tn - tc) * ln((tn - tc) / tn) ELSE 0 END AS llr FROM cy, tt UNION ALL
+  SELECT 'poisson', centre, radius, w, n, c, e, CASE WHEN c > e AND e > 1e-9 THEN c * ln(c / e) + CASE WHEN tc > c AND tc > e THEN (tc - c) * ln((tc - c) / (tc - e)) ELSE 0 END ELSE 0 END
+  FROM (SELECT cy.*, sc * wc / tc AS e, tc FROM cy JOIN sp USING (centre, radius) JOIN tm USING (w), tt))"""
+
+
+@query(f"WITH {ZONE}, {CYL} SELECT model, centre, radius::INT AS radius, w AS window_q, n::BIGINT AS n, c::BIGINT AS cases, {_r('e', 'expected')}, {_r('llr', 'llr')} FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(llr, 9) DESC, radius, w, centre) AS r FROM xl) WHERE r = 1")
 def best_cylinders(s, sf):
     """The most likely cluster under both models."""
     z, e = _zones(s, sf)
@@ -666,6 +848,68 @@ def trend_variation(s, sf):
     return r6(spatial.trend_variation(per.where("is_case").groupBy("zone", "t").agg(F.count("*").alias("n")), pop, z), "beta_in", "beta_out", "llr", places=4)
 
 
+def _labelled(s, sf):
+    """Orders as events in zones, their priorities as entities."""
+    c = table(s, sf, "customer")
+    o = table(s, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    day = F.to_date("o_orderdate")
+    e = o.select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("zone"), (F.year(day) * 4 + F.quarter(day) - 1).cast("int").alias("q"), F.col("o_orderpriority").alias("entity"))
+    return e, e.select("id", "entity")
+
+
+@query()
+def scan_significance(s, sf):
+    """The most likely cylinder of each order priority under both models, with permutation p-values."""
+    e, labels = _labelled(s, sf)
+    z, _ = _zones(s, sf)
+    rows = [significance.scan_significance(e, labels, z, 8002, m).withColumn("model", F.lit(m)) for m in ("bernoulli", "interaction")]
+    return r6(rows[0].unionByName(rows[1]), "radius", "expected", "rate_ratio", "llr", "p_value", "recurrence_interval", "p_across")
+
+
+@query()
+def trend_significance(s, sf):
+    """The circle in which urgent orders rise most against outside, with its p-value."""
+    z, e = _zones(s, sf)
+    per = e.withColumn("t", F.floor(F.col("q") / 4).cast("int") - 1998)
+    n = lambda rows: rows.groupBy("zone", "t").agg(F.count("*").alias("n"))
+    return r6(significance.trend_significance(n(per.where("is_case")), n(per), z), "beta_in", "beta_out", "llr", "p_value", places=4)
+
+
+@query()
+def tolerance_surface(s, sf):
+    """The relative-risk surface with pointwise p-values."""
+    p = d.points(s, sf).withColumn("is_case", F.col("label") == 0)
+    return r6(significance.tolerance_surface(p, 50.0, 1.5), "log_rr", "p_value")
+
+
+@query(f"""WITH {PT}, g AS (SELECT floor(x / 50)::INT AS ix, floor(y / 50)::INT AS iy, count(*) AS n, sum((label = 0)::INT) AS c FROM pt GROUP BY 1, 2), sh AS (SELECT sum(c) / sum(n)::DOUBLE AS s FROM g),
+k AS (SELECT a.ix, a.iy, sum(exp(-(pow(a.ix - b.ix, 2) + pow(a.iy - b.iy, 2)) / 4.5) * b.n) AS kn, sum(exp(-(pow(a.ix - b.ix, 2) + pow(a.iy - b.iy, 2)) / 4.5) * b.c) AS kc, sum(b.n)::BIGINT AS local_n FROM g a JOIN g b ON abs(a.ix - b.ix) <= 5 AND abs(a.iy - b.iy) <= 5 GROUP BY 1, 2),
+f AS (SELECT CASE WHEN abs((ix + 0.5) * 50) < 300 THEN (CASE WHEN (ix + 0.5) * 50 < 0 THEN 'w' ELSE 'e' END) || (CASE WHEN (iy + 0.5) * 50 < 0 THEN 's' ELSE 'n' END) END AS zone, CASE WHEN local_n >= 5 THEN ln((kc + s) / (kn + 1) / s) END AS r FROM k, sh)
+SELECT zone, count(*)::BIGINT AS n_cells, {_r('avg(r)', 'mean_log_rr')}, {_r('max(r)', 'max_log_rr')}, {_r('exp(avg(r))', 'mean_rr')} FROM f WHERE zone IS NOT NULL GROUP BY 1""")
+def zone_risk(s, sf):
+    """The relative-risk surface by quadrant; cells far out in the west and east are outside all zones."""
+    g = spatial.grid_counts(d.points(s, sf).withColumn("is_case", F.col("label") == 0), 50.0)
+    side = lambda v, low, high: F.when(v < 0, low).otherwise(high)
+    zone = lambda x, y: F.when(F.abs(x) < 300, F.concat(side(x, F.lit("w"), F.lit("e")), side(y, F.lit("s"), F.lit("n"))))
+    return r6(significance.zone_summary(spatial.log_relative_risk(g, 1.5), 50.0, zone).drop("min_p"), "mean_log_rr", "max_log_rr", "mean_rr")
+
+
+MEMBERS = [("teens", "Brand#11"), ("teens", "Brand#19"), ("sevens", "Brand#7"), ("sevens", "Brand#97")]
+
+
+@query(f"""WITH {NODES} SELECT 'missing' AS kind, f AS owner, m AS name FROM (VALUES {_vals(MEMBERS)}) v(f, m) WHERE m NOT IN (SELECT entity FROM mc)
+UNION SELECT 'unmapped', NULL, category FROM mc WHERE category NOT IN (SELECT c FROM (VALUES {_vals(SUPER)}) w(c, s))""")
+def member_checks(s, sf):
+    cats = hierarchy.modal_category(d.raw_mentions(s, sf, False).select("entity", "category"))
+    return hierarchy.member_checks(cats, s.createDataFrame(MEMBERS, "family string, member string"), s.createDataFrame(SUPER, "category string, superclass string"))
+
+
+@query(f"WITH {NODES} SELECT node, level, leaf FROM nodes JOIN (SELECT node, level FROM nodes GROUP BY 1, 2 HAVING count(*) >= 2) USING (node, level) WHERE level <> 'family'")
+def strict_nodes(s, sf):
+    """The tree without families, of nodes with two leaves or more."""
+    return hierarchy.select_nodes(_nodes(s, sf), least_leaves=2, strict=True)
+
+
 # --- text: part names as catalogue, an order's part names as its narrative ----------------------------
 def _lexicon(s, sf):
     names = table(s, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("position"))
@@ -692,9 +936,9 @@ def extract_mentions(s, sf):
     return txt.extract(_narratives(s, sf), ["narrative"], _lexicon_map(s, sf), fuzzy=False)
 
 
-@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(translate(upper(replace(text, 'ß', 'ss')), '‐‑‒–—―−', '-------'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), ',', ' '), '[^A-Z0-9' || chr(1) || '\\-'']+', ' ', 'g'), chr(1), ',', 'g')), ' '), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: w <> '' AND w NOT IN ('AND','WITH','OF','THE','PLUS','OR')), ' ')) AS tokens_md5 FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(translate(upper(replace(text, 'ß', 'ss')), '‐‑‒–—―−', '-------'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), ',', ' '), '[^A-Z0-9' || chr(1) || '\\-'']+', ' ', 'g'), chr(1), ',', 'g')), ' '), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: w <> '' AND w NOT IN ('AND','WITH','OF','THE','PLUS','OR')), ' ')) AS tokens_md5 FROM documents")
 def tokenized_documents(s, sf):
-    return _tokens_md5(table(s, sf, "documents").where("lang = 'en'"))
+    return _tokens_md5(table(s, sf, "documents"))
 
 
 @query()
@@ -707,7 +951,10 @@ def _tokens_md5(docs):
     return docs.select("doc_id", F.md5(F.array_join(txt.tokens(F.col("text")), " ")).alias("tokens_md5"))
 
 
-@query()
+@query(f"""WITH ec AS (SELECT event_type AS entity, datediff('day', DATE '2024-01-01', ts::DATE)::INT AS q, count(*)::BIGINT AS n FROM events GROUP BY 1, 2), den AS (SELECT q, sum(n)::BIGINT AS n_total FROM ec GROUP BY 1),
+dn AS (SELECT e.entity, den.q, den.n_total, coalesce(ec.n, 0) AS n FROM (SELECT DISTINCT entity FROM ec) e CROSS JOIN den LEFT JOIN ec ON ec.entity = e.entity AND ec.q = den.q),
+aso AS (SELECT q AS as_of, (SELECT count(*) FROM den x WHERE x.q BETWEEN den.q - 11 AND den.q) AS k FROM den), {EARS}
+SELECT entity, as_of, n_recent, n_baseline, {_r('ears_z', 'ears_z')} FROM ears""")
 def daily_ears(s, sf):
     """Moving-baseline z of each event type's daily share: four recent days against eight before."""
     e = table(s, sf, "events")

@@ -3,9 +3,13 @@ tables from JSON responses, and the text export of a hierarchy for other scanner
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.text import mixed_date
+
 RING = "array<array<double>>"
 
 
@@ -15,6 +19,14 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
     return df.select(*columns) if columns else df
 
 
+def read_dated_csv(spark: SparkSession, path: str, schema: str, dates: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The same with date columns in mixed spellings (or a month and year alone, read as its first day)
+    parsed to dates; what no spelling fits is NULL."""
+    df = read_csv(spark, path, schema, columns)
+    month = lambda c: F.coalesce(*[F.try_to_timestamp(F.concat(F.lit("1 "), c), F.lit(f)).cast("date") for f in ("d MMM yyyy", "d MMMM yyyy", "d M/yyyy")])
+    return df.withColumns({c: F.coalesce(mixed_date(F.col(c).cast("string")), month(F.col(c).cast("string"))) for c in dates if c in df.columns})
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
@@ -86,3 +98,28 @@ def scan_export(nodes: DataFrame, edges: DataFrame, counts: DataFrame) -> tuple[
     tree = edges.select(F.concat_ws(",", opaque(F.col("child")), opaque(F.col("parent"))).alias("value"))
     roots = nodes.select("node").distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti").select(F.concat(opaque(F.col("node")), F.lit(",")).alias("value"))
     return tree.unionByName(roots), counts.select(F.concat_ws(",", opaque(F.col("entity")), F.col("n").cast("string"), F.col("q").cast("string")).alias("value"))
+
+
+def register_views(spark: SparkSession, folder: str, tables: list[str]) -> None:
+    """Parquet tables of a folder as temporary views, for SQL text."""
+    for t in tables:
+        spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def cached(spark: SparkSession, path: str, key: str, build) -> DataFrame:
+    """The table at ``path`` if it was written under ``key`` (a text that names inputs and parameters), else
+    ``build()``, written there. A table of another key, or one whose writing broke off, is built anew."""
+    full = f"{path.rstrip('/')}/{xxhash.xxh64_hexdigest(key)}"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(full + "/_SUCCESS")
+    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+        build().write.mode("overwrite").parquet(full)
+    return spark.read.parquet(full)
+
+
+def write_npz(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
+    """A table of numbers and texts as one .npz file of arrays, for plotting; its size is checked, since
+    the file is written by the driver."""
+    n = df.limit(most_rows + 1).count()
+    if n > most_rows:
+        raise ValueError(f"over {most_rows} rows: write Parquet")
+    np.savez(path, **{c: v.to_numpy() for c, v in df.toPandas().items()})
