@@ -251,6 +251,40 @@ def _near_rows(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray,
     return ids, i, j
 
 
+def _forest_of_links(ids: np.ndarray, i: np.ndarray, j: np.ndarray, texts: np.ndarray, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the linked ones among the pairs of positions (i, j) connect, i ascending.
+
+    A row's shingles are marked, and those of all its partners looked up at once; partners that are
+    connected with it by then need no look.
+    """
+    par = np.arange(len(ids))
+    if not len(i):
+        return ids[:0], ids[:0]
+    hashes, used = WordHashes(), np.union1d(i, j)
+    sets = [shingle_set(texts[x], hashes, k) for x in used]
+    size = np.zeros(len(ids), np.int64)
+    size[used] = [len(x) for x in sets]
+    begin = np.zeros(len(ids), np.int64)
+    begin[used] = np.cumsum(size[used]) - size[used]
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(flat), bool)
+    for s, e in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]])), strict=True):
+        x, ys = i[s], j[s:e]
+        mark[flat[begin[x] : begin[x] + size[x]]] = True
+        for t in range(0, len(ys), 64):
+            near = ys[t : t + 64]
+            near = near[par[near] != par[x]]
+            if len(near):
+                n = size[near]
+                at = np.arange(int(n.sum())) + np.repeat(begin[near] - (np.cumsum(n) - n), n)
+                both = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(n) - n)
+                near = near[100 * both >= percent * (size[x] + n - both)]
+                local_roots(par, np.full(len(near), x), near)
+        mark[flat[begin[x] : begin[x] + size[x]]] = False
+    low = par != np.arange(len(ids))
+    return ids[low], ids[par[low]]
+
+
 def _linked_blocks(edges: DataFrame, labelled: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """Links (a, b) that connect all linked pairs with different labels among rows which ``edges``
     connect. Such rows form blocks; a text goes to its block once (to each pair of its tiles, if the
@@ -263,14 +297,7 @@ def _linked_blocks(edges: DataFrame, labelled: DataFrame, reps: DataFrame, texts
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["id", "label"])
         ids, i, j = _near_rows(pdf, percent)
-        hashes, text = WordHashes(), pdf.text.to_numpy()
-        sets = {x: shingle_set(text[x], hashes, k) for x in np.union1d(i, j)}
-        links = np.zeros(len(i), bool)
-        for at, (x, y) in enumerate(zip(i, j, strict=True)):
-            u, v = sets[x], sets[y]
-            both = np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u)
-            links[at] = 100 * both >= percent * (len(u) + len(v) - both)
-        a, b = _forest(ids, i[links], j[links])
+        a, b = _forest_of_links(ids, i, j, pdf.text.to_numpy(), percent, k)
         return pd.DataFrame({"a": a, "b": b})
 
     return dealt.groupBy("block", "s", "t").applyInPandas(compare, "a long, b long")
