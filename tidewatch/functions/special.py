@@ -101,48 +101,51 @@ def chi2_sf(x, df) -> np.ndarray:
     return 1 - gammainc(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
 
 
-def nb_log_likelihood(n, e, alpha: float, beta: float) -> float:
-    """Of counts whose rate is gamma(alpha, beta) times E."""
+def nb_log_likelihood(n, e, alpha: float, rate, weight=None) -> float:
+    """Of counts whose rate is gamma(alpha, rate) times E, each as often as its weight says. The gamma
+    functions are taken once for each distinct count."""
     e = np.maximum(np.asarray(e, float), 1e-9)
     n = np.asarray(n, float)
-    return float(np.sum(lgamma(alpha + n) - lgamma(alpha) - lgamma(n + 1) + alpha * np.log(beta / (beta + e)) + n * np.log(e / (beta + e))))
+    w = np.ones(len(n)) if weight is None else np.asarray(weight, float)
+    one, at = np.unique(n, return_inverse=True)
+    head = (lgamma(alpha + one) - lgamma(alpha) - lgamma(one + 1))[at]
+    return float(np.sum(w * (head + alpha * np.log(rate / (rate + e)) + n * np.log(e / (rate + e)))))
 
 
-def fit_gamma_prior(n, e, most: float = 12.0) -> tuple[float, float, bool]:
+def fit_gamma_prior(n, e, weight=None, most: float = 12.0) -> tuple[float, float, bool]:
     """(alpha, beta, converged) that maximise the marginal likelihood, by a simplex over their logs.
 
     (0.5, 0.5, False) for fewer than ten cells; not converged if a log runs into the bound.
     """
-    n, e = np.asarray(n, float), np.asarray(e, float)
-    if len(n) < 10:
-        return 0.5, 0.5, False
-    cost = lambda p: -nb_log_likelihood(n, e, math.exp(min(max(p[0], -most), most)), math.exp(min(max(p[1], -most), most)))
-    best, ok = simplex(cost, np.zeros(2))
-    inside = bool(np.all(np.abs(best) < most - 0.1))
-    a, b = np.exp(np.clip(best, -most, most))
-    return float(a), float(b), ok and inside
+    a, b, _, _, ok = fit_gamma_prior_by(n, e, None, weight, most)
+    return a, b, ok
 
 
-def fit_gamma_prior_by(n, e, z, most: float = 12.0, most_gamma: float = 3.0) -> tuple[float, float, float, tuple[float, float], bool]:
+def fit_gamma_prior_by(n, e, z=None, weight=None, most: float = 12.0, most_gamma: float = 3.0) -> tuple[float, float, float, tuple[float, float], bool]:
     """(alpha, beta, gamma, (mean, sd) of z, converged): the same with rate beta * exp(-gamma * (z - mean) / sd)."""
-    n, e, z = (np.asarray(x, float) for x in (n, e, z))
-    if len(n) < 10:
+    n, e = np.asarray(n, float), np.asarray(e, float)
+    w = np.ones(len(n)) if weight is None else np.asarray(weight, float)
+    if w.sum() < 10:
         return 0.5, 0.5, 0.0, (0.0, 1.0), False
-    middle, spread = float(z.mean()), float(z.std())
-    spread = spread if spread > 1e-9 else 1.0
-    u = (z - middle) / spread
-    e = np.maximum(e, 1e-9)
-    fixed = lgamma(n + 1)
+    middle, spread, u = 0.0, 1.0, np.zeros(len(n))
+    if z is not None:
+        z = np.asarray(z, float)
+        middle = float(np.average(z, weights=w))
+        spread = float(np.sqrt(np.average((z - middle) ** 2, weights=w)))
+        spread = spread if spread > 1e-9 else 1.0
+        u = (z - middle) / spread
+
+    def open_(p):
+        a, b = (math.exp(min(max(v, -most), most)) for v in p[:2])
+        return a, b, (min(max(p[2], -most_gamma), most_gamma) if z is not None else 0.0)
 
     def cost(p):
-        a, b = math.exp(min(max(p[0], -most), most)), math.exp(min(max(p[1], -most), most))
-        rate = b * np.exp(-min(max(p[2], -most_gamma), most_gamma) * u)
-        return -float(np.sum(lgamma(a + n) - lgamma(a) - fixed + a * np.log(rate / (rate + e)) + n * np.log(e / (rate + e))))
-
-    best, ok = simplex(cost, np.zeros(3))
-    inside = bool(np.all(np.abs(best[:2]) < most - 0.1) and abs(best[2]) < most_gamma - 1e-3)
-    a, b = np.exp(np.clip(best[:2], -most, most))
-    return float(a), float(b), float(np.clip(best[2], -most_gamma, most_gamma)), (middle, spread), ok and inside
+        a, b, gamma = open_(p)
+        return -nb_log_likelihood(n, e, a, b * np.exp(-gamma * u) if gamma else b, w)
+
+    best, ok = simplex(cost, np.zeros(2 if z is None else 3))
+    inside = bool(np.all(np.abs(best[:2]) < most - 0.1)) and (z is None or abs(best[2]) < most_gamma - 1e-3)
+    return *open_(best), (middle, spread), ok and inside
 
 
 def simplex(f, start, step: float = 0.5, tol: float = 1e-8, most: int = 2000):

@@ -50,8 +50,9 @@ def eb_scores(windows: DataFrame, phi: float = 1.0, recent: int = 4, baseline: i
     as of then), phi_s (the entity's own) and z_spatial. Counts and expectations are divided by the
     dispersions. With z_spatial, the prior's rate is beta * exp(-gamma * z), z standardised among the
     fitted cells and gamma fitted too: 0 where space tells nothing. For each as-of quarter and gate a gamma prior is fitted to the marginal negative
-    binomial likelihood of all cells with E > 0 (0.5, 0.5 for fewer than ten). The quarters' cells
-    are one group each, which is a bounded number of entities, not of events.
+    binomial likelihood of all cells with E > 0 (0.5, 0.5 for fewer than ten). Entities of equal counts
+    and expectations are one cell, with their number as weight: a quarter's group holds its distinct
+    cells, which grow with the counts' range, not with the entities; scores are joined back.
     """
     own = F.coalesce(F.col("phi_s"), F.lit(1.0)) if "phi_s" in windows.columns else F.lit(1.0)
     of_quarter = F.coalesce(F.col("phi"), F.lit(1.0)) if "phi" in windows.columns else F.lit(1.0)
@@ -60,23 +61,25 @@ def eb_scores(windows: DataFrame, phi: float = 1.0, recent: int = 4, baseline: i
     rows = rows.withColumns({"_n": F.col("n_recent") / F.col("_d"), "_e": F.col("expected") / F.col("_d"), "_o": F.col("expected_own") / F.col("_d")})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf._n.to_numpy(float)
-        out = {"entity": pdf.entity, "as_of": pdf.as_of}
+        n, w = pdf._n.to_numpy(float), pdf._w.to_numpy(float)
+        z = None if pdf._z.isna().all() else pdf._z.to_numpy(float)
+        out = {c: pdf[c] for c in keys}
         for e, names in ((pdf._e, ("ebgm", "eb05", "eb95", "alpha", "beta", "converged")), (pdf._o, ("ebgm_own", "eb05_own", "eb95_own", "alpha_own", "beta_own", "converged_own"))):
             e = np.nan_to_num(e.to_numpy(float))
-            if pdf._z.isna().all():
-                a, b, ok = special.fit_gamma_prior(n[e > 0], e[e > 0])
-                rate = b
-            else:
-                a, b, gamma, (middle, spread), ok = special.fit_gamma_prior_by(n[e > 0], e[e > 0], pdf._z.to_numpy(float)[e > 0])
-                rate = b * np.exp(-gamma * (pdf._z.to_numpy(float) - middle) / spread)
+            on = e > 0
+            a, b, gamma, (middle, spread), ok = special.fit_gamma_prior_by(n[on], e[on], None if z is None else z[on], w[on])
+            rate = b if z is None else b * np.exp(-gamma * (z - middle) / spread)
             mean, low, high = special.gamma_posterior(n, e, a, rate)
             out |= dict(zip(names, (mean, low, high, a, b, ok), strict=True))
         return pd.DataFrame(out)
 
-    fields = "entity string, as_of int, ebgm double, eb05 double, eb95 double, alpha double, beta double, converged boolean, ebgm_own double, eb05_own double, eb95_own double, alpha_own double, beta_own double, converged_own boolean"
-    scores = rows.select("entity", "as_of", "_n", "_e", "_o", "_z").groupBy("as_of").applyInPandas(fit, fields)
-    out = windows.join(scores, ["entity", "as_of"])
+    keys = ["as_of", "_n", "_e", "_o", "_z"]
+    fields = "as_of int, _n double, _e double, _o double, _z double, ebgm double, eb05 double, eb95 double, alpha double, beta double, converged boolean, ebgm_own double, eb05_own double, eb95_own double, alpha_own double, beta_own double, converged_own boolean"
+    cells = rows.groupBy(*keys).agg(F.count("*").alias("_w"))
+    scores = cells.groupBy("as_of").applyInPandas(fit, fields)
+    on = [rows[k].eqNullSafe(scores[k]) for k in keys]
+    own_names = [c for c in scores.columns if c not in keys]
+    out = rows.join(scores, on).select(*[rows[c] for c in windows.columns], *[scores[c] for c in own_names])
     return out.withColumn("credible_rise", (F.col("eb05") > 1.5) & (F.col("eb05_own") > 1.5))
 
 

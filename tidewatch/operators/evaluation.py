@@ -79,12 +79,31 @@ def matched_alarms(sweep: DataFrame, score: str, budget: int) -> DataFrame:
     return sweep.crossJoin(F.broadcast(top)).where(F.col(score) >= F.col("line")).select("entity", "as_of", F.col(score).alias("score"), "line")  # one row
 
 
+def running_sums(rows: DataFrame, by: str, cols: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:
+    """Adds run_<col>: running sums of ``cols`` in the order of ``by``, whose values are distinct numbers.
+
+    The rows are dealt to ranges of ``by``, cut at quantiles; each range sums for itself and starts from the
+    totals of those before it, so that no task holds all rows.
+    """
+    cuts = sorted(set(rows.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.01)))
+    cuts = [c for c in cuts if c == c and abs(c) != float("inf")]
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    rows = rows.withColumn("_b", -bucket if descending else bucket)
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = rows.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols]).select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    run = Window.partitionBy("_b").orderBy(F.desc(by) if descending else F.asc(by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(before), "_b")
+    return out.withColumns({f"run_{c}": F.sum(c).over(run) + F.col(f"_o_{c}") for c in cols}).drop("_b", *[f"_o_{c}" for c in cols])
+
+
 def percentile_rank(rows: DataFrame, col: str, out: str) -> DataFrame:
-    """Adds the average rank of ``col`` divided by the number of its values; NULL stays NULL."""
-    every = Window.partitionBy(F.col(col).isNull())
-    ties = Window.partitionBy(col)
-    r = F.rank().over(every.orderBy(col)) + (F.count("*").over(ties) - 1) / 2.0
-    return rows.withColumn(out, F.when(F.col(col).isNotNull(), r / F.count("*").over(every)))
+    """Adds the average rank of ``col`` divided by the number of its values; NULL stays NULL. Equal values
+    are counted first and ranked once."""
+    n = rows.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    total = n.agg(F.sum("_n").alias("_all"))
+    ranks = running_sums(n, "_v", ["_n"]).crossJoin(F.broadcast(total))  # one row
+    ranks = ranks.select("_v", ((F.col("run__n") - (F.col("_n") - 1) / 2.0) / F.col("_all")).alias(out))
+    return rows.join(ranks, F.col(col).cast("double") == F.col("_v"), "left").drop("_v")
 
 
 def ensemble(a: DataFrame, b: DataFrame, kind: str, floor_a: float = 0.0, floor_b: float = 0.0, line_a: float = 1.0, line_b: float = 1.0) -> DataFrame:
@@ -120,8 +139,8 @@ def rates_at_thresholds(scores: DataFrame) -> DataFrame:
     """
     g = scores.where("score IS NOT NULL").groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     totals = scores.agg(F.sum("label").alias("all_p"), F.sum(1 - F.col("label")).alias("all_n"))
-    run = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = g.select("score", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp")).crossJoin(F.broadcast(totals))  # one row
+    runs = running_sums(g, "score", ["p", "n"], descending=True)
+    out = runs.select("score", F.col("run_p").alias("tp"), F.col("run_n").alias("fp")).crossJoin(F.broadcast(totals))  # one row
     d = lambda x: F.col(x).cast("double")
     return out.select("score", "tp", "fp", ratio(d("tp"), F.col("all_p")).alias("tpr"), ratio(d("fp"), F.col("all_n")).alias("fpr"), (d("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
