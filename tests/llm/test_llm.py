@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import licences, spm
+from tidewatch.llm import licences, quality, spm
 from tidewatch.llm.ann import nearest
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.embed_dedup import near_duplicate_vectors
@@ -114,6 +114,12 @@ def test_licences(spark, docs, none):
     assert out[1].whole_licence == "MIT" and out[2].whole_licence is None and out[3].whole_licence == "MIT"
 
 
+def test_large_catalogues_are_joined(spark, docs):
+    """Either way of looking digests up gives the same rows."""
+    both = [sorted(map(repr, scan_licences(docs, most_known=n).collect())) for n in (licences.MOST_KNOWN, 3)]
+    assert both[0] == both[1] and len(both[0]) == docs.count()
+
+
 def test_published_licence_files(spark):
     """Files as published: titles, wrapped lines, copyright lines of all orders, and the long texts."""
     folder = Path(licences.__file__).parent / "licence_texts"
@@ -140,11 +146,44 @@ def test_quality(spark, docs, none):
     assert held and np.mean([(r.doc_id < 1000) == bool(r.predicted) for r in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in rows) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     mixed = classify_quality(docs, labels).collect()
-    assert len(mixed) == docs.count() and all(0 <= r.score <= 1 for r in mixed)
+    assert len(mixed) == docs.count() and all(0 <= r.score <= 1 for r in mixed) and all(r.held_out is False for r in mixed if r.doc_id is None)
     assert classify_quality(none, labels).count() == 0 and all(r.score == 0.5 for r in classify_quality(docs, labels.limit(0)).collect())
     assert isotonic(np.array([0.9, 0.1, 0.5]), np.array([2.0, 3.0, 1.0])) == pytest.approx([0.42, 0.42, 0.5])
 
 
+def test_quality_equals_a_plain_fit(spark):
+    """Standardised statistics, cosine features, ridge and isotonic steps, on one machine with no partitions."""
+    rng = np.random.default_rng(12)
+    texts = [sentence(int(rng.integers(3, 60))) + ("!!" if i % 3 else ".") * int(rng.integers(1, 4)) for i in range(400)]
+    y = np.array([int(rng.random() < (0.2 if i % 3 else 0.8)) for i in range(400)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(v), 0) for i, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in classify_quality(df, labels).collect()}
+    x = np.array([np.nan_to_num(np.asarray(quality.statistics_of(t), np.float32)) for t in texts], float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in range(400)])
+    learn = fold > 0
+    mean, sd = x[learn].mean(0), x[learn].std(0)
+    sd[sd < 1e-5] = 1.0
+    rng = np.random.default_rng(5)
+    freq, phase = rng.standard_normal((x.shape[1], 160)) / np.sqrt(x.shape[1] / 2), rng.uniform(0, 2 * np.pi, 160)
+    z = np.clip((x - mean) / sd, -6, 6)
+    f = np.hstack([np.ones((400, 1)), z, np.cos(z @ freq + phase) * np.sqrt(2 / 160)])
+    ridge = fold > 1
+    penalty = 1e-3 * ridge.sum() * np.eye(f.shape[1])
+    penalty[0, 0] = 1e-9
+    raw = f @ np.linalg.solve(f[ridge].T @ f[ridge] + penalty, f[ridge].T @ y[ridge])
+    order = [i for i in np.argsort(raw, kind="stable")]
+    rank = [got[i].score for i in order]
+    assert all(b >= a - 1e-9 for a, b in zip(rank, rank[1:]))  # calibration keeps the ridge's order
+    steps = np.round(raw * 1000).astype(int)
+    bins = sorted(set(steps[fold == 1]))
+    s, n = (np.array([v[(fold == 1) & (steps == b)].sum() for b in bins], float) for v in (y, np.ones(400)))
+    base = s.sum() / n.sum()
+    levels = isotonic((s + 0.02 * base) / (n + 0.02), n)
+    for i in range(400):
+        assert got[i].score == pytest.approx(float(np.interp(raw[i], np.array(bins) / 1000, levels)), abs=2e-3)
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -212,13 +251,13 @@ def test_lm(spark, docs, none, tmp_path):
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
     c = Counter(t for ts, h in zip(tokens, held) if not h for t in ts)
     total = sum(c.values())
-    got = score_documents(docs).collect()
+    got = score_documents(docs, kinds=1).collect()  # all n-grams give the discounts, as in the plain model
     model = plain_model([t for t, h in zip(tokens, held) if not h])
     want = Counter((r[0], len(t), sum(c[x] > 0 for x in t), round(sum(math.log10((c[x] + 1) / (total + len(c) + 1)) for x in t), 4)) for r, t in zip(rows, tokens))
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
     assert all(r.train_tokens == total for r in got) and score_documents(none).count() == 0
     scores = sorted((r[0] is None, r[0] or 0, model(t), len(t)) for r, t in zip(rows, tokens))
-    again = score_documents(docs.repartition(3)).collect()
+    again = score_documents(docs.repartition(3), kinds=1).collect()
     for out in (got, again):  # rounding: three parts of a probability, each up to 1/4096 of a digit too low
         for (_, i, want, n), r in zip(scores, sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in out)):
             assert r[1] == i and -1e-6 <= want - r[2] <= 3 * n / 4096

@@ -16,7 +16,6 @@ neighbours that beat the last of its beam: the graph is never moved, nor are vec
 from __future__ import annotations
 
 import itertools
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, durable, partitions, shared_dir
+from .common import MASK, bucketed, durable, partitions
 from .embed_dedup import usable
 
 #: Nodes of a graph block, and queries of a search block: what one group of a task holds.
@@ -328,24 +327,19 @@ def _expand(batches):
 
 def _search(state: DataFrame, links: DataFrame, vectors: DataFrame, count: int, beam: int, width: int, left: float, asking: int) -> DataFrame:
     """The state (blk, id, vec, ids, scores, open) after greedy search."""
-    spark, n = state.sparkSession, partitions(state.sparkSession)
-    name = f"tidewatch_graph_{uuid.uuid4().hex}"
-    graph = _neighbourhoods(links, vectors, count).repartition(n, "node")
-    graph.write.bucketBy(n, "node").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    try:
-        while True:
-            # the best candidates not yet expanded are marked, and their neighbours asked for
-            fresh = F.expr(f"slice(filter(sequence(0, size(ids) - 1), i -> open[i]), 1, {width})")
-            state = state.withColumn("_go", F.when(F.size("ids") > 0, fresh).otherwise(F.array().cast("array<int>")))
-            floor = F.when(F.size("scores") >= beam, F.element_at("scores", -1)).otherwise(float("-inf"))
-            asks = state.select("blk", "id", F.col("vec").alias("q"), floor.alias("floor"), F.explode(F.expr("transform(_go, i -> ids[i])")).alias("node"))
-            found = asks.join(spark.table(name), "node").select("blk", "id", "node", "q", "floor", "vec", "near", "codes").mapInArrow(_expand, "blk int, id long, node long, ids array<long>, scores array<double>")
-            state = state.withColumn("open", F.expr("transform(open, (o, i) -> o and i > coalesce(array_max(_go), -1))")).drop("_go")
-            state = durable(_merge(state, found, beam), "search")
-            if state.where(F.exists("open", lambda x: x)).count() <= left * asking:
-                return state
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay with the other tables of the run
+    n = partitions(state.sparkSession)
+    graph = bucketed(_neighbourhoods(links, vectors, count).repartition(n, "node"), "node", n, "graph")
+    while True:
+        # the best candidates not yet expanded are marked, and their neighbours asked for
+        fresh = F.expr(f"slice(filter(sequence(0, size(ids) - 1), i -> open[i]), 1, {width})")
+        state = state.withColumn("_go", F.when(F.size("ids") > 0, fresh).otherwise(F.array().cast("array<int>")))
+        floor = F.when(F.size("scores") >= beam, F.element_at("scores", -1)).otherwise(float("-inf"))
+        asks = state.select("blk", "id", F.col("vec").alias("q"), floor.alias("floor"), F.explode(F.expr("transform(_go, i -> ids[i])")).alias("node"))
+        found = asks.join(graph, "node").select("blk", "id", "node", "q", "floor", "vec", "near", "codes").mapInArrow(_expand, "blk int, id long, node long, ids array<long>, scores array<double>")
+        state = state.withColumn("open", F.expr("transform(open, (o, i) -> o and i > coalesce(array_max(_go), -1))")).drop("_go")
+        state = durable(_merge(state, found, beam), "search")
+        if state.where(F.exists("open", lambda x: x)).count() <= left * asking:
+            return state
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 448, width: int = 96, left: float = 0.001, id_col: str = "vec_id", vec_col: str = "embedding", **graph) -> DataFrame:

@@ -39,6 +39,18 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, name: str = "t") -> DataFrame:
+    """``durable``, bucketed by a column: what is grouped or joined by it reads the table in place. The
+    table's name is dropped from the catalogue at once; its files stay with the others of the run."""
+    spark = df.sparkSession
+    name = f"tidewatch_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, by).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with as many underscores added as make it unlike all of ``columns`` (case aside)."""
     taken = {c.lower() for c in columns}
@@ -144,3 +156,14 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """Rows with equal id and text are one thing; rows that share an id but not the text are not."""
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull(), F.col(id_col).isNull())
+
+
+def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeats of one row, by id and text, once; rows without id all stay. Only repeats are
+    moved: texts without any are read in place."""
+    key = free_name(docs.columns, "_key")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    many = durable(keyed.where(F.col(id_col).isNotNull()).groupBy(id_col, key).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col, key), "repeated")
+    if many.isEmpty():
+        return docs
+    return keyed.join(many, [id_col, key], "left_anti").unionByName(keyed.join(many, [id_col, key], "left_semi").dropDuplicates([id_col, key])).select(docs.columns)

@@ -7,7 +7,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import durable
+
+#: Rows of a catalogue (licence, digest) that may be broadcast: about 5 MB.
+MOST_KNOWN = 50_000
 
 # Short licences and licence notices, as published.
 LICENCES = {
@@ -99,26 +102,35 @@ def licence_table(spark: SparkSession, texts: dict[str, list[str]] | None = None
     return known.select("licence", F.md5(F.array_join(normal_lines(F.col("text")), " ")).alias("digest")).distinct()
 
 
-def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most_known: int = MOST_KNOWN) -> DataFrame:
     """One row per document: the licence that its whole text is (whole_licence), those that whole
     lines of it are (licences, sorted, joined by a comma; n_licences of them), and text_digest.
 
-    Null and empty texts match nothing; a text with no line left has the digest of the empty text and
-    matches nothing; repeated rows each get their row; other columns are ignored.
+    ``known`` is (licence, digest). Up to ``most_known`` rows of it are broadcast, and a document's lines
+    are looked up where it is read; a larger table is joined by digest, with the same result. Null and
+    empty texts match nothing; a text with no line left has the digest of the empty text and matches
+    nothing; repeated rows each get their row; other columns are ignored, whatever their names.
     """
-    known = licence_table(docs.sparkSession) if known is None else known
-    parts = docs.select(F.col(id_col), row_key(id_col, text_col).alias("_key"), normal_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("_lines"))
-    whole = parts.select(id_col, "_key", F.md5(F.array_join("_lines", " ")).alias("text_digest"), F.array_distinct(F.transform("_lines", lambda x: F.md5(x))).alias("_digests"), F.size("_lines").alias("_n"))
-    lines = whole.select(id_col, "_key", F.explode("_digests").alias("digest"))
-    found = lines.join(F.broadcast(known), "digest")  # the catalogue is fixed
-    hits = found.groupBy(id_col, "_key").agg(F.sort_array(F.collect_set("licence")).alias("_set"))
-    hits = hits.select(F.col(id_col).alias("_id"), F.col("_key").alias("_k"), "_set")
-    entire = known.groupBy("digest").agg(F.min("licence").alias("whole_licence"))
-    rows = whole.drop("_digests").join(F.broadcast(entire.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
-    return rows.join(hits, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").select(
-        id_col,
+    known = (licence_table(docs.sparkSession) if known is None else known).select("licence", "digest").where("licence is not null and digest is not null").distinct()
+    parts = docs.select(F.col(id_col).alias("_id"), normal_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("_lines"))
+    whole = parts.select("_id", F.md5(F.array_join("_lines", " ")).alias("text_digest"), F.array_distinct(F.transform("_lines", lambda x: F.md5(x))).alias("_digests"), F.size("_lines").alias("_n"))
+    small = len(known.limit(most_known + 1).select(F.lit(1)).collect()) <= most_known
+    entire = known.groupBy(F.col("digest").alias("text_digest")).agg(F.min("licence").alias("whole_licence"))
+    if small:
+        of = known.groupBy("digest").agg(F.collect_set("licence").alias("of"))
+        one = of.agg(F.collect_list("digest").alias("_all"), F.map_from_entries(F.collect_list(F.struct("digest", "of"))).alias("_of"))  # one row of most_known digests
+        rows = whole.crossJoin(F.broadcast(one)).withColumn("_hits", F.array_intersect("_digests", "_all"))
+        rows = rows.withColumn("_set", F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.element_at("_of", h))))))
+        rows = rows.select("_id", "text_digest", "_n", "_set").join(F.broadcast(entire), "text_digest", "left")
+    else:
+        whole = whole.withColumn("_key", F.monotonically_increasing_id())
+        whole = durable(whole, "lines")  # read twice, normalised once
+        hits = whole.select("_key", F.explode("_digests").alias("digest")).join(known, "digest").groupBy("_key").agg(F.array_sort(F.collect_set("licence")).alias("_set"))
+        rows = whole.drop("_digests").join(entire, "text_digest", "left").join(hits, "_key", "left").withColumn("_set", F.coalesce("_set", F.array().cast("array<string>")))
+    return rows.select(
+        F.col("_id").alias(id_col),
         "text_digest",
         F.when(F.col("_n") > 0, F.col("whole_licence")).alias("whole_licence"),
-        F.coalesce(F.array_join("_set", ","), F.lit("")).alias("licences"),
-        F.when(F.col("_set").isNull(), 0).otherwise(F.size("_set")).alias("n_licences"),
+        F.array_join("_set", ",").alias("licences"),
+        F.size("_set").alias("n_licences"),
     )

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, lower_words, mix64, ngram_hashes, partitions, release_memory, row_key
+from .common import WordHashes, durable, lower_words, mix64, ngram_hashes, once, partitions, release_memory, row_key
 from .components import connected_components, local_roots
 
 SYMBOLS, CHUNK = 64, 4
@@ -322,10 +322,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str
     reps = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "key", "sig")).alias("r")).select("digest", "r.*")
     reps = durable(reps, "classes")
     n = partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    repeated = durable(signed.where("id is not null").groupBy("id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select("id", "key"), "repeated")
-    if not repeated.isEmpty():  # a row stands once for its repeats, so that m of them do not make m times m pairs
-        texts = texts.join(repeated, ["id", "key"], "left_anti").unionByName(texts.join(repeated, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.first("text").alias("text")))
+    # a row stands once for its repeats, so that m of them do not make m times m pairs
+    texts = once(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     keys = chunk_keys(reps.withColumn("label", F.col("id"))).select("bucket", "id").repartition(n, "bucket")
     least = keys.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select("bucket", "b")
     stars = keys.join(least, "bucket").where("id > b").select(F.col("id").alias("a"), "b").distinct()

@@ -183,12 +183,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row per document: id, held_out, score, predicted.
 
     Every text, null and empty ones too, gets a score; without labelled rows it is 0.5 for all.
-    Repeated rows are scored alike; an empty table gives no rows; extra columns are ignored.
+    A row without id is scored, not held out and not learned from (labels go by id). Repeated rows are
+    scored alike; an empty table gives no rows; extra columns are ignored.
     """
     stats = durable(document_statistics(docs, id_col, text_col), "stats")
     model = fit_quality(stats, labels, id_col=id_col, **fit)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
-    return score_quality(stats, model).select(id_col, (fold == 0).alias("held_out"), "score", "predicted", "_key")
+    return score_quality(stats, model).select(id_col, F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted", "_key")
 
 
 def scored_texts(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
