@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import special
 from tidewatch.functions.exprs import bernoulli_llr, normal_cdf, poisson_llr, wilson, window_llr
-from tidewatch.operators import aberration, counting, evaluation, nowcast, spatial, synthetic, treescan, windows
+from tidewatch.operators import aberration, counting, evaluation, hierarchy, nowcast, spatial, synthetic, treescan, windows
 from tidewatch.operators import disproportionality as disp
 from tidewatch.operators import text as txt
 from tidewatch.plans import registry
@@ -177,3 +177,37 @@ def test_rate_curves(spark):
     c = synthetic.rate_curves(spark, [synthetic.Profile("s", "step", 1, 5, 10), synthetic.Profile("g", "sigmoid", 1, 5, 10, 4)], 20)
     got = {(r.name, r.t): r.rate for r in c.collect()}
     assert (got["s", 9], got["s", 10], got["g", 12]) == (1, 5, pytest.approx(3))
+
+
+def test_matching_by_join_equals_matching_in_place(spark):
+    lexicon = {"ACID": "Acid", "ACID BLUE": "Acid Blue", "BLUE": "Blue", "RED SEA SALT": "Salt", "MONOXIDE": "Monoxide"}
+    texts = ["acid blue and red sea salt", "blue acid-blue x", "red sea", None, "", "acid acid blue blue", "monoxyde monoxide", "x-acid y"]
+    cases = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "case_id long, note string")
+    table = spark.createDataFrame(list(lexicon.items()), "alias string, canonical string")
+    a = cases.select("case_id", txt.match_words(txt.tokens(F.coalesce("note", F.lit(""))), lexicon).alias("m")).select("case_id", "m.*").collect()
+    b = {r.case_id: r for r in txt.match_by_join(cases, ["note"], table).collect()}
+    assert len(b) == len(a) and all((list(r.found), list(r.unmatched)) == (list(b[r.case_id].found), list(b[r.case_id].unmatched)) for r in a)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(txt.extract(cases, ["note"], lexicon)) == key(txt.extract_by_join(cases, ["note"], table))
+    with pytest.raises(ValueError):
+        txt.extract_by_join(cases, ["note"], table, most_single=1)
+
+
+def test_text_reports(spark):
+    cases = spark.createDataFrame([(1, "acid foo", "1", "90001-1234"), (2, "foo bar foo", "0", None), (3, "foo blue", None, "zip 90210")], "case_id long, note string, other string, z string")
+    m = spark.createDataFrame([(1, "Acid"), (3, "Blue"), (1, "Blue")], "case_id long, entity string")
+    lexicon = {"ACID": "Acid", "BLUE": "Blue"}
+    assert [tuple(r) for r in txt.unmatched_report(cases, ["note"], lexicon).collect()] == [("FOO", 4)]
+    assert [tuple(r) for r in txt.others_content(cases, m, "other", ["Acid"]).collect()] == [("Blue", 1)]
+    r = {x.flag: x for x in txt.flag_validation(cases, m, {"other": "^Acid$"}).collect()}["other"]
+    assert (r.tp, r.fp, r.fn, r.f1) == (1, 0, 0, 1.0)
+    c = txt.coverage(cases, m).first()
+    assert (c.mentions, c.most_per_case, c.entities) == (3, 2, 2) and c.covered_pct == pytest.approx(200 / 3)
+    assert [r[0] for r in cases.orderBy("case_id").select(txt.first_zip(F.col("z"))).collect()] == ["90001", None, "90210"]
+    assert {r.case_id: list(r.seq) for r in txt.ordered_entities(cases, "note", lexicon).collect()} == {1: ["Acid"], 2: [], 3: ["Blue"]}
+
+
+def test_closure_reaches_deep_hierarchies(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "child string, parent string")
+    leaves = spark.createDataFrame([("n0",)], "leaf string")
+    assert {r.node for r in hierarchy.closure(chain, leaves).collect()} == {f"n{i}" for i in range(10)}

@@ -99,6 +99,53 @@ def extract(cases: DataFrame, fields: list[str], lexicon: dict[str, str], fuzzy:
     return hits.groupBy("case_id", "entity").agg(F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"))
 
 
+def match_by_join(cases: DataFrame, fields: list[str], lexicon: DataFrame) -> DataFrame:
+    """(case_id, field, found, unmatched): the same greedy matching for a lexicon (alias, canonical) of any
+    size. Each narrative's n-grams are joined with the aliases; what matches anywhere comes back to its
+    narrative, which takes the longest from the left. Groups are one narrative's matches."""
+    x = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
+    long = cases.select("case_id", x).select("case_id", "x.field", tokens(F.coalesce("x.text", F.lit(""))).alias("words"))
+    at = long.where(F.size("words") > 0).select("case_id", "field", "words", F.posexplode("words").alias("i", "word"))
+    grams = at.select("case_id", "field", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("words") - F.col("i")))).alias("n"), "words")
+    grams = grams.select("case_id", "field", "i", "n", F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), " ").alias("alias"))
+    parts = at.where(F.col("word").contains("-")).select("case_id", "field", "i", F.posexplode(F.split("word", "-")).alias("p", "alias")).select("case_id", "field", "i", (-F.col("p") - 1).alias("n"), "alias")
+    hits = grams.unionByName(parts).join(lexicon.select("alias", "canonical"), "alias")
+    of = hits.groupBy("case_id", "field").agg(F.collect_list(F.struct("i", "n", "canonical")).alias("hits"))
+
+    @F.pandas_udf("struct<found: array<string>, unmatched: array<string>>")
+    def greedy(words: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        found, unmatched = [], []
+        for ws, hs in zip(words, hits, strict=True):
+            known, got, miss, i = {(h["i"], h["n"]): h["canonical"] for h in (hs if hs is not None else [])}, [], [], 0
+            while i < len(ws):
+                n = next((n for n in range(min(MOST_WORDS, len(ws) - i), 0, -1) if (i, n) in known), 0)
+                split = [known[i, -p - 1] for p in range(len(ws[i].split("-"))) if (i, -p - 1) in known] if not n else []
+                got += [known[i, n]] if n else split
+                miss += [] if n or split else [ws[i]]
+                i += max(1, n)
+            found.append(list(dict.fromkeys(got)))
+            unmatched.append(miss)
+        return pd.DataFrame({"found": found, "unmatched": unmatched})
+
+    joined = long.join(of, ["case_id", "field"], "left")
+    return joined.withColumn("m", greedy("words", "hits")).select("case_id", "field", "m.found", "m.unmatched")
+
+
+def extract_by_join(cases: DataFrame, fields: list[str], lexicon: DataFrame, fuzzy: bool = True, most_single: int = 100_000) -> DataFrame:
+    """``extract`` with the lexicon as a table. Fuzzy resolution compares distinct leftovers with the
+    single-word aliases; these go to the tasks, so that their number is checked."""
+    matched = match_by_join(cases, fields, lexicon)
+    hits = matched.select("case_id", "field", F.explode("found").alias("entity"))
+    if fuzzy:
+        single = lexicon.where(~F.col("alias").contains(" ")).limit(most_single + 1).collect()
+        if len(single) > most_single:
+            raise ValueError(f"over {most_single} single-word aliases: resolve without fuzzy matching")
+        left = matched.select("case_id", "field", F.explode("unmatched").alias("token"))
+        near = fuzzy_table(left, {r.alias: r.canonical for r in single})
+        hits = hits.unionByName(left.join(near.select("token", F.col("canonical").alias("entity")), "token").select("case_id", "field", "entity"))
+    return hits.groupBy("case_id", "entity").agg(F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"))
+
+
 def ordered_entities(cases: DataFrame, field: str, lexicon: dict[str, str]) -> DataFrame:
     """(case_id, seq): the entities of one field in the order of first mention."""
     return cases.select("case_id", match_words(tokens(F.coalesce(F.col(field), F.lit(""))), lexicon)["found"].alias("seq"))
@@ -113,9 +160,10 @@ def unmatched_report(cases: DataFrame, fields: list[str], lexicon: dict[str, str
 def flag_validation(cases: DataFrame, mentions: DataFrame, flags: dict[str, str]) -> DataFrame:
     """(flag, tp, fp, fn, precision, recall, f1): coded flags of cases against extracted entities whose
     names match each flag's pattern."""
+    hit = lambda p: F.exists("found", lambda e: e.rlike(p))
     per = mentions.groupBy("case_id").agg(F.collect_set("entity").alias("found"))
     rows = cases.join(per, "case_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), (F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) > 0).alias("coded"), F.exists("found", lambda e, p=p: e.rlike(p)).alias("hit")) for f, p in flags.items()])).alias("x")).select("x.*")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), (F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) > 0).alias("coded"), hit(p).alias("hit")) for f, p in flags.items()])).alias("x")).select("x.*")
     c = lambda a: F.sum(a.cast("int"))
     g = long.groupBy("flag").agg(c(F.col("coded") & F.col("hit")).alias("tp"), c(~F.col("coded") & F.col("hit")).alias("fp"), c(F.col("coded") & ~F.col("hit")).alias("fn"))
     g = g.withColumns({"precision": F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))})
