@@ -73,8 +73,12 @@ def test_components(spark):
     pairs = [(int(a), int(b)) for a, b in RNG.integers(0, 200, (150, 2))]
     df = spark.createDataFrame([*pairs, (5, 5), (None, 3)], "a long, b long")
     want = labels_of(200, pairs)
-    got = {r.node: r.component for r in connected_components(df).collect()}
-    assert got and all(want[k] == v for k, v in got.items())
+    for split_from in (0, 1_000_000):
+        got = {r.node: r.component for r in connected_components(df, split_from=split_from).collect()}
+        assert got and all(want[k] == v for k, v in got.items())
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(path, most_rounds=1)
     assert connected_components(df.limit(0)).count() == 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -13,13 +13,20 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def _low_bit(c: str) -> Column:
-    """A second join key that follows from the first. With it, Spark deals a grouped minimum and the rows
-    that it is joined with anew, and so can split the rows of a hot node among tasks."""
-    return F.col(c).bitwiseAND(F.lit(1))
+#: From so many edges on, a hot node's rows may be too many for a task.
+SPLIT_FROM = 1_000_000
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, key: str, split: bool) -> DataFrame:
+    """``rows`` joined with their key's grouped minimum. ``split`` adds a second join key that follows from
+    the first: then Spark deals both sides anew, and can split the rows of a hot node among tasks."""
+    if not split:
+        return rows.join(least, key)
+    bit = F.col(key).bitwiseAND(F.lit(1)).alias("bit")
+    return rows.select("*", bit).join(least.select("*", bit), [key, "bit"]).drop("bit")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200, split_from: int = SPLIT_FROM) -> DataFrame:
     """(node, component) for every node of an edge: component is the smallest node reachable.
 
     Each round hangs every node's larger neighbours on its smallest neighbour (large star), then its
@@ -37,10 +44,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if turn == most_rounds:
             raise RuntimeError(f"components are not finished after {most_rounds} rounds")
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), _low_bit("u").alias("bit"))
-        large = both.where("v > u").withColumn("bit", _low_bit("u")).join(least, ["u", "bit"]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("bit", _low_bit("hi"))
-        small = large.withColumn("bit", _low_bit("hi")).join(least, ["hi", "bit"])
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = _with_least(both.where("v > u"), least, "u", state[0] >= split_from).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = _with_least(large, least, "hi", state[0] >= split_from)
         hung = small.select(F.col("m").alias("lo"), "hi").union(small.where("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
         e = durable(hung.distinct(), "stars")
         now = _state(e)
