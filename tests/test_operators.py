@@ -211,3 +211,36 @@ def test_closure_reaches_deep_hierarchies(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "child string, parent string")
     leaves = spark.createDataFrame([("n0",)], "leaf string")
     assert {r.node for r in hierarchy.closure(chain, leaves).collect()} == {f"n{i}" for i in range(10)}
+
+
+def test_generated_panels_score_like_real_ones(spark):
+    P = synthetic.Profile
+    profiles = [P("riser", "step", 3.0, 40.0, 24), P("blip", "batch", 3.0, 40.0, 24, 1), P("flat", "step", 20.0, 20.0, 0)]
+    counts, denom, truth = synthetic.generate_panel(spark, profiles, 40)
+    t = {r.entity: r for r in truth.collect()}
+    assert (t["riser"].interval_start, t["riser"].no_emergence, t["blip"].no_emergence, t["flat"].no_emergence) == ("2020Q1", False, True, True)
+    sweep = disp.ratio_sweep(counts, denom)
+    scores = evaluation.build_scores([evaluation.Model("ratio", "ratio", "ratio", 2.0)], {("ratio", False, ()): sweep})
+    intervals = evaluation.resolve_intervals(truth.where("not no_emergence"), 8095)
+    row = evaluation.run_benchmark([evaluation.Model("ratio", "ratio", "ratio", 2.0)], scores, intervals, truth.where("no_emergence").select("entity")).first()
+    assert (row.labelled, row.detected) == (3, 1) and row.lag_q <= 1
+    again, _, _ = synthetic.generate_panel(spark, profiles, 40)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, again.repartition(5).collect()))
+
+
+def test_model_scores(spark):
+    rows = spark.createDataFrame([("a", 1, 3, 0.0, 2.0, 1.0, True), ("b", 1, 3, 1.5, 1.2, 3.0, False)], "entity string, as_of int, n_recent int, expected double, eb05 double, eb05_own double, confirmed boolean")
+    score = lambda m: {r.entity: r.score for r in evaluation.model_score(rows, m).collect()}
+    assert score(evaluation.Model("r", "ratio", "ratio", 1.5)) == {"a": math.inf, "b": 2.0}
+    assert score(evaluation.Model("d", "eb", "eb05", 1.5, gate="dual")) == {"a": 1.0, "b": 1.2}
+    assert score(evaluation.Model("c", "eb", "eb05", 1.5, gate="confirmed")) == {"a": 2.0, "b": -math.inf}
+    with pytest.raises(KeyError):
+        evaluation.build_scores([evaluation.Model("c", "eb", "eb05", 1.5)], {})
+
+
+def test_running_sums_in_ranges(spark):
+    v = [float(x) for x in np.random.default_rng(1).permutation(500)]
+    rows = spark.createDataFrame([(x, 1) for x in v], "v double, n int")
+    up = {r.v: r.run_n for r in evaluation.running_sums(rows, "v", ["n"], buckets=7).collect()}
+    down = {r.v: r.run_n for r in evaluation.running_sums(rows, "v", ["n"], True, 7).collect()}
+    assert up == {x: int(x) + 1 for x in v} and down == {x: 500 - int(x) for x in v}

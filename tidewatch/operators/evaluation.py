@@ -132,6 +132,17 @@ def entity_scores(sweep: DataFrame, score: str, intervals: DataFrame, entities:
     return out.select("entity", F.coalesce("label", F.lit(0)).alias("label"), F.when(F.col("label") == 1, F.col("inside")).otherwise(F.col("best")).alias("score"))
 
 
+def quarter_scores(sweep: DataFrame, score: str, intervals: DataFrame, entities: DataFrame, floor: float = 0.0) -> DataFrame:
+    """(entity, q, label, score): every entity at every as-of quarter of the sweep as a case of its own,
+    labelled by its intervals; what the sweep did not score is at the floor. For curves by quarter."""
+    quarters = sweep.select(F.col("as_of").alias("q")).distinct()
+    grid = entities.select("entity").crossJoin(F.broadcast(quarters))  # a row a quarter
+    s = sweep.select("entity", F.col("as_of").alias("q"), F.col(score).cast("double").alias("score"))
+    true = interval_quarters(intervals).withColumn("label", F.lit(1))
+    out = grid.join(s, ["entity", "q"], "left").join(true, ["entity", "q"], "left")
+    return out.select("entity", "q", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("score", F.lit(floor)).alias("score"))
+
+
 def rates_at_thresholds(scores: DataFrame) -> DataFrame:
     """(score, tp, fp, tpr, fpr, precision): alarms at or over each distinct score, ties together.
 

@@ -149,20 +149,11 @@ def _concentration(graph: DataFrame, sizes: DataFrame, cases: DataFrame, by: lis
 
 
 def mean_nearest_distance(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """(entity, n, mean_d): the mean distance of each case to its nearest case of the same entity."""
-    c = labels.join(points, "id")
-    cell = c.select("entity", "id", "x", "y")
-
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["x", "y"]].to_numpy()
-        low = np.full(len(xy), np.inf)
-        for s in range(0, len(xy), TILE):
-            d = np.hypot(xy[s : s + TILE, None, 0] - xy[None, :, 0], xy[s : s + TILE, None, 1] - xy[None, :, 1])
-            d[np.arange(d.shape[0]), s + np.arange(d.shape[0])] = np.inf
-            low[s : s + TILE] = d.min(1)
-        return pd.DataFrame({"entity": pdf.entity.iloc[:1], "n": [len(xy)], "mean_d": [float(low.mean()) if len(xy) > 1 else None]})
-
-    return cell.groupBy("entity").applyInPandas(own, "entity string, n long, mean_d double")
+    """(entity, n, mean_d): the mean distance of each case to its nearest case of the same entity, NULL for
+    a single one. Cases meet in tiles, however many an entity has."""
+    c = labels.select("id", "entity").join(points, "id").select("entity", "id", "x", "y")
+    near = nearest_within(c, F.lit(1), ["entity"]).groupBy("entity").agg(F.avg("d").alias("mean_d"))
+    return c.groupBy("entity").agg(F.count("*").alias("n")).join(near, "entity", "left")
 
 
 def cluster_test(points: DataFrame, labels: DataFrame, permutations: int = 999, seed: int = 0, least: int = 8, most_points: int = 200_000) -> DataFrame:

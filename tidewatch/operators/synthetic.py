@@ -76,3 +76,20 @@ def nearest_series(synthetic: DataFrame, real: DataFrame, least_overlap: int = 1
     g = pairs.groupBy("name", "entity", "shift").agg(F.count("*").alias("k"), F.corr("x", "y").alias("r"), F.avg("y").alias("mean")).where((F.col("k") >= least_overlap) & F.col("r").isNotNull() & ~F.isnan("r"))
     w = Window.partitionBy("name").orderBy(F.desc(F.round("r", 9)), "entity", F.abs("shift"), "shift")
     return g.withColumn("i", F.row_number().over(w)).where("i = 1").select("name", "entity", "shift", "r", (F.col("mean") < thin).alias("thin"))
+
+
+def generate_panel(spark: SparkSession, profiles: list[Profile], quarters: int = 45, first_q: int = 8056, level: float = 400.0, denominator: str = "flat", noise: str = "poisson", dispersion: float = 2.0, seed: int = 7, emergent_line: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, denom, truth) of one replicate, as the sweeps and the evaluation take them: (entity, q, n)
+    without zero rows, (q, n_total), and (entity, interval_start, interval_end, ongoing, no_emergence,
+    emergent). A sustained rise is true from its onset to the end; any other profile is labelled never to
+    rise, with a placeholder interval at the middle. Each draw is seeded by profile and quarter."""
+    counts = sample_counts(rate_curves(spark, profiles, quarters), noise, dispersion, seed).where("n > 0")
+    counts = counts.select(F.col("name").alias("entity"), (F.lit(first_q) + F.col("t")).alias("q"), "n")
+    denom = denominator_curve(spark, quarters, level, denominator).select((F.lit(first_q) + F.col("t")).alias("q"), "n_total")
+    label = lambda t: f"{(first_q + t) // 4}Q{(first_q + t) % 4 + 1}"
+    rows = []
+    for p in profiles:
+        rises = p.peak > p.base and not p.revert and p.shape != "batch" and p.onset < quarters
+        a, b = (p.onset, quarters - 1) if rises else (quarters // 2, quarters // 2)
+        rows.append((p.name, label(a), label(b), False, not rises, rises and p.base < emergent_line))
+    return counts, denom, spark.createDataFrame(rows, "entity string, interval_start string, interval_end string, ongoing boolean, no_emergence boolean, emergent boolean")

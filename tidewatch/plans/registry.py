@@ -677,6 +677,22 @@ def external_onset(s, sf):
     return evaluation.external_onset(c, floor)
 
 
+QCURVE = """
+es AS (SELECT e.entity, a.as_of, (t.q IS NOT NULL)::INT AS label, coalesce(round(ratio, 9), 0) AS score FROM (SELECT DISTINCT entity FROM cnt) e CROSS JOIN (SELECT DISTINCT as_of FROM rat) a
+  LEFT JOIN rat ON rat.entity = e.entity AND rat.as_of = a.as_of LEFT JOIN tq t ON t.entity = e.entity AND t.q = a.as_of),
+cv AS (SELECT score, sum(sum(label)) OVER w::BIGINT AS tp, sum(sum(1 - label)) OVER w::BIGINT AS fp FROM es GROUP BY score WINDOW w AS (ORDER BY score DESC)),
+rt AS (SELECT score, tp, fp, tp / (SELECT sum(label) FROM es)::DOUBLE AS tpr, fp / (SELECT sum(1 - label) FROM es)::DOUBLE AS fpr, tp / (tp + fp)::DOUBLE AS precision FROM cv)"""
+
+
+@query(f"""WITH {B}, {W}, {TRUTHS}, {QCURVE}, z AS (SELECT *, coalesce(lag(tpr) OVER (ORDER BY score DESC), 0) AS t0, coalesce(lag(fpr) OVER (ORDER BY score DESC), 0) AS f0 FROM rt)
+SELECT {_r('sum((fpr - f0) * (tpr + t0) / 2) + (1 - max(fpr)) * (1 + max(tpr)) / 2', 'roc_auc')}, {_r('sum((tpr - t0) * precision)', 'average_precision')} FROM z""")
+def quarter_curve_areas(s, sf):
+    """ROC and PR areas when every entity's every quarter is a case."""
+    sweep = _ratio(s, sf).withColumn("ratio", F.round("ratio", 9))
+    rows = evaluation.quarter_scores(sweep, "ratio", _intervals(s, sf), d.counts(s, sf).select("entity").distinct())
+    return r6(evaluation.curve_areas(evaluation.rates_at_thresholds(rows)), "roc_auc", "average_precision")
+
+
 # --- nowcast: an order's lines are reported when they are shipped -------------------------------------
 AS_OF = 2000 * 12 + 11  # December 2000
 
@@ -758,9 +774,9 @@ def nearest_case_distance(s, sf):
 
 @query()
 def cluster_test(s, sf):
-    """Nearest-case distances against 99 random labellings, for all labels."""
+    """Nearest-case distances against 999 random labellings, for all labels."""
     p = d.points(s, sf)
-    return r6(spatial.cluster_test(p, p.select("id", F.col("label").cast("string").alias("entity")), 99), "mean_d", "null_mean", "null_sd", "z", "p_value")
+    return r6(spatial.cluster_test(p, p.select("id", F.col("label").cast("string").alias("entity"))), "mean_d", "null_mean", "null_sd", "z", "p_value")
 
 
 @query(f"WITH {PT} SELECT floor(x / 50)::INT AS ix, floor(y / 50)::INT AS iy, count(*)::BIGINT AS n, sum((label = 0)::INT)::BIGINT AS cases FROM pt GROUP BY 1, 2")
