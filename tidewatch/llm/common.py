@@ -51,6 +51,14 @@ def bucketed(df: DataFrame, by: str, buckets: int, name: str = "t") -> DataFrame
         spark.sql(f"DROP TABLE {name}")
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``durable`` or ``bucketed`` wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with as many underscores added as make it unlike all of ``columns`` (case aside)."""
     taken = {c.lower() for c in columns}
