@@ -10,6 +10,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,6 +361,25 @@ def test_clashing_names(spark):
     assert classify_quality(df, labels).count() == 6
 
 
+def test_neighbours_of_many_clusters(spark):
+    """20,000 vectors in clusters of all widths, of unequal lengths: recall at 20 against brute force."""
+    rng = np.random.default_rng(17)
+    center = rng.normal(size=(300, 24))
+    of = rng.integers(0, 300, 20000)
+    x = center[of] + rng.uniform(0.02, 0.6, (300, 1))[of] * rng.normal(size=(20000, 24))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.uniform(0.8, 1.25, (20000, 1))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20000), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 20000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hit >= 0.9 * 20 * 200
+
+
 def test_pieces(spark, docs, none):
     sp = spm.load(open(spm.MODEL, "rb").read())
     out = spm.encode_and_sample(docs, with_ids=True).collect()
