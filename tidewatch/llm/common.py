@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The contract's word separators: space and \x09-\x0D. ``bytes.split()`` splits on exactly these.
@@ -51,6 +51,18 @@ def bucketed(df: DataFrame, by: str, buckets: int, name: str = "t") -> DataFrame
         spark.sql(f"DROP TABLE {name}")
 
 
+def numbered(df: DataFrame, order: list, name: str, table: str = "numbered") -> DataFrame:
+    """``df`` with each row's place (from 0) in the global order, as column ``name``: sorted by ranges and
+    written; the ranges' sizes, one row for each, give every range its offset."""
+    at = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), table)
+    part, before = free_name(at.columns, "_part"), free_name(at.columns, "_before")
+    ranges = at.groupBy(F.shiftright(name, 33).alias(part)).agg(F.count("*").alias(before))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(part, F.coalesce(F.sum(before).over(ahead), F.lit(0)).alias(before))
+    placed = at.join(F.broadcast(offsets), F.shiftright(name, 33) == F.col(part))  # one row for each range
+    return placed.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before)).select(at.columns)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``durable`` or ``bucketed`` wrote, once nothing will read it again."""
     spark = df.sparkSession

@@ -78,7 +78,37 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_sentencepiece, op4_lm_scoring, op5_quality_classifier, op6_nearest_neighbours, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_source_mixing)}
+def op11_hard_negatives(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import mine_hard_negatives
+
+    rows = _read(spark, sf_dir, "embeddings")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(relabelled, F.col("vec_id") % 100 == 0)
+
+
+def op12_secret_scan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .secret_scan import BASE, scan_secrets, spelt
+
+    found = scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kinds: F.filter("_secrets", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of([r.kind])).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(spelt(of([r.kind for r in BASE])).cast("binary"), 256).alias("base_sha256"), spelt(F.col("_secrets")).alias("spans"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .resample import importance_resample
+
+    drawn = importance_resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return drawn.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_features", "weight", "score", "rank")])
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_sentencepiece, op4_lm_scoring, op5_quality_classifier, op6_nearest_neighbours, op7_substring_dedup, op8_license_scan, op9_minhash_near_dedup, op10_source_mixing, op11_hard_negatives, op12_secret_scan, op13_importance_resampling)}
 
 
 def _sharding_sql(shards: int = 8) -> str:
@@ -186,4 +216,65 @@ m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
 
 
-ORACLES = {"op1_embedding_near_dedup": _vectors_sql, "op7_substring_dedup": _substring_sql, "op9_minhash_near_dedup": _minhash_sql, "op2_sharding": _sharding_sql, "op8_license_scan": _licences_sql, "op10_source_mixing": _mixing_sql}
+def _hard_negatives_sql() -> str:
+    return """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank,
+       s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
+
+def _secrets_sql() -> str:
+    from .secret_scan import ADDED, BASE
+
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def spans(n, rule):
+        pattern = q(("(?i)" if rule.any_case else "") + rule.pattern)
+        return f"""
+SELECT doc_id, {n} AS n, {q(rule.kind)} AS kind, start, start + length(m) AS past FROM (
+  SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+    (coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT)) AS start
+  FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS ms, regexp_split_to_array(text, {pattern}) AS gaps FROM d))
+WHERE length(regexp_extract(m, {pattern}, {rule.group})) >= {rule.least}"""
+
+    every = " UNION ALL ".join(spans(n, r) for n, r in enumerate(BASE + ADDED))
+    said = "string_agg(kind || ':' || start || ':' || past, ',' ORDER BY start, n, past)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({every}),
+g AS (SELECT doc_id, {counts}, {said} FILTER (n < {len(BASE)}) AS base, {said} AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def _resampling_sql() -> str:
+    ws = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("\\\\", "\\")
+    return f"""
+WITH RECURSIVE t(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8),
+d AS (SELECT doc_id, {ws} AS ws FROM documents),
+dw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM d) GROUP BY w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest({ws}) AS w FROM benchmark) GROUP BY w),
+u AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode(w)), 2), lambda p: ('0x' || substr(hex(encode(w)), p, 2))::BIGINT)),
+        lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), tab),
+c AS (SELECT bucket, coalesce(sum(dw.n), 0)::DOUBLE AS s, coalesce(sum(bw.n), 0)::DOUBLE AS t FROM u LEFT JOIN dw USING (w) LEFT JOIN bw USING (w) GROUP BY bucket),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM c),
+g AS (SELECT bucket, floor(1000 * ln((c.t + 1) * (z.s + 10000) / ((c.s + 1) * (z.t + 10000))))::BIGINT AS gain FROM c, z),
+e AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(ws) AS w FROM d) JOIN u USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN e USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS n FROM f)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM r"""
+
+
+ORACLES = {"op11_hard_negatives": _hard_negatives_sql, "op12_secret_scan": _secrets_sql, "op13_importance_resampling": _resampling_sql, "op1_embedding_near_dedup": _vectors_sql, "op7_substring_dedup": _substring_sql, "op9_minhash_near_dedup": _minhash_sql, "op2_sharding": _sharding_sql, "op8_license_scan": _licences_sql, "op10_source_mixing": _mixing_sql}
