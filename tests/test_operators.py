@@ -10,6 +10,7 @@ from tidewatch.functions import special
 from tidewatch.functions.exprs import bernoulli_llr, normal_cdf, poisson_llr, wilson, window_llr
 from tidewatch.operators import aberration, counting, evaluation, hierarchy, nowcast, spatial, synthetic, treescan, windows
 from tidewatch.operators import disproportionality as disp
+from tidewatch.functions import special
 from tidewatch.operators import text as txt
 from tidewatch.plans import registry
 
@@ -150,7 +151,7 @@ def test_same_slope_scores_zero():
 def test_null_is_the_same_for_any_partitioning(spark):
     c = panel(spark, {"a": [5] * 12, "b": [3] * 12})
     nodes = spark.createDataFrame([("a", "substance", "a"), ("b", "substance", "b"), ("ab", "root", "a"), ("ab", "root", "b")], "node string, level string, leaf string")
-    run = lambda parts: sorted(tuple(r) for r in treescan.null_maxima(c, totals(spark, [100] * 12), nodes, 11, replicates=40, parts=parts).collect())
+    run = lambda parts: sorted(tuple(r) for r in treescan.null_maxima(c.repartition(parts), totals(spark, [100] * 12), nodes, 11, replicates=40, chunk=parts).collect())
     assert run(1) == run(5)
 
 
@@ -164,6 +165,14 @@ def test_queries_run_all_replicates(spark, monkeypatch, name):
     assert drawn[0].select("replicate").distinct().count() == 9999 and divided == [9999]
 
 
+def test_novel_rows_have_no_ratio_and_never_alarm(spark):
+    sweep = spark.createDataFrame([("novel", 5, 3, 0.0, None), ("many", 5, 30, 0.0, None), ("riser", 5, 6, 2.0, 2.5), ("flat", 5, 2, 2.0, 1.0)], "entity string, as_of int, n_recent long, expected double, ratio_own double")
+    for gate in ("", "dual"):
+        got = {r.entity: r.score for r in evaluation.model_score(sweep, evaluation.Model("ratio", "ratio", "ratio", 1.5, gate=gate)).collect()}
+        assert got == {"novel": None, "many": None, "riser": 3.0 if not gate else 2.5, "flat": 1.0}
+    assert special.MAX_GAMMA == 2.0
+
+
 def test_normalize_and_match(spark):
     df = spark.createDataFrame([("Alpha–beta, 1,4-gamma AND (delta)",)], "t string")
     r = df.select(txt.normalize(F.col("t")).alias("n"), txt.tokens(F.col("t")).alias("w")).first()
@@ -231,7 +240,7 @@ def test_generated_panels_score_like_real_ones(spark):
 def test_model_scores(spark):
     rows = spark.createDataFrame([("a", 1, 3, 0.0, 2.0, 1.0, True), ("b", 1, 3, 1.5, 1.2, 3.0, False)], "entity string, as_of int, n_recent int, expected double, eb05 double, eb05_own double, confirmed boolean")
     score = lambda m: {r.entity: r.score for r in evaluation.model_score(rows, m).collect()}
-    assert score(evaluation.Model("r", "ratio", "ratio", 1.5)) == {"a": math.inf, "b": 2.0}
+    assert score(evaluation.Model("r", "ratio", "ratio", 1.5)) == {"a": None, "b": 2.0}
     assert score(evaluation.Model("d", "eb", "eb05", 1.5, gate="dual")) == {"a": 1.0, "b": 1.2}
     assert score(evaluation.Model("c", "eb", "eb05", 1.5, gate="confirmed")) == {"a": 2.0, "b": -math.inf}
     with pytest.raises(KeyError):

@@ -112,6 +112,10 @@ def nb_log_likelihood(n, e, alpha: float, rate, weight=None) -> float:
     return float(np.sum(w * (head + alpha * np.log(rate / (rate + e)) + n * np.log(e / (rate + e)))))
 
 
+#: Bound of the spatial coefficient: past it, a fit escapes into a corner that few cells pin down.
+MAX_GAMMA = 2.0
+
+
 def fit_gamma_prior(n, e, weight=None, most: float = 12.0) -> tuple[float, float, bool]:
     """(alpha, beta, converged) that maximise the marginal likelihood, by a simplex over their logs.
 
@@ -121,7 +125,7 @@ def fit_gamma_prior(n, e, weight=None, most: float = 12.0) -> tuple[float, float
     return a, b, ok
 
 
-def fit_gamma_prior_by(n, e, z=None, weight=None, most: float = 12.0, most_gamma: float = 3.0) -> tuple[float, float, float, tuple[float, float], bool]:
+def fit_gamma_prior_by(n, e, z=None, weight=None, most: float = 12.0, most_gamma: float = MAX_GAMMA) -> tuple[float, float, float, tuple[float, float], bool]:
     """(alpha, beta, gamma, (mean, sd) of z, converged): the same with rate beta * exp(-gamma * (z - mean) / sd)."""
     n, e = np.asarray(n, float), np.asarray(e, float)
     w = np.ones(len(n)) if weight is None else np.asarray(weight, float)

@@ -191,12 +191,12 @@ FLOORS = {"scan": 1.0, "branch": 1.0}
 def model_score(sweep: DataFrame, model: Model) -> DataFrame:
     """(entity, as_of, score): the one number that a model's alarm is read off.
 
-    A ratio without expectation is infinite, as every appearance from nothing is. A dual gate takes the
-    smaller of both scores; a flag gate gives rows without the flag no chance (minus infinity).
+    A ratio without expectation is no score (NULL), which never alarms. A dual gate takes the smaller of both
+    scores; a flag gate gives rows without the flag no chance (minus infinity).
     """
     score = F.col(model.score).cast("double")
     if model.score == "ratio":
-        score = F.when(F.col("expected") > 0, F.col("n_recent") / F.col("expected")).otherwise(F.lit(float("inf")))
+        score = F.when(F.col("expected") > 0, F.col("n_recent") / F.col("expected"))
     if model.gate in ("dual", "both"):
         other = {"eb05": "eb05_own", "z": "own_z", "ratio": "ratio_own"}[model.score]
         score = F.when(score.isNotNull() & F.col(other).isNotNull(), F.least(score, F.col(other).cast("double")))

@@ -3,6 +3,7 @@ clustering, space-time cylinders, spatial variation in trends, and the relative-
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -10,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bernoulli_llr, normal_cdf, poisson_llr
+from ..functions.exprs import bernoulli_llr, normal_cdf, poisson_llr, ratio
+from ..session import numbered, stored, tasks
+from .neighbours import SMALL, nearest_within
 
 #: Rows of points that meet in one task are two tiles of this many at most.
 TILE = 1024
@@ -38,42 +41,11 @@ def utm(lon: Column, lat: Column, zone: int = 11) -> tuple[Column, Column]:
 
 def nearest(points: DataFrame, k: int, of: DataFrame | None = None) -> DataFrame:
     """(id, other, r, d): the k nearest others of each point (of each of ``of``, if given), by distance,
-    then id. Points are (id, x, y). Tiles of points meet in tasks, each task keeps its k best a point,
-    and a ranking merges them."""
+    then id. Points are (id, x, y)."""
     near = nearest_within(points, F.lit(k), [], of)
     return near.select("id", "other", "r", "d")
 
 
-def nearest_within(points: DataFrame, k: Column, by: list[str], of: DataFrame | None = None) -> DataFrame:
-    """(by, id, other, r, d): the same among the points of one group each; ``k`` may differ by group."""
-    of = points if of is None else of
-    most = points.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    tiles = max(1, -(-most // TILE))
-    side = lambda df, left: df.select(*by, "id", "x", "y", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("own"), F.lit(left).alias("asks"), k.cast("int").alias("k"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    cols = [*by, "s", "t", "asks", "id", "x", "y", "k"]
-    a = side(of, True).withColumn("t", every).withColumn("s", F.col("own")).select(cols)
-    b = side(points, False).withColumn("s", every).withColumn("t", F.col("own")).select(cols)
-    kinds = [f.simpleString().split(":", 1)[1] for f in points.select(*by).schema.fields] if by else []
-    schema = ", ".join([f"{c} {t}" for c, t in zip(by, kinds, strict=True)] + ["id long", "other long", "d double", "k int"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
-        if not len(p) or not len(q):
-            return pd.DataFrame({c: [] for c in [*by, "id", "other", "d", "k"]}).astype({"id": "int64", "other": "int64", "d": "float64", "k": "int32"})
-        d = np.sqrt((p.x.to_numpy()[:, None] - q.x.to_numpy()[None]) ** 2 + (p.y.to_numpy()[:, None] - q.y.to_numpy()[None]) ** 2)
-        d[p.id.to_numpy()[:, None] == q.id.to_numpy()[None]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, : int(p.k.max())]
-        rows = np.repeat(np.arange(len(p)), best.shape[1])
-        out = {c: p[c].to_numpy()[rows] for c in by} | {"id": p.id.to_numpy()[rows], "other": q.id.to_numpy()[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel(), "k": p.k.to_numpy()[rows]}
-        out = pd.DataFrame(out)
-        return out[np.isfinite(out.d)]
-
-    met = a.unionByName(b).groupBy(*by, "s", "t").applyInPandas(meet, schema)
-    r = F.row_number().over(Window.partitionBy(*by, "id").orderBy("d", "other"))
-    return met.withColumn("r", r).where(F.col("r") <= F.col("k")).drop("k")
-
-
 def knn_graph(points: DataFrame, fraction: float = 0.05, most: int | None = None) -> DataFrame:
     """(a, b), both directions: each point and its ceil(fraction * N) nearest others; ``most`` bounds
     their number, without which the graph grows with the square of the points."""
@@ -150,37 +122,113 @@ def _concentration(graph: DataFrame, sizes: DataFrame, cases: DataFrame, by: lis
 
 def mean_nearest_distance(points: DataFrame, labels: DataFrame) -> DataFrame:
     """(entity, n, mean_d): the mean distance of each case to its nearest case of the same entity, NULL for
-    a single one. Cases meet in tiles, however many an entity has."""
+    a single one."""
     c = labels.select("id", "entity").join(points, "id").select("entity", "id", "x", "y")
     near = nearest_within(c, F.lit(1), ["entity"]).groupBy("entity").agg(F.avg("d").alias("mean_d"))
     return c.groupBy("entity").agg(F.count("*").alias("n")).join(near, "entity", "left")
 
 
-def cluster_test(points: DataFrame, labels: DataFrame, permutations: int = 999, seed: int = 0, least: int = 8, most_points: int = 200_000) -> DataFrame:
-    """(entity, n, mean_d, null_mean, null_sd, z, p_value) for entities of at least ``least`` cases:
-    the mean nearest distance against cases drawn at random from all points. The points go to the
-    tasks as two arrays, so their number is checked."""
-    n = points.count()
-    if n > most_points:
-        raise ValueError(f"{n} points; the permutation null takes {most_points} at most")
-    xy = points.orderBy("id").select("x", "y").toPandas().to_numpy()
-    seen = mean_nearest_distance(points, labels).where(F.col("n") >= least)
-
-    def null(batches):
+def round_keys(name: str) -> np.ndarray:
+    """The keys of a permutation's eight rounds."""
+    return np.frombuffer(hashlib.blake2b(name.encode(), digest_size=64).digest(), np.uint64)
+
+
+def shuffled(i: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """Where a permutation of 0..n-1 puts the numbers ``i``: a Feistel network of eight rounds, walked on until it
+    falls below n. ``keys`` are round_keys, one set or a column for each number. Any part of a permutation can be
+    had without the rest."""
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    low = np.uint64((1 << int(half)) - 1)
+    keys = np.broadcast_to(keys.reshape(8, -1), (8, len(i)))
+    out = i.astype(np.uint64)
+    open_ = np.arange(len(out))
+    while len(open_):
+        left, right = out[open_] >> half, out[open_] & low
+        for k in keys[:, open_]:
+            h = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(31))) & low)
+        out[open_] = (left << half) | right
+        open_ = open_[out[open_] >= n]
+    return out.astype(np.int64)
+
+
+def random_labels(points: DataFrame, sizes: DataFrame, replicates: int, seed: int = 0, block: int = 1 << 16) -> DataFrame:
+    """(entity, replicate, n, id, x, y): for each entity of ``sizes`` (entity, n) and each replicate, n points drawn from
+    all, without replacement. Points are numbered in the order of their ids; a draw is the beginning of a permutation
+    of these numbers that seed, entity and replicate name, dealt in blocks, and joined to the points by number."""
+    there = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "x", "y")
+    n = there.count()
+    at = numbered(there, ["id", "x", "y"])
+    work = sizes.select("entity", F.least("n", F.lit(n)).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    work = work.where("n > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}")))).repartition(tasks(points.sparkSession), "entity", "replicate", "block")
+
+    def draw(batches):
         for pdf in batches:
-            out = []
-            for entity, k, observed in zip(pdf.entity, pdf.n, pdf.mean_d, strict=True):
-                d = np.empty(permutations)
-                for r in range(permutations):
-                    p = xy[np.random.default_rng([seed, r, *str(entity).encode()]).choice(len(xy), int(k), replace=False)]
-                    m = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-                    np.fill_diagonal(m, np.inf)
-                    d[r] = m.min(1).mean()
-                sd = d.std(ddof=1)
-                out.append((entity, k, observed, d.mean(), sd, (observed - d.mean()) / sd if sd > 0 else None, (1 + (d <= observed).sum()) / (permutations + 1)))
-            yield pd.DataFrame(out, columns=["entity", "n", "mean_d", "null_mean", "null_sd", "z", "p_value"])
-
-    return seen.repartition("entity").mapInPandas(null, "entity string, n long, mean_d double, null_mean double, null_sd double, z double, p_value double")
+            size = np.minimum(pdf.n - pdf.block * block, block).to_numpy()
+            for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(size) // block)) + 1):  # some ``block`` draws at a time
+                of = np.repeat(at, size[at])
+                i = np.concatenate([np.arange(k) for k in size[at]]) + pdf.block.to_numpy()[of] * block
+                keys = np.stack([round_keys(f"{seed}|{r}|{e}") for r, e in zip(pdf.replicate[at], pdf.entity[at], strict=True)], axis=1)
+                yield pd.DataFrame({"entity": pdf.entity.to_numpy()[of], "replicate": pdf.replicate.to_numpy()[of], "n": pdf.n.to_numpy()[of], "number": shuffled(i, n, np.repeat(keys, size[at], axis=1))})
+
+    drawn = work.mapInPandas(draw, f"entity {dict(sizes.dtypes)['entity']}, replicate int, n long, number long")
+    return drawn.join(at, "number").drop("number")
+
+
+def cluster_test(points: DataFrame, labels: DataFrame, permutations: int = 999, seed: int = 0, least: int = 8, most_fraction: float = 0.25) -> DataFrame:
+    """(entity, n, case_fraction, out_of_scope, mean_d, null_mean, null_sd, localization, z, p_value, pct_at_facility,
+    top_zone, top_zone_pct) for entities of at least ``least`` cases: the mean nearest distance against as many points
+    drawn at random from all, ``permutations`` times. Localization over 1 is tighter than the background.
+
+    ``points`` is (id, x, y) with at_facility and zone, where known (else NULL). An entity with more than
+    ``most_fraction`` of the points is out of scope: it would be compared with itself. All draws of all entities are
+    rows of one job; those of an entity over SMALL cases go to the grid index, replicate by replicate.
+    """
+    cases = labels.select("id", "entity").distinct().join(points.select("id"), "id").groupBy("entity").agg(F.count("*").alias("n"))
+    observed = stored(cluster_observed(points, labels, most_fraction).join(cases.where(F.col("n") >= least).select("entity"), "entity"), "observed")
+    draws = lambda wanted: random_labels(points, observed.where(wanted).select("entity", "n"), permutations, seed)
+    by = ["entity", "replicate"]
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("replicate", kind="stable")
+        starts = np.flatnonzero(np.diff(pdf.replicate.to_numpy(), prepend=-1))
+        out = []
+        for xy in np.split(pdf[["x", "y"]].to_numpy(float), starts[1:]):
+            d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
+            out.append(np.partition(d, 1, axis=1)[:, 1].mean() if len(d) > 1 else None)
+        return pd.DataFrame({"entity": pdf.entity.to_numpy()[starts], "m": out})
+
+    some = (F.col("replicate") / F.greatest(F.lit(1), F.expr("65536 div n"))).cast("int")  # replicates of some 65,536 rows meet
+    null = draws(F.col("n") <= SMALL).repartition(tasks(points.sparkSession), F.col("entity"), some).groupBy("entity", some).applyInPandas(mean, f"entity {dict(labels.dtypes)['entity']}, m double")
+    if not observed.where(F.col("n") > SMALL).isEmpty():
+        far = nearest_within(stored(draws(F.col("n") > SMALL), "draws"), F.lit(1), by)
+        null = null.unionByName(far.groupBy(*by).agg(F.avg("d").alias("m")).select("entity", "m"))
+    sums = null.join(observed.select("entity", "mean_d"), "entity").groupBy("entity").agg(F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"), F.sum((F.col("m") <= F.col("mean_d")).cast("int")).alias("_below"))
+    out = observed.join(sums, "entity")
+    return out.select(
+        *["entity", "n", "case_fraction", "out_of_scope", "mean_d", "null_mean", "null_sd"],
+        ratio(F.col("null_mean"), F.col("mean_d")).alias("localization"),
+        ratio(F.col("mean_d") - F.col("null_mean"), F.col("null_sd")).alias("z"),
+        ((1 + F.col("_below")) / F.lit(float(permutations + 1))).alias("p_value"),
+        *["pct_at_facility", "top_zone", "top_zone_pct"],
+    )
+
+
+def cluster_observed(points: DataFrame, labels: DataFrame, most_fraction: float = 0.25) -> DataFrame:
+    """(entity, n, case_fraction, out_of_scope, mean_d, pct_at_facility, top_zone, top_zone_pct): what is seen of each
+    entity before any draw. Of equally frequent zones the lesser is named."""
+    more = {c: F.col(c) if c in points.columns else F.lit(None) for c in ("at_facility", "zone")}
+    there = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "x", "y", more["at_facility"].cast("boolean").alias("at_facility"), more["zone"].cast("string").alias("zone"))
+    cases = labels.select("id", "entity").distinct()
+    c = cases.join(there, "id")
+    zones = c.where(F.col("zone").isNotNull()).groupBy("entity", "zone").agg(F.count("*").alias("k"))
+    top = zones.groupBy("entity").agg(F.min(F.struct((-F.col("k")).alias("k"), "zone")).alias("t")).select("entity", F.col("t.zone").alias("top_zone"), (-F.col("t.k")).alias("k"))
+    share = c.groupBy("entity").agg((100 * F.avg(F.col("at_facility").cast("int"))).alias("pct_at_facility"))
+    out = mean_nearest_distance(there, cases).join(share, "entity", "left").join(top, "entity", "left").crossJoin(F.broadcast(there.agg(F.count("*").alias("_all"))))  # one row
+    part = F.col("n") / F.col("_all").cast("double")
+    return out.select("entity", "n", part.alias("case_fraction"), (part > most_fraction).alias("out_of_scope"), "mean_d", "pct_at_facility", "top_zone", (100.0 * F.col("k") / F.col("n")).alias("top_zone_pct"))
 
 
 def circles(zones: DataFrame, most_fraction: float = 0.25) -> DataFrame:

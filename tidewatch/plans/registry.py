@@ -12,7 +12,7 @@ from ..functions.exprs import ordinal_date, rounded
 from ..operators import aberration, alarms, cooccurrence, counting, evaluation, hierarchy, nowcast, significance, spatial, treescan, windows
 from ..operators import disproportionality as disp
 from ..operators import text as txt
-from ..session import table
+from ..session import stored, table
 from . import domain as d
 
 QUERIES: dict = {}
@@ -192,12 +192,12 @@ def eb_sweep(s, sf):
 @query()
 def eb_rank_with_veto(s, sf):
     """The latest quarter's shrinkage ranking, with the scan's veto."""
-    c, n = d.counts(s, sf), d.denom(s, sf)
+    c, n, nodes = _scanned(s, sf)
     scores = disp.eb_scores(disp.ratio_sweep(c, n))
-    cells = treescan.scan_cells(c, n, _nodes(s, sf))
+    cells = treescan.scan_cells(c, n, nodes)
     last = int(n.agg(F.max("q")).first()[0])
     best = treescan.best_windows(cells).where((F.col("as_of") == last) & (F.col("level") == "substance"))
-    ri = treescan.with_p_values(best, treescan.null_maxima(c, n, _nodes(s, sf), last), treescan.REPLICATES).select(F.col("node").alias("entity"), "as_of", "recurrence_interval")
+    ri = treescan.with_p_values(best, treescan.null_maxima(c, n, nodes, last), treescan.REPLICATES).select(F.col("node").alias("entity"), "as_of", "recurrence_interval")
     out = disp.veto(scores.where(F.col("as_of") == last), ri)
     return disp.ranked(r6(out.select("entity", "as_of", "n_recent", "ratio", "eb05", "eb05_own", "ri", "credible_rise", "vetoed"), "ratio", "eb05", "eb05_own", "ri", places=4), "eb05")
 
@@ -457,12 +457,51 @@ def branch_sweep(s, sf):
 @query()
 def scan_p_values(s, sf):
     """The latest scan with Monte Carlo p-values and recurrence intervals."""
-    c, n, nodes = d.counts(s, sf), d.denom(s, sf), _nodes(s, sf)
+    c, n, nodes = _scanned(s, sf)
     last = int(n.agg(F.max("q")).first()[0])
     best = treescan.best_windows(treescan.scan_cells(c, n, nodes)).where(F.col("as_of") == last)
     return r6(treescan.with_p_values(best, treescan.null_maxima(c, n, nodes, last), treescan.REPLICATES), "expected", "llr", "obs_exp", "p_value", "recurrence_interval")
 
 
+def _scanned(s, sf):
+    """Counts, denominators and nodes, each computed once."""
+    return stored(d.counts(s, sf), "counts"), stored(d.denom(s, sf), "denom"), stored(_nodes(s, sf), "nodes")
+
+
+@query()
+def scan_backtest(s, sf):
+    """The scan of every as-of quarter with that quarter's own null: p-values and recurrence intervals of all nodes."""
+    return r6(treescan.backtest(*_scanned(s, sf)), "expected", "llr", "obs_exp", "p_value", "recurrence_interval")
+
+
+@query()
+def scan_branch_intervals(s, sf):
+    """Each leaf's best recurrence interval among the branches over it that it drives, and its own."""
+    c, n, nodes = _scanned(s, sf)
+    scan = stored(treescan.backtest(c, n, nodes), "backtest")
+    return r6(treescan.branch_sweep(scan, treescan.scan_cells(c, n, nodes), nodes, score="recurrence_interval", whole_leaves=True), "score", "excess_share")
+
+
+@query()
+def scan_head_to_head(s, sf):
+    """First signals and lags of the scan and of the shrinkage score on the planted risers and the calm brands."""
+    c, n, nodes = _scanned(s, sf)
+    eb = disp.eb_scores(disp.ratio_sweep(c, n)).select("entity", "as_of", "eb05")
+    targets = s.createDataFrame([(x[0],) for x in [*TRUTH, *CALM]], "entity string")
+    out = treescan.head_to_head(stored(treescan.backtest(c, n, nodes), "backtest"), treescan.scan_cells(c, n, nodes), stored(eb, "eb"), c, nodes, targets)
+    return r6(out, "branch_excess_share", "peak_llr", "best_ri")
+
+
+@query(f"""WITH {B}, {W}, {NODES}, mt AS (SELECT den.q, coalesce(sum(n), 0)::BIGINT AS n_total FROM den LEFT JOIN cnt USING (q) GROUP BY 1),
+rs AS (SELECT as_of, w AS window_q, (SELECT sum(n_total) FROM mt WHERE q BETWEEN as_of - w + 1 AND as_of) / (SELECT sum(n_total) FROM mt WHERE q BETWEEN as_of - 11 AND as_of)::DOUBLE AS share FROM aso, (SELECT unnest(range(1, 7)) AS w) WHERE k = 12)
+SELECT as_of, window_q::INT AS window_q, {_r('share', 'share')} FROM rs""")
+def mention_shares(s, sf):
+    """The shares of the frame by mentions, the scan's other reference series."""
+    ref = treescan.mention_totals(d.counts(s, sf), d.denom(s, sf))
+    shares = treescan.window_shares(ref).select("as_of", F.posexplode("shares").alias("i", "share"))
+    return r6(shares.select("as_of", (F.col("i") + 1).alias("window_q"), "share"), "share")
+
+
 # --- co-occurrence ----------------------------------------------------------------------------------
 @query(f"WITH {BS} SELECT a.entity, b.entity AS partner, count(*)::BIGINT AS n_both FROM m a JOIN m b USING (case_id) WHERE a.entity <> b.entity GROUP BY 1, 2")
 def pair_counts(s, sf):
@@ -557,20 +596,20 @@ MODELS = [
 
 
 def _benchmark(s, sf):
-    sweep = _ratio(s, sf).withColumn("_r", F.coalesce("ratio", F.lit(float("inf"))))
-    sweep = aberration.emergent_flags(aberration.confirmed_flags(sweep, "_r", 1.5), "_r", 1.5)
-    sweeps = {("ratio", False, ()): sweep, ("ears", False, ()): _ears(s, sf)}
+    sweep = _ratio(s, sf)
+    sweep = aberration.emergent_flags(aberration.confirmed_flags(sweep, "ratio", 1.5), "ratio", 1.5)
+    sweeps = {("ratio", False, ()): stored(sweep, "sweep"), ("ears", False, ()): stored(_ears(s, sf), "sweep")}
     return evaluation.build_scores(MODELS, sweeps, {m.name: m for m in MODELS})
 
 
 BENCH = """
-br AS (SELECT *, CASE WHEN expected > 0 THEN n_recent / expected ELSE 'inf'::DOUBLE END AS rr FROM rat),
+br AS (SELECT *, CASE WHEN expected > 0 THEN n_recent / expected END AS rr FROM rat),
 bh AS (SELECT *, as_of - row_number() OVER (PARTITION BY entity ORDER BY as_of) AS island FROM br WHERE rr > 1.5),
 bf AS (SELECT entity, as_of, row_number() OVER (PARTITION BY entity, island ORDER BY as_of) >= 3 AS confirmed, first_value(n_baseline) OVER (PARTITION BY entity, island ORDER BY as_of) / 8.0 < 2 AS emergent FROM bh),
 be AS (SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.as_of, b.as_of) AS as_of, coalesce(rr, 0) AS a, coalesce(ears_z, 0) AS b FROM br a FULL JOIN ears b ON a.entity = b.entity AND a.as_of = b.as_of),
 bk AS (SELECT *, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0) / count(*) OVER () AS ra, (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS rb FROM be),
 al AS (SELECT 'ratio' AS model, entity, as_of AS q FROM br WHERE rr > 1.5 UNION ALL
-       SELECT 'ratio-dual', entity, as_of FROM br WHERE ratio_own IS NOT NULL AND least(rr, ratio_own) > 1.2 UNION ALL
+       SELECT 'ratio-dual', entity, as_of FROM br WHERE rr IS NOT NULL AND ratio_own IS NOT NULL AND least(rr, ratio_own) > 1.2 UNION ALL
        SELECT 'ratio-confirmed', entity, as_of FROM bf WHERE confirmed UNION ALL
        SELECT 'ratio-emergent', entity, as_of FROM bf WHERE emergent UNION ALL
        SELECT 'ears', entity, as_of FROM ears WHERE ears_z > 3 UNION ALL
@@ -598,9 +637,9 @@ def benchmark(s, sf):
 @query(f"""WITH {B}, {W}, {EARS}, {TRUTHS}, {BENCH} SELECT model, entity, start_q, min(q)::INT AS first_alarm FROM al JOIN iv USING (entity) WHERE q BETWEEN start_q AND end_q GROUP BY 1, 2, 3""")
 def method_timeline(s, sf):
     """When each detector first alarms inside an interval."""
-    rows = None
+    rows, scores = None, _benchmark(s, sf)
     for m in MODELS:
-        hot = _benchmark(s, sf)[m.name].where(F.col("score") > m.threshold).select(F.lit(m.name).alias("model"), "entity", F.col("as_of").alias("q"))
+        hot = scores[m.name].where(F.col("score") > m.threshold).select(F.lit(m.name).alias("model"), "entity", F.col("as_of").alias("q"))
         rows = hot if rows is None else rows.unionByName(hot)
     none = s.createDataFrame([], "entity string, onset int")
     return evaluation.onset_lags(rows, _intervals(s, sf), none).select("model", "entity", "start_q", "first_alarm")
@@ -772,11 +811,27 @@ def nearest_case_distance(s, sf):
     return r6(spatial.mean_nearest_distance(p, p.select("id", F.col("label").cast("string").alias("entity"))), "mean_d")
 
 
+def _cases(s, sf):
+    """Points with flags and zones, and their labels as entities."""
+    p = d.points(s, sf)
+    zone = F.concat_ws(":", F.floor(F.col("x") / 100), F.floor(F.col("y") / 100))
+    near = p.withColumns({"zone": zone, "at_facility": F.col("id") % 5 == 0})
+    return near, p.select("id", F.col("label").cast("string").alias("entity"))
+
+
+@query(f"""WITH {PT}, dd AS (SELECT a.label, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS m FROM pt a JOIN pt b ON a.label = b.label AND a.id <> b.id GROUP BY 1, 2),
+zo AS (SELECT label, floor(x / 100)::BIGINT || ':' || floor(y / 100)::BIGINT AS zone, count(*) AS k FROM pt GROUP BY 1, 2),
+tz AS (SELECT * FROM zo QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC, zone) = 1),
+g AS (SELECT label, count(*)::BIGINT AS n, 100.0 * avg((id % 5 = 0)::INT) AS f FROM pt GROUP BY 1), md AS (SELECT label, avg(m) AS mean_d FROM dd GROUP BY 1), al AS (SELECT count(*)::DOUBLE AS a FROM pt)
+SELECT label::VARCHAR AS entity, n, {_r('n / a', 'case_fraction')}, n / a > 0.25 AS out_of_scope, {_r('mean_d', 'mean_d')}, {_r('f', 'pct_at_facility')}, zone AS top_zone, {_r('100.0 * k / n', 'top_zone_pct')} FROM g LEFT JOIN md USING (label) JOIN tz USING (label), al""")
+def cluster_observed(s, sf):
+    return r6(spatial.cluster_observed(*_cases(s, sf)), "case_fraction", "mean_d", "pct_at_facility", "top_zone_pct")
+
+
 @query()
 def cluster_test(s, sf):
     """Nearest-case distances against 999 random labellings, for all labels."""
-    p = d.points(s, sf)
-    return r6(spatial.cluster_test(p, p.select("id", F.col("label").cast("string").alias("entity"))), "mean_d", "null_mean", "null_sd", "z", "p_value")
+    return r6(spatial.cluster_test(*_cases(s, sf)), "case_fraction", "mean_d", "null_mean", "null_sd", "localization", "z", "p_value", "pct_at_facility", "top_zone_pct")
 
 
 @query(f"WITH {PT} SELECT floor(x / 50)::INT AS ix, floor(y / 50)::INT AS iy, count(*)::BIGINT AS n, sum((label = 0)::INT)::BIGINT AS cases FROM pt GROUP BY 1, 2")
