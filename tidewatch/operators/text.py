@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # The dash characters that count as a hyphen, and the words between names.
 DASHES = "‐‑‒–—―−"
 CONNECTORS = ["AND", "WITH", "OF", "THE", "PLUS", "OR"]
@@ -72,18 +74,74 @@ def match_words(words: Column, lexicon: dict[str, str]) -> Column:
     return match(words)
 
 
-def fuzzy_table(unmatched: DataFrame, lexicon: dict[str, str], blocked: list[str] = (), least: int = 7, cutoff: float = 0.9, apart: int = 3) -> DataFrame:
-    """(token, alias, canonical): for each distinct token of (token), its closest single-word alias by
-    the ratio of matching blocks, within ``apart`` letters of length."""
-    names = sorted(a for a in lexicon if " " not in a)
+def _gram_size(least: int, cutoff: float) -> int:
+    """The q for which two words that match share a q-gram for certain, however long they are."""
+    for q in (3, 2):
+        # of L letters, at most D of both words are unmatched, and each spoils q grams at most
+        if all(longer - q + 1 - q * int((1 - cutoff) * (longer + other) + 1e-9) >= 1 for longer in range(least, least + 40) for other in range(longer - 1, longer + 1)):
+            return q
+    raise ValueError(f"words of {least} letters at a cutoff of {cutoff} need not share a pair of letters")
 
-    @F.pandas_udf("string")
-    def resolve(ts: pd.Series) -> pd.Series:
-        return ts.map(lambda t: next(iter(difflib.get_close_matches(t, [a for a in names if abs(len(a) - len(t)) <= apart], n=1, cutoff=cutoff)), None))
 
-    distinct = unmatched.select("token").distinct().where((F.length("token") >= least) & ~F.col("token").isin(list(blocked)))
-    back = F.create_map(*[F.lit(x) for p in lexicon.items() for x in p]) if lexicon else F.create_map().cast("map<string,string>")
-    return distinct.withColumn("alias", resolve("token")).where("alias IS NOT NULL").withColumn("canonical", back[F.col("alias")])
+def fuzzy_pairs(words: DataFrame, aliases: DataFrame, least: int = 7, cutoff: float = 0.9, apart: int = 3) -> DataFrame:
+    """(token, alias): every pair of a word of (token) and one of (alias) that can match at the cutoff, and few others.
+
+    A match of ratio r over T letters leaves at most (1 - r) T letters of both unmatched, and each spoils at most q of
+    the longer word's q-grams: so many grams are shared for certain, and of each word's grams, ordered from the
+    rarest, one of the first (number - shared + 1) must be. These go to an inverted index by gram and both lengths;
+    what does not meet there does not match. Repeated grams are numbered.
+    """
+    q = _gram_size(least, cutoff)
+    total = F.col("len") + F.col("other")
+    spare = F.floor((1 - cutoff) * total + 1e-9)
+    spare = spare - (total + spare) % 2  # letters go unmatched in pairs but for the difference
+    shared = F.greatest("len", "other") - q + 1 - q * spare
+
+    def with_grams(t: DataFrame, c: str) -> DataFrame:
+        grams = F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(F.col(c), i, q))
+        rows = t.select(c).distinct().withColumn("len", F.length(c)).where(F.col("len") >= max(q, least - apart)).withColumn("g", grams)
+        numbered = F.transform("g", lambda x, i: F.concat(x, F.size(F.filter(F.slice("g", 1, i + 1), lambda y: y == x)).cast("string")))
+        return rows.select(c, "len", F.explode(numbered).alias("gram"))
+
+    held = with_grams(aliases, "alias")
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+
+    def index(rows: DataFrame, c: str) -> DataFrame:
+        order = rows.join(often, "gram", "left").groupBy(c, "len").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))  # a word's grams
+        near = order.withColumn("other", F.explode(F.sequence(F.col("len") - apart, F.col("len") + apart)))
+        near = near.where((spare >= F.abs(F.col("len") - F.col("other"))) & (F.col("other") > 0))
+        return near.select(c, "len", "other", F.explode(F.slice("g", F.lit(1), F.greatest(F.lit(0), F.size("g") - shared + 1).cast("int"))).alias("x")).select(c, "len", "other", "x.gram")
+
+    a = index(with_grams(words.where(F.length("token") >= least), "token"), "token")
+    b = index(held, "alias").select("alias", "gram", F.col("len").alias("other"), F.col("other").alias("len"))
+    return a.join(b, ["gram", "len", "other"]).select("token", "alias").distinct()
+
+
+def fuzzy_table(unmatched: DataFrame, lexicon: DataFrame, blocked: list[str] = (), least: int = 7, cutoff: float = 0.9, apart: int = 3) -> DataFrame:
+    """(token, alias, canonical, hits): for each distinct token of (token), its closest single-word alias of
+    (alias, canonical) by the ratio of matching blocks, within ``apart`` letters of length, and how often the token
+    occurs: what is guessed, for review. Of equally close aliases the last in the alphabet is taken. Tokens under
+    ``least`` letters and ``blocked`` ones are not resolved. The lexicon may be of any size: pairs come from an index
+    of q-grams, and only they are compared.
+    """
+    asked = unmatched.where((F.length("token") >= least) & ~F.coalesce(F.col("token").isin(list(blocked)), F.lit(False))).groupBy("token").agg(F.count("*").alias("hits"))
+    single = lexicon.where(~F.col("alias").contains(" ")).select("alias", "canonical")
+
+    @F.pandas_udf("double")
+    def closeness(ts: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        s, last = difflib.SequenceMatcher(), None
+        for t, a in zip(ts, names, strict=True):
+            if t != last:
+                s.set_seq2(t)
+                last = t
+            s.set_seq1(a)
+            out.append(s.ratio() if s.real_quick_ratio() >= cutoff and s.quick_ratio() >= cutoff else 0.0)
+        return pd.Series(out, dtype=float)
+
+    scored = fuzzy_pairs(asked, single, least, cutoff, apart).withColumn("r", closeness("token", "alias")).where(F.col("r") >= cutoff)
+    best = scored.groupBy("token").agg(F.max(F.struct("r", "alias")).alias("b")).select("token", F.col("b.alias").alias("alias"))
+    return best.join(single, "alias").join(asked, "token").select("token", "alias", "canonical", "hits")
 
 
 def extract(cases: DataFrame, fields: list[str], lexicon: dict[str, str], fuzzy: bool = True) -> DataFrame:
@@ -94,7 +152,7 @@ def extract(cases: DataFrame, fields: list[str], lexicon: dict[str, str], fuzzy:
     hits = matched.select("case_id", "field", F.explode("found").alias("entity"))
     if fuzzy:
         left = matched.select("case_id", "field", F.explode("unmatched").alias("token"))
-        near = fuzzy_table(left, lexicon)
+        near = fuzzy_table(left, cases.sparkSession.createDataFrame(list(lexicon.items()), "alias string, canonical string"))
         hits = hits.unionByName(left.join(near.select("token", F.col("canonical").alias("entity")), "token").select("case_id", "field", "entity"))
     return hits.groupBy("case_id", "entity").agg(F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"))
 
@@ -105,9 +163,11 @@ def match_by_join(cases: DataFrame, fields: list[str], lexicon: DataFrame) -> Da
     narrative, which takes the longest from the left. Groups are one narrative's matches."""
     x = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
     long = cases.select("case_id", x).select("case_id", "x.field", tokens(F.coalesce("x.text", F.lit(""))).alias("words"))
-    at = long.where(F.size("words") > 0).select("case_id", "field", "words", F.posexplode("words").alias("i", "word"))
-    grams = at.select("case_id", "field", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("words") - F.col("i")))).alias("n"), "words")
-    grams = grams.select("case_id", "field", "i", "n", F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), " ").alias("alias"))
+    held = long.where(F.size("words") > 0)
+    at = held.select("case_id", "field", F.posexplode("words").alias("i", "word"))
+    gram = lambda i, n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("alias"))
+    every = F.transform("words", lambda w, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("words") - i)), lambda n: gram(i, n)))
+    grams = held.select("case_id", "field", F.explode(F.flatten(every)).alias("x")).select("case_id", "field", "x.i", "x.n", "x.alias")
     parts = at.where(F.col("word").contains("-")).select("case_id", "field", "i", F.posexplode(F.split("word", "-")).alias("p", "alias")).select("case_id", "field", "i", (-F.col("p") - 1).alias("n"), "alias")
     hits = grams.unionByName(parts).join(lexicon.select("alias", "canonical"), "alias")
     of = hits.groupBy("case_id", "field").agg(F.collect_list(F.struct("i", "n", "canonical")).alias("hits"))
@@ -131,26 +191,44 @@ def match_by_join(cases: DataFrame, fields: list[str], lexicon: DataFrame) -> Da
     return joined.withColumn("m", greedy("words", "hits")).select("case_id", "field", "m.found", "m.unmatched")
 
 
-def extract_by_join(cases: DataFrame, fields: list[str], lexicon: DataFrame, fuzzy: bool = True, most_single: int = 100_000) -> DataFrame:
-    """``extract`` with the lexicon as a table. Fuzzy resolution compares distinct leftovers with the
-    single-word aliases; these go to the tasks, so that their number is checked."""
+def extract_by_join(cases: DataFrame, fields: list[str], lexicon: DataFrame, fuzzy: bool = True, blocked: list[str] = ()) -> DataFrame:
+    """``extract`` with the lexicon as a table of any size."""
     matched = match_by_join(cases, fields, lexicon)
+    matched = stored(matched, "matched") if fuzzy else matched  # read for what matched, what did not, and where
     hits = matched.select("case_id", "field", F.explode("found").alias("entity"))
     if fuzzy:
-        single = lexicon.where(~F.col("alias").contains(" ")).limit(most_single + 1).collect()
-        if len(single) > most_single:
-            raise ValueError(f"over {most_single} single-word aliases: resolve without fuzzy matching")
         left = matched.select("case_id", "field", F.explode("unmatched").alias("token"))
-        near = fuzzy_table(left, {r.alias: r.canonical for r in single})
+        near = fuzzy_table(left, lexicon, blocked)
         hits = hits.unionByName(left.join(near.select("token", F.col("canonical").alias("entity")), "token").select("case_id", "field", "entity"))
     return hits.groupBy("case_id", "entity").agg(F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"))
 
 
+def fuzzy_audit(cases: DataFrame, fields: list[str], lexicon: DataFrame, blocked: list[str] = ()) -> DataFrame:
+    """(token, alias, canonical, hits) of all fuzzy resolutions over the narratives."""
+    return fuzzy_table(match_by_join(cases, fields, lexicon).select(F.explode("unmatched").alias("token")), lexicon, blocked)
+
+
+def with_metadata(mentions: DataFrame, meta: DataFrame) -> DataFrame:
+    """Mentions with what the lexicon knows of their entity; ``meta`` is (canonical, ..), a row an entity."""
+    return mentions.join(meta.withColumnRenamed("canonical", "entity"), "entity", "left")
+
+
 def ordered_entities(cases: DataFrame, field: str, lexicon: dict[str, str]) -> DataFrame:
     """(case_id, seq): the entities of one field in the order of first mention."""
     return cases.select("case_id", match_words(tokens(F.coalesce(F.col(field), F.lit(""))), lexicon)["found"].alias("seq"))
 
 
+def ordered_rolled_up(cases: DataFrame, field: str, lexicon: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+    """(case_id, seq): the same with the lexicon as a table, and with entities replaced by what they roll up to,
+    as (entity, rollup) says: a metabolite counts as its parent, in the place of whichever comes first."""
+    found = match_by_join(cases, [field], lexicon).select("case_id", F.posexplode_outer("found").alias("i", "entity"))
+    if rollup is not None:
+        found = found.join(rollup.select("entity", F.col("rollup").alias("_up")), "entity", "left").withColumn("entity", F.coalesce("_up", "entity"))
+    first = found.groupBy("case_id", "entity").agg(F.min("i").alias("i"))
+    seq = F.sort_array(F.collect_list(F.when(F.col("entity").isNotNull(), F.struct("i", "entity"))))
+    return first.groupBy("case_id").agg(F.transform(seq, lambda x: x["entity"]).alias("seq"))
+
+
 def unmatched_report(cases: DataFrame, fields: list[str], lexicon: dict[str, str], least: int = 3) -> DataFrame:
     """(token, n) of tokens that nothing matches, the commonest first."""
     every = F.concat(*[match_words(tokens(F.coalesce(F.col(f), F.lit(""))), lexicon)["unmatched"] for f in fields])

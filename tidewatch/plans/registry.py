@@ -1008,6 +1008,11 @@ WHERE entity = upper(p_name) OR length(entity) >= 7""")
 def extract_misspelt(s, sf):
     """Part names, and types that the remark always and the narrative on odd lines spells without its sixth
     letter: what no alias matches is resolved fuzzily. Types under seven letters are left out."""
+    cases, lexicon = _misspelt(s, sf)
+    return txt.extract_by_join(cases, ["narrative", "remark"], lexicon)
+
+
+def _misspelt(s, sf):
     names = table(s, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("position")).select(F.upper("p_name").alias("canonical"), F.col("p_name").alias("alias"), "position")
     types = table(s, sf, "part").select("p_type").distinct().where("length(p_type) >= 7").select(F.col("p_type").alias("canonical"), F.col("p_type").alias("alias"), F.lit(0).cast("long").alias("position"))
     r = d.raw_mentions(s, sf, False)
@@ -1015,8 +1020,26 @@ def extract_misspelt(s, sf):
     kind = F.when(F.length("category") >= 7, odd).otherwise(F.lit(""))
     plain = F.when((F.length("category") >= 7) & (F.col("l_linenumber") % 2 == 0), F.col("category")).otherwise(kind)
     line = lambda k: F.array_join(F.collect_list(F.concat_ws(" and ", "p_name", k)), " with ")
-    cases = r.groupBy("case_id").agg(line(plain).alias("narrative"), line(kind).alias("remark"))
-    return txt.extract_by_join(cases, ["narrative", "remark"], txt.build_lexicon(names.unionByName(types)))
+    return r.groupBy("case_id").agg(line(plain).alias("narrative"), line(kind).alias("remark")), txt.build_lexicon(names.unionByName(types))
+
+
+@query("""SELECT upper(left(p_type, 5) || substr(p_type, 7)) AS token, upper(p_type) AS alias, p_type AS canonical, (count(*) + count(*) FILTER (l_linenumber % 2 <> 0))::BIGINT AS hits
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE length(p_type) >= 8 GROUP BY ALL""")
+def fuzzy_audit(s, sf):
+    """What was guessed of the misspelt types, and how often."""
+    cases, lexicon = _misspelt(s, sf)
+    return txt.fuzzy_audit(cases, ["narrative", "remark"], lexicon)
+
+
+@query("""WITH r AS (SELECT l_orderkey AS case_id, upper(p_name) AS entity, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+u AS (SELECT case_id, CASE WHEN length(entity) % 2 = 0 THEN left(entity, 3) ELSE entity END AS entity, row_number() OVER (PARTITION BY case_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM r),
+f AS (SELECT case_id, entity, min(i) AS i FROM u GROUP BY 1, 2)
+SELECT case_id, string_agg(entity, ',' ORDER BY i) AS seq FROM f GROUP BY 1""")
+def ordered_names(s, sf):
+    """The part names of each order's narrative in the order of first mention; names of even length roll up to their first three letters."""
+    lexicon = _lexicon(s, sf)
+    up = lexicon.select(F.col("canonical").alias("entity"), F.substring("canonical", 1, 3).alias("rollup")).where(F.length("entity") % 2 == 0).distinct()
+    return txt.ordered_rolled_up(_narratives(s, sf), "narrative", lexicon, up).select("case_id", F.array_join("seq", ",").alias("seq"))
 
 
 @query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(translate(upper(replace(text, 'ß', 'ss')), '‐‑‒–—―−', '-------'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), ',', ' '), '[^A-Z0-9' || chr(1) || '\\-'']+', ' ', 'g'), chr(1), ',', 'g')), ' '), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: w <> '' AND w NOT IN ('AND','WITH','OF','THE','PLUS','OR')), ' ')) AS tokens_md5 FROM documents")
@@ -1026,7 +1049,7 @@ def tokenized_documents(s, sf):
 
 @query()
 def tokenized_documents_all(s, sf):
-    """The same for the documents of all languages and of none."""
+    """The same under its first name."""
     return _tokens_md5(table(s, sf, "documents"))
 
 
