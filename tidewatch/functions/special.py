@@ -24,6 +24,16 @@ def digamma(x) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
 
 
+def trigamma(x) -> np.ndarray:
+    """The derivative of digamma: shifted by ten, then the asymptotic series."""
+    x = np.asarray(x, float)
+    out = np.zeros_like(x)
+    for i in range(10):
+        out = out + 1 / (x + i) ** 2
+    y = x + 10
+    return out + 1 / y + 1 / (2 * y**2) + 1 / (6 * y**3) - 1 / (30 * y**5) + 1 / (42 * y**7) - 1 / (30 * y**9)
+
+
 def gammainc(a, x) -> np.ndarray:
     """Regularised lower incomplete gamma P(a, x): a series below a + 1, a continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.exprs import ratio
+from ..session import stored
 from .counting import role_dispersion
+from .prior_fit import fit_priors
 from .windows import trailing_windows
 
 
@@ -43,16 +45,18 @@ def ranked(scores: DataFrame, by: str, group: str | None = "as_of") -> DataFrame
     return scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc_nulls_last(by), "entity")))
 
 
-def eb_scores(windows: DataFrame, phi: float = 1.0, recent: int = 4, baseline: int = 8) -> DataFrame:
+def eb_scores(windows: DataFrame, phi: float = 1.0, recent: int = 4, baseline: int = 8, most_cells: int = 200_000) -> DataFrame:
     """Adds ebgm, eb05, eb95, eb05_own, alpha, beta, converged and credible_rise.
 
     ``windows`` is the result of ``gate_columns``, with optional columns phi (the quarter's dispersion,
     as of then), phi_s (the entity's own) and z_spatial. Counts and expectations are divided by the
     dispersions. With z_spatial, the prior's rate is beta * exp(-gamma * z), z standardised among the
-    fitted cells and gamma fitted too: 0 where space tells nothing. For each as-of quarter and gate a gamma prior is fitted to the marginal negative
-    binomial likelihood of all cells with E > 0 (0.5, 0.5 for fewer than ten). Entities of equal counts
-    and expectations are one cell, with their number as weight: a quarter's group holds its distinct
-    cells, which grow with the counts' range, not with the entities; scores are joined back.
+    fitted cells and gamma fitted too: 0 where space tells nothing. For each as-of quarter and gate a gamma
+    prior is fitted to the marginal negative binomial likelihood of all cells with E > 0 (0.5, 0.5 for fewer
+    than ten). Entities of equal counts, expectations and z are one cell, with their number as weight; scores are
+    joined back. A quarter of up to ``most_cells`` distinct cells is fitted in one task, by a simplex. Where one has
+    more (with z_spatial or phi_s each entity may be a cell of its own), all quarters are fitted together on the
+    cluster (``prior_fit``), and no task sees a whole quarter.
     """
     own = F.coalesce(F.col("phi_s"), F.lit(1.0)) if "phi_s" in windows.columns else F.lit(1.0)
     of_quarter = F.coalesce(F.col("phi"), F.lit(1.0)) if "phi" in windows.columns else F.lit(1.0)
@@ -60,23 +64,36 @@ def eb_scores(windows: DataFrame, phi: float = 1.0, recent: int = 4, baseline: i
     rows = windows.withColumn("_d", F.lit(float(phi)) * of_quarter * own).withColumn("_z", z)
     rows = rows.withColumns({"_n": F.col("n_recent") / F.col("_d"), "_e": F.col("expected") / F.col("_d"), "_o": F.col("expected_own") / F.col("_d")})
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def scored(pdf: pd.DataFrame, prior) -> pd.DataFrame:
+        """``prior(gate, n, e, z, w)`` gives a gate's parameters."""
         n, w = pdf._n.to_numpy(float), pdf._w.to_numpy(float)
         z = None if pdf._z.isna().all() else pdf._z.to_numpy(float)
         out = {c: pdf[c] for c in keys}
-        for e, names in ((pdf._e, ("ebgm", "eb05", "eb95", "alpha", "beta", "converged")), (pdf._o, ("ebgm_own", "eb05_own", "eb95_own", "alpha_own", "beta_own", "converged_own"))):
-            e = np.nan_to_num(e.to_numpy(float))
-            on = e > 0
-            a, b, gamma, (middle, spread), ok = special.fit_gamma_prior_by(n[on], e[on], None if z is None else z[on], w[on])
+        for gate, names in (("_e", ("ebgm", "eb05", "eb95", "alpha", "beta", "converged")), ("_o", ("ebgm_own", "eb05_own", "eb95_own", "alpha_own", "beta_own", "converged_own"))):
+            e = np.nan_to_num(pdf[gate].to_numpy(float))
+            a, b, gamma, (middle, spread), ok = prior(gate, n, e, z, w)
             rate = b if z is None else b * np.exp(-gamma * (z - middle) / spread)
             mean, low, high = special.gamma_posterior(n, e, a, rate)
             out |= dict(zip(names, (mean, low, high, a, b, ok), strict=True))
         return pd.DataFrame(out)
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return scored(pdf, lambda gate, n, e, z, w: special.fit_gamma_prior_by(n[e > 0], e[e > 0], None if z is None else z[e > 0], w[e > 0]))
+
     keys = ["as_of", "_n", "_e", "_o", "_z"]
     fields = "as_of int, _n double, _e double, _o double, _z double, ebgm double, eb05 double, eb95 double, alpha double, beta double, converged boolean, ebgm_own double, eb05_own double, eb95_own double, alpha_own double, beta_own double, converged_own boolean"
-    cells = rows.groupBy(*keys).agg(F.count("*").alias("_w"))
-    scores = cells.groupBy("as_of").applyInPandas(fit, fields)
+    cells = stored(rows.groupBy(*keys).agg(F.count("*").alias("_w")), "cells")
+    if (cells.groupBy("as_of").count().agg(F.max("count")).first()[0] or 0) <= most_cells:
+        scores = cells.groupBy("as_of").applyInPandas(fit, fields)
+    else:
+        priors = fit_priors(cells, {"_e": "_e", "_o": "_o"})
+
+        def score(batches):
+            for pdf in batches:
+                for q, part in pdf.groupby("as_of"):
+                    yield scored(part, lambda gate, *_, q=q: priors[q, gate])
+
+        scores = cells.mapInPandas(score, fields)
     on = [rows[k].eqNullSafe(scores[k]) for k in keys]
     own_names = [c for c in scores.columns if c not in keys]
     out = rows.join(scores, on).select(*[rows[c] for c in windows.columns], *[scores[c] for c in own_names])

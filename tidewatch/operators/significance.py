@@ -1,8 +1,9 @@
 """Monte Carlo significance of spatial scans: permutation nulls dealt over tasks, replicate by replicate.
 
 A null works on a map's areas and quarters, not on events: counts are first summed to a grid of
-(zone, quarter), whose size is checked before it goes to the tasks. Every replicate has its own seed, so
-that partitioning does not change it, and a task returns one number (or one count a cell) for each.
+(zone, quarter), and circles are lists of zones, nearest first, cut at their share of the weight. The sizes of
+both are checked before they go to the tasks. Every replicate has its own seed, so that partitioning does not
+change it, and a task returns one number (or one count a cell) for each.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import fit_trend, grid_counts, log_relative_risk, trend_llr
+from ..session import stored, tasks
+from .spatial import circles, fit_trend, grid_counts, log_relative_risk, trend_llr
 
-#: Numbers of a grid (zones times quarters, or cells) that may go to a task.
-MOST_CELLS = 2_000_000
+#: Numbers of a grid (zones times quarters, or cells) and entries of all circles' lists that may go to a task.
+MOST_CELLS, MOST_ENTRIES = 2_000_000, 8_000_000
+#: Replicates that a task draws for one entity at a time.
+DRAWS = 64
 
 
-def _bounded(rows: DataFrame, what: str) -> pd.DataFrame:
+def _bounded(rows: DataFrame, what: str, most: int | None = None) -> pd.DataFrame:
     """Collects a grid after a check of its size."""
-    n = rows.count()
-    if n > MOST_CELLS:
-        raise ValueError(f"{what} has {n} cells; a null takes {MOST_CELLS} at most: use larger zones or cells")
+    n, most = rows.count(), most or MOST_CELLS
+    if n > most:
+        raise ValueError(f"{what} has {n} cells; a null takes {most} at most: use larger zones or cells, or smaller circles")
     return rows.toPandas()
 
 
@@ -32,28 +36,56 @@ def _replicates(spark, replicates: int, work, schema: str) -> DataFrame:
 
 
 class Cylinders:
-    """All circles of zones (nearest first, up to a share of the weight) times trailing windows."""
-
-    def __init__(self, zones: pd.DataFrame, quarters: int, longest: int, most_fraction: float):
-        zones = zones.sort_values("zone").reset_index(drop=True)
-        xy, w = zones[["x", "y"]].to_numpy(float), zones.weight.to_numpy(float)
-        d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
-        self.order = np.argsort(d, axis=1, kind="stable")
-        run = np.cumsum(w[self.order], axis=1)
-        self.valid = run <= most_fraction * w.sum()
-        self.valid[:, 0] = True
-        self.depth = int(self.valid.sum(axis=1).max())
-        self.order, self.valid = self.order[:, : self.depth], self.valid[:, : self.depth]
-        self.radius = np.take_along_axis(d, self.order, 1)
-        self.zones, self.quarters, self.longest = zones.zone.to_numpy(), quarters, longest
+    """All circles of zones (nearest first, up to a share of the weight) times trailing windows. A circle's zones are
+    a run of ``order``; an entry is a circle up to and with that zone."""
+
+    def __init__(self, zones: DataFrame, quarters: int, longest: int, most_fraction: float):
+        table = _bounded(zones.select("zone", "x", "y"), "the map").sort_values("zone").reset_index(drop=True)
+        lists = _bounded(stored(circles(zones, most_fraction), "circles"), "the list of circles", MOST_ENTRIES).sort_values(["centre", "rank"])
+        self.zones, self.quarters, self.longest = table.zone.to_numpy(), quarters, longest
+        self.at = {z: i for i, z in enumerate(self.zones)}
+        self.order, self.owner = lists.zone.map(self.at).to_numpy(np.int32), lists.centre.map(self.at).to_numpy(np.int32)
+        self.rank = lists["rank"].to_numpy(np.int32)
+        self.start = np.flatnonzero(self.rank == 1)
+        xy = table[["x", "y"]].to_numpy(float)
+        self.radius = np.hypot(*(xy[self.order] - xy[self.owner]).T) if len(self.order) else np.empty(0)
+
+    def runs(self, grid: np.ndarray) -> np.ndarray:
+        """(entry, ..): the sums of a (zone, ..) grid over each circle up to each of its zones."""
+        v = grid[self.order]
+        s = np.cumsum(v, axis=0)
+        before = s[self.start] - v[self.start]
+        return s - np.repeat(before, np.diff(np.append(self.start, len(v))), axis=0)
 
     def trailing(self, grid: np.ndarray) -> np.ndarray:
         """(zone, window): sums over the last 1, 2, ... quarters."""
         return np.cumsum(grid[:, ::-1], axis=1)[:, : self.longest]
 
     def sums(self, grid: np.ndarray) -> np.ndarray:
-        """(centre, radius, window)."""
-        return np.cumsum(self.trailing(grid)[self.order], axis=1)
+        """(entry, window)."""
+        return self.runs(self.trailing(grid))
+
+    def members(self, entry: int) -> np.ndarray:
+        return self.zones[self.order[entry - self.rank[entry] + 1 : entry + 1]]
+
+
+def with_branches(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``labels`` (id, entity) with the branches of a hierarchy (node, level, leaf) as further entities: a case of a
+    leaf is one of each node over it."""
+    up = labels.join(nodes.select("node", F.col("leaf").alias("entity")).distinct(), "entity").select("id", F.col("node").alias("entity"))
+    return labels.select("id", "entity").unionByName(up).distinct()
+
+
+def random_table(rng: np.random.Generator, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """A table with these margins, as pairing each of the row's cases with a random one of the columns' gives: each
+    row draws its columns from what the rows before have left."""
+    out = np.zeros((len(rows), len(columns)), np.int64)
+    left = columns.astype(np.int64)
+    for i, k in enumerate(rows.astype(np.int64).tolist()):
+        if k:
+            out[i] = rng.multivariate_hypergeometric(left, k, method="marginals")
+            left = left - out[i]
+    return out
 
 
 def _xlogy(x, y):
@@ -76,73 +108,118 @@ def poisson(c, e, cases):
     return np.where((c > e) & (e > 0) & (e < cases), v, 0.0)
 
 
-def scan_significance(events: DataFrame, labels: DataFrame, zones: DataFrame, last_q: int, model: str = "bernoulli", study: int = 12, longest: int = 6, most_fraction: float = 0.25, least: int = 20, most_share: float = 0.25, replicates: int = 999, seed: int = 411) -> DataFrame:
+def scan_significance(events: DataFrame, labels: DataFrame, zones: DataFrame, last_q: int, model: str = "bernoulli", study: int = 12, longest: int = 6, most_fraction: float = 0.25, least: int = 20, most_share: float = 0.25, replicates: int = 999, seed: int = 411, nodes: DataFrame | None = None) -> DataFrame:
     """The most likely cylinder of each eligible entity, with its permutation p-value.
 
     ``events`` is (id, zone, q), ``labels`` (id, entity), ``zones`` (zone, x, y, weight). Entities with
-    fewer than ``least`` cases or more than ``most_share`` of the events are withheld. ``bernoulli`` deals
-    the cases anew among all events; ``interaction`` deals the cases' quarters anew among their zones, so
-    that neither a busy zone nor a busy quarter can win. Result: entity, n_cases, centre, n_zones,
-    radius, window_q, cases, n, expected, rate_ratio, llr, p_value, recurrence_interval,
-    p_across (Bonferroni over the entities scanned), members (zones, joined by |).
+    fewer than ``least`` cases or more than ``most_share`` of the events are withheld; ``nodes`` makes branches
+    of a hierarchy eligible too. ``bernoulli`` deals the cases anew among all events; ``interaction`` draws a
+    random table of zones and quarters with the entity's own margins, so that neither a busy zone nor a busy
+    quarter can win. Result: entity, n_cases, centre, n_zones, radius, window_q, cases, n, expected, rate_ratio,
+    llr, p_value, recurrence_interval, p_across (Bonferroni over the entities scanned), members (zones, joined by |).
+
+    An entity's replicates are dealt to tasks in blocks of DRAWS, each with the entity's grid of (zone, quarter)
+    counts; work and memory follow zones and quarters, never cases.
     """
+    labels = with_branches(labels, nodes) if nodes is not None else labels
+    return _with_null(*_observed(events, labels, zones, last_q, model, study, longest, most_fraction, least, most_share), replicates, seed)
+
+
+class _Scan:
+    """One model's statistics on a map: what a grid of cases gives in every cylinder."""
+
+    def __init__(self, cyl: Cylinders, all_n: np.ndarray, model: str):
+        self.cyl, self.all_n, self.model = cyl, all_n, model
+        self.n_cyl, self.every = cyl.sums(all_n), all_n.sum()
+
+    def expected(self, c: np.ndarray) -> np.ndarray:
+        if self.model == "bernoulli":
+            return self.n_cyl * c.sum() / self.every
+        return self.cyl.runs(c.sum(1)[:, None]) * self.cyl.trailing(c.sum(0)[None]) / c.sum()
+
+    def ratios(self, c: np.ndarray, e: np.ndarray) -> np.ndarray:
+        s = self.cyl.sums(c)
+        return bernoulli(s, self.n_cyl, c.sum(), self.every) if self.model == "bernoulli" else poisson(s, e, c.sum())
+
+    def grid(self, cells) -> np.ndarray:
+        out = np.zeros(self.all_n.shape)
+        for x in cells:
+            out[x["z"], x["t"]] = x["c"]
+        return out
+
+    def draw(self, rng: np.random.Generator, c: np.ndarray) -> np.ndarray:
+        if self.model == "bernoulli":
+            return rng.multivariate_hypergeometric(self.all_n.ravel().astype(np.int64), int(c.sum()), method="marginals").reshape(c.shape).astype(float)
+        return random_table(rng, c.sum(1), c.sum(0)).astype(float)
+
+
+def scan_observed(events: DataFrame, labels: DataFrame, zones: DataFrame, last_q: int, model: str = "bernoulli", study: int = 12, longest: int = 6, most_fraction: float = 0.25, least: int = 20, most_share: float = 0.25) -> DataFrame:
+    """The most likely cylinder of each eligible entity, before any null: entity, n_cases, centre, n_zones, radius,
+    window_q, cases, n, expected, rate_ratio, llr, members."""
+    return _observed(events, labels, zones, last_q, model, study, longest, most_fraction, least, most_share)[0].drop("grid")
+
+
+def _observed(events, labels, zones, last_q, model, study, longest, most_fraction, least, most_share) -> tuple[DataFrame, _Scan]:
+    """The same with grid, the entity's counts (z, t, c) by place on the map; and the map."""
     frame = events.select("id", "zone", "q").where((F.col("q") <= last_q) & (F.col("q") > last_q - study))
     total = frame.groupBy("zone", "q").agg(F.count("*").alias("n"))
     cases = frame.join(labels.select("id", "entity").distinct(), "id")
     sizes = cases.groupBy("entity").agg(F.count("*").alias("k")).crossJoin(F.broadcast(frame.agg(F.count("*").alias("all"))))  # one row
     fit = sizes.where((F.col("k") >= least) & (F.col("k") <= F.lit(most_share) * F.col("all"))).select("entity")
-    grid = cases.join(fit, "entity").groupBy("entity", "zone", "q").agg(F.count("*").alias("c"))
-    tz = _bounded(zones.select("zone", "x", "y", "weight"), "the map")
     tn = _bounded(total, "the grid")
-    cyl = Cylinders(tz, study, longest, most_fraction)
-    at = {z: i for i, z in enumerate(cyl.zones)}
-    all_n = np.zeros((len(at), study))
-    known = tn[tn.zone.isin(at)]
-    all_n[known.zone.map(at).to_numpy(int), known.q.to_numpy() - (last_q - study + 1)] = known.n
-    n_cyl, every = cyl.sums(all_n), all_n.sum()
-
-    def expected(c: np.ndarray) -> np.ndarray:
-        if model == "bernoulli":
-            return n_cyl * c.sum() / every
-        space = np.cumsum(c.sum(1)[cyl.order], axis=1)
-        return space[:, :, None] * cyl.trailing(c.sum(0)[None])[0][None, None] / c.sum()
-
-    def ratios(c: np.ndarray, e: np.ndarray) -> np.ndarray:
-        s = cyl.sums(c)
-        v = bernoulli(s, n_cyl, c.sum(), every) if model == "bernoulli" else poisson(s, e, c.sum())
-        return np.where(cyl.valid[:, :, None], v, 0.0)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        entity = pdf.entity.iloc[0]
-        pdf = pdf[pdf.zone.isin(at)]
-        c = np.zeros((len(at), study))
-        c[pdf.zone.map(at).to_numpy(int), pdf.q.to_numpy() - (last_q - study + 1)] = pdf.c
-        if not c.sum():
-            return pd.DataFrame(columns=names)
-        e = expected(c)
-        llr = ratios(c, e)
-        i, r, w = np.unravel_index(int(np.round(llr, 9).argmax()), llr.shape)
-        best, hits = llr[i, r, w], 0
-        where, when = np.repeat(np.arange(c.size) // study, c.ravel().astype(int)), np.repeat(np.arange(c.size) % study, c.ravel().astype(int))
-        for rep in range(replicates):
-            rng = np.random.default_rng([seed, rep, *str(entity).encode()])
-            if model == "bernoulli":
-                sim = rng.multivariate_hypergeometric(all_n.ravel().astype(np.int64), int(c.sum()), method="marginals").reshape(c.shape).astype(float)
-            else:
-                sim = np.zeros(c.shape)
-                np.add.at(sim, (where, rng.permutation(when)), 1.0)
-            hits += ratios(sim, e).max() >= best - 1e-12
-        p = (1 + hits) / (replicates + 1)
-        inside, n, ex = cyl.sums(c)[i, r, w], n_cyl[i, r, w], e[i, r, w]
-        members = "|".join(map(str, cyl.zones[cyl.order[i, : r + 1]]))
-        return pd.DataFrame([(entity, int(c.sum()), cyl.zones[i], r + 1, cyl.radius[i, r], w + 1, int(inside), int(n), ex, inside / ex if ex else None, best, p, 1 / p, members)], columns=names)
-
-    names = "entity n_cases centre n_zones radius window_q cases n expected rate_ratio llr p_value recurrence_interval members".split()
+    cyl = Cylinders(zones, study, longest, most_fraction)
+    all_n = np.zeros((len(cyl.at), study))
+    known = tn[tn.zone.isin(cyl.at)]
+    all_n[known.zone.map(cyl.at).to_numpy(int), known.q.to_numpy() - (last_q - study + 1)] = known.n
+    scan = _Scan(cyl, all_n, model)
+    grid = cases.join(fit, "entity").groupBy("entity", "zone", "q").agg(F.count("*").alias("c"))
+    grid = grid.groupBy("entity").agg(F.collect_list(F.struct("zone", "q", "c")).alias("cells"))  # zones times quarters, checked above
+
+    def work(batches):
+        for pdf in batches:
+            out = []
+            for entity, cells in zip(pdf.entity, pdf.cells, strict=True):
+                placed = [{"z": cyl.at[x["zone"]], "t": x["q"] - (last_q - study + 1), "c": x["c"]} for x in cells if x["zone"] in cyl.at]
+                if not placed:
+                    continue
+                c = scan.grid(placed)
+                e = scan.expected(c)
+                llr = scan.ratios(c, e)
+                i, w = np.unravel_index(int(np.round(llr, 9).argmax()), llr.shape)
+                inside, n, ex = cyl.sums(c)[i, w], scan.n_cyl[i, w], e[i, w]
+                members = "|".join(map(str, cyl.members(i)))
+                out.append((entity, int(c.sum()), cyl.zones[cyl.owner[i]], cyl.rank[i], cyl.radius[i], w + 1, int(inside), int(n), ex, inside / ex if ex else None, llr[i, w], members, placed))
+            yield pd.DataFrame(out, columns=names)
+
+    names = "entity n_cases centre n_zones radius window_q cases n expected rate_ratio llr members grid".split()
     zone = zones.schema["zone"].dataType.simpleString()
-    schema = f"entity string, n_cases long, centre {zone}, n_zones int, radius double, window_q int, cases long, n long, expected double, rate_ratio double, llr double, p_value double, recurrence_interval double, members string"
-    out = grid.groupBy("entity").applyInPandas(work, schema)  # a group is one entity's grid: zones times quarters
+    schema = f"entity string, n_cases long, centre {zone}, n_zones int, radius double, window_q int, cases long, n long, expected double, rate_ratio double, llr double, members string, grid array<struct<z: int, t: int, c: long>>"
+    return grid.repartition(tasks(events.sparkSession), "entity").mapInPandas(work, schema), scan
+
+
+def _with_null(seen: DataFrame, scan: _Scan, replicates: int, seed: int) -> DataFrame:
+    """Adds p-values: how many replicates' best cylinders reach the observed one."""
+    seen = stored(seen, "seen")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-replicates // DRAWS) - 1)))).alias("block")
+    work = seen.select("entity", "llr", "grid", blocks).repartition(tasks(seen.sparkSession), "entity", "block")
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for entity, best, cells, block in zip(pdf.entity, pdf.llr, pdf.grid, pdf.block, strict=True):
+                c = scan.grid(cells)
+                e = scan.expected(c)
+                hits = 0
+                for rep in range(block * DRAWS, min(replicates, (block + 1) * DRAWS)):
+                    rng = np.random.default_rng([seed, rep, *str(entity).encode()])
+                    hits += scan.ratios(scan.draw(rng, c), e).max() >= best - 1e-9
+                out.append((entity, hits))
+            yield pd.DataFrame(out, columns=["entity", "hits"])
+
+    hits = work.mapInPandas(draw, "entity string, hits long").groupBy("entity").agg(((1 + F.sum("hits")) / F.lit(replicates + 1.0)).alias("p_value"))
     scanned = F.count("*").over(Window.partitionBy(F.lit(0)))  # a row an entity
-    return out.withColumn("p_across", F.least(F.lit(1.0), F.col("p_value") * scanned))
+    out = seen.join(hits, "entity").withColumns({"recurrence_interval": 1 / F.col("p_value"), "p_across": F.least(F.lit(1.0), F.col("p_value") * scanned)})
+    return out.select("entity", "n_cases", "centre", "n_zones", "radius", "window_q", "cases", "n", "expected", "rate_ratio", "llr", "p_value", "recurrence_interval", "members", "p_across")
 
 
 def trend_significance(cases: DataFrame, population: DataFrame, zones: DataFrame, most_fraction: float = 0.25, least: int = 25, replicates: int = 999, seed: int = 260) -> DataFrame:
@@ -150,9 +227,8 @@ def trend_significance(cases: DataFrame, population: DataFrame, zones: DataFrame
     cases, beta_in, beta_out, llr, p_value. Under the null all zones share one trend and differ in level
     only, so a replicate is a multinomial draw of all cases by population times that trend."""
     spark = cases.sparkSession
-    tz = _bounded(zones.select("zone", "x", "y", "weight"), "the map")
-    cyl = Cylinders(tz, 1, 1, most_fraction)
-    at = {z: i for i, z in enumerate(cyl.zones)}
+    cyl = Cylinders(zones, 1, 1, most_fraction)
+    at = cyl.at
     years = sorted(r.t for r in population.select("t").distinct().collect())  # a row a year
     col = {t: i for i, t in enumerate(years)}
 
@@ -165,13 +241,12 @@ def trend_significance(cases: DataFrame, population: DataFrame, zones: DataFrame
 
     c, p, t = grid(cases), np.maximum(grid(population), 1e-9), np.array(years, float)
     t = t - t.mean()
-    inside = lambda g: np.cumsum(g[cyl.order], axis=1).reshape(-1, len(t))
-    p_in, valid = inside(p), cyl.valid.ravel()
+    p_in = cyl.runs(p)
 
     def scan(g: np.ndarray):
-        i, every = inside(g), g.sum(0)
+        i, every = cyl.runs(g), g.sum(0)
         b_in, b_out, llr = trend_llr(i, p_in, every - i, p.sum(0) - p_in, t)
-        ok = valid & (i.sum(1) >= least) & (every.sum() - i.sum(1) >= least)
+        ok = (i.sum(1) >= least) & (every.sum() - i.sum(1) >= least)
         return i, b_in, b_out, np.where(ok, llr, 0.0)
 
     i, b_in, b_out, llr = scan(c)
@@ -186,8 +261,7 @@ def trend_significance(cases: DataFrame, population: DataFrame, zones: DataFrame
             yield pd.DataFrame({"replicate": pdf.id, "llr": [scan(np.random.default_rng([seed, int(r)]).multinomial(total, q).reshape(c.shape).astype(float))[3].max() for r in pdf.id]})
 
     null = _replicates(spark, replicates, work, "replicate long, llr double")
-    centre, radius = divmod(best, cyl.depth)
-    row = [(cyl.zones[centre].item(), radius + 1, int(i[best].sum()), float(b_in[best]), float(b_out[best]), float(llr[best]))]
+    row = [(cyl.zones[cyl.owner[best]].item(), int(cyl.rank[best]), int(i[best].sum()), float(b_in[best]), float(b_out[best]), float(llr[best]))]
     seen = spark.createDataFrame(row, f"centre {zones.schema['zone'].dataType.simpleString()}, n_zones int, cases long, beta_in double, beta_out double, llr double")
     hits = null.agg(((1 + F.sum((F.col("llr") >= float(llr[best]) - 1e-12).cast("int"))) / F.lit(replicates + 1.0)).alias("p_value"))
     return seen.crossJoin(F.broadcast(hits))  # one row each
@@ -203,18 +277,27 @@ def tolerance_surface(points: DataFrame, cell: float, sigma: float, replicates:
     ix, iy, n = (cells[c].to_numpy(np.int64) for c in ("ix", "iy", "n"))
     seen, local, k = cells.log_rr.to_numpy(float), cells.local_n.to_numpy(float), int(cells.cases.sum())
     reach = max(1, int(np.ceil(3 * sigma)))
-    key = {(a, b): i for i, (a, b) in enumerate(zip(ix.tolist(), iy.tolist(), strict=True))}
-    near = [(i, j, np.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))) for (a, b), i in key.items() for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if (j := key.get((a + dx, b + dy))) is not None]
-    rows, cols, w = (np.array(v) for v in zip(*near, strict=True)) if near else (np.empty(0, int),) * 3
+    steps = [(dx, dy, np.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]
+    place = (ix - ix.min(initial=0)) * (np.ptp(iy) + 2 * reach + 1 if len(iy) else 1) + iy - iy.min(initial=0)  # rising with (ix, iy), rows wide apart
+
+    def smoothed(v: np.ndarray) -> np.ndarray:
+        """The kernel's sums of ``v`` over occupied cells: one step at a time, each cell's neighbour found by halving."""
+        out, wide = np.zeros(len(v)), (np.ptp(iy) + 2 * reach + 1 if len(iy) else 1)
+        for dx, dy, w in steps:
+            to = place + dx * wide + dy
+            j = np.minimum(np.searchsorted(place, to), max(0, len(place) - 1))
+            out += np.where(place[j] == to, w * v[j], 0.0)
+        return out
+
     share = k / max(1, n.sum())
-    kn = np.bincount(rows, w * n[cols], minlength=len(n)) if len(n) else n
+    kn = smoothed(n) if len(n) else n
 
     def work(batches):
         hits = np.zeros(len(n), np.int64)
         for pdf in batches:
             for r in pdf.id:
                 sim = np.random.default_rng([seed, int(r)]).multivariate_hypergeometric(n, k, method="marginals") if k else n * 0
-                kc = np.bincount(rows, w * sim[cols], minlength=len(n))
+                kc = smoothed(sim) if len(n) else sim
                 hits += (np.log((kc + share) / (kn + 1) / share) >= seen - 1e-12) & (local >= least_local) if k else 0
         yield pd.DataFrame({"ix": ix, "iy": iy, "hits": hits})
 

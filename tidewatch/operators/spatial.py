@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bernoulli_llr, normal_cdf, poisson_llr, ratio
 from ..session import numbered, stored, tasks
-from .neighbours import SMALL, nearest_within
+from .neighbours import nearest_within
 
 #: Rows of points that meet in one task are two tiles of this many at most.
 TILE = 1024
+#: Points of one random labelling that a task sweeps by itself.
+IN_TASK = 1 << 17
 
 
 def facility_flags(points: DataFrame, least: int = 5) -> DataFrame:
@@ -154,6 +156,26 @@ def shuffled(i: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def nearest_distances(xy: np.ndarray) -> np.ndarray:
+    """Each point's distance to its nearest other, infinite for a single one: points in the order of their wider
+    coordinate look to the left and to the right for as long as that coordinate alone is nearer than the best."""
+    wide = int(np.argmax(np.ptp(xy, axis=0))) if len(xy) else 0
+    order = np.lexsort((xy[:, 1 - wide], xy[:, wide]))
+    x, y = xy[order, wide], xy[order, 1 - wide]
+    best = np.full(len(xy), np.inf)
+    for side in (1, -1):
+        live, k = np.arange(len(xy)), 0
+        while len(live):
+            k += side
+            live = live[(live + k < len(xy)) & (live + k >= 0)]
+            gap = (x[live + k] - x[live]) ** 2
+            live, gap = live[gap < best[live]], gap[gap < best[live]]
+            best[live] = np.minimum(best[live], gap + (y[live + k] - y[live]) ** 2)
+    out = np.empty(len(xy))
+    out[order] = np.sqrt(best)
+    return out
+
+
 def random_labels(points: DataFrame, sizes: DataFrame, replicates: int, seed: int = 0, block: int = 1 << 16) -> DataFrame:
     """(entity, replicate, n, id, x, y): for each entity of ``sizes`` (entity, n) and each replicate, n points drawn from
     all, without replacement. Points are numbered in the order of their ids; a draw is the beginning of a permutation
@@ -184,7 +206,7 @@ def cluster_test(points: DataFrame, labels: DataFrame, permutations: int = 999,
 
     ``points`` is (id, x, y) with at_facility and zone, where known (else NULL). An entity with more than
     ``most_fraction`` of the points is out of scope: it would be compared with itself. All draws of all entities are
-    rows of one job; those of an entity over SMALL cases go to the grid index, replicate by replicate.
+    rows of one job, and a task sweeps some replicates; those of an entity over IN_TASK cases go to the grid index.
     """
     cases = labels.select("id", "entity").distinct().join(points.select("id"), "id").groupBy("entity").agg(F.count("*").alias("n"))
     observed = stored(cluster_observed(points, labels, most_fraction).join(cases.where(F.col("n") >= least).select("entity"), "entity"), "observed")
@@ -196,14 +218,13 @@ def cluster_test(points: DataFrame, labels: DataFrame, permutations: int = 999,
         starts = np.flatnonzero(np.diff(pdf.replicate.to_numpy(), prepend=-1))
         out = []
         for xy in np.split(pdf[["x", "y"]].to_numpy(float), starts[1:]):
-            d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
-            out.append(np.partition(d, 1, axis=1)[:, 1].mean() if len(d) > 1 else None)
+            out.append(nearest_distances(xy).mean() if len(xy) > 1 else None)
         return pd.DataFrame({"entity": pdf.entity.to_numpy()[starts], "m": out})
 
     some = (F.col("replicate") / F.greatest(F.lit(1), F.expr("65536 div n"))).cast("int")  # replicates of some 65,536 rows meet
-    null = draws(F.col("n") <= SMALL).repartition(tasks(points.sparkSession), F.col("entity"), some).groupBy("entity", some).applyInPandas(mean, f"entity {dict(labels.dtypes)['entity']}, m double")
-    if not observed.where(F.col("n") > SMALL).isEmpty():
-        far = nearest_within(stored(draws(F.col("n") > SMALL), "draws"), F.lit(1), by)
+    null = draws(F.col("n") <= IN_TASK).repartition(tasks(points.sparkSession), F.col("entity"), some).groupBy("entity", some).applyInPandas(mean, f"entity {dict(labels.dtypes)['entity']}, m double")
+    if not observed.where(F.col("n") > IN_TASK).isEmpty():
+        far = nearest_within(stored(draws(F.col("n") > IN_TASK), "draws"), F.lit(1), by)
         null = null.unionByName(far.groupBy(*by).agg(F.avg("d").alias("m")).select("entity", "m"))
     sums = null.join(observed.select("entity", "mean_d"), "entity").groupBy("entity").agg(F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"), F.sum((F.col("m") <= F.col("mean_d")).cast("int")).alias("_below"))
     out = observed.join(sums, "entity")
@@ -231,16 +252,39 @@ def cluster_observed(points: DataFrame, labels: DataFrame, most_fraction: float
     return out.select("entity", "n", part.alias("case_fraction"), (part > most_fraction).alias("out_of_scope"), "mean_d", "pct_at_facility", "top_zone", (100.0 * F.col("k") / F.col("n")).alias("top_zone_pct"))
 
 
-def circles(zones: DataFrame, most_fraction: float = 0.25) -> DataFrame:
+def circles(zones: DataFrame, most_fraction: float = 0.25, first: int = 64) -> DataFrame:
     """(centre, rank, zone): zones by distance from each centre, as long as their running weight stays
-    within the fraction of the total (one at least). ``zones`` is (zone, x, y, weight), a map's areas."""
-    a = zones.select(F.col("zone").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    d = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
-    pairs = a.join(zones, F.lit(True)).withColumn("d", d)  # areas by areas
-    w = Window.partitionBy("centre").orderBy("d", "zone")
-    total = Window.partitionBy("centre")
-    ranked = pairs.withColumns({"rank": F.row_number().over(w), "run": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("weight").over(total)})
-    return ranked.where((F.col("rank") == 1) | (F.col("run") <= F.lit(most_fraction) * F.col("all"))).select("centre", "rank", "zone")
+    within the fraction of the total (one at least). ``zones`` is (zone, x, y, weight), a map's areas.
+
+    The neighbour index gives each centre its ``first`` nearest zones; centres whose weight is not used up by
+    then ask for four times as many, until all are cut: work follows the circles' lengths, not all pairs.
+    """
+    at = numbered(zones.select("zone", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("weight").cast("double").alias("weight")), ["zone"], "id")
+    whole = at.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    n, limit = whole.n, most_fraction * (whole.w or 0.0)
+    open_, k, out = at.select("id", "x", "y"), min(first, max(1, n - 1)), None
+    while True:
+        near = nearest_within(at.select("id", "x", "y"), F.lit(k), [], open_).select(F.col("id").alias("c"), F.col("other").alias("o"), "d")
+        near = near.unionByName(open_.select(F.col("id").alias("c"), F.col("id").alias("o"), F.lit(0.0).alias("d")))
+        weighed = near.join(at.select(F.col("id").alias("o"), "weight"), "o")
+        w = Window.partitionBy("c").orderBy("d", "o")
+        ranked = weighed.withColumns({"rank": F.row_number().over(w), "run": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+        if k < n - 1:
+            ranked = stored(ranked, "circles")
+            cut = ranked.groupBy("c").agg((F.max("run") > limit).alias("cut"))
+            done = ranked.join(cut.where("cut"), "c").drop("cut")
+        else:
+            done = ranked
+        kept = done.where((F.col("rank") == 1) | (F.col("run") <= limit)).select("c", "rank", "o")
+        out = kept if out is None else out.unionByName(kept)
+        if k >= n - 1:
+            break
+        open_ = stored(at.select("id", "x", "y").join(cut.where(~F.col("cut")).select(F.col("c").alias("id")), "id"), "open")
+        if open_.isEmpty():
+            break
+        k = min(4 * k, n - 1)
+    name = lambda i, c: at.select(F.col("id").alias(i), F.col("zone").alias(c))
+    return out.join(name("c", "centre"), "c").join(name("o", "zone"), "o").select("centre", "rank", "zone")
 
 
 def cylinders(events: DataFrame, zones: DataFrame, last_q: int, study: int = 12, longest: int = 6, most_fraction: float = 0.25) -> DataFrame:

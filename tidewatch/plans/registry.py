@@ -937,6 +937,28 @@ def scan_significance(s, sf):
     return r6(rows[0].unionByName(rows[1]), "radius", "expected", "rate_ratio", "llr", "p_value", "recurrence_interval", "p_across")
 
 
+@query(f"""WITH {ZONE}, fr AS (SELECT c_nationkey AS zone, (year(o_orderdate) * 4 + quarter(o_orderdate) - 1)::INT AS q, o_orderpriority AS entity FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) * 4 + quarter(o_orderdate) - 1 BETWEEN 7991 AND 8002),
+wi AS (SELECT unnest([1,2,3,4,5,6]) AS w), tn AS (SELECT count(*)::DOUBLE AS tn FROM fr), en AS (SELECT entity, count(*)::DOUBLE AS tc FROM fr, tn GROUP BY entity HAVING count(*) >= 20 AND count(*) <= 0.25 * any_value(tn.tn)),
+zq AS (SELECT zone, q, entity, count(*) AS k FROM fr GROUP BY ALL),
+nn AS (SELECT a.centre, a.rank, w, coalesce(sum(k), 0)::DOUBLE AS n FROM ci a CROSS JOIN wi JOIN ci b ON b.centre = a.centre AND b.rank <= a.rank LEFT JOIN zq ON zq.zone = b.zone AND zq.q > 8002 - w GROUP BY 1, 2, 3),
+cc AS (SELECT a.centre, a.rank, w, entity, sum(k)::DOUBLE AS c FROM ci a CROSS JOIN wi JOIN ci b ON b.centre = a.centre AND b.rank <= a.rank JOIN zq ON zq.zone = b.zone AND zq.q > 8002 - w GROUP BY 1, 2, 3, 4),
+sp AS (SELECT a.centre, a.rank, entity, sum(k)::DOUBLE AS sc FROM ci a JOIN ci b ON b.centre = a.centre AND b.rank <= a.rank JOIN zq ON zq.zone = b.zone GROUP BY 1, 2, 3),
+tm AS (SELECT entity, w, sum(k)::DOUBLE AS wc FROM zq, wi WHERE zq.q > 8002 - w GROUP BY 1, 2),
+al AS (SELECT nn.centre, nn.rank, nn.w, en.entity, tc, tn, n, coalesce(c, 0) AS c, coalesce(sc, 0) * coalesce(wc, 0) / tc AS ei FROM nn CROSS JOIN en CROSS JOIN tn LEFT JOIN cc ON cc.centre = nn.centre AND cc.rank = nn.rank AND cc.w = nn.w AND cc.entity = en.entity
+       LEFT JOIN sp ON sp.centre = nn.centre AND sp.rank = nn.rank AND sp.entity = en.entity LEFT JOIN tm ON tm.entity = en.entity AND tm.w = nn.w),
+xx AS (SELECT 'bernoulli' AS model, entity, centre, rank, w, tc, n, c, n * tc / tn AS e, CASE WHEN n > 0 AND tn > n AND c * (tn - n) > (tc - c) * n THEN
+  CASE WHEN c > 0 THEN c * ln(c / n) ELSE 0 END + CASE WHEN n > c THEN (n - c) * ln((n - c) / n) ELSE 0 END + CASE WHEN tc > c THEN (tc - c) * ln((tc - c) / (tn - n)) ELSE 0 END
+  + CASE WHEN tn - n > tc - c THEN (tn - n - tc + c) * ln((tn - n - tc + c) / (tn - n)) ELSE 0 END - tc * ln(tc / tn) - (tn - tc) * ln((tn - tc) / tn) ELSE 0 END AS llr FROM al UNION ALL
+  SELECT 'interaction', entity, centre, rank, w, tc, n, c, ei, CASE WHEN c > ei AND ei > 0 AND ei < tc THEN c * ln(c / ei) + CASE WHEN tc > c THEN (tc - c) * ln((tc - c) / (tc - ei)) ELSE 0 END ELSE 0 END FROM al)
+SELECT model, entity, tc::BIGINT AS n_cases, centre, rank::INT AS n_zones, w::INT AS window_q, c::BIGINT AS cases, n::BIGINT AS n, {_r('e', 'expected')}, {_r('c / nullif(e, 0)', 'rate_ratio')}, {_r('llr', 'llr')} FROM xx QUALIFY row_number() OVER (PARTITION BY model, entity ORDER BY round(llr, 9) DESC, centre, rank, w) = 1""")
+def scan_observed(s, sf):
+    """What is seen of each order priority before any null: its most likely cylinder under both models."""
+    e, labels = _labelled(s, sf)
+    z, _ = _zones(s, sf)
+    rows = [significance.scan_observed(e, labels, z, 8002, m).withColumn("model", F.lit(m)) for m in ("bernoulli", "interaction")]
+    return r6(rows[0].unionByName(rows[1]).select("model", "entity", "n_cases", "centre", "n_zones", "window_q", "cases", "n", "expected", "rate_ratio", "llr"), "expected", "rate_ratio", "llr")
+
+
 @query()
 def trend_significance(s, sf):
     """The circle in which urgent orders rise most against outside, with its p-value."""
