@@ -16,6 +16,9 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+INTAKE = [k for k, f in registry.QUERIES.items() if f.__module__.endswith(".intake")]
+
+
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -33,7 +36,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["quarterly_counts", "denominators", "trailing_windows", "ratio_sweep", "ears_sweep", "trend_sweep_share", "alarm_history", "watch_list", "hierarchy_nodes", "scan_best", "branch_sweep", "dyads", "score_model", "curve_areas", "delay_curve", "concentration", "relative_risk", "scan_cylinders", "extract_mentions", "tokenized_documents", "concentration_sweep", "discounted_sweep", "ranking_table", "weighted_windows", "benchmark", "best_cylinders", "dyads_recent", "zone_risk", "member_checks", "daily_ears", "knn_graph", "cluster_observed", "mention_shares", "fuzzy_audit", "ordered_names"])
+@pytest.mark.parametrize("name", ["quarterly_counts", "denominators", "trailing_windows", "ratio_sweep", "ears_sweep", "trend_sweep_share", "alarm_history", "watch_list", "hierarchy_nodes", "scan_best", "branch_sweep", "dyads", "score_model", "curve_areas", "delay_curve", "concentration", "relative_risk", "scan_cylinders", "extract_mentions", "tokenized_documents", "concentration_sweep", "discounted_sweep", "ranking_table", "weighted_windows", "benchmark", "best_cylinders", "dyads_recent", "zone_risk", "member_checks", "daily_ears", "knn_graph", "cluster_observed", "mention_shares", "fuzzy_audit", "ordered_names", "scan_observed", "scan_circles", *INTAKE])
 def test_equals_sql(spark, con, name):
     ours = registry.QUERIES[name](spark, SF)
     cols = sorted(ours.columns)

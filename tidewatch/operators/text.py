@@ -235,6 +235,12 @@ def unmatched_report(cases: DataFrame, fields: list[str], lexicon: dict[str, str
     return cases.select(F.explode(every).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token")
 
 
+def unmatched_by_join(cases: DataFrame, fields: list[str], lexicon: DataFrame, least: int = 3) -> DataFrame:
+    """(token, n): the same report with the lexicon as a table of any size; in no order."""
+    left = match_by_join(cases, fields, lexicon).select(F.explode("unmatched").alias("token"))
+    return left.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def flag_validation(cases: DataFrame, mentions: DataFrame, flags: dict[str, str]) -> DataFrame:
     """(flag, tp, fp, fn, precision, recall, f1): coded flags of cases against extracted entities whose
     names match each flag's pattern."""

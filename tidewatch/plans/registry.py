@@ -1089,3 +1089,6 @@ def daily_ears(s, sf):
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     c = e.groupBy(F.col("event_type").alias("entity"), day.alias("q")).agg(F.count("*").alias("n"))
     return r6(aberration.ears_sweep(c, e.groupBy(day.alias("q")).agg(F.count("*").alias("n_total"))), "ears_z")
+
+
+from . import intake  # noqa: E402, F401  (its queries join the registry)

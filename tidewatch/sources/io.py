@@ -41,13 +41,14 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def read_boundaries(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(zone, ring): the outer rings of a GeoJSON feature collection of polygons and multipolygons."""
+    """(zone, ring, holes): the polygons of a GeoJSON feature collection, multipolygons one by one: each one's
+    outer ring and the rings of its holes."""
     feature = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
     text = spark.read.text(path, wholetext=True)
     features = text.select(F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
     zone = F.col("f.properties")[key].alias("zone")
     polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", f"array<{RING}>"))).otherwise(F.from_json("f.geometry.coordinates", f"array<array<{RING}>>"))
-    return features.select(zone, F.explode(polygons).alias("p")).select("zone", F.col("p")[0].alias("ring"))
+    return features.select(zone, F.explode(polygons).alias("p")).select("zone", F.col("p")[0].alias("ring"), F.slice("p", 2, 1 << 30).alias("holes"))
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
@@ -62,13 +63,16 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 
 
 def locate(points: DataFrame, boundaries: DataFrame, cell: float) -> DataFrame:
-    """Points (id, x, y) with the zone that holds them: rings are dealt to the cells of their boxes, and
-    a point is tested against the rings of its own cell only."""
+    """Points (id, x, y) with the zone that holds them, holes apart: rings are dealt to the cells of their boxes, and
+    a point is tested against the rings of its own cell only. Of several zones the least is named."""
     at = lambda c: F.floor(c / cell).cast("int")
     span = lambda i: F.sequence(at(F.array_min(F.transform("ring", lambda p: p[i]))), at(F.array_max(F.transform("ring", lambda p: p[i]))))
     boxes = boundaries.withColumn("cx", F.explode(span(0))).withColumn("cy", F.explode(span(1)))
     cells = points.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
-    hit = cells.join(boxes, ["cx", "cy"]).where(inside(F.col("x"), F.col("y"), F.col("ring"))).select("id", "zone").dropDuplicates(["id"])
+    within = inside(F.col("x"), F.col("y"), F.col("ring"))
+    if "holes" in boundaries.columns:
+        within = within & ~F.coalesce(F.exists("holes", lambda h: inside(F.col("x"), F.col("y"), h)), F.lit(False))
+    hit = cells.join(boxes, ["cx", "cy"]).where(within).groupBy("id").agg(F.min("zone").alias("zone"))
     return points.join(hit, "id", "left")
 
 
