@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import evaluation
 from tidewatch.operators.treescan import DRAWS, backtest, branch_sweep, head_to_head, leaf_draws, matched_budget, mention_totals, null_maxima, scan_cells, window_shares, with_p_values
 
 QUARTERS = range(100, 118)
@@ -187,3 +188,33 @@ def test_mention_reference(spark):
     assert window_shares(mentions.where(F.lit(False)), 3, 2).count() == 0
     assert window_shares(mentions.withColumn("n_total", F.lit(0)), 3, 2).count() == 0
 
+
+
+def sweep_rows():
+    rows = [("a", 1, 1.0, 5), ("b", 1, 3.0, 5), ("c", 1, 3.0, 5), ("d", 1, 9.0, 0), ("a", 2, 4.0, 6), ("b", 2, 2.0, 5), ("a", 3, 4.0, 7), ("z", 3, float("nan"), 1)]
+    return [(e, q, n, 8, s + 1, s, s, s > 3.5) for e, q, s, n in rows if s == s]
+
+
+def test_trends_backtest(spark):
+    scores = spark.createDataFrame(sweep_rows(), "entity string, as_of int, n_recent int, n_baseline int, ebgm double, eb05 double, eb05_own double, credible_rise boolean")
+    targets = spark.createDataFrame([("a",), ("c",), ("never",)], "entity string")
+    ri = spark.createDataFrame([("a", 2, 5.0), ("a", 3, 50.0)], "entity string, as_of int, recurrence_interval double")
+    out = evaluation.trends_backtest(scores, targets, ri)
+    got = {(r.entity, r.as_of): (r["rank"], r.treescan_ri, r.credible_rise) for r in out.collect()}
+    assert got == {("a", 1): (3, 1.0, False), ("c", 1): (2, 1.0, False), ("a", 2): (1, 5.0, False), ("a", 3): (1, 50.0, True)}
+    plain = evaluation.trends_backtest(scores, targets)
+    assert {(r.entity, r.as_of) for r in plain.collect() if r.credible_rise} == {("a", 2), ("a", 3)}
+    s = {r.entity: r for r in evaluation.backtest_summary(out, targets, top=2).collect()}
+    a = s["a"]
+    assert (a.peak_eb05, a.peak_as_of, a.peak_ebgm, a.peak_n, a.best_rank, a.first_top, a.first_credible) == (4.0, 2, 5.0, 6, 1, 2, 3)
+    assert (s["c"].first_top, s["c"].first_credible) == (1, None) and s["never"].peak_eb05 is None
+
+
+def test_budgets_move_lines(spark):
+    sweep = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 4.0), ("b", 1, 4.0), ("b", 2, 1.0), ("c", 1, None), ("c", 2, float("-inf"))], "entity string, as_of int, score double")
+    assert [evaluation.budget_line(sweep, "score", k) for k in range(6)] == [None, 5.0, 4.0, 4.0, 1.0, 1.0]
+    m = evaluation.Model("m", "x", "score", 9.0)
+    for budget, alarms in ((0, 0), (1, 1), (2, 3), (9, 4)):
+        moved, lines = evaluation.matched_models([m], {"m": sweep}, budget)
+        assert sweep.where(F.col("score") > moved[0].threshold).count() == alarms and moved[0].name == "m"
+        assert evaluation.matched_alarms(sweep, "score", budget).count() == alarms

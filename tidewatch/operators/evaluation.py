@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,10 +74,61 @@ def off_target(sweep: DataFrame, score: str, threshold: float, labelled: DataFra
     return sweep.where(F.col(score) > threshold).join(labelled.select("entity"), "entity", "left_anti").groupBy("entity").agg(F.count("*").alias("quarters"))
 
 
+def budget_line(sweep: DataFrame, score: str, budget: int) -> float | None:
+    """The score of the ``budget``-th largest row, or the least there is; NULLs and minus infinity never alarm. Equal
+    scores are counted first and no task ranks all rows."""
+    g = sweep.where(F.col(score).isNotNull() & (F.col(score) > float("-inf"))).groupBy(F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"))
+    if budget <= 0 or g.isEmpty():
+        return None
+    runs = running_sums(g, "score", ["n"], descending=True)
+    line, least = runs.agg(F.max(F.when(F.col("run_n") >= budget, F.col("score"))), F.min("score")).first()
+    return least if line is None else line
+
+
 def matched_alarms(sweep: DataFrame, score: str, budget: int) -> DataFrame:
-    """(entity, as_of, score): the rows at or over the ``budget``-th largest score; ties all alarm."""
-    top = sweep.where(F.col(score).isNotNull()).orderBy(F.desc(score), "entity", "as_of").limit(budget).agg(F.min(score).alias("line"), F.count("*").alias("n"))
-    return sweep.crossJoin(F.broadcast(top)).where(F.col(score) >= F.col("line")).select("entity", "as_of", F.col(score).alias("score"), "line")  # one row
+    """(entity, as_of, score, line): the rows at or over the ``budget``-th largest score; ties all alarm."""
+    line = F.lit(budget_line(sweep, score, budget)).cast("double")
+    return sweep.where(F.col(score) >= line).select("entity", "as_of", F.col(score).alias("score"), line.alias("line"))
+
+
+def matched_models(models: list[Model], scores: dict[str, DataFrame], budget: int) -> tuple[list[Model], dict[str, float | None]]:
+    """The models with their lines moved so that each raises ``budget`` alarms (or as many as it has), and the lines:
+    what is left to compare is whom they alarm on and when."""
+    lines = {m.name: budget_line(scores[m.name], "score", budget) for m in models}
+    # an alarm is a score over the line: the next double under it
+    return [replace(m, threshold=math.inf if lines[m.name] is None else math.nextafter(lines[m.name], -math.inf)) for m in models], lines
+
+
+def trends_backtest(scores: DataFrame, targets: DataFrame, intervals: DataFrame | None = None, line: float = 10.0) -> DataFrame:
+    """(as_of, entity, rank, n_recent, n_baseline, ebgm, eb05, eb05_own, treescan_ri, credible_rise): where each of
+    ``targets`` (entity) stood at every as-of quarter of a shrinkage sweep.
+
+    The rank is by eb05 among entities with recent cases, ties by name: one more than those that stand above,
+    which is counted, so that no quarter is sorted. ``intervals`` (entity, as_of, recurrence_interval; 1 where
+    absent) of a scan takes credible_rise from what is under the line.
+    """
+    live = scores.where("n_recent > 0")
+    mine = live.join(targets.select("entity").distinct(), "entity", "left_semi")
+    marks = mine.select("as_of", F.col("entity").alias("_t"), F.col("eb05").alias("_s"))
+    above = (F.col("eb05") > F.col("_s")) | ((F.col("eb05") == F.col("_s")) & (F.col("entity") < F.col("_t")))
+    ranks = live.select("as_of", "entity", "eb05").join(marks, "as_of").groupBy("as_of", "_t").agg((1 + F.sum(above.cast("int"))).alias("rank"))
+    out = mine.join(ranks.withColumnRenamed("_t", "entity"), ["as_of", "entity"])
+    ri = F.lit(None).cast("double")
+    if intervals is not None:
+        out = out.join(intervals.select("entity", "as_of", F.col("recurrence_interval").alias("_ri")), ["entity", "as_of"], "left")
+        ri = F.coalesce("_ri", F.lit(1.0))
+    rise = F.col("credible_rise") & F.coalesce(ri >= line, F.lit(True))
+    return out.select("as_of", "entity", "rank", "n_recent", "n_baseline", "ebgm", "eb05", "eb05_own", ri.alias("treescan_ri"), rise.alias("credible_rise"))
+
+
+def backtest_summary(rows: DataFrame, targets: DataFrame, top: int = 10) -> DataFrame:
+    """One row for each target: its peak eb05 with ebgm, recent cases and quarter, its best rank, the first quarter
+    in the first ``top`` and the first of a credible rise; NULL for what never came."""
+    first = lambda c: F.min(F.when(c, F.col("as_of")))
+    peak = F.max(F.struct("eb05", (-F.col("as_of")).alias("at"), "ebgm", "n_recent")).alias("p")
+    g = rows.groupBy("entity").agg(peak, F.min("rank").alias("best_rank"), first(F.col("rank") <= top).alias("first_top"), first(F.col("credible_rise")).alias("first_credible"))
+    g = g.select("entity", F.col("p.eb05").alias("peak_eb05"), (-F.col("p.at")).alias("peak_as_of"), F.col("p.ebgm").alias("peak_ebgm"), F.col("p.n_recent").alias("peak_n"), "best_rank", "first_top", "first_credible")
+    return targets.select("entity").distinct().join(g, "entity", "left")
 
 
 def running_sums(rows: DataFrame, by: str, cols: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:

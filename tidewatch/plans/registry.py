@@ -1091,4 +1091,4 @@ def daily_ears(s, sf):
     return r6(aberration.ears_sweep(c, e.groupBy(day.alias("q")).agg(F.count("*").alias("n_total"))), "ears_z")
 
 
-from . import intake  # noqa: E402, F401  (its queries join the registry)
+from . import backtests, intake  # noqa: E402, F401  (their queries join the registry)
