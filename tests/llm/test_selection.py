@@ -188,7 +188,7 @@ def test_queries_lose_no_match(pattern, any_case):
     parts = ["ab", "abc", "abcd", "xyzw", "foo", "bar", "baz", "1", "23", "bcd", "def", "ef", "ac", "bd", "tok", "token", "no", "thing", "c", "fgh", "quux", "key12end", "one", "two", "three", "four", "secret", "aaaa", "xy", "x", "Ab", "É", "éé", "ü", " ", "\n"]
     near = [p for p in parts if p in pattern] + ["1", "23", "9", "d", "e", "aaa"] + list(rng.choice(parts, 3))
     texts = ["".join(rng.choice(near, rng.integers(1, 7))) for _ in range(3000)]
-    texts += [t.upper() for t in texts[:500]] * any_case + ["key12end", "ééü", "tok", "token"]
+    texts += [t.upper() for t in texts[:500]] * any_case + ["key12end", "ééü", "tok", "token", "quux", "acef", "xbdefx", "abdef", "abcabc", "aaaa", "onethreefour", "foobaz12", "xyxy", "asecretb"]
     hits = [t for t in texts if rule.compiled().search(t)]
     assert hits
     assert all(meant(query, t.encode().lower()) for t in hits)
