@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import ratio
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -73,7 +75,8 @@ def nearest_series(synthetic: DataFrame, real: DataFrame, least_overlap: int = 1
     n) of the largest correlation over shifts with enough overlap; thin if its mean is small."""
     s = synthetic.select("name", F.col("t"), F.col("n").cast("double").alias("x"), F.explode(F.sequence(F.lit(-most_shift), F.lit(most_shift))).alias("shift")).withColumn("u", F.col("t") + F.col("shift"))
     pairs = s.join(real.select("entity", F.col("t").alias("u"), F.col("n").cast("double").alias("y")), "u")
-    g = pairs.groupBy("name", "entity", "shift").agg(F.count("*").alias("k"), F.corr("x", "y").alias("r"), F.avg("y").alias("mean")).where((F.col("k") >= least_overlap) & F.col("r").isNotNull() & ~F.isnan("r"))
+    g = pairs.groupBy("name", "entity", "shift").agg(F.count("*").alias("k"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.avg("y").alias("mean"))
+    g = g.withColumn("r", ratio(F.col("c"), F.col("sx") * F.col("sy"))).where((F.col("k") >= least_overlap) & F.col("r").isNotNull())  # a constant series correlates with nothing
     w = Window.partitionBy("name").orderBy(F.desc(F.round("r", 9)), "entity", F.abs("shift"), "shift")
     return g.withColumn("i", F.row_number().over(w)).where("i = 1").select("name", "entity", "shift", "r", (F.col("mean") < thin).alias("thin"))
 
