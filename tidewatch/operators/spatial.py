@@ -196,7 +196,7 @@ def random_labels(points: DataFrame, sizes: DataFrame, replicates: int, seed: in
                 yield pd.DataFrame({"entity": pdf.entity.to_numpy()[of], "replicate": pdf.replicate.to_numpy()[of], "n": pdf.n.to_numpy()[of], "number": shuffled(i, n, np.repeat(keys, size[at], axis=1))})
 
     drawn = work.mapInPandas(draw, f"entity {dict(sizes.dtypes)['entity']}, replicate int, n long, number long")
-    return drawn.join(at, "number").drop("number")
+    return drawn.hint("merge").join(at, "number").drop("number")  # Spark takes the draws for as few as their seeds
 
 
 def cluster_test(points: DataFrame, labels: DataFrame, permutations: int = 999, seed: int = 0, least: int = 8, most_fraction: float = 0.25) -> DataFrame:
@@ -266,7 +266,7 @@ def circles(zones: DataFrame, most_fraction: float = 0.25, first: int = 64) -> D
     while True:
         near = nearest_within(at.select("id", "x", "y"), F.lit(k), [], open_).select(F.col("id").alias("c"), F.col("other").alias("o"), "d")
         near = near.unionByName(open_.select(F.col("id").alias("c"), F.col("id").alias("o"), F.lit(0.0).alias("d")))
-        weighed = near.join(at.select(F.col("id").alias("o"), "weight"), "o")
+        weighed = near.hint("merge").join(at.select(F.col("id").alias("o"), "weight"), "o")
         w = Window.partitionBy("c").orderBy("d", "o")
         ranked = weighed.withColumns({"rank": F.row_number().over(w), "run": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))})
         if k < n - 1:
