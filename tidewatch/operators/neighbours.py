@@ -173,7 +173,7 @@ def _indexed(points: DataFrame, of: DataFrame, by: list[str]) -> DataFrame:
 
     schema = ", ".join([x for x in [_types(of, by)] if x] + ["x double, y double, near array<struct<id: long, d: double>>"])
     found = asks.groupBy(*by, "q").cogroup(held.groupBy(*by, "q")).applyInArrow(meet, schema)
-    mine = of.select(*by, "id", "x", "y", "k").join(found, [*by, "x", "y"])
+    mine = of.select(*by, "id", "x", "y", "k").join(found.hint("merge"), [*by, "x", "y"])  # lists are larger than Spark takes them for
     others = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), F.lit(1), F.col("k"))
     out = mine.select(*by, "id", F.posexplode(others).alias("r", "n"))
     return out.select(*by, "id", F.col("n.id").alias("other"), (F.col("r") + 1).alias("r"), F.col("n.d").alias("d"))

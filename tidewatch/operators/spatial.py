@@ -100,7 +100,7 @@ def _concentration(graph: DataFrame, sizes: DataFrame, cases: DataFrame, by: lis
     g = deg.groupBy(*by).agg(F.sum("deg").cast("double").alias("a2"), F.sum(F.col("deg") * (F.col("deg") - 1)).cast("double").alias("p2"))
     sizes = sizes.withColumn("n", F.col("n").cast("double"))
     g = g.join(sizes, by) if by else g.crossJoin(F.broadcast(sizes))  # one row, or one a window
-    ends = graph.join(cases.select(*by, F.col("id").alias("a"), "entity"), [*by, "a"]).join(cases.select(*by, F.col("id").alias("b"), F.col("entity").alias("e2")), [*by, "b"]).where("entity = e2")
+    ends = graph.hint("merge").join(cases.select(*by, F.col("id").alias("a"), "entity"), [*by, "a"]).join(cases.select(*by, F.col("id").alias("b"), F.col("entity").alias("e2")), [*by, "b"]).where("entity = e2")
     s = ends.groupBy(*by, "entity").agg(F.count("*").alias("s"))
     c = cases.groupBy(*by, "entity").agg(F.count("*").alias("n_cases")).join(s, [*by, "entity"], "left").withColumn("s", F.coalesce("s", F.lit(0)).cast("double"))
     c = c.join(F.broadcast(g), by) if by else c.crossJoin(F.broadcast(g))  # one row a window
