@@ -8,12 +8,12 @@ chunks up, builds its trie in memory-mapped files, looks the chunks' n-grams up,
 quantised probabilities and weights, from which a chunk scores its documents. Texts, chunks and n-grams
 are moved once each.
 
-P(c|a,b) = (n(abc) - D3) / n(ab) + g(ab) P(c|b), g(ab) = D3 * types(ab) / n(ab),
-P(c|b) = (n(bc) - D2) / n(b) + g(b) P(c), g(b) = D2 * types(b) / n(b), P(c) = (n(c) + 1) / (N + V + 1);
-an unseen n-gram has no first term, an unseen context the weight 1. Every context's total is exactly 1,
-before first terms and weights are rounded down to 1/4096 of a digit. A document's first word is scored by its
-bigram with the start. D2 and D3 are n1 / (n1 + 2 n2), from n-grams seen once and twice: those of all
-training documents whose hash falls in one of KINDS parts, counted in full before any trie is built.
+Each context gives its types a share of its weight (Witten-Bell): with T the number of types after it,
+P(c|a,b) = (n(abc) + T(ab) P(c|b)) / (n(ab) + T(ab)), P(c|b) = (n(bc) + T(b) P(c)) / (n(b) + T(b)),
+P(c) = (n(c) + 1) / (N + V + 1); in an unseen context the shorter one's P stands. Nothing but a context's own counts
+enters, so that all n-grams are counted in full by the one pass that builds the tries. Every context's total is exactly
+1, before first terms and weights are rounded down to 1/4096 of a digit. A document's first word is scored by its bigram
+with the start. Shards that share a first word each know a part of T(b): the chunk adds the parts up.
 """
 
 from __future__ import annotations
@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, bucketed, discard, durable, lower_words, mix64, partitions, release_memory
+from .common import WordHashes, bucketed, discard, durable, lower_words, partitions, release_memory
 
 END = np.uint64(0x9D3F0C1B5A77E621)
 #: Quantised log10 probabilities: 1/4096 of a digit; NONE stands for probability 0.
 UNIT, NONE = 4096.0, 65535
 #: Tokens of a chunk (a longer document is one by itself), and of a shard, if there are not more partitions.
 CHUNK_TOKENS, SHARD_TOKENS = 700_000, 16_000_000
-#: Of so many parts of all n-grams, by hash, one gives the discounts.
-KINDS = 16
 
 
 class EliasFano:
@@ -184,20 +182,19 @@ class Trie:
     successors are a range of it and a search stays in that range. Pointers to the ranges ascend too.
     """
 
-    def __init__(self, grams: Grams, discounts: tuple[float, float], folder: str):
-        """A first word that several shards share comes with its count in all; its weight here is this shard's part."""
+    def __init__(self, grams: Grams, folder: str):
+        """A first word that several shards share comes with its count in all, and has here the types of this shard."""
         self.heads = EliasFano(grams.a, folder, "heads")
         self.seconds, self.words2, self.ends2 = self._level(grams.b, grams.size_b, folder, "2")
         self.thirds, self.words3, self.ends3 = self._level(grams.c, grams.size_c, folder, "3")
         ends = np.append(0, np.cumsum(grams.size_b))
         total = np.where(grams.n_a > 0, grams.n_a, np.diff(np.append(0, np.cumsum(grams.n_b))[ends]))
         total = np.maximum(total, 1)
-        d2, d3 = discounts
         levels = {
-            "g1": _quantised(d2 * grams.size_b / total),
-            "p2": _quantised((grams.n_b - d2) / np.repeat(total, grams.size_b)),
-            "g2": _quantised(np.where(grams.size_c > 0, d3 * grams.size_c / grams.n_b, 1.0)),
-            "p3": _quantised((grams.n_c - d3) / np.repeat(grams.n_b, grams.size_c)),
+            "g1": _quantised(grams.size_b / (total + grams.size_b)),
+            "p2": _quantised(grams.n_b / np.repeat(total + grams.size_b, grams.size_b)),
+            "g2": _quantised(np.where(grams.size_c > 0, grams.size_c / (grams.n_b + grams.size_c), 1.0)),
+            "p3": _quantised(grams.n_c / np.repeat(grams.n_b + grams.size_c, grams.size_c)),
         }
         for name, x in levels.items():
             path = os.path.join(folder, name)
@@ -356,17 +353,6 @@ class Chunk:
         self.lead = lead[o]
         return Grams(self.ids[lead[o]], self.shared[lead[o]], size[o], self.ids[self.tail[x:y]], self.size_c[x:y], self.ids[self.third[u:v]], self.n2[x:y], self.n3[u:v])
 
-    def kinds(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and counts of the bigrams and trigrams that give the discounts, trigrams with odd hashes."""
-        two = mix64(self.ids[self.head].astype(np.uint64) * np.uint64(1 << 32) + self.ids[self.tail].astype(np.uint64))
-        three = mix64(np.repeat(two, self.size_c) ^ mix64(self.ids[self.third].astype(np.uint64)))
-        out_h, out_n = [], []
-        for h, n, odd in ((two, self.n2, 0), (three, self.n3, 1)):
-            some = (h % np.uint64(parts) == 0) & (n > 0)
-            out_h.append((h[some] & ~np.uint64(1)) | np.uint64(odd))
-            out_n.append(n[some])
-        return np.concatenate(out_h), np.concatenate(out_n)
-
 
 ASK = "shard int, chunk long, blob binary"
 REPLY = "kind int, shard int, chunk long, blob binary, n long, v long"
@@ -426,43 +412,22 @@ def _gram_requests(shards: int, train: int):
     return run
 
 
-def _kinds(shards: int, train: int, parts: int):
-    def run(batches):
-        for pdf in batches:
-            for blob in pdf.blob:
-                c = Chunk(blob)
-                c.grams(shards, train)
-                h, n = c.kinds(parts)
-                del c
-                release_memory()
-                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
-
-    return run
-
-
-def _answer(discounts: tuple[float, float]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, out = int(pdf.shard.iloc[0]), []
-        parts = [Grams(*_unpack(x)) for x in pdf.blob]
-        every, places = Grams.union(parts)
-        with tempfile.TemporaryDirectory() as folder:  # this task's own; gone with it
-            g1, p2, g2, p3 = Trie(every.learnt(), discounts, folder).look_up(every)  # all chunks' n-grams, once each
-        i = j = k = 0
-        for chunk, g in zip(pdf.chunk, parts, strict=True):
-            one, two, three = (of[s : s + n] for of, s, n in zip(places, (i, j, k), (len(g.a), len(g.b), len(g.c)), strict=True))
-            out.append((2, shard, chunk, _pack(g1[one], p2[two], g2[two], p3[three]), None, None))
-            i, j, k = i + len(g.a), j + len(g.b), k + len(g.c)
-        release_memory()
-        return _rows(out, REPLY)
-
-    return run
-
-
-def _discount(once: int, twice: int) -> float:
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    shard, out = int(pdf.shard.iloc[0]), []
+    parts = [Grams(*_unpack(x)) for x in pdf.blob]
+    every, places = Grams.union(parts)
+    with tempfile.TemporaryDirectory() as folder:  # this task's own; gone with it
+        g1, p2, g2, p3 = Trie(every.learnt(), folder).look_up(every)  # all chunks' n-grams, once each
+    i = j = k = 0
+    for chunk, g in zip(pdf.chunk, parts, strict=True):
+        one, two, three = (of[s : s + n] for of, s, n in zip(places, (i, j, k), (len(g.a), len(g.b), len(g.c)), strict=True))
+        out.append((2, shard, chunk, _pack(g1[one], p2[two], g2[two], p3[three]), None, None))
+        i, j, k = i + len(g.a), j + len(g.b), k + len(g.c)
+    release_memory()
+    return _rows(out, REPLY)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, kinds: int = KINDS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Rows whose crc32(id) mod ``fold`` is ``held`` are scored only; the others teach the model too. A
@@ -489,10 +454,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coded = bucketed(chunks.groupBy("chunk").cogroup(told).applyInArrow(number, packed), "chunk", n, "coded")
     discard(chunks)
     discard(words)
-    counted = coded.select("blob").mapInPandas(_kinds(shards, train, kinds), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n <= 2")
-    few = {(r.odd, r.n): r["count"] for r in counted.groupBy((F.col("h").bitwiseAND(F.lit(1))).alias("odd"), "n").count().collect()}  # four rows
-    discounts = tuple(_discount(few.get((k, 1), 0), few.get((k, 2), 0)) for k in (0, 1))
-    answers = coded.select("chunk", "blob").mapInPandas(_gram_requests(shards, train), ASK).groupBy("shard").applyInPandas(_answer(discounts), REPLY).select("chunk", "shard", "blob")
+    answers = coded.select("chunk", "blob").mapInPandas(_gram_requests(shards, train), ASK).groupBy("shard").applyInPandas(_answer, REPLY).select("chunk", "shard", "blob")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["id", "n_tokens", "n_known", "base_score", "score"]
@@ -500,13 +462,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.table([pa.array([], left.schema.field("ids").type.value_type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
         c = Chunk(left["blob"][0].as_py())
         c.grams(shards, train)
-        g1, p2, g2, p3 = np.zeros(len(c.ids)), np.zeros(len(c.head)), np.ones(len(c.head)), np.zeros(len(c.third))
+        types_of, part, p2, g2, p3 = np.zeros(len(c.ids)), np.zeros(len(c.ids)), np.zeros(len(c.head)), np.ones(len(c.head)), np.zeros(len(c.third))
         for s, b in zip(right["shard"].to_pylist(), right["blob"].to_pylist(), strict=True):
             g = c.part(s)
             x, u = ((cut[s], cut[s + 1]) for cut in (c.cut2, c.cut3))
             weight, p2[slice(*x)], g2[slice(*x)], p3[slice(*u)] = map(_opened, _unpack(b))
-            g1[c.lead] += weight  # of shared words, all parts add up
-        g1 = np.where(g1 > 0, g1, 1.0)  # a context that training lacks
+            part[c.lead] = weight / (1 - weight)  # T / n, of shared words this shard's part of it; at most 1
+            types_of[c.lead] += part[c.lead]
+            p2[slice(*x)] *= 1 + part[c.head[slice(*x)]]
+        p2 /= 1 + types_of[c.head]
+        g1 = np.where(types_of > 0, types_of / (1 + types_of), 1.0)  # else a context that training lacks
         plain = (c.count + 1.0) / (train + types + 1.0)
         p2 += g1[c.head] * plain[c.tail]
         p = p2[c.of2]
