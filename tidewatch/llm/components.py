@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,30 +15,60 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-#: From so many edges on, a hot node's rows may be too many for a task.
-SPLIT_FROM = 1_000_000
+#: Edges that a task joins into a forest at once.
+BATCH = 1 << 20
 
 
-def _with_least(rows: DataFrame, least: DataFrame, key: str, split: bool) -> DataFrame:
-    """``rows`` joined with their key's grouped minimum. ``split`` adds a second join key that follows from
-    the first: then Spark deals both sides anew, and can split the rows of a hot node among tasks."""
-    if not split:
-        return rows.join(least, key)
+def _with_least(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with their key's grouped minimum, by a second join key too that follows from the first: so
+    Spark deals both sides anew, and can split the rows of a hot node among tasks."""
     bit = F.col(key).bitwiseAND(F.lit(1)).alias("bit")
     return rows.select("*", bit).join(least.select("*", bit), [key, "bit"]).drop("bit")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200, split_from: int = SPLIT_FROM) -> DataFrame:
+def _forests(batch: int):
+    """Each run of ``batch`` edges as a forest of stars, a node under the least one of its tree: never more edges
+    than nodes, and the same components."""
+
+    def run(batches):
+        lo, hi, held = [], [], 0
+
+        def forest():
+            nodes, at = np.unique(np.concatenate(lo + hi), return_inverse=True)
+            half, par = len(at) // 2, np.arange(len(nodes))
+            local_roots(par, at[:half], at[half:])
+            under = np.flatnonzero(par != np.arange(len(par)))
+            return pd.DataFrame({"lo": nodes[par[under]], "hi": nodes[under]})
+
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                lo.append(part.lo.to_numpy())
+                hi.append(part.hi.to_numpy())
+                held += len(part)
+                if held >= batch:
+                    yield forest()
+                    lo, hi, held = [], [], 0
+        if held:
+            yield forest()
+
+    return run
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200, batch: int = BATCH) -> DataFrame:
     """(node, component) for every node of an edge: component is the smallest node reachable.
 
-    Each round hangs every node's larger neighbours on its smallest neighbour (large star), then its
-    smaller ones (small star); a forest of stars is left after about log(n) rounds. Every step is a
-    grouped minimum and a join; rounds are cut by tables in the shared folder. Nulls and self-loops
-    are dropped; no edges give no rows. It raises if ``most_rounds`` are not enough, rather than give
-    unfinished components.
+    Partitions first join the edges they have into forests of stars, ``batch`` edges at a time, so that dense groups
+    shrink to an edge a node, and small graphs are done. Edges are dealt by their smaller node, in partitions of
+    about equal size, those of a hot node to several. Each round then hangs every node's larger neighbours on
+    its smallest neighbour (large star), then its smaller ones (small star), by one plan at every size; a
+    forest of stars is left after about log(n) rounds. Every step is a grouped minimum and a join; rounds are
+    cut by tables in the shared folder. Nulls and self-loops are dropped; no edges give no rows. It raises if
+    ``most_rounds`` are not enough, rather than give unfinished components.
     """
-    e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    e = durable(e, "edges")
+    e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    kind = dict(e.dtypes)["lo"]
+    e = durable(e.hint("rebalance", F.col("lo")).mapInPandas(_forests(batch), f"lo {kind}, hi {kind}").distinct(), "edges")
     state = _state(e)
     for turn in range(most_rounds + 1):
         if not state[0]:
@@ -45,9 +77,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
             raise RuntimeError(f"components are not finished after {most_rounds} rounds")
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both.where("v > u"), least, "u", state[0] >= split_from).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = _with_least(both.where("v > u"), least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = _with_least(large, least, "hi", state[0] >= split_from)
+        small = _with_least(large, least, "hi")
         hung = small.select(F.col("m").alias("lo"), "hi").union(small.where("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
         e = durable(hung.distinct(), "stars")
         now = _state(e)
@@ -59,8 +91,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
 def local_roots(par, i, j):
     """Join the index pairs (i, j) into the forest ``par``, in place: each root is its tree's least index."""
-    import numpy as np
-
     while len(i):
         a, b = par[i], par[j]
         differ = a != b
