@@ -389,6 +389,43 @@ def test_pieces(spark, docs, none):
         assert list(r._ids) == sp.encode(r.text) and r._round_trip == (sp.decode(list(r._ids)) == r.text)
 
 
+def test_pieces_are_decoded_whole(spark, docs):
+    sp = spm.load(open(spm.MODEL, "rb").read())
+    texts = ["one two two", "日本 語 x", ""]
+    coder, whole = spm.Coder(open(spm.MODEL, "rb").read(), 1.0, 2), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(sp, name)
+
+        def decode(self, ids, **_):
+            whole.append([int(x) for x in ids])
+            return sp.decode(ids) + "!"
+
+    coder.sp = Watched()
+    got = [x[2] for x in coder.run(texts, np.arange(3))]
+    assert whole == [sp.encode(t) for t in texts if t] and got == [False, False, True]
+    for r in spm.encode_and_sample(docs, with_ids=True).where("length(text) < 2000").collect():
+        for s in r._samples:
+            assert sp.decode(list(s.ids)) == r.text and len(s.ids) == s.n_pieces and zlib.crc32(np.array(s.ids, np.int32).tobytes()) == s.crc32
+
+
+def test_forgotten_chunks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}é日" for x in rng.zipf(1.3, 60) % 500) for _ in range(80)]
+    model = open(spm.MODEL, "rb").read()
+
+    def run():
+        coder = spm.Coder(model, 1.0, 2)
+        out = [(n, crc, same, [(s["n_pieces"], s["crc32"]) for s in samples]) for i in range(0, 80, 8) for n, crc, same, samples, _ in coder.run(texts[i : i + 8], np.arange(i, i + 8))]
+        return out, len(coder.number)
+
+    many, held = run()
+    monkeypatch.setattr(spm, "MOST_CHUNKS", 100)
+    few, left = run()
+    assert few == many and left < held
+
+
 def test_samples_follow_the_distribution():
     sp = spm.load(open(spm.MODEL, "rb").read())
     lat = spm.Lattices(sp, 0.3)

@@ -33,7 +33,9 @@ _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 #: Documents are searched together up to this many chunks (a longer document goes alone).
-BATCH_CHUNKS = 200_000
+BATCH_CHUNKS = 50_000
+#: Chunks whose lattices are built at once: what that takes besides is bounded.
+BUILD_CHUNKS = 16_384
 
 
 def load(model: bytes) -> sentencepiece.SentencePieceProcessor:
@@ -58,12 +60,17 @@ class Numbers(dict):
         return n
 
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    """16 bits of a hash of characters, also where that is small."""
+    return ((h * _GOLD) >> np.uint64(48)).astype(np.int64)
+
+
 class Lattices:
     """The piece lattices of chunks, kept while they are few: for each place, its edges with conditional
     probabilities."""
 
     #: Arrays over chunks, places and edges.
-    PARTS = ("start", "codes", "rest", "ptr", "step", "piece", "logp", "other", "cum")
+    PARTS = ("start", "codes", "rest", "ptr", "step", "piece", "logp", "cum")
 
     def __init__(self, sp: sentencepiece.SentencePieceProcessor, alpha: float):
         self.alpha = alpha
@@ -84,13 +91,15 @@ class Lattices:
             h = np.zeros(1, np.uint64)
             for length, c in enumerate(sp.IdToPiece(int(i))[:-1], 1):
                 h = h * _BASE + np.uint64(ord(c) + 1)
-                self.longer[length, (h >> np.uint64(20)) & np.uint64(0xFFFF)] = True
+                self.longer[length, _bits(h)] = True
         for length, (hashes, ids) in by_length.items():
             h, ids = np.array(hashes, np.uint64), np.array(ids, np.int64)
-            o = np.argsort(h)
-            maybe = np.zeros(1 << 16, bool)  # most lookups end here
-            maybe[(h >> np.uint64(20)) & np.uint64(0xFFFF)] = True
-            self.tables[length] = h[o], ids[o], maybe
+            bits = _bits(h)
+            o = np.argsort(bits, kind="stable")
+            slot = np.full(1 << 16, -1, np.int32)  # the first of the pieces with such bits; most lookups end here
+            one, first, many = np.unique(bits[o], return_index=True, return_counts=True)
+            slot[one] = first
+            self.tables[length] = np.append(h[o], np.zeros(many.max(), np.uint64)), ids[o], slot, int(many.max())
         self.byte_weight = -alpha * np.log(sp.GetPieceSize() + 2.0)
         self.clear()
 
@@ -104,8 +113,19 @@ class Lattices:
     def clear(self) -> None:
         """Forgets all chunks."""
         kinds = dict(start=np.int64, codes=np.uint32, rest=np.int32, ptr=np.int64, step=np.int32, piece=np.int32)
+        self.room = {name: np.zeros(int(name == "ptr"), kinds.get(name, np.float64)) for name in self.PARTS}
         for name in self.PARTS:
-            setattr(self, name, np.zeros(int(name == "ptr"), kinds.get(name, np.float64)))
+            setattr(self, name, self.room[name])
+
+    def _append(self, name: str, fresh: np.ndarray) -> None:
+        """To an array, which gets room for half as much again when it is full."""
+        old, room = getattr(self, name), self.room[name]
+        n = len(old) + len(fresh)
+        if n > len(room):
+            room = self.room[name] = np.empty(n + n // 2, old.dtype)
+            room[: len(old)] = old
+        room[len(old) : n] = fresh
+        setattr(self, name, room[:n])
 
     def build(self, chunks: list[str]) -> None:
         """The lattices of these chunks alone."""
@@ -114,8 +134,10 @@ class Lattices:
 
     def add(self, chunks: list[str]) -> None:
         """Appends start (place of each chunk), codes, and the edges of all places in order."""
-        if not chunks:
-            return
+        for s in range(0, len(chunks), BUILD_CHUNKS):
+            self._add(chunks[s : s + BUILD_CHUNKS])
+
+    def _add(self, chunks: list[str]) -> None:
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(codes)
@@ -129,16 +151,22 @@ class Lattices:
             if not len(at):
                 break
             h = h[ok] * _BASE + codes[at + length - 1] + np.uint64(1)
-            bits = (h >> np.uint64(20)) & np.uint64(0xFFFF)
+            bits = _bits(h)
             if length in self.tables:
-                table, ids, maybe = self.tables[length]
-                some = np.flatnonzero(maybe[bits])
-                k = np.searchsorted(table, h[some])
-                k[k == len(table)] = 0
-                hit = table[k] == h[some]
+                table, ids, slot, most = self.tables[length]
+                k = slot[bits]
+                some = np.flatnonzero(k >= 0)
+                k, sought = k[some], h[some]
+                hit = table[k] == sought
+                for _ in range(most - 1):
+                    miss = np.flatnonzero(~hit)
+                    k[miss] += 1
+                    hit[miss] = table[k[miss]] == sought[miss]
+                hit = np.flatnonzero(hit)
+                hit = hit[k[hit] < len(ids)]
                 found = at[some[hit]]
                 places.append(found)
-                steps.append(np.full(len(found), length, np.int64))
+                steps.append(length)
                 pieces.append(ids[k[hit]])
                 if length == 1:
                     lone[found] = False
@@ -146,12 +174,17 @@ class Lattices:
             at, h = at[on], h[on]
         bare = np.flatnonzero(lone)  # characters that the model spells in bytes
         places.append(bare)
-        steps.append(np.ones(len(bare), np.int64))
-        pieces.append(np.full(len(bare), -1, np.int64))
-        place, step, piece = map(np.concatenate, (places, steps, pieces))
-        o = np.argsort(place, kind="stable")
-        place, step, piece = place[o], step[o], piece[o]
-        ptr = np.searchsorted(place, np.arange(n + 1))
+        steps.append(1)
+        pieces.append(-1)
+        count = np.zeros(n, np.int64)
+        for x in places:  # no place comes twice in one of them
+            count[x] += 1
+        ptr = np.concatenate([[0], np.cumsum(count)])
+        place, step, piece = np.repeat(np.arange(n), count), np.empty(ptr[-1], np.int32), np.empty(ptr[-1], np.int32)
+        free = ptr[:-1].copy()
+        for x, length, ids in zip(places, steps, pieces, strict=True):
+            step[free[x]], piece[free[x]] = length, ids
+            free[x] += 1
         level = rest[place].astype(np.uint16 if rest.max() < 1 << 16 else np.int64)
         back = np.argsort(level, kind="stable")  # from the chunks' ends backward
         code = codes[place]
@@ -170,16 +203,23 @@ class Lattices:
         logp[back] = np.minimum(v - mass[at], 0.0)
         prob = np.exp(logp)
         run = np.cumsum(prob)
-        cum = run - np.concatenate([[0.0], run])[ptr[place]]
+        cum = run - np.repeat(np.concatenate([[0.0], run])[ptr[:-1]], count)
         cum[ptr[1:] - 1] = 2.0  # the last edge takes the rest
-        with np.errstate(divide="ignore"):
-            other = np.log(np.maximum(-np.expm1(logp), 0.0))  # of the edges not taken
-        other[np.diff(ptr)[place] == 1] = -np.inf
         before = len(self.codes), len(self.step)
-        fresh = dict(start=np.cumsum(lengths) - lengths + before[0], codes=codes, rest=rest, ptr=ptr[1:] + before[1], step=step, piece=piece, logp=logp, other=other, cum=cum)
+        fresh = dict(start=np.cumsum(lengths) - lengths + before[0], codes=codes, rest=rest, ptr=ptr[1:] + before[1], step=step, piece=piece, logp=logp, cum=cum)
         for name in self.PARTS:
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate([old, fresh[name].astype(old.dtype)]))
+            self._append(name, fresh[name])
+
+    def keep(self, chunks: np.ndarray) -> None:
+        """Forgets all chunks but these."""
+        size = self.rest[self.start[chunks]].astype(np.int64)
+        at = _runs(self.start[chunks], size)
+        edges = self.ptr[at + 1] - self.ptr[at]
+        e = _runs(self.ptr[at], edges)
+        kept = dict(start=np.cumsum(size) - size, codes=self.codes[at], rest=self.rest[at], ptr=np.cumsum(edges), **{x: getattr(self, x)[e] for x in ("step", "piece", "logp", "cum")})
+        self.clear()
+        for name in self.PARTS:
+            self._append(name, kept[name])
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by probability."""
@@ -204,6 +244,11 @@ class Lattices:
         return out
 
 
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``size`` numbers from each of ``first``, in a row."""
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 def _unit(bits: np.ndarray) -> np.ndarray:
     """In (0, 1), from 64 bits."""
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -263,7 +308,8 @@ class Descent:
         self.total = before[head + count - 1] + run[head + count - 1]
         self.first, self.lo = first, first[head]
         self.hi = np.append(self.lo[1:], n)
-        mass = self.prefix + lat.other[self.e]
+        with np.errstate(divide="ignore"):
+            mass = self.prefix + np.log(-np.expm1(lat.logp[self.e]))  # of the edges not taken; none beside a lone one
         mass[self.lo[edge >= 0]] = -np.inf  # what is left there stays with the descent it came from
         top = np.maximum.reduceat(mass, self.lo)
         self.top = np.where(np.isfinite(top), top, 0.0)
@@ -305,7 +351,7 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
     place[active] = lat.start[chunk[first[active]]]
     edge = np.full(m, -1, np.int64)  # the edge that a branch begins with
     head: list[np.ndarray] = [np.empty(0, np.int64)] * m  # the ids before it
-    history: list[tuple[Descent, np.ndarray, list]] = []
+    history: list[tuple[Descent, np.ndarray, list, np.ndarray]] = []
     pool: list[list] = [[] for _ in range(m)]  # (bound, turn, number in it, edges taken): what is left beside a path
     out: list[list] = [[] for _ in range(m)]
     for turn in range(k):
@@ -315,9 +361,9 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
         number = np.arange(int(count.sum())) + np.repeat(skip[active] - (np.cumsum(count) - count), count)
         keys = mix64(np.repeat(seeds[active] + np.uint64((turn + 1) * int(_BASE)), count) + (number.astype(np.uint64) + np.uint64(2)) * _GOLD)
         run = Descent(lat, chunk[np.repeat(first[active], count) + number], count, keys, phi[active], place[active], edge[active])
-        history.append((run, number, [head[a] for a in active]))
         best = _below(run.mass, bound[active], _uniform(seeds[active], 1000 * turn + 17))
         spelled = np.add.reduceat(lat.piece[run.e] < 0, run.lo) > 0
+        history.append((run, number, [head[a] for a in active], spelled))
         for i, a in enumerate(active):
             lo, hi = run.lo[i], run.hi[i]
             own = lat.ids(run.e[lo:hi], run.p[lo:hi]) if spelled[i] else lat.piece[run.e[lo:hi]]
@@ -328,16 +374,26 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
         if turn + 1 == k:
             break
         active = np.array([a for a in active if pool[a]], np.int64)
-        for a in active:
+        draws = np.stack([_uniform(seeds[active], 1000 * turn + x) for x in (101, 102, 103)], axis=1)
+        left = []
+        for a, (u, w, _) in zip(active, draws.tolist(), strict=True):
             v, t, i, taken = pool[a].pop()
-            run, number, heads = history[t]
-            u = [_uniform(seeds[a : a + 1], 1000 * turn + x) for x in (101, 102, 103)]
-            r, edge[a], phi[a], rest = run.pick(lat, i, taken, float(u[0][0]), float(u[1][0]))
+            run, number, heads, spelled = history[t]
+            r, edge[a], phi[a], rest = run.pick(lat, i, taken, u, w)
             bound[a], place[a] = v, run.p[r]
             skip[a] = number[np.searchsorted(run.first, r, side="right") - 1]
-            head[a] = np.concatenate([heads[i], lat.ids(run.e[run.lo[i] : r], run.p[run.lo[i] : r])])
+            if spelled[i]:
+                head[a] = np.concatenate([heads[i], lat.ids(run.e[run.lo[i] : r], run.p[run.lo[i] : r])])
+            else:  # the first ids of that turn's own
+                head[a] = out[a][t][1][: len(heads[i]) + r - run.lo[i]]
+            left.append((rest, v, t, i, [*taken, (r, edge[a])]))
+        rest, v = (np.array([x[c] for x in left]) for c in range(2))
+        ok = rest > -np.inf
+        below = np.full(len(left), -np.inf)
+        below[ok] = _below(rest[ok], v[ok], draws[ok, 2])
+        for a, x, (rest, _, t, i, taken) in zip(active, below.tolist(), left, strict=True):
             if rest > -np.inf:
-                pool[a].append((float(_below(np.array([rest]), np.array([v]), u[2])[0]), t, i, [*taken, (r, edge[a])]))
+                pool[a].append((x, t, i, taken))
     done = []
     for a in range(m):
         kappa = max((x[0] for x in pool[a]), default=-np.inf)
@@ -351,8 +407,9 @@ def _log_inclusion(x: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 50.0)))))
 
 
-#: Chunks kept between batches; the frequent ones are soon seen again.
-MOST_CHUNKS = 400_000
+#: Chunks kept between batches; beyond, those seen once are forgotten, and of the others all but the most
+#: frequent, so that half of the room is free.
+MOST_CHUNKS = 150_000
 
 
 class Coder:
@@ -362,15 +419,19 @@ class Coder:
         self.sp, self.k = load(model), k
         self.lat = Lattices(self.sp, alpha)
         self.lone = [self.sp.PieceToId(SPACE)]  # a space at a text's end
-        self.forget()
+        self.number, self.pieces, self.begin, self.seen = Numbers(), np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def forget(self) -> None:
-        self.number, self.pieces, self.begin, self.same = Numbers(), np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool)
-        self.lat.clear()
+        often = np.argsort(-self.seen, kind="stable")[: MOST_CHUNKS // 2]
+        often = np.sort(often[self.seen[often] > 1])
+        names, size = [*self.number], np.diff(self.begin)[often]
+        self.number = Numbers(zip([names[i] for i in often], range(len(often)), strict=True))
+        self.pieces, self.begin, self.seen = self.pieces[_runs(self.begin[often], size)], np.concatenate([[0], np.cumsum(size)]), self.seen[often]
+        self.lat.keep(often)
 
     def run(self, texts: list, keys: np.ndarray):
-        """For each text: number of pieces, their crc32, whether they decode to it (as each chunk's do: no piece
-        and no spelled character goes across a cut), the samples, the pieces."""
+        """For each text: number of pieces, their crc32, whether all of them decode to it, the samples (with
+        their pieces), the pieces."""
         if len(self.number) > MOST_CHUNKS:
             self.forget()
         known = len(self.number)
@@ -378,28 +439,27 @@ class Coder:
         fresh = list(itertools.islice(self.number, known, None))
         plain = [c.replace(SPACE, " ") for c in fresh]
         coded = [x if c else self.lone for x, c in zip(self.sp.encode(plain, num_threads=1), plain, strict=True)] if fresh else []
-        same = [a == b for a, b in zip(self.sp.decode(coded, num_threads=1), plain, strict=True)] if fresh else []
-        self.same = np.concatenate([self.same, np.array(same, bool)])
         self.pieces = np.concatenate([self.pieces, np.fromiter(itertools.chain.from_iterable(coded), np.int32)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
         self.lat.add([SPACE + c for c in fresh])
+        self.seen = np.append(self.seen, np.zeros(len(fresh), np.int64)) + np.bincount(np.concatenate([np.empty(0, np.int64), *lists]), minlength=len(self.number))
         with np.errstate(over="ignore"):
             seeds = mix64(keys.view(np.uint64) ^ np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64))
             sampled = sample_segmentations(self.lat, lists, seeds, self.k)
         for t, c, s in zip(texts, lists, sampled, strict=True):
             size = self.begin[c + 1] - self.begin[c]
-            ids = self.pieces[np.repeat(self.begin[c] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if len(c) else np.empty(0, np.int32)
-            same = bool(self.same[c].all())
+            ids = self.pieces[_runs(self.begin[c], size)] if len(c) else np.empty(0, np.int32)
             if t and SPACE in t:  # the model tells the character from a space, the chunks do not
                 ids = np.array(self.sp.encode(t), np.int32)
-                same = self.sp.decode(ids.tolist()) == t
-            yield len(ids), zlib.crc32(ids.tobytes()), same, [{"n_pieces": len(x), "log_prob": lp, "inclusion": np.exp(inc), "log_inclusion": inc, "crc32": zlib.crc32(x.astype(np.int32).tobytes())} for lp, inc, x in s], ids
+            same = self.sp.decode(ids) == t if t else True
+            yield len(ids), zlib.crc32(ids.tobytes()), same, [{"n_pieces": len(x), "log_prob": lp, "inclusion": np.exp(inc), "log_inclusion": inc, "crc32": zlib.crc32(x.tobytes()), "ids": x} for lp, inc, x in ((*y[:2], y[2].astype(np.int32)) for y in s)], ids
 
 
 def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_path: str = MODEL, key_cols: tuple = ("doc_id",), text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The columns of ``docs`` with _n_pieces, _pieces_crc32 (of the ids as 32-bit little-endian
     numbers), _round_trip (the ids decode to the text), _samples (array of n_pieces, log_prob,
-    inclusion, log_inclusion, crc32), and, if asked for, _ids. An input column of such a name gives way.
+    inclusion, log_inclusion, crc32), and, if asked for, _ids and in each sample its ids. Every text's whole
+    ids are decoded and compared with it. An input column of such a name gives way.
 
     The model's file is read by the driver and its bytes (under 1 MB) go with the code. Null and
     empty texts have no pieces and no samples; a text with fewer segmentations than k has all of
@@ -408,13 +468,14 @@ def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_pat
     table gives no rows.
     """
     model = open(model_path, "rb").read()
-    sample = T.StructType([T.StructField("n_pieces", T.IntegerType()), T.StructField("log_prob", T.DoubleType()), T.StructField("inclusion", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType()), T.StructField("crc32", T.LongType())])
+    sample = [T.StructField("n_pieces", T.IntegerType()), T.StructField("log_prob", T.DoubleType()), T.StructField("inclusion", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType()), T.StructField("crc32", T.LongType())]
+    sample = T.StructType(sample + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
     extra = [T.StructField("_n_pieces", T.LongType()), T.StructField("_pieces_crc32", T.LongType()), T.StructField("_round_trip", T.BooleanType()), T.StructField("_samples", T.ArrayType(sample))]
     extra += [T.StructField("_ids", T.ArrayType(T.IntegerType()))] * with_ids
     docs = without(docs, [f.name for f in extra])
     at = docs.columns.index(text_col)
     keyed = docs.withColumn(free_name(docs.columns, "_key"), F.xxhash64(*key_cols))
-    arrow = pa.list_(pa.struct([("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("crc32", pa.int64())]))
+    arrow = pa.list_(pa.struct([("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("log_inclusion", pa.float64()), ("crc32", pa.int64()), *[("ids", pa.list_(pa.int32()))] * with_ids]))
 
     def run(batches):
         coder = Coder(model, alpha, k)
@@ -434,7 +495,7 @@ def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_pat
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *[f.name for f in extra]])
                 s = e
                 del arrays, n, crc, same, samples, ids
-                release_memory()
+            release_memory()
 
     return keyed.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
