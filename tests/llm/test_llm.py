@@ -376,6 +376,27 @@ def test_neighbours_of_many_clusters(spark):
     assert hit >= 0.9 * 20 * 200
 
 
+def test_dense_groups_shrink_however_they_are_dealt(spark):
+    # the rebalanced partitions of a crowd are many and small here, as those of a large crowd are in a large session
+    from tidewatch.llm.components import _forests, connected_components, contracted
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rng = np.random.default_rng(5)
+        a, b = rng.integers(0, 400, 20_000), rng.integers(0, 400, 20_000)
+        edges = spark.createDataFrame(pd.DataFrame({"lo": np.minimum(a, b), "hi": np.maximum(a, b)})[a != b])
+        once = edges.hint("rebalance", F.col("lo")).mapInPandas(_forests(1 << 20), "lo long, hi long").distinct().count()
+        e, state = contracted(edges)
+        assert once > 5_000 and state[0] == e.count() < once / 2
+        assert {r.component for r in connected_components(edges, "lo", "hi").collect()} == {int(min(a.min(), b.min()))}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_pieces(spark, docs, none):
     sp = spm.load(open(spm.MODEL, "rb").read())
     out = spm.encode_and_sample(docs, with_ids=True).collect()

@@ -55,21 +55,38 @@ def _forests(batch: int):
     return run
 
 
+def contracted(e: DataFrame, batch: int = BATCH) -> tuple[DataFrame, tuple]:
+    """The edges (lo, hi) as forests of stars, and their ``_state``: first dealt by the smaller node, then as the files
+    of the table before come together in tasks, until a pass takes away less than a quarter. A node of a dense group
+    would else keep an edge for each task that its edges were dealt to."""
+    kind = dict(e.dtypes)["lo"]
+    join = lambda x: durable(x.mapInPandas(_forests(batch), f"lo {kind}, hi {kind}").distinct(), "edges")
+    e = join(e.hint("rebalance", F.col("lo")))
+    state = _state(e)
+    while state[0]:
+        less = join(e)
+        now = _state(less)
+        done = 4 * now[0] > 3 * state[0]
+        if now[0] < state[0]:
+            e, state = less, now
+        if done:
+            break
+    return e, state
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200, batch: int = BATCH) -> DataFrame:
     """(node, component) for every node of an edge: component is the smallest node reachable.
 
     Partitions first join the edges they have into forests of stars, ``batch`` edges at a time, so that dense groups
-    shrink to an edge a node, and small graphs are done. Edges are dealt by their smaller node, in partitions of
-    about equal size, those of a hot node to several. Each round then hangs every node's larger neighbours on
+    shrink to a few edges a node, and small graphs are done (``contracted``). Edges are dealt by their smaller node, in
+    partitions of about equal size, those of a hot node to several. Each round then hangs every node's larger neighbours on
     its smallest neighbour (large star), then its smaller ones (small star), by one plan at every size; a
     forest of stars is left after about log(n) rounds. Every step is a grouped minimum and a join; rounds are
     cut by tables in the shared folder. Nulls and self-loops are dropped; no edges give no rows. It raises if
     ``most_rounds`` are not enough, rather than give unfinished components.
     """
     e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    kind = dict(e.dtypes)["lo"]
-    e = durable(e.hint("rebalance", F.col("lo")).mapInPandas(_forests(batch), f"lo {kind}, hi {kind}").distinct(), "edges")
-    state = _state(e)
+    e, state = contracted(e, batch)
     for turn in range(most_rounds + 1):
         if not state[0]:
             break
