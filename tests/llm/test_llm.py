@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,6 +377,48 @@ def test_neighbours_of_many_clusters(spark):
     assert hit >= 0.9 * 20 * 200
 
 
+def test_neighbours_of_few_rows_take_few_tasks(spark):
+    """A small table in a session of many shuffle partitions: tasks are as many as there is work, not partitions."""
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held if spark.conf.get(k, None) is not None}
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few", "few rows")
+        got = nearest(df, every=10, k=5, beam=64, width=8).collect()
+        stages = {n for j in tracker.getJobIdsForGroup("few") for n in tracker.getJobInfo(j).stageIds}
+        ran = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k in held:
+            spark.conf.set(k, old[k]) if k in old else spark.conf.unset(k)
+    hit = 0
+    for q in range(0, 300, 10):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 150 and hit >= 0.9 * 150
+    assert ran < 1_500
+
+
+def test_visits_of_a_search_are_the_best_open_candidates():
+    """The next nodes to visit are listed and closed where lists are merged; a hub's many links are thinned batch by batch."""
+    from tidewatch.llm.ann import _merged, _thinned
+
+    state = pa.table({"blk": [0, 0], "id": [7, 3], "vec": [b"a", b"b"], "ids": [[1, 2, 5], [4]], "scores": [[0.9, 0.8, 0.1], [0.5]], "open": [[False, True, True], [False]]})
+    found = pa.table({"id": [7, 3], "node": [1, 4], "ids": [[1, 9, 2], [6]], "scores": [[0.7, 0.75, 0.6], [0.6]]})
+    rows = {r["id"]: r for r in _merged(4, 2)(state, found).to_pylist()}
+    assert (rows[7]["ids"], rows[7]["go"], rows[7]["open"]) == ([2, 9, 1, 5], [2, 9], [False, False, False, True])
+    assert (rows[3]["ids"], rows[3]["go"], rows[3]["open"]) == ([6, 4], [6], [False, False])
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(1000), pa.int64()), "ids": [[5, 10 + i] for i in range(1000)], "open": [[i >= 997, True] for i in range(1000)]})
+    out = pa.Table.from_batches(_thinned(20)([batch])).to_pylist()
+    hub = [r for r in out if r["m"] == 5]
+    assert len(out) == 1020 and len(hub) == 20 and {997, 998, 999} == {r["id"] for r in hub if not r["old"]}
+
+
 def test_dense_groups_shrink_however_they_are_dealt(spark):
     # the rebalanced partitions of a crowd are many and small here, as those of a large crowd are in a large session
     from tidewatch.llm.components import _forests, connected_components, contracted

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, bucketed, durable, partitions
+from .common import MASK, bucketed, durable, fewer, mix64, partitions
 from .embed_dedup import usable
 
 #: Nodes of a graph block, and queries of a search block: what one group of a task holds.
 HUBS, ASKERS = 256, 64
+#: Nodes, or a search's requests for a node, for a task of a small table.
+TASK = 1024
 LISTS = "ids array<long>, scores array<double>, open array<boolean>"
 
 
@@ -78,9 +80,10 @@ def _best(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, open_: np.ndar
     return owner[o], ids[o], scores[o], open_[o]
 
 
-def _merged(keep: int):
+def _merged(keep: int, width: int):
     """Of a block: the lists of (id, vec, ids, scores, open), after what was found for them. An id met
-    before stays as it was, but for a node just visited (``node``): its own product is exact."""
+    before stays as it was, but for a node just visited (``node``): its own product is exact. The ``width``
+    best open entries are closed and listed in ``go``, as those to visit next."""
 
     def run(state: pa.Table, found: pa.Table) -> pa.Table:
         id_ = state["id"].to_numpy()
@@ -94,14 +97,19 @@ def _merged(keep: int):
         before = np.concatenate([np.ones(len(own), np.int8), np.where(visited, 0, 2).astype(np.int8)])
         owner, ids, score, flag = _best(np.concatenate([own, owner]).astype(np.int64), np.concatenate([old, got]).astype(np.int64), score, flag, before, keep)
         size = np.bincount(owner, minlength=len(id_))
-        lists = [_lists(size, ids, pa.int64()), _lists(size, score, pa.float64()), _lists(size, flag, pa.bool_())]
-        return pa.table([state["blk"], state["id"], state["vec"], *lists], names=["blk", "id", "vec", "ids", "scores", "open"])
+        nth = np.cumsum(flag)
+        nth -= np.append(0, nth)[np.searchsorted(owner, owner)]
+        go = flag & (nth <= width)
+        lists = [_lists(size, ids, pa.int64()), _lists(size, score, pa.float64()), _lists(size, flag & ~go, pa.bool_())]
+        lists.append(_lists(np.bincount(owner[go], minlength=len(id_)), ids[go], pa.int64()))
+        return pa.table([state["blk"], state["id"], state["vec"], *lists], names=["blk", "id", "vec", "ids", "scores", "open", "go"])
 
     return run
 
 
-def _merge(state: DataFrame, found: DataFrame, keep: int) -> DataFrame:
-    return state.select("blk", "id", "vec", "ids", "scores", "open").groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_merged(keep), f"blk int, id long, vec binary, {LISTS}")
+def _merge(state: DataFrame, found: DataFrame, keep: int, tasks: int, width: int = 0) -> DataFrame:
+    both = state.select("blk", "id", "vec", "ids", "scores", "open").groupBy("blk").cogroup(found.groupBy("blk"))
+    return fewer(both.applyInArrow(_merged(keep, width), f"blk int, id long, vec binary, {LISTS}, go array<long>"), tasks)
 
 
 def _block(id_: str, blocks: int):
@@ -114,7 +122,7 @@ def cells(vectors: DataFrame, count: int, leaf: int = 512, trees: int = 4, seed:
     A cell of over 2 * leaf rows is cut by three further planes through its own mean, again and again;
     only rows that no plane tells apart are parted by a hash.
     """
-    bits = max(0, int(np.log2(max(1, count / leaf))))
+    bits, tasks = max(0, int(np.log2(max(1, count / leaf)))), -(-trees * count // TASK)
     width = len(vectors.select("vec").first().vec) - 16
     planes = np.random.default_rng(seed).standard_normal((trees, max(1, bits), width + 1))
 
@@ -135,7 +143,7 @@ def cells(vectors: DataFrame, count: int, leaf: int = 512, trees: int = 4, seed:
 
     done, coded, before = None, durable(vectors.select("id", "vec").mapInPandas(codes, "tree int, code long, id long, vec binary"), "codes"), None
     for depth in itertools.count():
-        sizes = durable(coded.groupBy("tree", "code").agg(F.count("*").alias("size")), "sizes")
+        sizes = durable(fewer(coded.groupBy("tree", "code").agg(F.count("*").alias("size")), tasks), "sizes")
         hot = sizes.where(F.col("size") > 2 * leaf)
         now = hot.agg(F.count("*").alias("n"), F.max("size").alias("most"), F.sum("size").alias("all")).first()
         cool = coded.join(sizes.where(F.col("size") <= 2 * leaf).drop("size"), ["tree", "code"]).withColumn("part", F.lit(0))
@@ -154,7 +162,7 @@ def cells(vectors: DataFrame, count: int, leaf: int = 512, trees: int = 4, seed:
         cut = durable(coded.join(hot, ["tree", "code"]).select("tree", "code", "id", "vec").mapInPandas(project, "tree int, code long, id long, vec binary, p0 double, p1 double, p2 double"), "cut")
         means = cut.groupBy("tree", "code").agg(*[F.avg(f"p{i}").alias(f"m{i}") for i in range(3)])
         side = F.xxhash64("code", *[F.col(f"p{i}") > F.col(f"m{i}") for i in range(3)])
-        coded = durable(cut.join(means, ["tree", "code"]).select("tree", side.alias("code"), "id", "vec"), "codes")
+        coded = durable(fewer(cut.join(means, ["tree", "code"]).select("tree", side.alias("code"), "id", "vec"), tasks), "codes")
     if now.n:
         parts = hot.select("tree", "code", F.ceil(F.col("size") / (2 * leaf)).cast("int").alias("parts"))
         rest = coded.join(parts, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int")).drop("parts")
@@ -162,17 +170,29 @@ def cells(vectors: DataFrame, count: int, leaf: int = 512, trees: int = 4, seed:
     return done
 
 
-def _at_most(edges: DataFrame, n: int) -> DataFrame:
-    """(m, e): of each m's edges (m, id, open), the n first by (not open, hash); a hub's many are first thinned in 16 parts."""
-    keyed = edges.select("m", F.struct((~F.col("open")).alias("old"), F.xxhash64("id", "m").alias("r"), "id").alias("e"))
-    some = keyed.groupBy("m", F.pmod(F.col("e.r"), F.lit(16)).alias("p")).agg(F.slice(F.sort_array(F.collect_list("e")), 1, n).alias("e"))
-    return some.groupBy("m").agg(F.slice(F.sort_array(F.flatten(F.collect_list("e"))), 1, n).alias("e"))
+def _thinned(n: int):
+    """Of a batch of (id, ids, open): the links (m, old, r, id) from id to m, for each m the ``n`` first by (old, r)."""
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, m = _flat(batch["ids"])
+            id_, old = batch["id"].to_numpy()[row], ~_flat(batch["open"])[1].astype(bool)
+            r = mix64(mix64(m.astype(np.int64).view(np.uint64)) ^ id_.astype(np.int64).view(np.uint64)).view(np.int64)
+            o = np.lexsort((r, old, m))
+            o = o[np.arange(len(o)) - np.searchsorted(m[o], m[o]) < n]
+            yield pa.RecordBatch.from_arrays([pa.array(m[o], pa.int64()), pa.array(old[o]), pa.array(r[o]), pa.array(id_[o], pa.int64())], names=["m", "old", "r", "id"])
 
-def _guests(state: DataFrame, cap: int) -> DataFrame:
-    """(hub, id, open): each capped link as two visits, each end as the guest of the other."""
-    links = state.select("id", F.explode(F.arrays_zip("ids", "open")).alias("x")).select("id", F.col("x.ids").alias("m"), F.col("x.open").alias("open"))
-    kept = _at_most(links, cap).select("m", F.explode("e").alias("e")).select("m", F.col("e.id").alias("id"), (~F.col("e.old")).alias("open"))
+    return run
+
+
+def _guests(state: DataFrame, cap: int, tasks: int) -> DataFrame:
+    """(hub, id, open): each link as two visits, each end as the guest of the other; of the links to a node,
+    the ``cap`` first by (not open, hash) count. A hub's many are thinned in each batch before they meet."""
+    links = state.select("id", "ids", "open").mapInArrow(_thinned(cap), "m long, old boolean, r long, id long")
+    kept = fewer(links.groupBy("m").agg(F.slice(F.sort_array(F.collect_list(F.struct("old", "r", "id"))), 1, cap).alias("e")), tasks)
+    kept = kept.select("m", F.explode("e").alias("e")).select("m", F.col("e.id").alias("id"), (~F.col("e.old")).alias("open"))
     return kept.select(F.explode(F.array(F.struct(F.col("m").alias("hub"), "id", "open"), F.struct(F.col("id").alias("hub"), F.col("m").alias("id"), "open"))).alias("x")).select("x.*")
 
 
@@ -220,7 +240,7 @@ def build_graph(vectors: DataFrame, count: int, degree: int = 20, trees: int = 4
     The second table, (id, ids, scores), holds for rows with ``asks`` the best ``seeds`` rows of each of
     their cells by the product without the last coordinate, and the row itself.
     """
-    blocks = max(1, -(-count // HUBS))
+    blocks, tasks = max(1, -(-count // HUBS)), -(-count // TASK)
     leaves = cells(vectors.select("id", "vec"), count, leaf, trees, seed).join(vectors.where("asks").select("id", F.lit(True).alias("asks")), "id", "left")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -251,7 +271,8 @@ def build_graph(vectors: DataFrame, count: int, degree: int = 20, trees: int = 4
                 first[a], first_s[a] = ids[t], q[i, t]
         return pd.DataFrame(out | {"seeds": pd.Series(first, dtype=object), "seed_scores": pd.Series(first_s, dtype=object)})
 
-    found = durable(leaves.groupBy("tree", "code", "part").applyInPandas(meet, "id long, near array<long>, s array<double>, far array<long>, seeds array<long>, seed_scores array<double>"), "found")
+    met = leaves.groupBy("tree", "code", "part").applyInPandas(meet, "id long, near array<long>, s array<double>, far array<long>, seeds array<long>, seed_scores array<double>")
+    found = durable(fewer(met, trees * tasks), "found")
 
     def top(ids: str, scores: str, n: int):
         """The n best of a row's few lists, as (s, id)."""
@@ -261,24 +282,24 @@ def build_graph(vectors: DataFrame, count: int, degree: int = 20, trees: int = 4
     starts = found.where("seeds is not null").groupBy("id").agg(top("seeds", "seed_scores", trees * (seeds + 1))).select("id", F.expr("transform(top, x -> x.id)").alias("ids"), F.expr("transform(top, x -> x.s)").alias("scores"))
     start = found.groupBy("id").agg(top("near", "s", degree))
     state = vectors.select("id", "vec").join(start, "id").select(_block("id", blocks).alias("blk"), "id", "vec", F.expr("transform(top, x -> x.id)").alias("ids"), F.expr("transform(top, x -> x.s)").alias("scores"), F.expr("transform(top, x -> true)").alias("open"))
-    state = durable(state, "graph")
+    state = durable(fewer(state, tasks), "graph")
     while True:
         floor = F.when(F.size("scores") >= degree, F.element_at("scores", -1)).otherwise(float("-inf"))
-        visits = _guests(state, degree).join(state.select("id", "vec", floor.alias("floor")), "id").withColumn("hubs", _block("hub", blocks))
-        better = visits.groupBy("hubs").applyInArrow(_local_join(per, blocks), "id long, ids array<long>, scores array<double>")
-        state = durable(_merge(state.withColumn("open", F.transform("open", lambda x: F.lit(False))), better.withColumn("blk", _block("id", blocks)), degree), "graph")
+        visits = fewer(_guests(state, degree, tasks).join(state.select("id", "vec", floor.alias("floor")), "id"), tasks).withColumn("hubs", _block("hub", blocks))
+        better = fewer(visits.groupBy("hubs").applyInArrow(_local_join(per, blocks), "id long, ids array<long>, scores array<double>"), tasks)
+        state = durable(_merge(state.withColumn("open", F.transform("open", lambda x: F.lit(False))), better.withColumn("blk", _block("id", blocks)), degree, tasks), "graph")
         new = state.agg(F.sum(F.size(F.filter("open", lambda x: x))).alias("new"), F.sum(F.size("ids")).alias("all")).first()
         if (new.new or 0) <= still * (new.all or 0):
             break
-    links = _guests(state, degree).select("hub", "id").union(state.select("id", F.explode("ids").alias("m"))).union(found.select("id", F.explode("far").alias("m")))
-    return links.toDF("id", "m").distinct(), starts
+    links = _guests(state, degree, tasks).select("hub", "id").union(state.select("id", F.explode("ids").alias("m"))).union(found.select("id", F.explode("far").alias("m")))
+    return fewer(links.toDF("id", "m").distinct(), tasks), starts
 
 
 def _neighbourhoods(links: DataFrame, vectors: DataFrame, count: int) -> DataFrame:
     """(node, vec, near, codes): a row for each node, with its own vector and its neighbours in whole
     steps from it, so that near copies are told apart. ``vectors`` is (id, x), x of float32."""
-    blocks = max(1, -(-count // HUBS))
-    visits = links.join(vectors.select(F.col("id").alias("m"), "x"), "m").select("id", "m", "x").union(vectors.select("id", F.col("id").alias("m"), "x"))
+    blocks, tasks = max(1, -(-count // HUBS)), -(-count // TASK)
+    visits = fewer(links.join(vectors.select(F.col("id").alias("m"), "x"), "m"), tasks).select("id", "m", "x").union(vectors.select("id", F.col("id").alias("m"), "x"))
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("m", "ascending")])
@@ -297,7 +318,7 @@ def _neighbourhoods(links: DataFrame, vectors: DataFrame, count: int) -> DataFra
         codes = pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
         return pa.table([pa.array(one, pa.int64()), _blobs(own), _lists(size, m, pa.int64()), codes], names=["node", "vec", "near", "codes"])
 
-    return visits.withColumn("blk", _block("id", blocks)).groupBy("blk").applyInArrow(pack, "node long, vec binary, near array<long>, codes binary")
+    return fewer(visits.withColumn("blk", _block("id", blocks)).groupBy("blk").applyInArrow(pack, "node long, vec binary, near array<long>, codes binary"), tasks)
 
 
 def _expand(batches):
@@ -326,19 +347,18 @@ def _expand(batches):
 
 
 def _search(state: DataFrame, links: DataFrame, vectors: DataFrame, count: int, beam: int, width: int, left: float, asking: int) -> DataFrame:
-    """The state (blk, id, vec, ids, scores, open) after greedy search."""
+    """The state (blk, id, vec, ids, scores, open, go) after greedy search."""
     n = partitions(state.sparkSession)
     graph = bucketed(_neighbourhoods(links, vectors, count).repartition(n, "node"), "node", n, "graph")
+    tasks, most = -(-asking // ASKERS), -(-asking * width // TASK)
     while True:
-        # the best candidates not yet expanded are marked, and their neighbours asked for
-        fresh = F.expr(f"slice(filter(sequence(0, size(ids) - 1), i -> open[i]), 1, {width})")
-        state = state.withColumn("_go", F.when(F.size("ids") > 0, fresh).otherwise(F.array().cast("array<int>")))
+        # the nodes in go are asked for their neighbours
         floor = F.when(F.size("scores") >= beam, F.element_at("scores", -1)).otherwise(float("-inf"))
-        asks = state.select("blk", "id", F.col("vec").alias("q"), floor.alias("floor"), F.explode(F.expr("transform(_go, i -> ids[i])")).alias("node"))
-        found = asks.join(graph, "node").select("blk", "id", "node", "q", "floor", "vec", "near", "codes").mapInArrow(_expand, "blk int, id long, node long, ids array<long>, scores array<double>")
-        state = state.withColumn("open", F.expr("transform(open, (o, i) -> o and i > coalesce(array_max(_go), -1))")).drop("_go")
-        state = durable(_merge(state, found, beam), "search")
-        if state.where(F.exists("open", lambda x: x)).count() <= left * asking:
+        asks = state.select("blk", "id", F.col("vec").alias("q"), floor.alias("floor"), F.explode("go").alias("node"))
+        met = fewer(asks.join(graph, "node").select("blk", "id", "node", "q", "floor", "vec", "near", "codes"), most)
+        found = met.mapInArrow(_expand, "blk int, id long, node long, ids array<long>, scores array<double>")
+        state = durable(_merge(state, found, beam, tasks, width), "search")
+        if state.where(F.size("go") > 0).count() <= left * asking:
             return state
 
 
@@ -366,18 +386,21 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 448, w
 def _nearest(rows: DataFrame, every: int, k: int, beam: int, width: int, left: float, graph: dict) -> DataFrame:
     nodes = durable(rows.groupBy("v").agg(F.min("id").alias("id")), "nodes")
     count = nodes.count()
-    named = rows.join(nodes.select("v", F.col("id").alias("node")), "v").select("node", "id")
+    tasks = -(-count // TASK)
+    named = durable(fewer(rows.join(nodes.select("v", F.col("id").alias("node")), "v").select("node", "id"), tasks), "named")
 
     def least(batches):
         for pdf in batches:
             if len(pdf):
-                yield pdf.drop_duplicates().sort_values(["node", "id"]).groupby("node").head(k + 1)
+                pdf = pdf.drop_duplicates().sort_values(["node", "id"])
+                asks = (pdf.id % every == 0).groupby(pdf.node).transform("any")
+                yield pdf.assign(asks=asks).groupby("node").head(k + 1)
 
-    few = named.mapInPandas(least, "node long, id long").groupBy("node", F.pmod(F.xxhash64("id"), F.lit(64)).alias("p")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("c"))
-    copies = few.groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list("c"))), 1, k + 1).alias("copies"))
-    query_nodes = named.where(F.col("id") % every == 0).select(F.col("node").alias("id"), F.lit(True).alias("asks")).distinct()
-    nodes = durable(nodes.join(copies, nodes["id"] == copies["node"]).select("id", "v", "copies").join(query_nodes, "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "nodes")
-    longest = nodes.agg(F.max(F.expr("sqrt(aggregate(v, cast(0 as double), (a, x) -> a + cast(x as double) * x))"))).first()[0]
+    few = named.mapInPandas(least, "node long, id long, asks boolean").groupBy("node", F.pmod(F.xxhash64("id"), F.lit(64)).alias("p")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("c"), F.max("asks").alias("asks"))
+    copies = fewer(few, tasks).groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list("c"))), 1, k + 1).alias("copies"), F.max("asks").alias("asks"))
+    nodes = durable(fewer(nodes.join(copies, nodes["id"] == copies["node"]).select("id", "v", "copies", "asks"), tasks), "nodes")
+    norm = F.expr("sqrt(aggregate(v, cast(0 as double), (a, x) -> a + cast(x as double) * x))")
+    longest, asking = nodes.agg(F.max(norm), F.count_if("asks")).first()
 
     def lift(batches):
         for pdf in batches:
@@ -388,10 +411,9 @@ def _nearest(rows: DataFrame, every: int, k: int, beam: int, width: int, left: f
 
     lifted = durable(nodes.select("id", "v", "asks").mapInPandas(lift, "id long, vec binary, x binary, asks boolean"), "lifted")
     links, starts = build_graph(lifted.select("id", "vec", "asks"), count, **graph)
-    asking = query_nodes.count()
     blocks = max(1, -(-asking // ASKERS))
-    state = lifted.where("asks").join(starts, "id").select(_block("id", blocks).alias("blk"), "id", F.col("x").alias("vec"), "ids", "scores", F.transform("ids", lambda x: F.lit(True)).alias("open"))
-    state = _search(durable(state, "search"), links, lifted.select("id", "x"), count, beam, width, left, asking)
+    state = lifted.where("asks").join(starts, "id").select(_block("id", blocks).alias("blk"), "id", F.col("x").alias("vec"), "ids", "scores", F.transform("ids", lambda x, i: i >= width).alias("open"), F.slice("ids", 1, width).alias("go"))
+    state = _search(durable(fewer(state, blocks), "search"), links, lifted.select("id", "x"), count, beam, width, left, asking)
     # the query's own node is a candidate through its copies
     hits = state.select(F.col("id").alias("node"), F.explode(F.array_union(F.slice("ids", 1, 4 * k), F.array("id"))).alias("hit"))
 
@@ -401,10 +423,10 @@ def _nearest(rows: DataFrame, every: int, k: int, beam: int, width: int, left: f
             return pd.Series([], dtype=float)
         return pd.Series(np.einsum("ij,ij->i", np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)))
 
-    scored = hits.join(nodes.select(F.col("id").alias("hit"), F.col("v").alias("w"), "copies"), "hit").join(nodes.select(F.col("id").alias("node"), "v"), "node")
-    scored = scored.select("node", product("v", "w").alias("score"), "copies")
+    scored = fewer(hits.join(nodes.select(F.col("id").alias("hit"), F.col("v").alias("w"), "copies"), "hit"), tasks).join(nodes.select(F.col("id").alias("node"), "v"), "node")
+    scored = fewer(scored, tasks).select("node", product("v", "w").alias("score"), "copies")
     flat = scored.select("node", "score", F.explode("copies").alias("vec_id"))
     best = flat.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))  # at most (4k + 1)(k + 1) a node
     queries = named.where(F.col("id") % every == 0).select("node", F.col("id").alias("query_id")).distinct()
-    own = queries.join(best, "node").select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    own = fewer(queries.join(best, "node"), tasks).select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -89,6 +89,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fewer(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` in no more than ``tasks`` tasks (two for each core at least): a small table leaves most shuffle
+    partitions of a large session empty, and several are then read by one task. Nothing is moved; a table
+    with work for all partitions stays as it is dealt."""
+    spark = df.sparkSession
+    tasks = max(tasks, 2 * spark.sparkContext.defaultParallelism)
+    return df.coalesce(tasks) if tasks < partitions(spark) else df
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text, unchanged."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
