@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import textwrap
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -490,6 +491,40 @@ def test_forgotten_chunks_change_nothing(monkeypatch):
     assert few == many and left < held
 
 
+def test_lattices_are_set_up_fast_and_right():
+    """Every task sets the lattices up anew; hashes of all pieces and of their beginnings are worked out by length."""
+    sp, took = spm.load(open(spm.MODEL, "rb").read()), []
+    for _ in range(3):
+        began = time.process_time()
+        lat = spm.Lattices(sp, 0.7)
+        took.append(time.process_time() - began)
+    slow = time.process_time()
+    pieces = {i: sp.IdToPiece(i) for i in range(sp.GetPieceSize()) if not (sp.IsControl(i) or sp.IsUnknown(i) or sp.IsByte(i) or sp.IsUnused(i))}
+    texts = ["▁" + w for w in ("beginnings of the pieces, 日本語 \n\ud800\ud83d\ude00 naïve e\u0301" * 2).split(" ")]
+    by_text, most = {x: i for i, x in pieces.items()}, max(map(len, pieces.values()))
+    hashed = 0
+    for x in pieces.values():  # as long as setting up one by one takes
+        for c in x:
+            hashed = (hashed * int(spm._BASE) + ord(c) + 1) & spm.MASK
+    slow = time.process_time() - slow
+    assert min(took) < 10 * slow
+    lat.build(texts)
+    for c, at in zip(texts, lat.start, strict=True):
+        for n in range(len(c)):
+            want = {(k, by_text[c[n : n + k]]) for k in range(1, min(most, len(c) - n) + 1) if c[n : n + k] in by_text}
+            if not any(k == 1 for k, _ in want):
+                want.add((1, -1))
+            e = slice(lat.ptr[at + n], lat.ptr[at + n + 1])
+            assert set(zip(lat.step[e].tolist(), lat.piece[e].tolist(), strict=True)) == want
+    assert all(lat.weights[i] == pytest.approx(-0.7 * math.log(i + 2)) for i in pieces)
+    edges = np.flatnonzero(lat.piece < 0)
+    places = np.searchsorted(lat.ptr, edges, side="right") - 1
+    ids, begin = lat.ids(edges, places)
+    for n, p in enumerate(places):
+        assert ids[begin[n] : begin[n + 1]].tolist() == lat.byte[list(chr(lat.codes[p]).encode("utf-8", "surrogatepass"))].tolist()
+    assert begin[-1] == len(ids) > len(edges)
+
+
 def test_samples_follow_the_distribution():
     sp = spm.load(open(spm.MODEL, "rb").read())
     lat = spm.Lattices(sp, 0.3)

@@ -65,6 +65,11 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return ((h * _GOLD) >> np.uint64(48)).astype(np.int64)
 
 
+def _utf8_size(code: np.ndarray) -> np.ndarray:
+    """How many bytes characters take."""
+    return 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+
+
 class Lattices:
     """The piece lattices of chunks, kept while they are few: for each place, its edges with conditional
     probabilities."""
@@ -81,19 +86,18 @@ class Lattices:
             if sp.IsControl(i) or sp.IsUnknown(i) or sp.IsByte(i) or sp.IsUnused(i):
                 continue
             piece = sp.IdToPiece(i)
-            weights[i] = -alpha * np.log(i + 2.0)
-            hashes, ids = by_length.setdefault(len(piece), ([], []))
-            hashes.append(self._hash(np.array([*map(ord, piece)], np.uint64)))
+            pieces, ids = by_length.setdefault(len(piece), ([], []))
+            pieces.append(piece)
             ids.append(i)
         self.weights, self.tables = weights, {}
         self.longer = np.zeros((max(by_length) + 1, 1 << 16), bool)  # may be the start of a longer piece
-        for i in np.flatnonzero(np.isfinite(weights)):
-            h = np.zeros(1, np.uint64)
-            for length, c in enumerate(sp.IdToPiece(int(i))[:-1], 1):
-                h = h * _BASE + np.uint64(ord(c) + 1)
-                self.longer[length, _bits(h)] = True
-        for length, (hashes, ids) in by_length.items():
-            h, ids = np.array(hashes, np.uint64), np.array(ids, np.int64)
+        for length, (pieces, ids) in by_length.items():
+            h, ids = np.zeros(len(ids), np.uint64), np.array(ids, np.int64)
+            weights[ids] = -alpha * np.log(ids + 2.0)
+            for n, c in enumerate(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).reshape(-1, length).T.astype(np.uint64), 1):
+                h = h * _BASE + c + np.uint64(1)
+                if n < length:
+                    self.longer[n, _bits(h)] = True
             bits = _bits(h)
             o = np.argsort(bits, kind="stable")
             slot = np.full(1 << 16, -1, np.int32)  # the first of the pieces with such bits; most lookups end here
@@ -103,13 +107,6 @@ class Lattices:
         self.byte_weight = -alpha * np.log(sp.GetPieceSize() + 2.0)
         self.clear()
 
-    @staticmethod
-    def _hash(codes: np.ndarray) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in codes:
-            h = h * _BASE + c + np.uint64(1)
-        return h[0]
-
     def clear(self) -> None:
         """Forgets all chunks."""
         kinds = dict(start=np.int64, codes=np.uint32, rest=np.int32, ptr=np.int64, step=np.int32, piece=np.int32)
@@ -188,8 +185,7 @@ class Lattices:
         level = rest[place].astype(np.uint16 if rest.max() < 1 << 16 else np.int64)
         back = np.argsort(level, kind="stable")  # from the chunks' ends backward
         code = codes[place]
-        size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
-        w = np.where(piece >= 0, self.weights[np.maximum(piece, 0)], self.byte_weight * size)
+        w = np.where(piece >= 0, self.weights[np.maximum(piece, 0)], self.byte_weight * _utf8_size(code))
         mass = np.zeros(n + 1)
         level, at, to, v = level[back], place[back], place[back] + step[back], w[back]
         to[step[back] == level] = n  # the chunk's end, whose mass is 0
@@ -230,18 +226,18 @@ class Lattices:
             todo = todo[u[todo] >= self.cum[e[todo]]]
         return e
 
-    def ids(self, edges: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The piece ids along edges; characters without a piece as their bytes."""
+    def ids(self, edges: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids along edges, characters without a piece as their bytes; where each edge's begin, and the end."""
         ids = self.piece[edges]
         bare = ids < 0
         if not bare.any():
-            return ids
-        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in self.codes[places[bare]].tolist()]
+            return ids, np.arange(len(ids) + 1)
+        code = self.codes[places[bare]]
         size = np.ones(len(ids), np.int64)
-        size[bare] = [*map(len, spelled)]
+        size[bare] = _utf8_size(code)
         out = np.repeat(ids, size)
-        out[out < 0] = self.byte[np.frombuffer(b"".join(spelled), np.uint8)]
-        return out
+        out[out < 0] = self.byte[np.frombuffer(code.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)]
+        return out, np.concatenate([[0], np.cumsum(size)])
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -326,7 +322,8 @@ class Descent:
             edges = self._beside(lat, r, taken)
             w[r - lo] = np.exp(self.prefix[r] - self.top[i]) * np.exp(lat.logp[edges]).sum()
         cum = np.cumsum(w)
-        r = lo + int(min(np.searchsorted(cum, u * cum[-1], side="right"), np.flatnonzero(w)[-1]))
+        r = int(np.searchsorted(cum, u * cum[-1], side="right"))
+        r = lo + (r if r < len(w) else int(np.flatnonzero(w)[-1]))
         edges = self._beside(lat, r, taken)
         q = np.exp(lat.logp[edges])
         k = int(min(np.searchsorted(np.cumsum(q), v * q.sum(), side="right"), len(q) - 1))
@@ -351,7 +348,7 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
     place[active] = lat.start[chunk[first[active]]]
     edge = np.full(m, -1, np.int64)  # the edge that a branch begins with
     head: list[np.ndarray] = [np.empty(0, np.int64)] * m  # the ids before it
-    history: list[tuple[Descent, np.ndarray, list, np.ndarray]] = []
+    history: list[tuple[Descent, np.ndarray, list, np.ndarray, np.ndarray]] = []
     pool: list[list] = [[] for _ in range(m)]  # (bound, turn, number in it, edges taken): what is left beside a path
     out: list[list] = [[] for _ in range(m)]
     for turn in range(k):
@@ -362,11 +359,10 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
         keys = mix64(np.repeat(seeds[active] + np.uint64((turn + 1) * int(_BASE)), count) + (number.astype(np.uint64) + np.uint64(2)) * _GOLD)
         run = Descent(lat, chunk[np.repeat(first[active], count) + number], count, keys, phi[active], place[active], edge[active])
         best = _below(run.mass, bound[active], _uniform(seeds[active], 1000 * turn + 17))
-        spelled = np.add.reduceat(lat.piece[run.e] < 0, run.lo) > 0
-        history.append((run, number, [head[a] for a in active], spelled))
-        for i, a in enumerate(active):
-            lo, hi = run.lo[i], run.hi[i]
-            own = lat.ids(run.e[lo:hi], run.p[lo:hi]) if spelled[i] else lat.piece[run.e[lo:hi]]
+        ids, begin = lat.ids(run.e, run.p)
+        history.append((run, number, [head[a] for a in active], ids, begin))
+        for i, (a, lo, hi) in enumerate(zip(active, begin[run.lo].tolist(), begin[run.hi].tolist(), strict=True)):
+            own = ids[lo:hi]
             out[a].append((run.total[i], np.concatenate([head[a], own]) if len(head[a]) else own))
             if best[i] > -np.inf:
                 pool[a].append((best[i], turn, i, []))
@@ -378,14 +374,12 @@ def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarra
         left = []
         for a, (u, w, _) in zip(active, draws.tolist(), strict=True):
             v, t, i, taken = pool[a].pop()
-            run, number, heads, spelled = history[t]
+            run, number, heads, ids, begin = history[t]
             r, edge[a], phi[a], rest = run.pick(lat, i, taken, u, w)
             bound[a], place[a] = v, run.p[r]
             skip[a] = number[np.searchsorted(run.first, r, side="right") - 1]
-            if spelled[i]:
-                head[a] = np.concatenate([heads[i], lat.ids(run.e[run.lo[i] : r], run.p[run.lo[i] : r])])
-            else:  # the first ids of that turn's own
-                head[a] = out[a][t][1][: len(heads[i]) + r - run.lo[i]]
+            before = ids[begin[run.lo[i]] : begin[r]]
+            head[a] = np.concatenate([heads[i], before]) if len(heads[i]) else before
             left.append((rest, v, t, i, [*taken, (r, edge[a])]))
         rest, v = (np.array([x[c] for x in left]) for c in range(2))
         ok = rest > -np.inf
