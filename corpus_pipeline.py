@@ -10,11 +10,12 @@ from tidewatch.llm.mix import mix_sources
 from tidewatch.llm.quality import document_statistics, fit_quality, scored_texts
 from tidewatch.llm.spm import encode_and_sample
 from tidewatch.llm.substring import remove_repeats
-from tidewatch.llm.common import durable, once
+from tidewatch.llm.common import durable, lean_batches, once
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from this input's labelled rows."""
+    lean_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(durable(document_statistics(docs), "stats"), labels)
     return scored_texts(docs, model).where("_score >= 0.3").select(docs.columns)
@@ -23,12 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id; repeats of one row (same id
     and text) stay once. Rows without id are no one's copies."""
+    lean_batches(spark)
     copies = near_duplicates(docs).where(~F.col("kept") & F.col("component_id").isNotNull()).select("doc_id").distinct()
     return once(docs.join(copies, "doc_id", "left_anti").select(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that an earlier one has too."""
+    lean_batches(spark)
     cut = remove_repeats(docs)
     text = F.col("_kept_text")
     return cut.select([text.alias("text") if c == "text" else F.coalesce(F.length(text), F.lit(0)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
@@ -42,6 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and the scores of its sampled segmentations."""
+    lean_batches(spark)
     coded = encode_and_sample(docs.select("doc_id", "source", "text"), with_ids=True)
     return coded.select("doc_id", "source", F.col("_n_pieces").alias("n_pieces"), F.col("_ids").alias("piece_ids"), F.col("_round_trip").alias("round_trip"), F.col("_samples").alias("samples"))
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import textwrap
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -491,6 +492,26 @@ def test_forgotten_chunks_change_nothing(monkeypatch):
     assert few == many and left < held
 
 
+def test_forgetting_chunks_takes_little_besides():
+    """Kept lattices are copied one array after another, without room to spare; what is kept is the same."""
+    lat = spm.Lattices(spm.load(open(spm.MODEL, "rb").read()), 1.0)
+    chunks = [f"▁word{i}naïve日" for i in range(20_000)]
+    lat.build(chunks)
+    stay = np.arange(0, len(chunks), 2)
+    tracemalloc.start()
+    lat.keep(stay)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = sum(getattr(lat, x).nbytes for x in lat.PARTS)
+    assert most < 2 * kept and all(lat.room[x].nbytes == getattr(lat, x).nbytes for x in lat.PARTS)
+    got = {x: getattr(lat, x).copy() for x in lat.PARTS}
+    lat.build([chunks[i] for i in stay])
+    assert all(np.array_equal(got[x], getattr(lat, x)) if got[x].dtype != float else np.allclose(got[x], getattr(lat, x), rtol=1e-9, atol=1e-9) for x in lat.PARTS)
+    lat.keep(np.arange(10))
+    lat.add(chunks[:3])
+    assert len(lat.start) == 13 and len(lat.ptr) == len(lat.codes) + 1
+
+
 def test_lattices_are_set_up_fast_and_right():
     """Every task sets the lattices up anew; hashes of all pieces and of their beginnings are worked out by length."""
     sp, took = spm.load(open(spm.MODEL, "rb").read()), []

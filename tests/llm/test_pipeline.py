@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,25 @@ def test_empty(spark, corpus, tmp_path):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, corpus):
+    """An executor holds a batch of texts several times, in Spark's, Arrow's and Python's memory."""
+    folder, _ = corpus
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = spark.range(0, 4000, 1, 1).withColumn("text", F.repeat(F.lit("a text "), 1000))
+    for _, stage in [x for x in corpus_pipeline.STAGES if not x[0].startswith("mixing")]:
+        spark.conf.unset(bound)
+        stage(spark, docs.limit(0), folder)
+        assert long.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 6_000_000
+    spark.conf.set(bound, "123456b")
+    corpus_pipeline.encoding(spark, docs, folder)
+    assert spark.conf.get(bound) == "123456b"
+    spark.conf.unset(bound)

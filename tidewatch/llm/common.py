@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,8 +109,22 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: Bytes of rows that go to Python at once, see ``lean_batches``.
+BATCH_BYTES = 4 << 20
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """From now on this session sends rows to Python in batches of about ``BATCH_BYTES`` at most: long texts would
+    else make some of 64 MB, which an executor and its workers hold several times. A bound that the session has
+    been given stays; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def release_memory() -> None:
-    """Give freed memory back to the system, where libc can: Python workers outlive their tasks."""
+    """Give freed memory, Arrow's too, back to the system, where libc can: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

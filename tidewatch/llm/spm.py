@@ -33,9 +33,9 @@ _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 #: Documents are searched together up to this many chunks (a longer document goes alone).
-BATCH_CHUNKS = 50_000
+BATCH_CHUNKS = 25_000
 #: Chunks whose lattices are built at once: what that takes besides is bounded.
-BUILD_CHUNKS = 16_384
+BUILD_CHUNKS = 8_192
 
 
 def load(model: bytes) -> sentencepiece.SentencePieceProcessor:
@@ -207,15 +207,16 @@ class Lattices:
             self._append(name, fresh[name])
 
     def keep(self, chunks: np.ndarray) -> None:
-        """Forgets all chunks but these."""
+        """Forgets all chunks but these, in one array after another, each without room to spare."""
         size = self.rest[self.start[chunks]].astype(np.int64)
         at = _runs(self.start[chunks], size)
         edges = self.ptr[at + 1] - self.ptr[at]
         e = _runs(self.ptr[at], edges)
-        kept = dict(start=np.cumsum(size) - size, codes=self.codes[at], rest=self.rest[at], ptr=np.cumsum(edges), **{x: getattr(self, x)[e] for x in ("step", "piece", "logp", "cum")})
-        self.clear()
-        for name in self.PARTS:
-            self._append(name, kept[name])
+        for name, of in (("step", e), ("piece", e), ("logp", e), ("cum", e), ("codes", at), ("rest", at)):
+            self.room[name] = getattr(self, name)[of]
+            setattr(self, name, self.room[name])
+        self.start = self.room["start"] = np.cumsum(size) - size
+        self.ptr = self.room["ptr"] = np.concatenate([[0], np.cumsum(edges)])
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by probability."""
@@ -242,7 +243,9 @@ class Lattices:
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``size`` numbers from each of ``first``, in a row."""
-    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+    out = np.repeat(first - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 def _unit(bits: np.ndarray) -> np.ndarray:
@@ -403,7 +406,7 @@ def _log_inclusion(x: float) -> float:
 
 #: Chunks kept between batches; beyond, those seen once are forgotten, and of the others all but the most
 #: frequent, so that half of the room is free.
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 100_000
 
 
 class Coder:
@@ -489,7 +492,10 @@ def encode_and_sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model_pat
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *[f.name for f in extra]])
                 s = e
                 del arrays, n, crc, same, samples, ids
+            del batch, texts, keys
             release_memory()
+        del coder
+        release_memory()  # the worker waits for its next task
 
     return keyed.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
