@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import licences, quality, spm
+from tidewatch.llm import ann, licences, quality, spm
 from tidewatch.llm.ann import nearest
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.embed_dedup import near_duplicate_vectors
@@ -442,6 +442,26 @@ def test_dense_groups_shrink_however_they_are_dealt(spark):
             spark.conf.set(k, v)
 
 
+def test_no_node_is_visited_twice():
+    """Nodes 1, 2 and 3 are under the floor of 2.9 that node 9 sets, but each one's neighbours have the next one's
+    coded product over it; the search goes on while a query has a node to visit."""
+    exact, coded, beam = {1: 1.0, 2: 1.5, 3: 2.0, 9: 2.9}, {1: (2, 3.5), 2: (3, 4.0), 3: (1, 5.0), 9: (1, 5.0)}, 2
+    lists = dict(ids=pa.list_(pa.int64()), scores=pa.list_(pa.float64()), open=pa.list_(pa.bool_()), go=pa.list_(pa.int64()), seen=pa.list_(pa.int64()))
+    start = dict(ids=[[1, 9]], scores=[[5.0, 2.9]], open=[[False, False]], go=[[1, 9]], seen=[[1, 9]])
+    state = pa.table([pa.array([0], pa.int32()), pa.array([7], pa.int64()), pa.array([b""]), *[pa.array(start[x], t) for x, t in lists.items()]], names=["blk", "id", "vec", *lists])
+    visits = []
+    for _ in range(12):
+        go = state["go"].to_pylist()[0]
+        if not go:
+            break
+        visits += go
+        floor = state["scores"].to_pylist()[0][-1] if len(state["ids"].to_pylist()[0]) >= beam else -math.inf
+        hits = [[(n, exact[n])] + [coded[n]] * (coded[n][1] > floor) for n in go]
+        found = pa.table([pa.array([0] * len(go), pa.int32()), pa.array([7] * len(go), pa.int64()), pa.array(go, pa.int64()), pa.array([[x for x, _ in h] for h in hits], lists["ids"]), pa.array([[y for _, y in h] for h in hits], lists["scores"])], names=["blk", "id", "node", "ids", "scores"])
+        state = ann._merged(beam, 2)(state, found)
+    assert sorted(visits) == [1, 2, 3, 9] and 9 in state["ids"].to_pylist()[0]
+
+
 def test_pieces(spark, docs, none):
     sp = spm.load(open(spm.MODEL, "rb").read())
     out = spm.encode_and_sample(docs, with_ids=True).collect()

@@ -80,10 +80,19 @@ def _best(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, open_: np.ndar
     return owner[o], ids[o], scores[o], open_[o]
 
 
+def _among(owner: np.ndarray, ids: np.ndarray, of: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which of the pairs (owner, id) are among the pairs (of, those)."""
+    one, at = np.unique(np.concatenate([ids, those]), return_inverse=True)
+    key = np.concatenate([owner, of]) * len(one) + at
+    return np.isin(key[: len(ids)], key[len(ids) :])
+
+
 def _merged(keep: int, width: int):
     """Of a block: the lists of (id, vec, ids, scores, open), after what was found for them. An id met
     before stays as it was, but for a node just visited (``node``): its own product is exact. The ``width``
-    best open entries are closed and listed in ``go``, as those to visit next."""
+    best open entries are closed and listed in ``go``, as those to visit next, and added to a search's
+    ``seen``: a node that lost its place once its product was exact comes back closed, since its coded product may be
+    over the floor again and again, so that nodes would call each other back without end."""
 
     def run(state: pa.Table, found: pa.Table) -> pa.Table:
         id_ = state["id"].to_numpy()
@@ -93,7 +102,11 @@ def _merged(keep: int, width: int):
         own, old = _flat(state["ids"])
         score = np.concatenate([_flat(state["scores"])[1], _flat(found["scores"])[1]]).astype(float)
         visited = got == found["node"].to_numpy()[row] if "node" in found.column_names else np.zeros(len(got), bool)
-        flag = np.concatenate([_flat(state["open"])[1].astype(bool), ~visited])
+        fresh, searching = ~visited, "seen" in state.column_names
+        if searching:
+            of, seen = (x.astype(np.int64) for x in _flat(state["seen"]))
+            fresh &= ~_among(owner, got.astype(np.int64), of, seen)
+        flag = np.concatenate([_flat(state["open"])[1].astype(bool), fresh])
         before = np.concatenate([np.ones(len(own), np.int8), np.where(visited, 0, 2).astype(np.int8)])
         owner, ids, score, flag = _best(np.concatenate([own, owner]).astype(np.int64), np.concatenate([old, got]).astype(np.int64), score, flag, before, keep)
         size = np.bincount(owner, minlength=len(id_))
@@ -102,14 +115,18 @@ def _merged(keep: int, width: int):
         go = flag & (nth <= width)
         lists = [_lists(size, ids, pa.int64()), _lists(size, score, pa.float64()), _lists(size, flag & ~go, pa.bool_())]
         lists.append(_lists(np.bincount(owner[go], minlength=len(id_)), ids[go], pa.int64()))
-        return pa.table([state["blk"], state["id"], state["vec"], *lists], names=["blk", "id", "vec", "ids", "scores", "open", "go"])
+        if searching:
+            of, seen = np.concatenate([of, owner[go]]), np.concatenate([seen, ids[go]])
+            lists.append(_lists(np.bincount(of, minlength=len(id_)), seen[np.argsort(of, kind="stable")], pa.int64()))
+        return pa.table([state["blk"], state["id"], state["vec"], *lists], names=["blk", "id", "vec", "ids", "scores", "open", "go", "seen"][: 3 + len(lists)])
 
     return run
 
 
 def _merge(state: DataFrame, found: DataFrame, keep: int, tasks: int, width: int = 0) -> DataFrame:
-    both = state.select("blk", "id", "vec", "ids", "scores", "open").groupBy("blk").cogroup(found.groupBy("blk"))
-    return fewer(both.applyInArrow(_merged(keep, width), f"blk int, id long, vec binary, {LISTS}, go array<long>"), tasks)
+    seen = ["seen"] * ("seen" in state.columns)
+    both = state.select("blk", "id", "vec", "ids", "scores", "open", *seen).groupBy("blk").cogroup(found.groupBy("blk"))
+    return fewer(both.applyInArrow(_merged(keep, width), f"blk int, id long, vec binary, {LISTS}, go array<long>" + ", seen array<long>" * len(seen)), tasks)
 
 
 def _block(id_: str, blocks: int):
@@ -347,7 +364,8 @@ def _expand(batches):
 
 
 def _search(state: DataFrame, links: DataFrame, vectors: DataFrame, count: int, beam: int, width: int, left: float, asking: int) -> DataFrame:
-    """The state (blk, id, vec, ids, scores, open, go) after greedy search."""
+    """The state (blk, id, vec, ids, scores, open, go, seen) after greedy search. A query visits no node
+    twice, so that the search ends."""
     n = partitions(state.sparkSession)
     graph = bucketed(_neighbourhoods(links, vectors, count).repartition(n, "node"), "node", n, "graph")
     tasks, most = -(-asking // ASKERS), -(-asking * width // TASK)
@@ -412,7 +430,7 @@ def _nearest(rows: DataFrame, every: int, k: int, beam: int, width: int, left: f
     lifted = durable(nodes.select("id", "v", "asks").mapInPandas(lift, "id long, vec binary, x binary, asks boolean"), "lifted")
     links, starts = build_graph(lifted.select("id", "vec", "asks"), count, **graph)
     blocks = max(1, -(-asking // ASKERS))
-    state = lifted.where("asks").join(starts, "id").select(_block("id", blocks).alias("blk"), "id", F.col("x").alias("vec"), "ids", "scores", F.transform("ids", lambda x, i: i >= width).alias("open"), F.slice("ids", 1, width).alias("go"))
+    state = lifted.where("asks").join(starts, "id").select(_block("id", blocks).alias("blk"), "id", F.col("x").alias("vec"), "ids", "scores", F.transform("ids", lambda x, i: i >= width).alias("open"), F.slice("ids", 1, width).alias("go"), F.slice("ids", 1, width).alias("seen"))
     state = _search(durable(fewer(state, blocks), "search"), links, lifted.select("id", "x"), count, beam, width, left, asking)
     # the query's own node is a candidate through its copies
     hits = state.select(F.col("id").alias("node"), F.explode(F.array_union(F.slice("ids", 1, 4 * k), F.array("id"))).alias("hit"))
