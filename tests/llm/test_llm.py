@@ -512,6 +512,16 @@ def test_forgotten_chunks_change_nothing(monkeypatch):
     assert few == many and left < held
 
 
+def test_chunks_that_come_again_are_built_once(monkeypatch):
+    """Building a chunk's lattice takes most of a rare chunk's time: 130,000 that come again and again stay."""
+    coder, built = spm.Coder(open(spm.MODEL, "rb").read(), 1.0, 1), []
+    add = spm.Lattices.add
+    monkeypatch.setattr(spm.Lattices, "add", lambda self, chunks: built.append(len(chunks)) or add(self, chunks))
+    texts = [" ".join(f"w{i}" for i in range(s, s + 13_000)) for s in range(0, 130_000, 13_000)]
+    first, again = ([x[:2] for i, t in enumerate(texts) for x in coder.run([t, t], np.array([i, i]))] for _ in range(2))
+    assert first == again and sum(built) == 130_000
+
+
 def test_forgetting_chunks_takes_little_besides():
     """Kept lattices are copied one array after another, without room to spare; what is kept is the same."""
     lat = spm.Lattices(spm.load(open(spm.MODEL, "rb").read()), 1.0)

@@ -101,15 +101,17 @@ class Lattices:
             bits = _bits(h)
             o = np.argsort(bits, kind="stable")
             slot = np.full(1 << 16, -1, np.int32)  # the first of the pieces with such bits; most lookups end here
-            one, first, many = np.unique(bits[o], return_index=True, return_counts=True)
+            one, first = np.unique(bits[o], return_index=True)
             slot[one] = first
-            self.tables[length] = np.append(h[o], np.zeros(many.max(), np.uint64)), ids[o], slot, int(many.max())
+            more = np.append(bits[o[1:]] == bits[o[:-1]], False)  # another piece with such bits follows
+            self.tables[length] = h[o], ids[o], slot, more
         self.byte_weight = -alpha * np.log(sp.GetPieceSize() + 2.0)
+        self.short = np.min_scalar_type(max(by_length))
         self.clear()
 
     def clear(self) -> None:
         """Forgets all chunks."""
-        kinds = dict(start=np.int64, codes=np.uint32, rest=np.int32, ptr=np.int64, step=np.int32, piece=np.int32)
+        kinds = dict(start=np.int64, codes=np.uint32, rest=np.int32, ptr=np.int64, step=self.short, piece=np.int32)
         self.room = {name: np.zeros(int(name == "ptr"), kinds.get(name, np.float64)) for name in self.PARTS}
         for name in self.PARTS:
             setattr(self, name, self.room[name])
@@ -150,17 +152,17 @@ class Lattices:
             h = h[ok] * _BASE + codes[at + length - 1] + np.uint64(1)
             bits = _bits(h)
             if length in self.tables:
-                table, ids, slot, most = self.tables[length]
+                table, ids, slot, more = self.tables[length]
                 k = slot[bits]
                 some = np.flatnonzero(k >= 0)
                 k, sought = k[some], h[some]
                 hit = table[k] == sought
-                for _ in range(most - 1):
-                    miss = np.flatnonzero(~hit)
+                miss = np.flatnonzero(~hit)
+                while len(miss := miss[more[k[miss]]]):
                     k[miss] += 1
                     hit[miss] = table[k[miss]] == sought[miss]
+                    miss = miss[~hit[miss]]
                 hit = np.flatnonzero(hit)
-                hit = hit[k[hit] < len(ids)]
                 found = at[some[hit]]
                 places.append(found)
                 steps.append(length)
@@ -177,26 +179,28 @@ class Lattices:
         for x in places:  # no place comes twice in one of them
             count[x] += 1
         ptr = np.concatenate([[0], np.cumsum(count)])
-        place, step, piece = np.repeat(np.arange(n), count), np.empty(ptr[-1], np.int32), np.empty(ptr[-1], np.int32)
+        step, piece = np.empty(ptr[-1], self.short), np.empty(ptr[-1], np.int32)
         free = ptr[:-1].copy()
         for x, length, ids in zip(places, steps, pieces, strict=True):
-            step[free[x]], piece[free[x]] = length, ids
-            free[x] += 1
-        level = rest[place].astype(np.uint16 if rest.max() < 1 << 16 else np.int64)
-        back = np.argsort(level, kind="stable")  # from the chunks' ends backward
-        code = codes[place]
-        w = np.where(piece >= 0, self.weights[np.maximum(piece, 0)], self.byte_weight * _utf8_size(code))
+            e = free[x]
+            step[e], piece[e] = length, ids
+            free[x] = e + 1
+        w = self.weights[piece]
+        w[ptr[bare + 1] - 1] = self.byte_weight * _utf8_size(codes[bare])  # a place's last edge, if it has one of these
+        back = np.argsort(rest.astype(np.uint16) if rest.max() < 1 << 16 else rest, kind="stable")  # from the chunks' ends backward
+        size, level = count[back], rest[back]
+        edges = _runs(ptr[back], size)
         mass = np.zeros(n + 1)
-        level, at, to, v = level[back], place[back], place[back] + step[back], w[back]
-        to[step[back] == level] = n  # the chunk's end, whose mass is 0
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
+        to, v = step[edges], w[edges]
+        to = np.where(to == np.repeat(level, size), n, np.repeat(back, size) + to)  # the chunk's end, whose mass is 0
+        head = np.cumsum(size) - size
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [n]])
+        for a, b, s, e in zip(cut[:-1], cut[1:], head[cut[:-1]], np.append(head[cut[1:-1]], len(v)), strict=True):
             v[s:e] += mass[to[s:e]]
-            head = np.flatnonzero(np.concatenate([[True], at[s + 1 : e] != at[s : e - 1]]))
-            top = np.maximum.reduceat(v[s:e], head)
-            mass[at[s:e][head]] = top + np.log(np.add.reduceat(np.exp(v[s:e] - np.repeat(top, np.diff(np.append(head, e - s)))), head))
-        logp = np.empty(len(place))
-        logp[back] = np.minimum(v - mass[at], 0.0)
+            top = np.maximum.reduceat(v[s:e], head[a:b] - s)
+            mass[back[a:b]] = top + np.log(np.add.reduceat(np.exp(v[s:e] - np.repeat(top, size[a:b])), head[a:b] - s))
+        logp = np.empty(len(v))
+        logp[edges] = np.minimum(v - np.repeat(mass[back], size), 0.0)
         prob = np.exp(logp)
         run = np.cumsum(prob)
         cum = run - np.repeat(np.concatenate([[0.0], run])[ptr[:-1]], count)
@@ -276,31 +280,29 @@ class Descent:
         end = at + left
         at[head] = place
         run, steps = np.zeros(len(chunks)), np.zeros(len(chunks), np.int64)
-        keep, alive, step = [], np.arange(len(chunks)), 0
+        keep, alive, p, inside, step = [], np.arange(len(chunks)), at, np.zeros(len(chunks)), 0
+        must = edge >= 0
         while len(alive):
-            p = at[alive]
-            bits = keys[alive] if step == 0 else mix64(keys[alive] + np.uint64(step * int(_GOLD) & MASK))
+            bits = keys if step == 0 else mix64(keys[alive] + np.uint64(step * int(_GOLD) & MASK))
             e = lat.draw(p, _unit(bits))
-            inside = run[alive]
-            if step == 0 and (edge >= 0).any():
-                must = edge >= 0
+            if step == 0:
                 e[head[must]] = edge[must]
             gain = lat.logp[e]
             if step == 0:
-                gain[head[edge >= 0]] = 0.0  # part of phi already
-            keep.append((alive, p, e, inside))
-            run[alive] = inside + gain
-            steps[alive] += 1
-            p = p + lat.step[e]
-            at[alive] = p
-            alive = alive[p < end[alive]]
+                gain[head[must]] = 0.0  # part of phi already
+            keep.append((alive, p, e, inside, gain))
+            p, inside = p + lat.step[e], inside + gain
             step += 1
+            on = p < end
+            over, on = np.flatnonzero(~on), np.flatnonzero(on)
+            run[alive[over]], steps[alive[over]] = inside[over], step
+            alive, p, inside, end = alive[on], p[on], inside[on], end[on]
         first = np.cumsum(steps) - steps
         n = int(steps.sum())
-        self.p, self.e, self.prefix = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n)
-        for step, (alive, p, e, inside) in enumerate(keep):
+        self.p, self.e, self.prefix, took = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n)
+        for step, (alive, p, e, inside, gain) in enumerate(keep):
             x = first[alive] + step
-            self.p[x], self.e[x], self.prefix[x] = p, e, inside
+            self.p[x], self.e[x], self.prefix[x], took[x] = p, e, inside, gain
         before = np.cumsum(run) - run
         before += np.repeat(phi - before[head], count)
         self.prefix += np.repeat(before, steps)
@@ -308,8 +310,8 @@ class Descent:
         self.first, self.lo = first, first[head]
         self.hi = np.append(self.lo[1:], n)
         with np.errstate(divide="ignore"):
-            mass = self.prefix + np.log(-np.expm1(lat.logp[self.e]))  # of the edges not taken; none beside a lone one
-        mass[self.lo[edge >= 0]] = -np.inf  # what is left there stays with the descent it came from
+            mass = self.prefix + np.log(-np.expm1(took))  # of the edges not taken; none beside a lone one
+        mass[self.lo[must]] = -np.inf  # what is left there stays with the descent it came from
         top = np.maximum.reduceat(mass, self.lo)
         self.top = np.where(np.isfinite(top), top, 0.0)
         self.weight = np.exp(mass - np.repeat(self.top, self.hi - self.lo))
@@ -335,7 +337,8 @@ class Descent:
 
     def _beside(self, lat: Lattices, r: int, taken: list) -> np.ndarray:
         edges = np.arange(lat.ptr[self.p[r]], lat.ptr[self.p[r] + 1])
-        return edges[(edges != self.e[r]) & ~np.isin(edges, [e for x, e in taken if x == r])]
+        gone = [e for x, e in taken if x == r]
+        return edges[(edges != self.e[r]) & ~np.isin(edges, gone)] if gone else edges[edges != self.e[r]]
 
 
 def sample_segmentations(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarray, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
@@ -406,7 +409,7 @@ def _log_inclusion(x: float) -> float:
 
 #: Chunks kept between batches; beyond, those seen once are forgotten, and of the others all but the most
 #: frequent, so that half of the room is free.
-MOST_CHUNKS = 100_000
+MOST_CHUNKS = 250_000
 
 
 class Coder:
@@ -433,9 +436,11 @@ class Coder:
             self.forget()
         known = len(self.number)
         lists = [np.fromiter(map(self.number.__getitem__, c), np.int64, len(c)) for c in (chunks_of(t or "") for t in texts)]
-        fresh = list(itertools.islice(self.number, known, None))
+        fresh = [*itertools.islice(reversed(self.number), len(self.number) - known)][::-1]
         plain = [c.replace(SPACE, " ") for c in fresh]
-        coded = [x if c else self.lone for x, c in zip(self.sp.encode(plain, num_threads=1), plain, strict=True)] if fresh else []
+        coded = self.sp.encode(plain, num_threads=1) if fresh else []
+        if "" in plain:
+            coded[plain.index("")] = self.lone
         self.pieces = np.concatenate([self.pieces, np.fromiter(itertools.chain.from_iterable(coded), np.int32)])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
         self.lat.add([SPACE + c for c in fresh])
