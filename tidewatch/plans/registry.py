@@ -1038,11 +1038,13 @@ def _misspelt(s, sf):
     names = table(s, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("position")).select(F.upper("p_name").alias("canonical"), F.col("p_name").alias("alias"), "position")
     types = table(s, sf, "part").select("p_type").distinct().where("length(p_type) >= 7").select(F.col("p_type").alias("canonical"), F.col("p_type").alias("alias"), F.lit(0).cast("long").alias("position"))
     r = d.raw_mentions(s, sf, False)
-    odd = F.when(F.length("category") >= 8, F.concat(F.substring("category", 1, 5), F.expr("substring(category, 7)"))).otherwise(F.col("category"))
-    kind = F.when(F.length("category") >= 7, odd).otherwise(F.lit(""))
-    plain = F.when((F.length("category") >= 7) & (F.col("l_linenumber") % 2 == 0), F.col("category")).otherwise(kind)
-    line = lambda k: F.array_join(F.collect_list(F.concat_ws(" and ", "p_name", k)), " with ")
-    return r.groupBy("case_id").agg(line(plain).alias("narrative"), line(kind).alias("remark")), txt.build_lexicon(names.unionByName(types))
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name", "category")))  # the same text whenever it is read
+    odd = lambda c: F.when(F.length(c) >= 8, F.concat(F.substring(c, 1, 5), F.substring(c, 7, 1 << 30))).otherwise(c)
+    kind = lambda c: F.when(F.length(c) >= 7, odd(c)).otherwise(F.lit(""))
+    plain = lambda x: F.when((F.length(x["category"]) >= 7) & (x["l_linenumber"] % 2 == 0), x["category"]).otherwise(kind(x["category"]))
+    text = lambda k: F.array_join(F.transform("lines", lambda x: F.concat_ws(" and ", x["p_name"], k(x))), " with ")
+    cases = r.groupBy("case_id").agg(lines.alias("lines")).select("case_id", text(plain).alias("narrative"), text(lambda x: kind(x["category"])).alias("remark"))
+    return cases, txt.build_lexicon(names.unionByName(types))
 
 
 @query("""SELECT upper(left(p_type, 5) || substr(p_type, 7)) AS token, upper(p_type) AS alias, p_type AS canonical, (count(*) + count(*) FILTER (l_linenumber % 2 <> 0))::BIGINT AS hits
