@@ -224,10 +224,10 @@ def concentration_sweep(s, sf):
     return r6(r6(r6(_located(s, sf), "mean", places=4), "variance", places=3), "z", "weight", places=4)
 
 
-def _located(s, sf):
+def _located(s, sf, only: int | None = None):
     p = d.points(s, sf)
     p = p.select("id", "x", "y", F.concat(F.lit("Brand#"), "label").alias("entity"), (F.lit(7994) + F.col("id") % 12).cast("int").alias("q"))
-    return spatial.sweep_concentration(p, p.select("id", "entity"))
+    return spatial.sweep_concentration(p, p.select("id", "entity"), only=only)
 
 
 @query(f"""WITH {B}, {W}, {LOC}, j AS (SELECT gate.*, 1 - 0.25 * coalesce(weight, 0) AS less FROM gate LEFT JOIN lx USING (entity, as_of) WHERE n_recent > 0)
@@ -259,7 +259,7 @@ def _ranking(s, sf):
     o = d.ordered(s, sf)
     w = windows.trailing_windows(d.counts(s, sf), d.denom(s, sf))
     last = int(windows.as_of_quarters(d.denom(s, sf)).agg(F.max("as_of")).first()[0])
-    return disp.rank_entities(w, d.counts(s, sf), last, counting.position_credit(o, counting.first_leads(o)), _located(s, sf))
+    return disp.rank_entities(w, d.counts(s, sf), last, counting.position_credit(o, counting.first_leads(o)), _located(s, sf, last))
 
 
 @query()
@@ -801,7 +801,7 @@ g AS (SELECT *, a2 * f2 AS mean, 2*a2*f2 + 4*p2*f3 + (a2*a2 - 2*a2 - 4*p2)*f4 -
 SELECT label::VARCHAR AS entity, c::BIGINT AS n_cases, s AS statistic, {_r('mean', 'mean', 4)}, {_r('var', 'variance', 3)}, {_r("CASE WHEN c >= 10 AND c / n <= 0.25 AND var > 0 THEN (s - mean) / sqrt(var) END", 'z', 5)}, CASE WHEN c < 10 THEN 'n<10' WHEN c / n > 0.25 THEN 'case_fraction>0.25' END AS withheld FROM g""")
 def concentration(s, sf):
     p = d.points(s, sf)
-    out = spatial.concentration_scores(spatial.knn_graph(p), p, p.select("id", F.col("label").cast("string").alias("entity")))
+    out = spatial.point_concentration(p, p.select("id", F.col("label").cast("string").alias("entity")))
     return r6(r6(r6(out.select("entity", "n_cases", "statistic", "mean", "variance", "z", "withheld"), "mean", places=4), "variance", places=3), "z", places=5)
 
 
