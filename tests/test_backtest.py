@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluation
+from tidewatch.plans import backtests, domain
 from tidewatch.operators.treescan import DRAWS, backtest, branch_sweep, head_to_head, leaf_draws, matched_budget, mention_totals, null_maxima, scan_cells, window_shares, with_p_values
 
 QUARTERS = range(100, 118)
@@ -218,3 +219,10 @@ def test_budgets_move_lines(spark):
         moved, lines = evaluation.matched_models([m], {"m": sweep}, budget)
         assert sweep.where(F.col("score") > moved[0].threshold).count() == alarms and moved[0].name == "m"
         assert evaluation.matched_alarms(sweep, "score", budget).count() == alarms
+
+
+def test_weighted_scores_are_planned_on_stored_windows(spark):
+    """Fits and joins of the backtest's scores read what is stored, and do not plan the tables' joins again."""
+    sf = "/root/testdata/sf0.001"
+    scores = backtests._weighted_scores(spark, sf, domain.denom(spark, sf))
+    assert scores.count() > 0 and not any(sf in f for f in scores.inputFiles())

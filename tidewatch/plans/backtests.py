@@ -43,19 +43,21 @@ def ratio_backtest_summary(s, sf):
     return r6(out.select("entity", F.col("peak_eb05").alias("peak"), "peak_as_of", "peak_n", "best_rank", "first_top", "first_credible"), "peak")
 
 
-def _weighted_scores(s, sf):
-    """Shrinkage scores of the weighted sweep with the spatial discount, each quarter's dispersion as of then."""
-    con = _located(s, sf).select("entity", "as_of", "weight")
-    w = counting.weighted_windows(d.ordered(s, sf), d.denom(s, sf)).join(con, ["entity", "as_of"], "left")
-    return disp.eb_scores(disp.gate_columns(w, concentration=F.col("weight")).where("n_recent > 0"))
+def _weighted_scores(s, sf, denom):
+    """Shrinkage scores of the weighted sweep with the spatial discount, each quarter's dispersion as of then. Steps are
+    stored, so that the driver plans them one at a time and orders are read once."""
+    con = stored(_located(s, sf).select("entity", "as_of", "weight"), "weights")
+    w = counting.weighted_windows(stored(d.ordered(s, sf), "ordered"), denom).join(con, ["entity", "as_of"], "left")
+    return disp.eb_scores(stored(disp.gate_columns(w, concentration=F.col("weight")).where("n_recent > 0"), "windows"))
 
 
 @query()
 def trends_backtest(s, sf):
     """Where the labelled brands stood at every as-of quarter by the weighted, discounted and vetoed shrinkage score."""
     c, n, nodes = _scanned(s, sf)
+    scores = stored(_weighted_scores(s, sf, n), "scores")
     ri = treescan.backtest(c, n, nodes).where("level = 'substance'").select(F.col("node").alias("entity"), "as_of", "recurrence_interval")
-    out = evaluation.trends_backtest(stored(_weighted_scores(s, sf), "scores"), _targets(s), ri)
+    out = evaluation.trends_backtest(scores, _targets(s), stored(ri, "intervals"))
     return r6(out, "n_recent", "n_baseline", "ebgm", "eb05", "eb05_own", "treescan_ri", places=4)
 
 
